@@ -67,6 +67,9 @@ MIME_EXTENSIONS = {
     "text/xml": "xml", "application/pdf": "pdf",
     "application/octet-stream": "bin",
 }
+# A small public-suffix sample for tests; production passes the full list.
+SAMPLE_PUBLIC_SUFFIXES = ["com", "net", "org", "io", "app", "cn", "uk", "gov.cn", "com.cn",
+                          "co.uk", "org.uk", "github.io", "vercel.app"]
 # --- end fixed values -------------------------------------------------------
 
 
@@ -95,3 +98,7 @@ def mime_extension_expr(col):
     primary = F.lower(F.trim(F.split(col, ";").getItem(0)))
     m = F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv])
     return F.coalesce(F.try_element_at(m, primary), F.lit("bin"))
+
+
+def public_suffixes_df(spark: SparkSession, suffixes: list[str] | None = None) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in (suffixes or SAMPLE_PUBLIC_SUFFIXES)], "suffix string")

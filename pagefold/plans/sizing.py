@@ -1,0 +1,35 @@
+"""Broadcast decisions behind a measured size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_LIMIT = 64 * 1024 * 1024
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
+    try:
+        v = int(str(raw).lower().rstrip("b"))
+    except ValueError:
+        v = DEFAULT_LIMIT
+    return v if v > 0 else 0
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of a plan (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is within the session's
+    broadcast threshold; otherwise leave the join to be shuffled."""
+    size = estimated_bytes(df)
+    limit = broadcast_limit(df)
+    if size is not None and limit and size <= limit:
+        return F.broadcast(df)
+    return df
