@@ -21,17 +21,29 @@ def _keys(keys) -> str:
     return ", ".join(keys)
 
 
+def _ob(order: str, then: str | None) -> str:
+    return order if not then else f"{order}, {then}"
+
+
+def _ok(order: str, then: str | None) -> str:
+    """A single comparable value for max_by/min_by over (order, then)."""
+    if not then:
+        return order
+    parts = [x.strip() for x in then.split(",")]
+    return "named_struct('o', " + order + "".join(f", 't{i}', {p}" for i, p in enumerate(parts)) + ")"
+
+
 def with_chunk(df: DataFrame, order: str, width: int = DEFAULT_WIDTH) -> DataFrame:
     return df.selectExpr("*", f"CAST(floor(({order}) / {int(width)}) AS BIGINT) AS _chunk")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                width: int = DEFAULT_WIDTH, inclusive: bool = True) -> DataFrame:
+                width: int = DEFAULT_WIDTH, inclusive: bool = True, then: str | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the key up to this one (by ``order``)."""
     d = with_chunk(df, order, width)
     k = _keys(keys)
     frame = "CURRENT ROW" if inclusive else "1 PRECEDING"
-    d = d.selectExpr("*", f"coalesce(sum({value}) OVER (PARTITION BY {k}, _chunk ORDER BY {order} "
+    d = d.selectExpr("*", f"coalesce(sum({value}) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)} "
                           f"ROWS BETWEEN UNBOUNDED PRECEDING AND {frame}), 0) AS _within")
     tot = d.groupBy(*keys, "_chunk").agg(F.expr(f"coalesce(sum({value}), 0) AS _tot"))
     carry = tot.selectExpr(*keys, "_chunk", f"coalesce(sum(_tot) OVER (PARTITION BY {k} ORDER BY _chunk "
@@ -41,14 +53,14 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
 
 
 def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  width: int = DEFAULT_WIDTH) -> DataFrame:
+                  width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` of the key at or before this row."""
     d = with_chunk(df, order, width)
     k = _keys(keys)
-    d = d.selectExpr("*", f"last({value}, true) OVER (PARTITION BY {k}, _chunk ORDER BY {order} "
+    d = d.selectExpr("*", f"last({value}, true) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)} "
                           f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _within")
     last = d.where(f"({value}) IS NOT NULL").groupBy(*keys, "_chunk").agg(
-        F.expr(f"max_by({value}, {order}) AS _last"))
+        F.expr(f"max_by({value}, {_ok(order, then)}) AS _last"))
     # carry-in of chunk c = last value of the latest earlier chunk that has one
     chunks = d.select(*keys, "_chunk").distinct()
     lc = last.selectExpr(*keys, "_chunk", "_last")
@@ -60,15 +72,34 @@ def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: s
 
 
 def neighbor(df: DataFrame, keys: list[str], order: str, value: str, out: str, direction: str = "prev",
-             width: int = DEFAULT_WIDTH) -> DataFrame:
+             width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
     """``out`` = ``value`` of the previous (``prev``) or next (``next``) row of the key."""
     d = with_chunk(df, order, width)
     k = _keys(keys)
     fn = "lag" if direction == "prev" else "lead"
-    d = d.selectExpr("*", f"{fn}(named_struct('v', {value})) OVER (PARTITION BY {k}, _chunk ORDER BY {order}) AS _within")
+    d = d.selectExpr("*", f"{fn}(named_struct('v', {value})) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)}) AS _within")
     pick = "max_by" if direction == "prev" else "min_by"
-    edge = d.groupBy(*keys, "_chunk").agg(F.expr(f"{pick}(named_struct('v', {value}), {order}) AS _edge"))
+    edge = d.groupBy(*keys, "_chunk").agg(F.expr(f"{pick}(named_struct('v', {value}), {_ok(order, then)}) AS _edge"))
     frame = "lag(_edge)" if direction == "prev" else "lead(_edge)"
     carry = edge.selectExpr(*keys, "_chunk", f"{frame} OVER (PARTITION BY {k} ORDER BY _chunk) AS _carry")
     j = d.join(carry, keys + ["_chunk"])
     return j.selectExpr(*df.columns, f"coalesce(_within, _carry).v AS {out}")
+
+
+def running_sum_min(df: DataFrame, keys: list[str], order: str, value: str, out_sum: str, out_min: str,
+                    width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``out_sum`` = running sum S of ``value`` and ``out_min`` = running
+    minimum of S (both inclusive), per key, in two levels."""
+    d = with_chunk(df, order, width)
+    k = _keys(keys)
+    w = f"(PARTITION BY {k}, _chunk ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    d = d.selectExpr("*", f"sum({value}) OVER {w} AS _s")
+    d = d.selectExpr("*", f"min(_s) OVER {w} AS _m")
+    tot = d.groupBy(*keys, "_chunk").agg(F.expr(f"sum({value}) AS _tot"), F.expr("min(_s) AS _cmin"))
+    tot = tot.selectExpr("*", f"coalesce(sum(_tot) OVER (PARTITION BY {k} ORDER BY _chunk "
+                              f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _csum")
+    tot = tot.selectExpr(*keys, "_chunk", "_csum", f"min(_csum + _cmin) OVER (PARTITION BY {k} ORDER BY _chunk "
+                                                   f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _cmin_before")
+    j = d.join(tot, keys + ["_chunk"])
+    return j.selectExpr(*df.columns, f"_csum + _s AS {out_sum}",
+                        f"CASE WHEN _cmin_before IS NULL THEN _csum + _m ELSE least(_cmin_before, _csum + _m) END AS {out_min}")
