@@ -51,9 +51,14 @@ def by_page(pages: DataFrame, num_partitions: int | None = None) -> DataFrame:
     Bucketed page tables (``bucketBy(n, "page_id")``) are already distributed
     and the repartition is then free of a shuffle.
     """
-    if num_partitions:
-        return pages.repartition(num_partitions, "page_id")
-    return pages.repartition("page_id")
+    if not num_partitions:
+        # An explicit count keeps AQE from coalescing this exchange into a
+        # handful of partitions: the stage after it is CPU-bound (regex
+        # tokenizing), not I/O-bound, so it needs every core.
+        spark = pages.sparkSession
+        conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        num_partitions = max(conf, 2 * spark.sparkContext.defaultParallelism)
+    return pages.repartition(num_partitions, "page_id")
 
 
 def strip_raw_sql(html: str) -> str:

@@ -17,6 +17,7 @@ _LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Long HTML documents produce deep regex recursion on the JVM stack.
     "spark.driver.extraJavaOptions": "-Xss16m",
