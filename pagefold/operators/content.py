@@ -350,3 +350,153 @@ def items(pages: DataFrame, cap: int = MAX_ITEMS) -> DataFrame:
              .where(f"item_no < {int(cap)}")
     return agg.selectExpr("page_id", "item_no", "'card' AS kind", f"{truncate_sql('title', ITEM_TITLE_CUT)} AS title",
                           "text", "start", "end")
+
+
+def escape_md_sql(x: str) -> str:
+    return f"replace(replace({x}, '[', '\\\\['), ']', '\\\\]')"
+
+
+def content_warnings(pages: DataFrame, _entries: DataFrame | None = None) -> DataFrame:
+    """``content_empty`` (no flow), ``content_truncated`` (text cap
+    reached), ``iframe_cross_origin`` / ``iframe_unavailable`` per iframe
+    (a same-origin frame whose page is not in the table is unavailable)."""
+    ent = _entries if _entries is not None else content_entries(pages)
+    f = flow(ent)
+    per = f.groupBy("page_id").agg(F.expr(
+        "coalesce(max(CASE WHEN ekind = 'paragraph' THEN emitted_before + length(text) + 1 END), 0) AS _emitted"))
+    base = pages.select("page_id").join(per, "page_id", "left")
+    w1 = base.selectExpr("page_id", "explode(array_compact(array("
+                         "CASE WHEN _emitted IS NULL THEN named_struct('code', 'content_empty', 'detail', 'no visible composed content captured') END, "
+                         f"CASE WHEN _emitted >= {MAX_TEXT_CHARS} THEN named_struct('code', 'content_truncated', 'detail', "
+                         f"'content text capped at {MAX_TEXT_CHARS} characters') END))) AS w")
+    fr = inline_frames(pages).where("NOT inlined").selectExpr(
+        "page_id", "named_struct('code', CASE WHEN same_origin THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END, "
+        "'detail', CASE WHEN same_origin THEN concat('iframe content unavailable: ', coalesce(src, '(no src)')) "
+        "ELSE concat('cross-origin iframe not traversed: ', coalesce(src, '')) END) AS w")
+    return w1.unionByName(fr).selectExpr("page_id", "w.code AS code", "w.detail AS detail")
+
+
+def inline_frames(pages: DataFrame) -> DataFrame:
+    """Iframes of each page with their resolved ``src``; a same-origin
+    frame whose URL is a page of the table is inlined (``frame_page_id``)
+    under a level-3 ``Frame: <src>`` heading. Found by a self left join on
+    the absolute URL; cross-origin frames only warn."""
+    ft = flow_tokens(pages).where("kind = 'open' AND tag = 'iframe' AND walked")
+    fr = ft.selectExpr("page_id", "pos AS iframe_pos", "url",
+                       f"{resolve_url_sql('url', attr_sql('src'))} AS src")
+    origin = "regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+    fr = fr.selectExpr("*", f"lower({origin.format('src')}) = lower({origin.format('url')}) AS same_origin")
+    targets = pages.selectExpr("page_id AS frame_page_id", "url AS src")
+    j = fr.join(targets, "src", "left")
+    return j.selectExpr("page_id", "iframe_pos", "src", "same_origin",
+                        "CASE WHEN same_origin THEN frame_page_id END AS frame_page_id",
+                        "same_origin AND frame_page_id IS NOT NULL AS inlined",
+                        "concat('Frame: ', coalesce(src, 'same-origin iframe')) AS frame_heading")
+
+
+def _table_md_lines(tables: DataFrame) -> DataFrame:
+    """Markdown lines of each table (padded pipe table, optional caption)."""
+    t = tables.groupBy("page_id", "table_pos", "caption").agg(
+        F.expr("transform(array_sort(collect_list(named_struct('r', row_no, 'c', cells))), _x -> _x.c) AS rows"))
+    cell = normalize_text_sql("_c")
+    esc = f"replace({cell}, '|', '\\\\|')"
+    t = t.selectExpr("page_id", "table_pos", "caption", "rows",
+                     "aggregate(rows, 0, (_a, _r) -> greatest(_a, size(_r))) AS width")
+    padded = (f"transform(rows, _r -> transform(concat(_r, array_repeat('', width - size(_r))), _c -> {esc}))")
+    t = t.selectExpr("page_id", "table_pos", "caption", f"{padded} AS p")
+    md = ("array_join(concat("
+          f"CASE WHEN caption != '' THEN array(concat('**', {escape_md_sql('caption')}, '**'), '') ELSE array() END, "
+          "array(concat('| ', array_join(p[0], ' | '), ' |'), concat('| ', array_join(transform(p[0], _h -> '---'), ' | '), ' |')), "
+          "transform(slice(p, 2, size(p)), _r -> concat('| ', array_join(_r, ' | '), ' |'))), '\\n')")
+    return t.selectExpr("page_id", "table_pos", f"{md} AS md")
+
+
+def content_markdown(pages: DataFrame, title_col: bool = True) -> DataFrame:
+    """The markdown document per page: header block, visible content
+    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links
+    (200 listed), actions (100 listed), warnings; ``[``/``]`` escaped,
+    3+ newlines collapsed, cut at 300,000 characters."""
+    ent = content_entries(pages)
+    f = flow(ent)
+    tabs = _table_md_lines(tables_from_entries(ent))
+    f = f.join(tabs.withColumnRenamed("table_pos", "epos"), ["page_id", "epos"], "left")
+    level = "least(6, greatest(2, CAST(substring(tag, 2, 1) AS INT) + 1))"
+    line = (f"CASE ekind WHEN 'heading' THEN concat(repeat('#', {level}), ' ', {escape_md_sql('text')}, '\\n') "
+            f"WHEN 'paragraph' THEN concat(text, '\\n') WHEN 'table' THEN CASE WHEN md IS NOT NULL THEN concat(md, '\\n') END END")
+    body = f.selectExpr("page_id", "epos", f"{line} AS line").groupBy("page_id").agg(F.expr(
+        "array_join(transform(array_sort(collect_list(CASE WHEN line IS NOT NULL THEN named_struct('o', epos, 'l', line) END)), "
+        "_x -> _x.l), '\\n') AS flow_md"))
+    ln = links_from_entries(ent)
+    meta = ("array_join(filter(array(kind, CASE WHEN kind = CASE WHEN same_site THEN 'same-site' ELSE 'external' END THEN '' "
+            "ELSE CASE WHEN same_site THEN 'same-site' ELSE 'external' END END, "
+            "CASE WHEN source_section != '' THEN concat('source: ', source_section) ELSE '' END), _m -> _m != ''), ', ')")
+    ltext = escape_md_sql("CASE WHEN text != '' THEN text ELSE absolute_url END")
+    lmd = ln.selectExpr("page_id", "link_no", f"concat('- [', {ltext}, "
+                                              f"'](', absolute_url, ')', CASE WHEN {meta} != '' THEN concat(' — ', {meta}) ELSE '' END) AS l")
+    links_md = lmd.groupBy("page_id").agg(F.expr(
+        f"array_join(transform(array_sort(collect_list(CASE WHEN link_no < {MARKDOWN_LINKS} THEN named_struct('o', link_no, 'l', l) END)), "
+        f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
+    links_md = links_md.selectExpr("page_id", f"concat('## Links\\n\\n', _l, CASE WHEN _n > {MARKDOWN_LINKS} THEN "
+                                              f"concat('\\n- … ', CAST(_n - {MARKDOWN_LINKS} AS STRING), ' more links omitted') ELSE '' END, '\\n') AS links_md")
+    ac = actions_from_entries(ent)
+    amd = ac.selectExpr("page_id", "action_no", f"concat('- ', {escape_md_sql('text')}, ' — ', kind, "
+                                                "CASE WHEN source_section != '' THEN concat(', source: ', source_section) ELSE '' END) AS l")
+    actions_md = amd.groupBy("page_id").agg(F.expr(
+        f"array_join(transform(array_sort(collect_list(CASE WHEN action_no < {MARKDOWN_ACTIONS} THEN named_struct('o', action_no, 'l', l) END)), "
+        f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
+    actions_md = actions_md.selectExpr("page_id", f"concat('## Actions\\n\\n', _l, CASE WHEN _n > {MARKDOWN_ACTIONS} THEN "
+                                                  f"concat('\\n- … ', CAST(_n - {MARKDOWN_ACTIONS} AS STRING), ' more actions omitted') ELSE '' END, '\\n') AS actions_md")
+    warn = content_warnings(pages, ent).groupBy("page_id").agg(F.expr(
+        "concat('## Warnings\\n\\n', array_join(collect_list(concat('- ', code, ': ', detail)), '\\n'), '\\n') AS warnings_md"))
+    head = pages.selectExpr("page_id", "url", f"{page_title_sql()} AS title")
+    doc = head.join(body, "page_id", "left").join(links_md, "page_id", "left") \
+              .join(actions_md, "page_id", "left").join(warn, "page_id", "left")
+    htext = escape_md_sql("CASE WHEN title != '' THEN title WHEN url != '' THEN url ELSE 'Page Content' END")
+    header = (f"concat('# ', {htext}, '\\n\\n', "
+              "'URL: ', url, '\\n', 'Final URL: ', url, '\\n', CASE WHEN title != '' THEN concat('Title: ', title, '\\n') ELSE '' END, "
+              "'Ready State: complete\\n\\n## Visible Content\\n\\n')")
+    md = (f"concat({header}, coalesce(flow_md, '_No visible composed content captured._\\n'), '\\n', "
+          "coalesce(links_md, ''), '\\n', coalesce(actions_md, ''), '\\n', coalesce(warnings_md, ''))")
+    return doc.selectExpr("page_id", f"substring(regexp_replace({md}, '\\n{{3,}}', '\\n\\n'), 1, {MARKDOWN_CUT}) AS markdown")
+
+
+def content_json(pages: DataFrame) -> DataFrame:
+    """One nested document per page: schema_version, page, sections
+    (with their paragraphs and links), items, tables, links, actions,
+    warnings. Each array is one ``collect_list`` per page; the parts are
+    joined on ``page_id`` (all derived from the same page partitioning)."""
+    ent = content_entries(pages)
+    secs = sections(pages)
+    paras = flow(ent).where("ekind = 'paragraph'").groupBy("page_id", "section_no").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', epos, 't', text))), _x -> _x.t) AS text"))
+    s = secs.join(paras, ["page_id", "section_no"], "left").groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', section_no, 'heading', heading, 'level', level, "
+        "'text', coalesce(text, array())))), _x -> named_struct('heading', _x.heading, 'level', _x.level, 'text', _x.text)) AS sections"))
+    ln = links_from_entries(ent).groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', link_no, 'text', text, 'url', url, 'absolute_url', absolute_url, "
+        "'same_site', same_site, 'visible', visible, 'source_section', source_section, 'kind', kind))), "
+        "_x -> named_struct('text', _x.text, 'url', _x.url, 'absolute_url', _x.absolute_url, 'same_site', _x.same_site, "
+        "'visible', _x.visible, 'source_section', _x.source_section, 'kind', _x.kind)) AS links"))
+    ac = actions_from_entries(ent).groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', action_no, 'text', text, 'kind', kind, 'visible', visible, "
+        "'source_section', source_section, 'absolute_url', absolute_url))), _x -> named_struct('text', _x.text, 'kind', _x.kind, "
+        "'visible', _x.visible, 'source_section', _x.source_section, 'absolute_url', _x.absolute_url)) AS actions"))
+    tb = tables_from_entries(ent).groupBy("page_id", "table_no", "caption", "source_section").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('r', row_no, 'c', cells))), _x -> _x.c) AS rows")) \
+        .groupBy("page_id").agg(F.expr(
+            "transform(array_sort(collect_list(named_struct('o', table_no, 'caption', caption, 'rows', rows, 'source_section', source_section))), "
+            "_x -> named_struct('caption', _x.caption, 'rows', _x.rows, 'source_section', _x.source_section)) AS tables"))
+    it = items(pages).groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text)))), "
+        "_x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text)) AS items"))
+    wr = content_warnings(pages, ent).groupBy("page_id").agg(F.expr(
+        "collect_list(named_struct('code', code, 'detail', detail)) AS warnings"))
+    head = pages.selectExpr("page_id", "named_struct('url', url, 'final_url', url, 'title', "
+                                       f"{page_title_sql()}, 'ready_state', 'complete', 'capture', 'browser_composed_content') AS page")
+    doc = head
+    for part in (s, it, tb, ln, ac, wr):
+        doc = doc.join(part, "page_id", "left")
+    return doc.selectExpr("page_id", "1 AS schema_version", "page",
+                          "coalesce(sections, array()) AS sections", "coalesce(items, array()) AS items",
+                          "coalesce(tables, array()) AS tables", "coalesce(links, array()) AS links",
+                          "coalesce(actions, array()) AS actions", "coalesce(warnings, array()) AS warnings")
