@@ -90,13 +90,13 @@ def _memberships_sql() -> str:
     ]) + "))"
 
 
-def content_entries(pages: DataFrame) -> DataFrame:
+def content_entries(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
     """All content entries of all pages, one row each, with section context.
 
     Columns: page_id, url, ekind, ekey, epos, tag, attrs, walked, in_nav,
     in_footer, table_pos, tr_pos, text, section_no, section_heading.
     """
-    ft = flow_tokens(pages)
+    ft = _ft if _ft is not None else flow_tokens(pages)
     ex = ft.selectExpr("*", f"explode({_memberships_sql()}) AS _m").selectExpr(
         "*", "_m.ekind AS ekind", "_m.ekey AS ekey")
     owner = "kind = 'open' AND pos = ekey"
@@ -159,10 +159,10 @@ def _href_sql() -> str:
         f"CASE WHEN {r} != '' AND {r} != '#' AND NOT startswith(lower({r}), 'javascript:') THEN {r} END"))
 
 
-def sections(pages: DataFrame) -> DataFrame:
+def sections(pages: DataFrame, _entries: DataFrame | None = None) -> DataFrame:
     """``(page_id, section_no, heading, level)``; the implicit ``Page``
     section (0) exists when a paragraph or a link precedes the first heading."""
-    ent = content_entries(pages)
+    ent = _entries if _entries is not None else content_entries(pages)
     is_head = "(ekind = 'heading' AND walked AND text != '')"
     pre_para = "(ekind = 'paragraph' AND text != '' AND section_no = 0)"
     pre_link = f"(ekind = 'link' AND walked AND section_no = 0 AND {resolve_url_sql('url', _href_sql())} IS NOT NULL)"
@@ -314,7 +314,7 @@ def page_title(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("page_id", f"{page_title_sql()} AS title")
 
 
-def items(pages: DataFrame, cap: int = MAX_ITEMS) -> DataFrame:
+def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None) -> DataFrame:
     """Outermost card-like elements with >= 20 characters of text.
 
     Span text comes from a range join keyed by ``page_id`` (co-partitioned:
@@ -322,7 +322,7 @@ def items(pages: DataFrame, cap: int = MAX_ITEMS) -> DataFrame:
     of accepted span ends.
     """
     from pyspark.sql import functions as F
-    ft = flow_tokens(pages)
+    ft = _ft if _ft is not None else flow_tokens(pages)
     sig = (f"concat_ws(' ', coalesce({attr_sql('id', False)}, ''), coalesce({attr_sql('class', False)}, ''), "
            f"coalesce({attr_sql('role', False)}, ''))")
     cand = ft.where(f"kind = 'open' AND walked AND tag NOT IN ('body', 'main') AND "
@@ -356,7 +356,7 @@ def escape_md_sql(x: str) -> str:
     return f"replace(replace({x}, '[', '\\\\['), ']', '\\\\]')"
 
 
-def content_warnings(pages: DataFrame, _entries: DataFrame | None = None) -> DataFrame:
+def content_warnings(pages: DataFrame, _entries: DataFrame | None = None, _ft: DataFrame | None = None) -> DataFrame:
     """``content_empty`` (no flow), ``content_truncated`` (text cap
     reached), ``iframe_cross_origin`` / ``iframe_unavailable`` per iframe
     (a same-origin frame whose page is not in the table is unavailable)."""
@@ -369,19 +369,19 @@ def content_warnings(pages: DataFrame, _entries: DataFrame | None = None) -> Dat
                          "CASE WHEN _emitted IS NULL THEN named_struct('code', 'content_empty', 'detail', 'no visible composed content captured') END, "
                          f"CASE WHEN _emitted >= {MAX_TEXT_CHARS} THEN named_struct('code', 'content_truncated', 'detail', "
                          f"'content text capped at {MAX_TEXT_CHARS} characters') END))) AS w")
-    fr = inline_frames(pages).where("NOT inlined").selectExpr(
+    fr = inline_frames(pages, _ft).where("NOT inlined").selectExpr(
         "page_id", "named_struct('code', CASE WHEN same_origin THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END, "
         "'detail', CASE WHEN same_origin THEN concat('iframe content unavailable: ', coalesce(src, '(no src)')) "
         "ELSE concat('cross-origin iframe not traversed: ', coalesce(src, '')) END) AS w")
     return w1.unionByName(fr).selectExpr("page_id", "w.code AS code", "w.detail AS detail")
 
 
-def inline_frames(pages: DataFrame) -> DataFrame:
+def inline_frames(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
     """Iframes of each page with their resolved ``src``; a same-origin
     frame whose URL is a page of the table is inlined (``frame_page_id``)
     under a level-3 ``Frame: <src>`` heading. Found by a self left join on
     the absolute URL; cross-origin frames only warn."""
-    ft = flow_tokens(pages).where("kind = 'open' AND tag = 'iframe' AND walked")
+    ft = (_ft if _ft is not None else flow_tokens(pages)).where("kind = 'open' AND tag = 'iframe' AND walked")
     fr = ft.selectExpr("page_id", "pos AS iframe_pos", "url",
                        f"{resolve_url_sql('url', attr_sql('src'))} AS src")
     origin = "regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
@@ -411,12 +411,27 @@ def _table_md_lines(tables: DataFrame) -> DataFrame:
     return t.selectExpr("page_id", "table_pos", f"{md} AS md")
 
 
-def content_markdown(pages: DataFrame, title_col: bool = True) -> DataFrame:
+def shared_flow(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Flow tokens and entries computed once for operators that need many
+    parts of the same pages; with ``materialize`` both are written to the
+    shared checkpoint folder (reliable checkpoint: lineage is cut and the
+    parts read them instead of re-tokenizing)."""
+    from pagefold.session import cut_lineage
+    ft = flow_tokens(pages)
+    if materialize:
+        ft = cut_lineage(ft)
+    ent = content_entries(pages, ft)
+    if materialize:
+        ent = cut_lineage(ent)
+    return ft, ent
+
+
+def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool = True) -> DataFrame:
     """The markdown document per page: header block, visible content
     (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links
     (200 listed), actions (100 listed), warnings; ``[``/``]`` escaped,
     3+ newlines collapsed, cut at 300,000 characters."""
-    ent = content_entries(pages)
+    ft, ent = shared_flow(pages, materialize)
     f = flow(ent)
     tabs = _table_md_lines(tables_from_entries(ent))
     f = f.join(tabs.withColumnRenamed("table_pos", "epos"), ["page_id", "epos"], "left")
@@ -446,7 +461,7 @@ def content_markdown(pages: DataFrame, title_col: bool = True) -> DataFrame:
         f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
     actions_md = actions_md.selectExpr("page_id", f"concat('## Actions\\n\\n', _l, CASE WHEN _n > {MARKDOWN_ACTIONS} THEN "
                                                   f"concat('\\n- … ', CAST(_n - {MARKDOWN_ACTIONS} AS STRING), ' more actions omitted') ELSE '' END, '\\n') AS actions_md")
-    warn = content_warnings(pages, ent).groupBy("page_id").agg(F.expr(
+    warn = content_warnings(pages, ent, ft).groupBy("page_id").agg(F.expr(
         "concat('## Warnings\\n\\n', array_join(collect_list(concat('- ', code, ': ', detail)), '\\n'), '\\n') AS warnings_md"))
     head = pages.selectExpr("page_id", "url", f"{page_title_sql()} AS title")
     doc = head.join(body, "page_id", "left").join(links_md, "page_id", "left") \
@@ -460,13 +475,13 @@ def content_markdown(pages: DataFrame, title_col: bool = True) -> DataFrame:
     return doc.selectExpr("page_id", f"substring(regexp_replace({md}, '\\n{{3,}}', '\\n\\n'), 1, {MARKDOWN_CUT}) AS markdown")
 
 
-def content_json(pages: DataFrame) -> DataFrame:
+def content_json(pages: DataFrame, materialize: bool = True) -> DataFrame:
     """One nested document per page: schema_version, page, sections
     (with their paragraphs and links), items, tables, links, actions,
     warnings. Each array is one ``collect_list`` per page; the parts are
     joined on ``page_id`` (all derived from the same page partitioning)."""
-    ent = content_entries(pages)
-    secs = sections(pages)
+    ft, ent = shared_flow(pages, materialize)
+    secs = sections(pages, ent)
     paras = flow(ent).where("ekind = 'paragraph'").groupBy("page_id", "section_no").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', epos, 't', text))), _x -> _x.t) AS text"))
     s = secs.join(paras, ["page_id", "section_no"], "left").groupBy("page_id").agg(F.expr(
@@ -486,10 +501,10 @@ def content_json(pages: DataFrame) -> DataFrame:
         .groupBy("page_id").agg(F.expr(
             "transform(array_sort(collect_list(named_struct('o', table_no, 'caption', caption, 'rows', rows, 'source_section', source_section))), "
             "_x -> named_struct('caption', _x.caption, 'rows', _x.rows, 'source_section', _x.source_section)) AS tables"))
-    it = items(pages).groupBy("page_id").agg(F.expr(
+    it = items(pages, _ft=ft).groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text)))), "
         "_x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text)) AS items"))
-    wr = content_warnings(pages, ent).groupBy("page_id").agg(F.expr(
+    wr = content_warnings(pages, ent, ft).groupBy("page_id").agg(F.expr(
         "collect_list(named_struct('code', code, 'detail', detail)) AS warnings"))
     head = pages.selectExpr("page_id", "named_struct('url', url, 'final_url', url, 'title', "
                                        f"{page_title_sql()}, 'ready_state', 'complete', 'capture', 'browser_composed_content') AS page")

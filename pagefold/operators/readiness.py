@@ -37,8 +37,8 @@ def inflight_timeline(events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> Dat
     """
     e = conform_events(events).where(f"method IN ({NETWORK_METHODS})")
     key = ["session_id", "request_id"]
-    e = scan.running_sum(e, key, "seq", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "_sends", width)
-    e = scan.last_non_null(e, key, "seq", f"CASE WHEN method IN ({STATE_METHODS}) THEN method END", "_last_state", width)
+    e = scan.multi(e, key, "seq", [("sum", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "_sends"),
+                                   ("last", f"CASE WHEN method IN ({STATE_METHODS}) THEN method END", "_last_state")], width)
     e = e.selectExpr("*", f"CAST(_sends > 0 AND _last_state IN ('{SENT}', '{RESPONDED}') AS INT) AS _open")
     e = scan.neighbor(e, key, "seq", "_open", "_open_before", "prev", width)
     e = e.selectExpr("*", "_open - coalesce(_open_before, 0) AS _delta")
@@ -90,8 +90,8 @@ def readiness(events: DataFrame, samples: DataFrame, budget_ms: int, idle_ms: in
                        "CAST(NULL AS BIGINT) AS _ev_ts", "stable")
     u = ev.unionByName(sm)
     # events before samples at equal times; seq breaks remaining ties
-    u = scan.last_non_null(u, ["session_id"], "ts_ms", "_inflight", "inflight_asof", width, then="_kind, _seq")
-    u = scan.last_non_null(u, ["session_id"], "ts_ms", "_ev_ts", "last_event_ts", width, then="_kind, _seq")
+    u = scan.multi(u, ["session_id"], "ts_ms", [("last", "_inflight", "inflight_asof"), ("last", "_ev_ts", "last_event_ts")],
+                   width, then="_kind, _seq")
     s = u.where("_kind = 1").selectExpr(
         "session_id", "ts_ms", "stable",
         f"coalesce(inflight_asof, 0) = 0 AND (last_event_ts IS NULL OR ts_ms - last_event_ts >= {int(idle_ms)}) AS network_quiet")

@@ -37,53 +37,65 @@ def with_chunk(df: DataFrame, order: str, width: int = DEFAULT_WIDTH) -> DataFra
     return df.selectExpr("*", f"CAST(floor(({order}) / {int(width)}) AS BIGINT) AS _chunk")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                width: int = DEFAULT_WIDTH, inclusive: bool = True, then: str | None = None) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the key up to this one (by ``order``)."""
+def multi(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str, str]],
+          width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
+    """Several ordered scans over the same key and order in one pass.
+
+    ``specs``: ``(op, expr, out)`` with ``op`` one of ``sum`` (inclusive
+    running sum), ``last`` (last non-null at or before the row), ``prev`` /
+    ``next`` (value of the previous / next row). One chunking, one window
+    pass per (key, chunk), one per-chunk carry table, one join.
+    """
     d = with_chunk(df, order, width)
     k = _keys(keys)
-    frame = "CURRENT ROW" if inclusive else "1 PRECEDING"
-    d = d.selectExpr("*", f"coalesce(sum({value}) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)} "
-                          f"ROWS BETWEEN UNBOUNDED PRECEDING AND {frame}), 0) AS _within")
-    tot = d.groupBy(*keys, "_chunk").agg(F.expr(f"coalesce(sum({value}), 0) AS _tot"))
-    carry = tot.selectExpr(*keys, "_chunk", f"coalesce(sum(_tot) OVER (PARTITION BY {k} ORDER BY _chunk "
-                                            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _carry")
-    j = d.join(carry, keys + ["_chunk"])
-    return j.selectExpr(*df.columns, f"_within + _carry AS {out}")
+    wk = f"(PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)}"
+    run = f"{wk} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ok = _ok(order, then)
+    within, aggs, carries, outs = [], [], [], []
+    wc = f"(PARTITION BY {k} ORDER BY _chunk"
+    before = f"{wc} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    for i, (op, expr, out) in enumerate(specs):
+        if op == "sum":
+            within.append(f"coalesce(sum({expr}) OVER {run}, 0) AS _w{i}")
+            aggs.append(f"coalesce(sum({expr}), 0) AS _a{i}")
+            carries.append(f"coalesce(sum(_a{i}) OVER {before}, 0) AS _c{i}")
+            outs.append(f"_w{i} + _c{i} AS {out}")
+        elif op == "last":
+            within.append(f"last({expr}, true) OVER {run} AS _w{i}")
+            aggs.append(f"max_by({expr}, {ok}) FILTER (WHERE ({expr}) IS NOT NULL) AS _a{i}")
+            carries.append(f"last(_a{i}, true) OVER {before} AS _c{i}")
+            outs.append(f"coalesce(_w{i}, _c{i}) AS {out}")
+        elif op in ("prev", "next"):
+            fn, pick = ("lag", "max_by") if op == "prev" else ("lead", "min_by")
+            within.append(f"{fn}(named_struct('v', {expr})) OVER {wk}) AS _w{i}")
+            aggs.append(f"{pick}(named_struct('v', {expr}), {ok}) AS _a{i}")
+            carries.append(f"{fn}(_a{i}) OVER {wc}) AS _c{i}")
+            outs.append(f"coalesce(_w{i}, _c{i}).v AS {out}")
+        else:
+            raise ValueError(op)
+    d = d.selectExpr("*", *within)
+    ch = d.groupBy(*keys, "_chunk").agg(*[F.expr(a) for a in aggs])
+    ch = ch.selectExpr(*keys, "_chunk", *carries)
+    j = d.join(ch, keys + ["_chunk"])
+    return j.selectExpr(*df.columns, *outs)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
+    """``out`` = sum of ``value`` over rows of the key up to this one (by ``order``)."""
+    return multi(df, keys, order, [("sum", value, out)], width, then)
 
 
 def last_non_null(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                   width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
     """``out`` = last non-null ``value`` of the key at or before this row."""
-    d = with_chunk(df, order, width)
-    k = _keys(keys)
-    d = d.selectExpr("*", f"last({value}, true) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)} "
-                          f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _within")
-    last = d.where(f"({value}) IS NOT NULL").groupBy(*keys, "_chunk").agg(
-        F.expr(f"max_by({value}, {_ok(order, then)}) AS _last"))
-    # carry-in of chunk c = last value of the latest earlier chunk that has one
-    chunks = d.select(*keys, "_chunk").distinct()
-    lc = last.selectExpr(*keys, "_chunk", "_last")
-    allc = chunks.join(lc, keys + ["_chunk"], "left").selectExpr(
-        *keys, "_chunk", f"last(_last, true) OVER (PARTITION BY {k} ORDER BY _chunk "
-                         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _carry")
-    j = d.join(allc, keys + ["_chunk"])
-    return j.selectExpr(*df.columns, f"coalesce(_within, _carry) AS {out}")
+    return multi(df, keys, order, [("last", value, out)], width, then)
 
 
 def neighbor(df: DataFrame, keys: list[str], order: str, value: str, out: str, direction: str = "prev",
              width: int = DEFAULT_WIDTH, then: str | None = None) -> DataFrame:
     """``out`` = ``value`` of the previous (``prev``) or next (``next``) row of the key."""
-    d = with_chunk(df, order, width)
-    k = _keys(keys)
-    fn = "lag" if direction == "prev" else "lead"
-    d = d.selectExpr("*", f"{fn}(named_struct('v', {value})) OVER (PARTITION BY {k}, _chunk ORDER BY {_ob(order, then)}) AS _within")
-    pick = "max_by" if direction == "prev" else "min_by"
-    edge = d.groupBy(*keys, "_chunk").agg(F.expr(f"{pick}(named_struct('v', {value}), {_ok(order, then)}) AS _edge"))
-    frame = "lag(_edge)" if direction == "prev" else "lead(_edge)"
-    carry = edge.selectExpr(*keys, "_chunk", f"{frame} OVER (PARTITION BY {k} ORDER BY _chunk) AS _carry")
-    j = d.join(carry, keys + ["_chunk"])
-    return j.selectExpr(*df.columns, f"coalesce(_within, _carry).v AS {out}")
+    return multi(df, keys, order, [(direction, value, out)], width, then)
 
 
 def running_sum_min(df: DataFrame, keys: list[str], order: str, value: str, out_sum: str, out_min: str,
