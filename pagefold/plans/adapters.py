@@ -21,6 +21,13 @@ LINK_FOOTER = ['', '', '', '', '<a href="/imp">Imprint</a>']
 # Relative references resolved against every page url.
 HREF_FORMS = ["../docs/a?x=1#f", "//cdn.example.com/z", "?q=1", "#frag", "/abs/./b/../c",
               "rel/x", "HTTPS://Example.COM:443", "mailto:a@b.c", "", "./", "..", "/a b"]
+# action_pages: button-like elements inserted after </nav> by page_id % 3.
+ACTION_NAV = [
+    '<button>Buy now</button><input type="submit" value="Send"><div role="button" aria-label="Open menu"></div>'
+    '<button>Buy now</button>',
+    '<input type="button" title="Help"><a role="button" href="/go">Go</a><button aria-label="Close"> </button>',
+    '',
+]
 # --- end fixed values -------------------------------------------------------
 
 
@@ -41,3 +48,7 @@ def link_pages_sql(src: str = "pages") -> str:
 
 def href_forms_values() -> str:
     return ", ".join(f"('{h}', {i})" for i, h in enumerate(HREF_FORMS))
+
+
+def action_pages_html() -> str:
+    return f"replace(html, '</nav>', concat('</nav>', {_case('page_id', ACTION_NAV, 3)}))"

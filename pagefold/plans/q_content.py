@@ -200,13 +200,48 @@ def t24(t):
     return out.join(dup, "html_sha256").select("page_id", "html_sha256", "html_len", "n_elements", "n_same_html")
 
 
-@register("t15_actions")
-def t15(t):
-    """Buttons and button-like inputs (no oracle: test pages have none; golden rows in tests)."""
-    return C.actions(_link_pages(t))
+def _action_pages(t):
+    from pagefold.plans.adapters import action_pages_html
+    return t("pages").selectExpr("page_id", "url", f"{action_pages_html()} AS html")
+
+
+def _action_pages_cte():
+    from pagefold.plans.adapters import action_pages_html
+    return f"ap AS (SELECT page_id, url, {action_pages_html()} AS html FROM pages)"
 
 
-@register("t19_tables")
+_ACT_TEXT = D.norm(f"coalesce(nullif(text, ''), nullif({D.attr('aria-label')}, ''), nullif({D.attr('title')}, ''), "
+                   f"nullif({D.attr('value')}, ''), '')")
+_ACT_KIND = (f"CASE WHEN tag = 'a' THEN 'link' WHEN tag = 'input' THEN coalesce(nullif(lower({D.attr('type')}), ''), 'input') "
+             f"ELSE coalesce(nullif({D.attr('role')}, ''), tag) END")
+
+
+@register("t15_actions", f"""WITH {_action_pages_cte()}, {D.tokens_cte('ap')}, {D.flow_cte()},
+_a0 AS (SELECT page_id, epos, section_heading, {_ACT_TEXT} AS full_text, {_ACT_KIND} AS kind, url, tag,
+        CASE WHEN tag = 'a' THEN {D.href_sql()} END AS href FROM ent WHERE ekind = 'action' AND walked),
+_a1 AS ({D.resolve_stage_sql("SELECT * FROM _a0 WHERE full_text != ''", 'url', 'href', 'absolute_url')}),
+_a2 AS (SELECT *, {D.trunc('full_text', 240)} AS text FROM _a1),
+_a3 AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, text, absolute_url ORDER BY epos) AS _rn FROM _a2),
+_a4 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS action_no FROM _a3 WHERE _rn = 1)
+SELECT page_id, CAST(action_no AS BIGINT) AS action_no, text, kind, absolute_url, true AS visible,
+       section_heading AS source_section FROM _a4 WHERE action_no < 500""")
+def t15(t):
+    """Buttons, role=button and button-like inputs of action_pages; dedupe (kind, text, url)."""
+    return C.actions(_action_pages(t))
+
+
+@register("t19_tables", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()},
+_c AS (SELECT page_id, table_pos, tr_pos, epos, {D.trunc('text', 1000)} AS text FROM ent WHERE ekind = 'cell' AND text != ''),
+_r0 AS (SELECT page_id, table_pos, tr_pos, array_to_string(list(text ORDER BY epos), ' | ') AS cells, min(epos) AS rpos FROM _c GROUP BY ALL),
+_r AS (SELECT *, row_number() OVER (PARTITION BY page_id, table_pos ORDER BY rpos) - 1 AS row_no FROM _r0),
+_tb0 AS (SELECT page_id, epos AS table_pos, section_heading FROM ent WHERE ekind = 'table' AND walked
+        AND EXISTS (SELECT 1 FROM _r0 WHERE _r0.page_id = ent.page_id AND _r0.table_pos = ent.epos)),
+_tb AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY table_pos) - 1 AS table_no FROM _tb0),
+_cap AS (SELECT page_id, table_pos, arg_min({D.trunc('text', 300)}, epos) AS caption FROM ent WHERE ekind = 'caption' GROUP BY ALL)
+SELECT _tb.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, cells, coalesce(caption, '') AS caption,
+       section_heading AS source_section
+FROM _tb JOIN _r USING (page_id, table_pos) LEFT JOIN _cap USING (page_id, table_pos) WHERE table_no < 100 AND row_no < 100""")
 def t19(t):
-    """Table rows of link_pages (cells as an array; golden rows in tests)."""
-    return C.table_cells(_link_pages(t))
+    """Table rows of link_pages (cells joined by ' | '), ragged rows kept."""
+    return C.table_cells(_link_pages(t)).selectExpr("page_id", "table_no", "row_no", "array_join(cells, ' | ') AS cells",
+                                                    "caption", "source_section")
