@@ -325,12 +325,12 @@ def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None)
     ft = _ft if _ft is not None else flow_tokens(pages)
     sig = (f"concat_ws(' ', coalesce({attr_sql('id', False)}, ''), coalesce({attr_sql('class', False)}, ''), "
            f"coalesce({attr_sql('role', False)}, ''))")
+    from pagefold.operators.html import span_join
     cand = ft.where(f"kind = 'open' AND walked AND tag NOT IN ('body', 'main') AND "
                     f"(tag IN ('article', 'li') OR {sig} RLIKE {lit(ITEM_SIGNATURE)})") \
-             .selectExpr("page_id AS c_page", "pos AS start", "end")
-    pieces = ft.where("piece IS NOT NULL").selectExpr("page_id", "pos", "piece", "in_heading", "heading_pos")
-    j = cand.join(pieces, (F.col("c_page") == F.col("page_id")) & (F.col("pos") > F.col("start"))
-                  & (F.col("pos") <= F.col("end")))
+             .selectExpr("page_id", "pos AS start", "end")
+    pieces = ft.where("piece IS NOT NULL").selectExpr("page_id AS p_page", "pos", "piece", "in_heading", "heading_pos")
+    j = span_join(cand, pieces, pos="pos").drop("p_page")
     agg = j.groupBy("page_id", "start", "end").agg(
         F.expr("collect_list(named_struct('pos', pos, 'piece', piece)) AS _all"),
         F.expr("min(CASE WHEN in_heading > 0 THEN heading_pos END) AS hpos"))

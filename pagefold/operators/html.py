@@ -206,3 +206,26 @@ def join_pieces_sql(pieces: str) -> str:
     """Sorted ``struct(pos, piece)`` list -> normalized text joined by spaces."""
     return normalize_text_sql(
         f"array_join(transform(filter(array_sort({pieces}), _q -> _q.piece != ''), _q -> _q.piece), ' ')")
+
+
+RANGE_BUCKET = 256
+
+
+def span_join(spans: DataFrame, points: DataFrame, start: str = "start", end: str = "end",
+              pos: str = "p_pos", page: str = "page_id", p_page: str = "p_page",
+              bucket: int = RANGE_BUCKET) -> DataFrame:
+    """Points strictly after ``start`` and at or before ``end`` of each span,
+    on the same page.
+
+    A range join as an equi-join: each span is exploded into the position
+    buckets it covers (``pos div bucket``) and joined on (page, bucket), so
+    the work is proportional to the matches plus span length / bucket —
+    never all (span, point) pairs of a page.
+    """
+    s = spans.selectExpr("*", f"explode(sequence(CAST(({start} + 1) DIV {bucket} AS BIGINT), "
+                              f"CAST({end} DIV {bucket} AS BIGINT))) AS _bk")
+    p = points.selectExpr("*", f"CAST({pos} DIV {bucket} AS BIGINT) AS _pbk")
+    from pyspark.sql import functions as F
+    cond = ((F.col(page) == F.col(p_page)) & (F.col("_bk") == F.col("_pbk"))
+            & (F.col(pos) > F.col(start)) & (F.col(pos) <= F.col(end)))
+    return s.join(p, cond).drop("_bk", "_pbk")

@@ -77,9 +77,9 @@ def observation_nodes(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit
     # Node text: visible text pieces inside the node span (range join keyed by page).
     pieces = element_tokens(html_tokens(pages)).where("visible").selectExpr(
         "page_id AS p_page", "pos AS p_pos", f"{text_piece_sql()} AS piece").where("piece IS NOT NULL")
+    from pagefold.operators.html import span_join
     spans = nodes.selectExpr("page_id", "pos", "end")
-    txt = spans.join(pieces, (F.col("p_page") == F.col("page_id")) & (F.col("p_pos") > F.col("pos"))
-                     & (F.col("p_pos") <= F.col("end"))).groupBy("page_id", "pos").agg(
+    txt = span_join(spans, pieces, start="pos").groupBy("page_id", "pos").agg(
         F.expr("collect_list(named_struct('pos', p_pos, 'piece', piece)) AS _p"))
     txt = txt.selectExpr("page_id", "pos", f"{join_pieces_sql('_p')} AS _text")
     labels = label_texts(pages)
@@ -134,8 +134,9 @@ def observation_forms(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit
     fields = el.where(f"emitted AND tag IN ({', '.join(lit(t) for t in FORM_FIELDS)}) AND NOT "
                       f"(tag = 'input' AND lower(coalesce({attr_sql('type', False)}, '')) = 'image')") \
                .selectExpr("page_id AS n_page", "pos AS n_pos", "sem_no")
-    j = forms.join(fields, (F.col("n_page") == F.col("page_id")) & (F.col("n_pos") > F.col("f_pos"))
-                   & (F.col("n_pos") <= F.col("f_end")), "left")
+    from pagefold.operators.html import span_join
+    inside = span_join(forms, fields, start="f_pos", end="f_end", pos="n_pos", p_page="n_page")
+    j = forms.join(inside.select("page_id", "form_no", "sem_no"), ["page_id", "form_no"], "left")
     g = j.groupBy("page_id", "form_no", "action").agg(F.expr(
         "transform(array_sort(collect_list(CASE WHEN sem_no IS NOT NULL THEN sem_no END)), _s -> concat('obs-', CAST(_s - 1 AS STRING))) AS field_refs"))
     return g.selectExpr("page_id", "form_no", "concat('form-', CAST(form_no AS STRING)) AS ref", "action", "field_refs")
