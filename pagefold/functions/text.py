@@ -30,7 +30,12 @@ NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
 def decode_entities_sql(x: str) -> str:
-    """Decode the fixed named entities and all numeric entities; ``&amp;`` last."""
+    """Decode the fixed named entities and all numeric entities; ``&amp;`` last.
+    Text without ``&`` skips the work."""
+    return let(x, lambda v: f"CASE WHEN instr({v}, '&') > 0 THEN {_decode_all(v)} ELSE {v} END")
+
+
+def _decode_all(x: str) -> str:
     out = x
     for ent, ch in NAMED_ENTITIES:
         out = f"replace({out}, {lit(ent)}, {lit(ch)})"
@@ -59,7 +64,12 @@ def squash_ws_sql(x: str) -> str:
 def normalize_text_sql(x: str) -> str:
     """nbsp -> space, collapse whitespace, trim, then three rounds of the
     three currency rewrites (``€ 4 . 49`` -> ``€4.49``)."""
-    t = squash_ws_sql(x)
+    c = f"[{CURRENCY}]"
+    return let(squash_ws_sql(x), lambda v: f"CASE WHEN {v} RLIKE {lit(c)} THEN {_currency_rounds(v)} ELSE {v} END")
+
+
+def _currency_rounds(t: str) -> str:
+    """The three currency rewrites, three rounds (all need a currency sign)."""
     c = f"[{CURRENCY}]"
     for _ in range(3):
         t = f"regexp_replace({t}, {lit(rf'({c})\s+(\d+)\s*\.\s*(\d{{1,2}})')}, '$1$2.$3')"
