@@ -207,22 +207,33 @@ def network_bodies(bodies: DataFrame, max_bytes: int = NETWORK_BODY_MAX) -> Data
 def console_events(events: DataFrame) -> DataFrame:
     """Console API calls and exceptions -> (level, text, url, line).
 
-    Console input columns: ``console_type``, ``args`` (JSON array of remote
-    objects), ``exception_json`` (JSON of exceptionDetails), ``stack_url``,
-    ``stack_line``."""
+    Reads the CDP ``params`` JSON when the column is present (args,
+    ``stackTrace.callFrames[0]``, ``exceptionDetails``); otherwise the
+    columns ``console_type``, ``args`` (JSON array of remote objects),
+    ``exception_json``, ``stack_url``, ``stack_line``. An argument
+    contributes its string value, else its description, else its JSON
+    value; arguments with none of these are skipped."""
+    c = events.where(f"method IN ('{CONSOLE}', '{EXCEPTION}')")
+    if "params" in events.columns:
+        c = c.selectExpr(
+            "*", "get_json_object(params, '$.type') AS console_type", "get_json_object(params, '$.args') AS args",
+            "get_json_object(params, '$.exceptionDetails') AS exception_json",
+            f"CASE WHEN method = '{EXCEPTION}' THEN get_json_object(params, '$.exceptionDetails.url') "
+            "ELSE get_json_object(params, '$.stackTrace.callFrames[0].url') END AS stack_url",
+            f"CAST(CASE WHEN method = '{EXCEPTION}' THEN get_json_object(params, '$.exceptionDetails.lineNumber') "
+            "ELSE get_json_object(params, '$.stackTrace.callFrames[0].lineNumber') END AS INT) AS stack_line")
     arg_t = "array<struct<type:string,value:string,description:string>>"
     args = f"from_json(args, '{arg_t}')"
-    text = (f"array_join(transform({args}, _x -> coalesce(CASE WHEN _x.type = 'string' THEN _x.value END, "
-            f"_x.description, _x.value, '')), ' ')")
-    level = ("CASE lower(console_type) WHEN 'warning' THEN 'warn' WHEN 'warn' THEN 'warn' WHEN 'error' THEN 'error' "
-             "WHEN 'info' THEN 'info' WHEN 'debug' THEN 'debug' WHEN 'log' THEN 'log' ELSE 'log' END")
+    text = (f"array_join(filter(transform({args}, _x -> coalesce(CASE WHEN _x.type = 'string' THEN _x.value END, "
+            f"_x.description, _x.value)), _t -> _t IS NOT NULL), ' ')")
+    level = ("CASE lower(coalesce(console_type, 'log')) WHEN 'warning' THEN 'warn' WHEN 'warn' THEN 'warn' "
+             "WHEN 'error' THEN 'error' WHEN 'info' THEN 'info' WHEN 'debug' THEN 'debug' ELSE 'log' END")
     ex_text = ("coalesce(get_json_object(exception_json, '$.exception.description'), "
                "get_json_object(exception_json, '$.text'), 'exception')")
-    c = events.where(f"method IN ('{CONSOLE}', '{EXCEPTION}')")
     return c.selectExpr(
         "session_id", "seq", "ts_ms",
         f"CASE WHEN method = '{EXCEPTION}' THEN 'exception' ELSE {level} END AS level",
-        f"CASE WHEN method = '{EXCEPTION}' THEN {ex_text} ELSE {text} END AS text",
+        f"CASE WHEN method = '{EXCEPTION}' THEN {ex_text} ELSE coalesce({text}, '') END AS text",
         "stack_url AS url", "stack_line AS line_number")
 
 

@@ -84,3 +84,15 @@ def test_frames_downloads(spark):
     files = spark.createDataFrame([("d", "/d/a.pdf", 1), ("d", "/d/b.pdf", 5), ("d", "/d/c.crdownload", 9)], "dir string, path string, mtime long")
     before = spark.createDataFrame([("d", "/d/a.pdf")], "dir string, path string")
     assert [r.path for r in E.latest_download(files, before).collect()] == ["/d/b.pdf"]
+
+
+def test_console_from_params(spark):
+    import json
+    rows = [("s", 1, 1, E.CONSOLE, json.dumps({"type": "warning", "args": [{"type": "string", "value": "a"}, {"type": "undefined"},
+                                                                           {"type": "boolean", "value": True}],
+                                               "stackTrace": {"callFrames": [{"url": "https://e.com/app.js", "lineNumber": 7}]}})),
+            ("s", 2, 2, E.EXCEPTION, json.dumps({"exceptionDetails": {"text": "Uncaught", "url": "https://e.com/x.js",
+                                                                      "lineNumber": 3}}))]
+    df = spark.createDataFrame(rows, "session_id string, seq bigint, ts_ms bigint, method string, params string")
+    got = [(r.level, r.text, r.url, r.line_number) for r in E.console_events(df).orderBy("seq").collect()]
+    assert got == [("warn", "a true", "https://e.com/app.js", 7), ("exception", "Uncaught", "https://e.com/x.js", 3)]
