@@ -426,21 +426,28 @@ def shared_flow(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame,
     return ft, ent
 
 
-def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool = True) -> DataFrame:
-    """The markdown document per page: header block, visible content
-    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links
-    (200 listed), actions (100 listed), warnings; ``[``/``]`` escaped,
-    3+ newlines collapsed, cut at 300,000 characters."""
-    ft, ent = shared_flow(pages, materialize)
+def flow_markdown(ent: DataFrame) -> DataFrame:
+    """The "Visible Content" block of T21 per page: headings at level+1
+    (clamped 2..6, brackets escaped), paragraphs, pipe tables; one blank
+    line after each entry."""
     f = flow(ent)
     tabs = _table_md_lines(tables_from_entries(ent))
     f = f.join(tabs.withColumnRenamed("table_pos", "epos"), ["page_id", "epos"], "left")
     level = "least(6, greatest(2, CAST(substring(tag, 2, 1) AS INT) + 1))"
     line = (f"CASE ekind WHEN 'heading' THEN concat(repeat('#', {level}), ' ', {escape_md_sql('text')}, '\\n') "
             f"WHEN 'paragraph' THEN concat(text, '\\n') WHEN 'table' THEN CASE WHEN md IS NOT NULL THEN concat(md, '\\n') END END")
-    body = f.selectExpr("page_id", "epos", f"{line} AS line").groupBy("page_id").agg(F.expr(
+    return f.selectExpr("page_id", "epos", f"{line} AS line").groupBy("page_id").agg(F.expr(
         "array_join(transform(array_sort(collect_list(CASE WHEN line IS NOT NULL THEN named_struct('o', epos, 'l', line) END)), "
         "_x -> _x.l), '\\n') AS flow_md"))
+
+
+def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool = True) -> DataFrame:
+    """The markdown document per page: header block, visible content
+    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links
+    (200 listed), actions (100 listed), warnings; ``[``/``]`` escaped,
+    3+ newlines collapsed, cut at 300,000 characters."""
+    ft, ent = shared_flow(pages, materialize)
+    body = flow_markdown(ent)
     ln = links_from_entries(ent)
     meta = ("array_join(filter(array(kind, CASE WHEN kind = CASE WHEN same_site THEN 'same-site' ELSE 'external' END THEN '' "
             "ELSE CASE WHEN same_site THEN 'same-site' ELSE 'external' END END, "

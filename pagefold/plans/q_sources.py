@@ -82,3 +82,13 @@ def t22(t):
 def t23(t):
     """Iframes resolved and matched to same-origin pages (self join)."""
     return C.inline_frames(_link_pages(t))
+
+
+@register("t21_markdown_flow", f"""WITH {D.tokens_cte()}, {D.flow_cte()},
+_l AS (SELECT page_id, epos, CASE ekind WHEN 'heading' THEN repeat('#', least(6, greatest(2, CAST(substr(tag, 2, 1) AS INTEGER) + 1)))
+  || ' ' || replace(replace(text, '[', '\\['), ']', '\\]') || chr(10) WHEN 'paragraph' THEN text || chr(10) END AS line FROM flow)
+SELECT page_id, string_agg(line, chr(10) ORDER BY epos) AS flow_md FROM _l WHERE line IS NOT NULL GROUP BY page_id""")
+def t21f(t):
+    """Markdown 'Visible Content' block (headings + paragraphs) of every page."""
+    from pagefold.operators.content import content_entries, flow_markdown
+    return flow_markdown(content_entries(t("pages")))
