@@ -55,7 +55,11 @@ def parse_set_cookie(df: DataFrame, line: str = "set_cookie", url: str = "reques
         return f"exists(_attrs, _x -> _x.k = {lit(k)})"
 
     dom = f"nullif(regexp_replace({a('domain')}, '^\\\\.', ''), '')"
-    exp = f"unix_timestamp(try_to_timestamp({a('expires')}, 'EEE, dd MMM yyyy HH:mm:ss zzz'))"
+    # Cookie dates are GMT ("Wed, 21 Oct 2015 07:28:00 GMT", dashes allowed);
+    # the weekday is dropped and the rest parsed in the session zone (UTC).
+    core = (f"regexp_extract(replace({a('expires')}, '-', ' '), "
+            f"'(\\\\d{{1,2}} [A-Za-z]{{3}} \\\\d{{2,4}} \\\\d{{1,2}}:\\\\d{{2}}:\\\\d{{2}})', 1)")
+    exp = f"unix_timestamp(try_to_timestamp(nullif({core}, ''), 'd MMM yyyy H:mm:ss'))"
     if honor_max_age and now is not None:
         exp = f"coalesce(CAST({now} AS BIGINT) + try_cast({a('max-age')} AS BIGINT), {exp})"
     ss = f"CASE lower({a('samesite')}) WHEN 'strict' THEN 'Strict' WHEN 'lax' THEN 'Lax' WHEN 'none' THEN 'None' END"

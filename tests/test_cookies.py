@@ -56,3 +56,12 @@ def test_header_overlay_browser(spark):
                                "id int, cookies_json string")
     got = sorted((r.name, r.host_only, r.path, r.expires_epoch_s) for r in K.cookies_from_browser(ev).collect())
     assert got == [("x", True, "/", None), ("y", False, None, 12)]
+
+
+def test_expires_and_max_age(spark):
+    lines = spark.createDataFrame([("a=1; Expires=Wed, 21 Oct 2015 07:28:00 GMT; Max-Age=60", "https://example.com/", 1)],
+                                  "set_cookie string, request_url string, seq long")
+    jar_view = K.parse_set_cookie(lines).collect()[0]
+    assert jar_view.expires_epoch_s == 1445412480
+    honored = K.parse_set_cookie(lines, honor_max_age=True, now="1000").collect()[0]
+    assert honored.expires_epoch_s == 1060

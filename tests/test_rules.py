@@ -85,3 +85,12 @@ def test_stale_navigation_and_misc(spark):
     assert [r.w for r in w.selectExpr(f"{R.size_warning_sql('t')} AS w").collect()] == ["artifact_empty", "artifact_tiny", None]
     b = R.body_cap(spark.createDataFrame([("abcd",), ("abc",), ("ab",)], "b string"), "b", 3).collect()
     assert [(bytes(r.body_kept), r.truncated) for r in b] == [(b"abc", True), (b"abc", True), (b"ab", False)]
+
+
+def test_resolve_status_and_main_not_observed(spark):
+    df = spark.createDataFrame([(200, 404, "https://a/", "https://a/", True), (None, 304, "https://a/", "about:blank", True),
+                                (None, 0, "https://a/", "https://a/", False)],
+                               "main int, nav int, req string, fin string, dom boolean")
+    got = [(r.s, r.w) for r in df.selectExpr(f"{R.resolve_status_sql('main', 'nav')} AS s",
+                                             f"{R.main_not_observed_sql('req', 'fin', 'dom')} AS w").collect()]
+    assert got == [(200, False), (304, True), (0, True)]
