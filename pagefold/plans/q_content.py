@@ -138,8 +138,9 @@ def t13(t):
 
 @register("t14_link_scope_counts", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()},
 _l AS ({D.links_sql()})
-SELECT page_id, count(*) AS n_links, count_if(same_site) AS n_same_site, count_if(NOT same_site) AS n_external,
-  {", ".join(f"count_if(kind = '{k}') AS kind_{k}" for k in ["login", "signup", "pricing", "docs", "product_detail", "footer", "nav", "unknown", "external"])},
+SELECT page_id, count(*) AS n_links, CAST(count_if(same_site) AS BIGINT) AS n_same_site,
+  CAST(count_if(NOT same_site) AS BIGINT) AS n_external,
+  {", ".join(f"CAST(count_if(kind = '{k}') AS BIGINT) AS kind_{k}" for k in ["login", "signup", "pricing", "docs", "product_detail", "footer", "nav", "unknown", "external"])},
   greatest(count(*) - 200, 0) AS n_omitted
 FROM _l GROUP BY page_id""")
 def t14(t):

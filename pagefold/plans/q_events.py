@@ -128,9 +128,10 @@ def e5(t):
 
 
 @register("e7_network_summary", f"""WITH {ENTRIES_D}
-SELECT session_id, count(*) AS requests_total, count_if(status IS NOT NULL) AS responses_total,
-  count_if(state = 'finished') AS finished_total, count_if(state = 'failed' OR failure IS NOT NULL) AS failed_total,
-  count_if(state IN ('pending', 'responded')) AS inflight_total_at_capture, CAST(0 AS BIGINT) AS captured_body_files, true AS redacted
+SELECT session_id, count(*) AS requests_total, CAST(count_if(status IS NOT NULL) AS BIGINT) AS responses_total,
+  CAST(count_if(state = 'finished') AS BIGINT) AS finished_total,
+  CAST(count_if(state = 'failed' OR failure IS NOT NULL) AS BIGINT) AS failed_total,
+  CAST(count_if(state IN ('pending', 'responded')) AS BIGINT) AS inflight_total_at_capture, CAST(0 AS BIGINT) AS captured_body_files, true AS redacted
 FROM ne GROUP BY session_id""")
 def e7(t):
     """Per-session network totals."""
