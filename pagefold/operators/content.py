@@ -522,3 +522,22 @@ def content_json(pages: DataFrame, materialize: bool = True) -> DataFrame:
                           "coalesce(sections, array()) AS sections", "coalesce(items, array()) AS items",
                           "coalesce(tables, array()) AS tables", "coalesce(links, array()) AS links",
                           "coalesce(actions, array()) AS actions", "coalesce(warnings, array()) AS warnings")
+
+
+def inline_frame_flow(pages: DataFrame) -> DataFrame:
+    """T23 content: for each same-origin iframe whose page is in the table,
+    the frame page's flow (headings, paragraphs) placed under a level-3
+    ``Frame: <src>`` heading at the iframe's position; the parent's section
+    resumes after it. Rows: ``(page_id, iframe_pos, frame_heading, entry_no,
+    kind, level, text)`` with ``entry_no`` 0 the frame heading itself."""
+    ft = flow_tokens(pages)
+    fr = inline_frames(pages, ft).where("inlined")
+    child = flow(content_entries(pages, ft)).where("ekind IN ('heading', 'paragraph')").selectExpr(
+        "page_id AS frame_page_id", "epos", "ekind", "CAST(substring(tag, 2, 1) AS INT) AS level", "text")
+    body = fr.join(child, "frame_page_id").selectExpr(
+        "page_id", "iframe_pos", "frame_heading",
+        "CAST(row_number() OVER (PARTITION BY page_id, iframe_pos ORDER BY epos) AS BIGINT) AS entry_no",
+        "ekind AS kind", "CASE WHEN ekind = 'heading' THEN level END AS level", "text")
+    head = fr.selectExpr("page_id", "iframe_pos", "frame_heading", "CAST(0 AS BIGINT) AS entry_no",
+                         "'heading' AS kind", "3 AS level", "frame_heading AS text")
+    return head.unionByName(body)

@@ -80,8 +80,8 @@ def t22(t):
 
 @register("t23_inline_frames")
 def t23(t):
-    """Iframes resolved and matched to same-origin pages (self join)."""
-    return C.inline_frames(_link_pages(t))
+    """Same-origin frame content (self join on the frame URL) under 'Frame: src' headings."""
+    return C.inline_frame_flow(_link_pages(t))
 
 
 @register("t21_markdown_flow", f"""WITH {D.tokens_cte()}, {D.flow_cte()},

@@ -71,3 +71,14 @@ def test_links_in_headings_and_tables_not_collected(spark):
     p = pages_df(spark, [(1, "https://a.example.com/", html)])
     assert C.links(p).count() == 0
     assert [i.text for i in C.items(p).collect()] == ["This list item is certainly long enough."]
+
+
+def test_inline_frames(spark):
+    parent = '<body><h1>Top</h1><p>before</p><iframe src="/frame-inner.html"></iframe><iframe src="https://other.test/x"></iframe></body>'
+    inner = '<body><h2>Inner</h2><p>inside text</p></body>'
+    p = pages_df(spark, [(1, "http://127.0.0.1:8080/index.html", parent), (2, "http://127.0.0.1:8080/frame-inner.html", inner)])
+    rows = [(r.page_id, r.entry_no, r.kind, r.level, r.text) for r in C.inline_frame_flow(p).orderBy("page_id", "entry_no").collect()]
+    assert rows == [(1, 0, "heading", 3, "Frame: http://127.0.0.1:8080/frame-inner.html"), (1, 1, "heading", 2, "Inner"),
+                    (1, 2, "paragraph", None, "inside text")]
+    w = [(r.page_id, r.code) for r in C.content_warnings(p).collect()]
+    assert w == [(1, "iframe_cross_origin")]
