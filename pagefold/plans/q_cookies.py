@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagefold.operators import cookies as K
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 
 NOW = 1000
@@ -26,8 +27,7 @@ def cookie_obs_select(host: str, last2: str, string: str) -> str:
 
 
 def obs(t):
-    from pagefold.plans.q_rules import _split_select
-    return t("pages").selectExpr(*[x.strip() for x in _split_select(cookie_obs_select(HOST_S, LAST2_S, "STRING"))])
+    return t("pages").selectExpr(*select_items(cookie_obs_select(HOST_S, LAST2_S, "STRING")))
 
 
 OBS_D = f"obs AS (SELECT {cookie_obs_select(HOST_D, LAST2_D, 'VARCHAR')} FROM pages)"

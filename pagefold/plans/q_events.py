@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagefold.functions.redact import ALWAYS_REDACTED, REDACTED_SUFFIXES, redact_headers_sql, redact_userinfo_sql
 from pagefold.operators import events as E
 from pagefold.plans import duck as D
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 
 # --- fixed values: cap_events adapter (FIXTURES 2.1, 2.2) --------------------
@@ -52,13 +53,8 @@ def _duck_select(sel: str) -> str:
     return sel.replace("AS STRING)", "AS VARCHAR)")
 
 
-def _split(sel: str) -> list[str]:
-    from pagefold.plans.q_rules import _split_select
-    return [x.strip() for x in _split_select(sel)]
-
-
 def cap_events(t):
-    return t("events").selectExpr(*_split(cap_events_select(K_SPARK, TS_SPARK)))
+    return t("events").selectExpr(*select_items(cap_events_select(K_SPARK, TS_SPARK)))
 
 
 CE = (f"ce AS (SELECT {_duck_select(cap_events_select(K_DUCK, TS_DUCK))}, NULL::VARCHAR AS protocol, "

@@ -6,6 +6,7 @@ from pagefold import dims
 from pagefold.operators import readiness as R
 from pagefold.operators.events import CACHED, FAILED, FINISHED, RESPONDED, SENT
 from pagefold.plans.q_events import CE, K_DUCK, K_SPARK, TS_DUCK, TS_SPARK, cap_events
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 
 # --- fixed values: adapters (FIXTURES 2.1, 2.5) -----------------------------
@@ -54,8 +55,7 @@ def samples_select(ts: str) -> str:
 
 
 def samples(t):
-    from pagefold.plans.q_rules import _split_select
-    return t("events").selectExpr(*[x.strip() for x in _split_select(samples_select(TS_SPARK))])
+    return t("events").selectExpr(*select_items(samples_select(TS_SPARK)))
 
 
 SAMPLES_D = f"ps AS (SELECT {samples_select(TS_DUCK).replace('AS STRING)', 'AS VARCHAR)').replace(' DIV ', ' // ')} FROM events)"
@@ -99,9 +99,8 @@ def stage_events_select(k: str, ts: str) -> str:
 
 
 def stage_events(t):
-    from pagefold.plans.q_rules import _split_select
     return t("events").where("event_type IN ('view', 'purchase')").selectExpr(
-        *[x.strip() for x in _split_select(stage_events_select(K_SPARK, TS_SPARK))])
+        *select_items(stage_events_select(K_SPARK, TS_SPARK)))
 
 
 SE_D = (f"se AS (SELECT {stage_events_select(K_DUCK, TS_DUCK).replace('AS STRING)', 'AS VARCHAR)')} FROM events "

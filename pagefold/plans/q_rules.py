@@ -11,6 +11,7 @@ from pagefold.operators.content import page_title_sql
 from pagefold.operators.rules import (CHALLENGE_MARKERS, CHECKING_PHRASES, CLOUDFLARE_MARKERS, DENIED_PHRASES,
                                       DNS_PHRASES, TLS_PHRASES)
 from pagefold.plans import duck as D
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 
 # --- fixed values: page_variants adapter (FIXTURES 2.3) ---------------------
@@ -47,23 +48,7 @@ VARIANTS_SELECT = f"""page_id, url,
 
 
 def _variants(t):
-    return t("pages").selectExpr(*[x.strip() for x in _split_select(VARIANTS_SELECT)])
-
-
-def _split_select(sel: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for ch in sel:
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        if ch == "," and depth == 0 and cur.count("'") % 2 == 0:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    out.append(cur)
-    return out
+    return t("pages").selectExpr(*select_items(VARIANTS_SELECT))
 
 
 PV = f"pv AS (SELECT {VARIANTS_SELECT} FROM pages)"

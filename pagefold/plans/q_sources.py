@@ -8,6 +8,7 @@ from pagefold.operators import content as C
 from pagefold.operators.assemble import assemble_results
 from pagefold.plans import duck as D
 from pagefold.plans.q_content import LINK_PAGES_CTE, _link_pages
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 from pagefold.sources import io as S
 
@@ -33,16 +34,14 @@ SELECT request_id, artifact, filename AS expected_filename,
 FROM r, a""")
 def s6(t):
     """Per acquisition x default artifact: expected file name and presence."""
-    from pagefold.plans.q_rules import _split_select
-    r = t("pages").selectExpr(*[x.strip() for x in _split_select(RESULTS_SELECT.format(s="STRING"))])
+    r = t("pages").selectExpr(*select_items(RESULTS_SELECT.format(s="STRING")))
     return S.artifact_manifest(r)
 
 
 @register("s4_results_jsonl")
 def s4(t):
     """Result rows as sorted-key JSON envelopes (code 'fetch'; a payload with another code is nested)."""
-    from pagefold.plans.q_rules import _split_select
-    r = t("pages").selectExpr(*[x.strip() for x in _split_select(RESULTS_SELECT.format(s="STRING"))],
+    r = t("pages").selectExpr(*select_items(RESULTS_SELECT.format(s="STRING")),
                               "CASE WHEN page_id % 4 = 0 THEN 'other' END AS code")
     return S.envelope_json(r, "fetch")
 

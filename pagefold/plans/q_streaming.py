@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pagefold.plans import q_cookies as QK
 from pagefold.plans import q_events as QE
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import REGISTRY, register
 from pagefold.operators.events import CONSOLE as E_CONSOLE, EXCEPTION as E_EXCEPTION
 from pagefold.streaming import streams as S
@@ -22,9 +23,8 @@ def _stream(spark, sf_dir, table):
 
 
 def _cap_stream(spark, sf_dir):
-    from pagefold.plans.q_rules import _split_select
     ev = _stream(spark, sf_dir, "events")
-    cols = [x.strip() for x in _split_select(QE.cap_events_select(QE.K_SPARK, QE.TS_SPARK))]
+    cols = select_items(QE.cap_events_select(QE.K_SPARK, QE.TS_SPARK))
     return ev.selectExpr(*cols, "CAST(ts AS TIMESTAMP) AS event_time")
 
 
@@ -62,10 +62,9 @@ def w2(spark, sf_dir):
 
 def w4(spark, sf_dir):
     """Streaming cookie jar (per-batch K2 appended, K2 over the log) == K2."""
-    from pagefold.plans.q_rules import _split_select
     sink, ckpt = S.scratch_path(spark, "w4-sink"), S.scratch_path(spark, "w4-ckpt")
     pages = _stream(spark, sf_dir, "pages")
-    obs = pages.selectExpr(*[x.strip() for x in _split_select(QK.cookie_obs_select(QK.HOST_S, QK.LAST2_S, "STRING"))])
+    obs = pages.selectExpr(*select_items(QK.cookie_obs_select(QK.HOST_S, QK.LAST2_S, "STRING")))
     _run(S.stream_cookie_jar(obs, sink, ckpt))
     return S.cookie_jar_from_log(spark, sink)
 
