@@ -136,11 +136,15 @@ def stage_spans(stage_events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> Dat
     return ends.unionByName(open_)
 
 
-def stage_stats(spans: DataFrame) -> DataFrame:
-    """Count, total and median duration per (stage, status)."""
+def stage_stats(spans: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """Count, total and median duration per (stage, status).
+
+    ``exact`` keeps one count per distinct duration in each group (bounded by
+    the distinct values, merged map-side); ``exact=False`` uses the bounded
+    ``percentile_approx`` sketch for groups with very many distinct values."""
+    p50 = "percentile(duration_ms, 0.5)" if exact else f"CAST(percentile_approx(duration_ms, 0.5, {int(accuracy)}) AS DOUBLE)"
     return spans.groupBy("stage", "status").agg(
-        F.expr("count(*) AS n"), F.expr("CAST(sum(duration_ms) AS BIGINT) AS total_ms"),
-        F.expr("percentile(duration_ms, 0.5) AS p50_ms"))
+        F.expr("count(*) AS n"), F.expr("CAST(sum(duration_ms) AS BIGINT) AS total_ms"), F.expr(f"{p50} AS p50_ms"))
 
 
 def retry_outcome(attempts: DataFrame, retries: int = RETRIES, backoff_ms: int = BACKOFF_MS,
