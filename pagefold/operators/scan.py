@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.plans.sizing import maybe_broadcast
+
 DEFAULT_WIDTH = 1 << 20
 
 
@@ -76,7 +78,8 @@ def multi(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str
     d = d.selectExpr("*", *within)
     ch = d.groupBy(*keys, "_chunk").agg(*[F.expr(a) for a in aggs])
     ch = ch.selectExpr(*keys, "_chunk", *carries)
-    j = d.join(ch, keys + ["_chunk"])
+    # one row per (key, chunk): broadcast when its estimated size allows
+    j = d.join(maybe_broadcast(ch), keys + ["_chunk"])
     return j.selectExpr(*df.columns, *outs)
 
 
@@ -112,6 +115,6 @@ def running_sum_min(df: DataFrame, keys: list[str], order: str, value: str, out_
                               f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _csum")
     tot = tot.selectExpr(*keys, "_chunk", "_csum", f"min(_csum + _cmin) OVER (PARTITION BY {k} ORDER BY _chunk "
                                                    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _cmin_before")
-    j = d.join(tot, keys + ["_chunk"])
+    j = d.join(maybe_broadcast(tot), keys + ["_chunk"])
     return j.selectExpr(*df.columns, f"_csum + _s AS {out_sum}",
                         f"CASE WHEN _cmin_before IS NULL THEN _csum + _m ELSE least(_cmin_before, _csum + _m) END AS {out_min}")
