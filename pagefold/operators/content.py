@@ -68,7 +68,11 @@ def flow_tokens(pages: DataFrame) -> DataFrame:
                 f"OR (kind = 'open' AND tag IN ('br', 'table', 'iframe')) "
                 f"OR (kind = 'open' AND tag IN ({HEADINGS}) AND coalesce(heading_nonblank, false)))")
     et = et.selectExpr("*", f"{boundary} AS boundary")
-    return et.selectExpr("*", f"coalesce(last(CASE WHEN boundary THEN pos END, true) OVER {RUN}, -1) AS block_key")
+    # Outermost enclosing card candidate (a nested candidate's text is part of
+    # its parent's, so only top-level candidates can be accepted cards).
+    return et.selectExpr("*", f"coalesce(last(CASE WHEN boundary THEN pos END, true) OVER {RUN}, -1) AS block_key",
+                         f"CASE WHEN in_cand > 0 THEN last(CASE WHEN kind = 'open' AND in_cand = 1 AND cand_pos = pos "
+                         f"THEN pos END, true) OVER {RUN} END AS item_key")
 
 
 def _memberships_sql() -> str:
@@ -87,6 +91,7 @@ def _memberships_sql() -> str:
         m("cell", "cell_pos", f"in_cell > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag IN ('td', 'th')))"),
         m("caption", "caption_pos", f"in_caption > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag = 'caption'))"),
         m("table", "pos", "kind = 'open' AND tag = 'table' AND walked"),
+        m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"),
     ]) + "))"
 
 
@@ -112,12 +117,16 @@ def content_entries(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame
             f"max(CASE WHEN {owner} THEN table_pos END) AS table_pos",
             f"max(CASE WHEN {owner} THEN tr_pos END) AS tr_pos",
             "collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _pieces",
+            "collect_list(CASE WHEN ekind = 'item' AND in_heading > 0 AND piece IS NOT NULL "
+            "THEN named_struct('pos', pos, 'piece', piece, 'h', heading_pos) END) AS _hp",
         ]])
     ent = ent.selectExpr(
         "page_id", "url", "ekind", "ekey",
         "CASE WHEN ekind = 'paragraph' THEN _ppos ELSE ekey END AS epos",
         "tag", "attrs", "coalesce(_walked = 1, ekind = 'paragraph') AS walked",
-        "in_nav", "in_footer", "table_pos", "tr_pos", f"{join_pieces_sql('_pieces')} AS text")
+        "in_nav", "in_footer", "table_pos", "tr_pos", f"{join_pieces_sql('_pieces')} AS text",
+        f"CASE WHEN ekind = 'item' AND size(_hp) > 0 THEN {join_pieces_sql('filter(_hp, _y -> _y.h = array_min(transform(_hp, _z -> _z.h)))')} "
+        "END AS item_heading")
     # Owner rows are required except for paragraphs (keyed by block).
     ent = ent.where("ekind = 'paragraph' OR tag IS NOT NULL")
     is_head = "(ekind = 'heading' AND walked AND text != '')"
@@ -314,43 +323,27 @@ def page_title(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("page_id", f"{page_title_sql()} AS title")
 
 
-def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None) -> DataFrame:
+def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None,
+          _entries: DataFrame | None = None) -> DataFrame:
     """Outermost card-like elements with >= 20 characters of text.
 
-    Span text comes from a range join keyed by ``page_id`` (co-partitioned:
-    no shuffle); nested candidates are resolved with a per-page running max
-    of accepted span ends.
+    A nested candidate's text is part of its parent's, so the accepted
+    (outermost, >= 20 characters) cards are the top-level candidates that
+    reach 20 characters. Each token feeds the entry of its outermost
+    enclosing candidate, so a card is one more entry kind: no span join.
+    Title = text of the first heading inside (cut 200), else the first
+    sentence; dedupe on (title, text); at most ``cap``.
     """
-    from pyspark.sql import functions as F
-    ft = _ft if _ft is not None else flow_tokens(pages)
-    sig = (f"concat_ws(' ', coalesce({attr_sql('id', False)}, ''), coalesce({attr_sql('class', False)}, ''), "
-           f"coalesce({attr_sql('role', False)}, ''))")
-    from pagefold.operators.html import span_join
-    cand = ft.where(f"kind = 'open' AND walked AND tag NOT IN ('body', 'main') AND "
-                    f"(tag IN ('article', 'li') OR {sig} RLIKE {lit(ITEM_SIGNATURE)})") \
-             .selectExpr("page_id", "pos AS start", "end")
-    pieces = ft.where("piece IS NOT NULL").selectExpr("page_id AS p_page", "pos", "piece", "in_heading", "heading_pos")
-    j = span_join(cand, pieces, pos="pos").drop("p_page")
-    agg = j.groupBy("page_id", "start", "end").agg(
-        F.expr("collect_list(named_struct('pos', pos, 'piece', piece)) AS _all"),
-        F.expr("min(CASE WHEN in_heading > 0 THEN heading_pos END) AS hpos"))
-    htext = j.where("in_heading > 0").groupBy("page_id", "start", F.col("heading_pos").alias("hpos")).agg(
-        F.expr("collect_list(named_struct('pos', pos, 'piece', piece)) AS _h"))
-    agg = agg.join(htext, ["page_id", "start", "hpos"], "left")
-    agg = agg.selectExpr("page_id", "start", "end", f"{truncate_sql(join_pieces_sql('_all'), ITEM_TEXT_CUT)} AS text",
-                         f"CASE WHEN _h IS NOT NULL THEN {truncate_sql(join_pieces_sql('_h'), ITEM_HEADING_CUT)} END AS htext") \
-             .where(f"length(text) >= {ITEM_MIN_TEXT}")
-    # Outermost accepted: no accepted span started earlier and ends at/after us.
-    agg = agg.selectExpr("*", "max(end) OVER (PARTITION BY page_id ORDER BY start "
-                              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _max_end") \
-             .where("_max_end IS NULL OR _max_end < start")
-    agg = agg.selectExpr("*", f"coalesce({nonempty('htext')}, {first_line_sql('text')}) AS title")
-    agg = agg.selectExpr("*", "row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn").where("_rn = 1")
-    agg = agg.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS item_no") \
-             .where(f"item_no < {int(cap)}")
-    return agg.selectExpr("page_id", "item_no", "'card' AS kind", f"{truncate_sql('title', ITEM_TITLE_CUT)} AS title",
-                          "text", "start", "end")
-
+    ent = _entries if _entries is not None else content_entries(pages, _ft)
+    it = ent.where("ekind = 'item' AND walked").selectExpr(
+        "page_id", "epos AS start", f"{truncate_sql('text', ITEM_TEXT_CUT)} AS text", "item_heading")
+    it = it.where(f"length(text) >= {ITEM_MIN_TEXT}")
+    it = it.selectExpr("*", f"coalesce({nonempty(truncate_sql('item_heading', ITEM_HEADING_CUT))}, {first_line_sql('text')}) AS title")
+    it = it.selectExpr("*", "row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn").where("_rn = 1")
+    it = it.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS item_no") \
+           .where(f"item_no < {int(cap)}")
+    return it.selectExpr("page_id", "item_no", "'card' AS kind", f"{truncate_sql('title', ITEM_TITLE_CUT)} AS title",
+                         "text", "start")
 
 def escape_md_sql(x: str) -> str:
     return f"replace(replace({x}, '[', '\\\\['), ']', '\\\\]')"
@@ -508,7 +501,7 @@ def content_json(pages: DataFrame, materialize: bool = True) -> DataFrame:
         .groupBy("page_id").agg(F.expr(
             "transform(array_sort(collect_list(named_struct('o', table_no, 'caption', caption, 'rows', rows, 'source_section', source_section))), "
             "_x -> named_struct('caption', _x.caption, 'rows', _x.rows, 'source_section', _x.source_section)) AS tables"))
-    it = items(pages, _ft=ft).groupBy("page_id").agg(F.expr(
+    it = items(pages, _entries=ent).groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text)))), "
         "_x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text)) AS items"))
     wr = content_warnings(pages, ent, ft).groupBy("page_id").agg(F.expr(

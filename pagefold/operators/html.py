@@ -132,7 +132,17 @@ def is_action_element_sql() -> str:
 
 # Element kinds whose coverage ("inside an X") we track for every token.
 COVER_KINDS = ["hidden", "heading", "table", "iframe", "a", "nav", "footer",
-               "tr", "cell", "caption", "action", "label", "form"]
+               "tr", "cell", "caption", "action", "label", "form", "cand"]
+# --- fixed values: card candidates (T16) -----------------------------------
+ITEM_SIGNATURE = r"(?i)card|product|plan|pricing|package|server|tile|box"
+# --- end fixed values -------------------------------------------------------
+
+
+def is_card_candidate_sql() -> str:
+    """``article``, ``li`` or id/class/role matching the card signature; not body/main."""
+    sig = (f"concat_ws(' ', coalesce({attr_sql('id', False)}, ''), coalesce({attr_sql('class', False)}, ''), "
+           f"coalesce({attr_sql('role', False)}, ''))")
+    return f"(tag NOT IN ('body', 'main') AND (tag IN ('article', 'li') OR {sig} RLIKE {lit(ITEM_SIGNATURE)}))"
 
 
 def _cover_conds() -> dict[str, str]:
@@ -150,6 +160,7 @@ def _cover_conds() -> dict[str, str]:
         "action": is_action_element_sql(),
         "label": "tag = 'label'",
         "form": "tag = 'form'",
+        "cand": is_card_candidate_sql(),
     }
 
 

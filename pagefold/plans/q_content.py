@@ -170,11 +170,11 @@ _u AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE {D.trun
 _d AS (SELECT *, row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn FROM _u),
 _n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS item_no FROM _d WHERE _rn = 1)
 SELECT page_id, CAST(item_no AS BIGINT) AS item_no, 'card' AS kind, {D.trunc('title', 160)} AS title, text,
-       CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM _n WHERE item_no < 300""")
+       CAST(start AS BIGINT) AS start FROM _n WHERE item_no < 300""")
 def t16(t):
     """Card items (article / li / card-like), outermost accepted only."""
     return C.items(_link_pages(t)).selectExpr("page_id", "item_no", "kind", "title", "text",
-                                              "CAST(start AS BIGINT) AS start", "CAST(`end` AS BIGINT) AS `end`")
+                                              "CAST(start AS BIGINT) AS start")
 
 
 @register("t17_first_line", f"""
