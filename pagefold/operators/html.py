@@ -52,15 +52,34 @@ def by_page(pages: DataFrame, num_partitions: int | None = None) -> DataFrame:
     and the repartition is then free of a shuffle.
     """
     if not num_partitions:
-        # An explicit count keeps AQE from coalescing this exchange into a
-        # handful of partitions: the stage after it is CPU-bound (regex
-        # tokenizing), not I/O-bound, so it needs every core.
-        spark = pages.sparkSession
-        conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        num_partitions = max(conf, 2 * spark.sparkContext.defaultParallelism)
+        num_partitions = page_partitions(pages)
     return pages.repartition(num_partitions, "page_id")
 
 
+def page_partitions(pages: DataFrame) -> int:
+    """Partition count for the page exchange.
+
+    An explicit count keeps AQE from coalescing this exchange into a handful
+    of partitions: the stage after it is CPU-bound (regex tokenizing and
+    per-page windows), so it needs every core. It is at least the shuffle
+    partition setting and twice the cores, and grows with the input so
+    each task gets about one scan split of pages
+    (``spark.sql.files.maxPartitionBytes`` of the estimated input, taken
+    from the optimizer's statistics without running a job).
+    """
+    from pagefold.plans.sizing import estimated_bytes
+    spark = pages.sparkSession
+    conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    split = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).lower().rstrip("b")
+    try:
+        split_bytes = int(split)
+    except ValueError:
+        split_bytes = 128 * 1024 * 1024
+    est = estimated_bytes(pages) or 0
+    by_size = -(-est // max(split_bytes, 1))
+    return int(max(conf, 2 * spark.sparkContext.defaultParallelism, by_size))
+
+
 def strip_raw_sql(html: str) -> str:
     """Comments and raw-text elements (script, style, ...) removed."""
     return f"regexp_replace({html}, {lit(STRIP_RE)}, '')"
