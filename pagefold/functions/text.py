@@ -24,6 +24,12 @@ NAMED_ENTITIES = [
 # Whitespace as JavaScript's \s sees it (the reference normalizes in JS).
 JS_SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 CURRENCY = "€$£¥"
+# Currency rewrites (pattern, replacement), applied in order, three rounds.
+CURRENCY_RULES = [
+    (r"([€$£¥])\s+(\d+)\s*\.\s*(\d{1,2})", "$1$2.$3"),
+    (r"(\d+)\s*\.\s*(\d{1,2})\s+([€$£¥])", "$1.$2$3"),
+    (r"(?i)(\d+)\s+(\d{2})\s*([€$£¥])\s*/\s*(month|mo\.?|monthly)", "$3$1.$2 / $4"),
+]
 # --- end fixed values -------------------------------------------------------
 
 NUMERIC_ENTITY = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
@@ -70,12 +76,9 @@ def normalize_text_sql(x: str) -> str:
 
 def _currency_rounds(t: str) -> str:
     """The three currency rewrites, three rounds (all need a currency sign)."""
-    c = f"[{CURRENCY}]"
     for _ in range(3):
-        t = f"regexp_replace({t}, {lit(rf'({c})\s+(\d+)\s*\.\s*(\d{{1,2}})')}, '$1$2.$3')"
-        t = f"regexp_replace({t}, {lit(rf'(\d+)\s*\.\s*(\d{{1,2}})\s+({c})')}, '$1.$2$3')"
-        t = (f"regexp_replace({t}, {lit(rf'(?i)(\d+)\s+(\d{{2}})\s*({c})\s*/\s*(month|mo\.?|monthly)')}, "
-             f"'$3$1.$2 / $4')")
+        for pat, rep in CURRENCY_RULES:
+            t = f"regexp_replace({t}, {lit(pat)}, {lit(rep)})"
     return t
 
 

@@ -38,7 +38,6 @@ ITEM_HEADING_CUT = 200
 MARKDOWN_LINKS = 200
 MARKDOWN_ACTIONS = 100
 MARKDOWN_CUT = 300000
-ITEM_SIGNATURE = r"(?i)card|product|plan|pricing|package|server|tile|box"
 LINK_KINDS = [  # first match wins, on lower(text + ' ' + absolute_url)
     ("login", r"login|log in|sign in|signin|account"),
     ("signup", r"signup|sign up|register|create account"),

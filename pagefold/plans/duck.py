@@ -6,7 +6,9 @@ computed by a different engine from the same definitions.
 
 from __future__ import annotations
 
-from pagefold.functions.text import CURRENCY, JS_SPACE, NAMED_ENTITIES, NUMERIC_ENTITY
+import re
+
+from pagefold.functions.text import CURRENCY_RULES, JS_SPACE, NAMED_ENTITIES, NUMERIC_ENTITY
 from pagefold.operators.html import BLOCK_TAGS, HEADING_TAGS, RAW_TEXT_TAGS, VOID_TAGS
 
 
@@ -43,14 +45,16 @@ def squash(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, {q(JS_SPACE)}, ' ', 'g'), '^ | $', '', 'g')"
 
 
+def _duck_replacement(rep: str) -> str:
+    """Java ``$n`` group references -> RE2 ``\\n``."""
+    return re.sub(r"[$]([0-9])", lambda m: "\\" + m.group(1), rep)
+
+
 def norm(x: str) -> str:
     t = squash(x)
-    c = f"[{CURRENCY}]"
     for _ in range(3):
-        t = f"regexp_replace({t}, {q(rf'({c})\s+(\d+)\s*\.\s*(\d{{1,2}})')}, '\\1\\2.\\3', 'g')"
-        t = f"regexp_replace({t}, {q(rf'(\d+)\s*\.\s*(\d{{1,2}})\s+({c})')}, '\\1.\\2\\3', 'g')"
-        t = (f"regexp_replace({t}, {q(rf'(?i)(\d+)\s+(\d{{2}})\s*({c})\s*/\s*(month|mo\.?|monthly)')}, "
-             f"'\\3\\1.\\2 / \\4', 'g')")
+        for pat, rep in CURRENCY_RULES:
+            t = f"regexp_replace({t}, {q(pat)}, {q(_duck_replacement(rep))}, 'g')"
     return t
 
 
