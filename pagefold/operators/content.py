@@ -74,7 +74,7 @@ def flow_tokens(pages: DataFrame) -> DataFrame:
                          f"THEN pos END, true) OVER {RUN} END AS item_key")
 
 
-def _memberships_sql() -> str:
+def _memberships_sql(with_items: bool = False) -> str:
     """Array of (ekind, ekey) a token contributes to."""
     piece = "piece IS NOT NULL"
     plain = "in_heading = 0 AND in_table = 0 AND in_iframe = 0"
@@ -90,18 +90,18 @@ def _memberships_sql() -> str:
         m("cell", "cell_pos", f"in_cell > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag IN ('td', 'th')))"),
         m("caption", "caption_pos", f"in_caption > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag = 'caption'))"),
         m("table", "pos", "kind = 'open' AND tag = 'table' AND walked"),
-        m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"),
-    ]) + "))"
+    ] + ([m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))")]
+         if with_items else [])) + "))"
 
 
-def content_entries(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
+def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items: bool = False) -> DataFrame:
     """All content entries of all pages, one row each, with section context.
 
     Columns: page_id, url, ekind, ekey, epos, tag, attrs, walked, in_nav,
     in_footer, table_pos, tr_pos, text, section_no, section_heading.
     """
     ft = _ft if _ft is not None else flow_tokens(pages)
-    ex = ft.selectExpr("*", f"explode({_memberships_sql()}) AS _m").selectExpr(
+    ex = ft.selectExpr("*", f"explode({_memberships_sql(with_items)}) AS _m").selectExpr(
         "*", "_m.ekind AS ekind", "_m.ekey AS ekey")
     owner = "kind = 'open' AND pos = ekey"
     ent = ex.groupBy("page_id", "ekind", "ekey").agg(
@@ -333,7 +333,7 @@ def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None,
     Title = text of the first heading inside (cut 200), else the first
     sentence; dedupe on (title, text); at most ``cap``.
     """
-    ent = _entries if _entries is not None else content_entries(pages, _ft)
+    ent = _entries if _entries is not None else content_entries(pages, _ft, with_items=True)
     it = ent.where("ekind = 'item' AND walked").selectExpr(
         "page_id", "epos AS start", f"{truncate_sql('text', ITEM_TEXT_CUT)} AS text", "item_heading")
     it = it.where(f"length(text) >= {ITEM_MIN_TEXT}")
@@ -412,7 +412,7 @@ def shared_flow(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame,
     ft = flow_tokens(pages)
     if materialize:
         ft = cut_lineage(ft)
-    ent = content_entries(pages, ft)
+    ent = content_entries(pages, ft, with_items=True)
     if materialize:
         ent = cut_lineage(ent)
     return ft, ent
