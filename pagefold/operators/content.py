@@ -48,6 +48,8 @@ LINK_KINDS = [  # first match wins, on lower(text + ' ' + absolute_url)
 # --- end fixed values -------------------------------------------------------
 
 HEADINGS = sql_list(HEADING_TAGS)
+# Entry kinds link operators need: links, plus headings for section numbers.
+LINK_KINDS_NEEDED = ("link", "heading")
 
 
 def flow_tokens(pages: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def flow_tokens(pages: DataFrame) -> DataFrame:
                          f"THEN pos END, true) OVER {RUN} END AS item_key")
 
 
-def _memberships_sql(with_items: bool = False) -> str:
+def _memberships_sql(with_items: bool = False, kinds=None) -> str:
     """Array of (ekind, ekey) a token contributes to."""
     piece = "piece IS NOT NULL"
     plain = "in_heading = 0 AND in_table = 0 AND in_iframe = 0"
@@ -82,26 +84,28 @@ def _memberships_sql(with_items: bool = False) -> str:
     def m(kind, key, cond):
         return f"CASE WHEN {cond} THEN named_struct('ekind', {lit(kind)}, 'ekey', CAST({key} AS BIGINT)) END"
 
-    return "array_compact(array(" + ", ".join([
-        m("paragraph", "block_key", f"walked AND {plain} AND {piece}"),
-        m("heading", "heading_pos", f"in_heading > 0 AND ({piece} OR (kind = 'open' AND tag IN ({HEADINGS})))"),
-        m("link", "a_pos", f"in_a > 0 AND ({piece} OR (kind = 'open' AND tag = 'a'))"),
-        m("action", "action_pos", f"in_action > 0 AND ({piece} OR (kind = 'open' AND pos = action_pos))"),
-        m("cell", "cell_pos", f"in_cell > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag IN ('td', 'th')))"),
-        m("caption", "caption_pos", f"in_caption > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag = 'caption'))"),
-        m("table", "pos", "kind = 'open' AND tag = 'table' AND walked"),
-    ] + ([m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))")]
-         if with_items else [])) + "))"
-
-
-def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items: bool = False) -> DataFrame:
+    want = (lambda k: True) if kinds is None else (lambda k: k in kinds)
+    return "array_compact(array(" + ", ".join([x for k, x in [
+        ("paragraph", m("paragraph", "block_key", f"walked AND {plain} AND {piece}")),
+        ("heading", m("heading", "heading_pos", f"in_heading > 0 AND ({piece} OR (kind = 'open' AND tag IN ({HEADINGS})))")),
+        ("link", m("link", "a_pos", f"in_a > 0 AND ({piece} OR (kind = 'open' AND tag = 'a'))")),
+        ("action", m("action", "action_pos", f"in_action > 0 AND ({piece} OR (kind = 'open' AND pos = action_pos))")),
+        ("cell", m("cell", "cell_pos", f"in_cell > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag IN ('td', 'th')))")),
+        ("caption", m("caption", "caption_pos", f"in_caption > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag = 'caption'))")),
+        ("table", m("table", "pos", "kind = 'open' AND tag = 'table' AND walked")),
+    ] + ([("item", m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"))]
+         if with_items else []) if want(k)]) + "))"
+
+
+def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items: bool = False,
+                    kinds: tuple[str, ...] | None = None) -> DataFrame:
     """All content entries of all pages, one row each, with section context.
 
     Columns: page_id, url, ekind, ekey, epos, tag, attrs, walked, in_nav,
     in_footer, table_pos, tr_pos, text, section_no, section_heading.
     """
     ft = _ft if _ft is not None else flow_tokens(pages)
-    ex = ft.selectExpr("*", f"explode({_memberships_sql(with_items)}) AS _m").selectExpr(
+    ex = ft.selectExpr("*", f"explode({_memberships_sql(with_items, kinds)}) AS _m").selectExpr(
         "*", "_m.ekind AS ekind", "_m.ekey AS ekey")
     owner = "kind = 'open' AND pos = ekey"
     ent = ex.groupBy("page_id", "ekind", "ekey").agg(
@@ -228,12 +232,12 @@ def links_from_entries(ent: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
 
 def links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
     """Page links, first of each (absolute_url, text), at most ``cap``."""
-    return links_from_entries(content_entries(pages), cap).drop("epos")
+    return links_from_entries(content_entries(pages, kinds=LINK_KINDS_NEEDED), cap).drop("epos")
 
 
 def section_links(pages: DataFrame) -> DataFrame:
     """Distinct (absolute_url, text) per section, first occurrence."""
-    l = link_rows(content_entries(pages))
+    l = link_rows(content_entries(pages, kinds=LINK_KINDS_NEEDED))
     l = l.selectExpr("*", "row_number() OVER (PARTITION BY page_id, section_no, absolute_url, link_text "
                           "ORDER BY epos) AS _rn").where("_rn = 1")
     return l.selectExpr("page_id", "CAST(section_no AS BIGINT) AS section_no", "epos",
@@ -271,7 +275,7 @@ def actions_from_entries(ent: DataFrame, cap: int = MAX_ACTIONS) -> DataFrame:
 
 def actions(pages: DataFrame, cap: int = MAX_ACTIONS) -> DataFrame:
     """Buttons and button-like inputs with text; dedupe (kind, text, url)."""
-    return actions_from_entries(content_entries(pages), cap).drop("epos")
+    return actions_from_entries(content_entries(pages, kinds=("action", "heading")), cap).drop("epos")
 
 
 def tables_from_entries(ent: DataFrame) -> DataFrame:
@@ -298,7 +302,7 @@ def tables_from_entries(ent: DataFrame) -> DataFrame:
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """``(page_id, table_no, row_no, cells[])`` plus caption."""
-    return tables_from_entries(content_entries(pages)).drop("table_pos")
+    return tables_from_entries(content_entries(pages, kinds=("table", "cell", "caption", "heading"))).drop("table_pos")
 
 
 def visible_text(pages: DataFrame, cut: int = MAX_TEXT_CHARS) -> DataFrame:
