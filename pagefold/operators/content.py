@@ -537,3 +537,11 @@ def inline_frame_flow(pages: DataFrame) -> DataFrame:
     head = fr.selectExpr("page_id", "iframe_pos", "frame_heading", "CAST(0 AS BIGINT) AS entry_no",
                          "'heading' AS kind", "3 AS level", "frame_heading AS text")
     return head.unionByName(body)
+
+
+def first_heading(pages: DataFrame, cut: int = ITEM_HEADING_CUT) -> DataFrame:
+    """The first visible heading with text in each page (headings in
+    tables count; hidden ones do not), cut at ``cut`` characters."""
+    ent = content_entries(pages, kinds=("heading",))
+    h = ent.where("ekind = 'heading' AND text != ''")
+    return h.groupBy("page_id").agg(F.expr(f"min_by({truncate_sql('text', cut)}, epos) AS first_heading"))

@@ -246,3 +246,11 @@ def t19(t):
     """Table rows of link_pages (cells joined by ' | '), ragged rows kept."""
     return C.table_cells(_link_pages(t)).selectExpr("page_id", "table_no", "row_no", "array_join(cells, ' | ') AS cells",
                                                     "caption", "source_section")
+
+
+@register("t18_first_heading", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()}
+SELECT page_id, arg_min({D.trunc('text', 200)}, epos) AS first_heading FROM ent
+WHERE ekind = 'heading' AND text != '' GROUP BY page_id""")
+def t18(t):
+    """First visible non-empty heading of every link_pages page."""
+    return C.first_heading(_link_pages(t))
