@@ -82,3 +82,17 @@ def test_inline_frames(spark):
                     (1, 2, "paragraph", None, "inside text")]
     w = [(r.page_id, r.code) for r in C.content_warnings(p).collect()]
     assert w == [(1, "iframe_cross_origin")]
+
+
+def test_content_json_document(spark):
+    p = pages_df(spark, [(1, URL, CONTENT_HTML)])
+    doc = C.content_json(p).collect()[0]
+    assert doc.schema_version == 1 and doc.page.title == "Content Fixture"
+    assert [(s.heading, s.level) for s in doc.sections][:2] == [("Plans", 1), ("Starter VPS", 2)]
+    assert any("€4.49" in t for s in doc.sections for t in s.text)
+    assert {l.text for l in doc.links} >= {"Explore this plan", "Partner", "Pricing details anchor", "Pricing"}
+    # the pricing <section> is itself a card candidate, so it is the one
+    # (outermost) card and the two articles inside it are not separate cards
+    assert [i.title for i in doc.items] == ["Starter VPS"] and "Storage VPS" in doc.items[0].text[0]
+    assert [list(r) for r in doc.tables[0].rows] == [["Plan", "RAM"], ["Starter VPS", "4 GB"]]
+    assert [w.code for w in doc.warnings] == ["iframe_unavailable"]
