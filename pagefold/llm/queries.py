@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import neardup
+from pagefold.llm import bpe, fingerprints, mixing, neardup, quality, sharding, topk
 from pagefold.session import ensure_session_defaults, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,54 @@ FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+TOP_ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op2_no_random_access_topk", TOP_ORACLE)
+def op2(spark, t):
+    """Five best inner products of every vector whose vec_id is divisible by 50."""
+    return topk.top_k(topk.integer_vectors(t("embeddings")), "vec_id % 50 = 0", 5)
+
+
+@query("op4_minhash_fingerprints")
+def op4(spark, t):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(t("documents"))
+
+
+@query("op5_nbsvm_quality")
+def op5(spark, t):
+    """Quality score of every document."""
+    return quality.score_documents(t("documents"), t("labels"))
+
+
+@query("op6_pivotal_mixing")
+def op6(spark, t):
+    """Words that the mixture takes of every document."""
+    return mixing.mix(t("documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("op7_kd_sharding")
+def op7(spark, t):
+    """Shard and slot of every document, 16 shards of near-equal bytes."""
+    return sharding.kd_shards(t("documents"), shards=16)
+
+
+@query("op9_byte_bpe")
+def op9(spark, t):
+    """Token counts and digests of every document's encoding and decoding."""
+    return bpe.encoding_digests(t("documents"))
+
+
 @query("op10_minhash_odd_sketch", NEAR_ORACLE)
 def op10(spark, t):
     """Near-duplicate components of all documents."""
