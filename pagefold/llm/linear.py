@@ -10,20 +10,18 @@ from pyspark.sql import functions as F
 
 
 def dual_coordinate_descent(rows: Sequence[tuple[object, np.ndarray]], y: np.ndarray, dim: int, c: float = 1.0,
-                            epochs: int = 25, seed: int = 5, balance: bool = False) -> np.ndarray:
+                            epochs: int = 25, seed: int = 5, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last one is the bias) of min |w|^2 / 2 + C sum max(0, 1 - y w.x).
 
     ``rows`` are (index, values) pairs: an index array for sparse rows, a slice
     for dense ones.  One dual variable is updated at a time, in a new random
-    order each epoch, until no projected gradient exceeds 1e-3.
+    order each epoch, until no projected gradient exceeds 1e-3.  ``weight``
+    multiplies C row by row.
     """
     w = np.zeros(dim + 1)
     alpha = np.zeros(len(rows))
     norm = np.array([float(v @ v) + 1.0 for _, v in rows])
-    bound = np.full(len(rows), c)
-    if balance:
-        for s in (-1, 1):
-            bound[y == s] *= len(y) / (2 * max(1, int((y == s).sum())))
+    bound = np.full(len(rows), c) if weight is None else c * weight
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, mixing, neardup, quality, sharding, topk
+from pagefold.llm import bpe, fingerprints, mixing, neardup, quality, sharding, topk, toxicity
 from pagefold.session import ensure_session_defaults, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+@query("op1_string_kernel_toxicity")
+def op1(spark, t):
+    """Toxicity score of every document."""
+    return toxicity.score_documents(t("documents"), t("labels"))
+
+
 TOP_ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
