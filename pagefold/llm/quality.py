@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors over word-shape n-grams.
 
 Each word is reduced to its shape (kinds of its first and last two bytes, case,
-length class, whether it repeats the word before it); the indicators are the
-1- to 3-grams of shapes that occur in the text, hashed to ``DIM`` features, plus
-one for the text's length class and one for its share of distinct words.
+length class, whether it repeats the word before it) and to a coarser one.  The
+indicators, hashed to ``DIM`` features, are the 1- to 3-grams of shapes that
+occur in the text, the 1-grams that make up at least an 8th or half of it, its
+length class and its share of distinct words.
 Indicators are scaled by the class log-count ratios of the training sample and
 a hinge-loss linear model is fitted on them by dual coordinate descent.
 
@@ -51,8 +52,12 @@ def feature_sets(column: pa.Array) -> Iterator[np.ndarray]:
             for part in (_KIND[w.raw[w.starts]], _KIND[w.raw[np.maximum(w.ends - 2, w.starts)]], _KIND[w.raw[w.ends - 1]], case, size, same):
                 shape = shape * _U(131) + part
             one = mix(shape + _U(1))
+            kind = np.array([0, 0, 1, 2, 0] + [3] * len(_rest), np.uint64)
+            first, last = kind[_KIND[w.raw[w.starts]].astype(np.int64)], kind[_KIND[w.raw[w.ends - 1]].astype(np.int64)]
+            coarse = (((first * _U(4) + last) * _U(16) + case) * _U(2) + same + _U(1 << 20))
             grams = [one, mix(one[:-1] * _U(3) + one[1:]), mix(one[:-2] * _U(5) + one[1:-1] * _U(3) + one[2:])]
             grams = [(g % _U(DIM - 64)).astype(np.int64) for g in grams]
+            both = np.stack([one, mix(coarse)])
         for r in range(hi - lo):
             a, b = int(w.first[r]), int(w.first[r + 1])
             if b == a:
@@ -60,7 +65,13 @@ def feature_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 continue
             distinct = len(np.unique(h[a:b])) / (b - a)
             about = [DIM - 2 - min(int(np.log2(b - a)), 20), DIM - 30 - int(distinct * 10)]
-            yield np.unique(np.concatenate([grams[0][a:b], grams[1][a:max(a, b - 1)], grams[2][a:max(a, b - 2)], about]))
+            parts = [grams[0][a:b], grams[1][a:max(a, b - 1)], grams[2][a:max(a, b - 2)], about]
+            for g in both:
+                gram, n = np.unique(g[a:b], return_counts=True)
+                for j, share in enumerate((0, 8, 2)):
+                    often = gram[n * share >= b - a] if share else gram
+                    parts.append((mix(often + _U(j + 1)) % _U(DIM - 64)).astype(np.int64))
+            yield np.unique(np.concatenate(parts))
 
 
 @dataclass
@@ -91,8 +102,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 5, held_out: int = 0) -> Model:
-    """Fit on a bounded sample of labelled documents (`labelled_sample`); four
-    fifths give ratios and weights, one fifth calibrates the score."""
+    """Fit on a bounded sample of labelled documents (`labelled_sample`); the
+    score is calibrated on margins from five-fold cross-fitting."""
     sample = labelled_sample(docs, labels, "quality", folds, held_out, per_class).mapInArrow(_features, "doc_id long, f array<int>, y int").toArrow()
     sets = sorted(zip(sample["doc_id"].to_pylist(), sample["y"].to_pylist(), sample["f"].to_numpy()), key=lambda x: x[:2])
     y = np.array([1 if s[1] else -1 for s in sets])
@@ -100,25 +111,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
     if len(set(y.tolist())) < 2:
         share = (int((y > 0).sum()) + 1) / (len(y) + 2)
         return Model(np.zeros(DIM), np.zeros(DIM), 0.0, 1.0, float(np.log(share / (1 - share))))
-    learn = np.arange(len(y)) % 5 != 4
-    if len(set(y[learn].tolist())) < 2 or len(set(y[~learn].tolist())) < 2:
-        learn[:] = True
+    folds_ = np.arange(len(y)) % 5
+    margins = np.zeros(len(y))
+    for k in range(5):                          # margins of documents that their model has not seen
+        w, ratio = _train(rows, y, folds_ != k)
+        for i in np.flatnonzero(folds_ == k):
+            margins[i] = _margin(w, ratio, rows[i])
+    a, b = platt(margins, y)
+    w, ratio = _train(rows, y, np.ones(len(y), bool))
+    return Model(ratio * w[:-1], ratio * ratio, float(w[-1]), a, b)
+
+
+def _train(rows: list[np.ndarray], y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, log-count ratios) from the rows in use."""
     count = {s: np.ones(DIM) for s in (-1, 1)}
-    for f, s in zip([r for r, k in zip(rows, learn) if k], y[learn]):
-        count[s][f] += 1
+    for i in np.flatnonzero(use):
+        count[y[i]][rows[i]] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
     ratio[(count[1] == 1) & (count[-1] == 1)] = 0.0        # features that the sample lacks say nothing
+    x = [(f, v / np.sqrt(max(float(v @ v), 1e-12))) for f in (rows[i] for i in np.flatnonzero(use)) for v in (ratio[f],)]
+    return dual_coordinate_descent(x, y[use], DIM), ratio
 
-    def scaled(f):
-        v = ratio[f]
-        return f, v / np.sqrt(max(float(v @ v), 1e-12))
 
-    x = [scaled(f) for f in rows]
-    w = dual_coordinate_descent([r for r, k in zip(x, learn) if k], y[learn], DIM)
-    rest = ~learn if not learn.all() else learn
-    margins = np.array([float(w[:-1][f] @ v) + w[-1] for (f, v), k in zip(x, rest) if k])
-    a, b = platt(margins, y[rest])
-    return Model(ratio * w[:-1], ratio * ratio, float(w[-1]), a, b)
+def _margin(w: np.ndarray, ratio: np.ndarray, f: np.ndarray) -> float:
+    v = ratio[f]
+    return float(w[:-1][f] @ v) / np.sqrt(max(float(v @ v), 1e-12)) + float(w[-1])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
