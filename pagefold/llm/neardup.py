@@ -10,8 +10,8 @@
    hopeless pairs and the rest are confirmed on the full shingle sets.
 4. Buckets that still hold more than one component are finished exactly: the
    members outside the bucket's main component meet all members of other
-   components, again sketch first, full sets after.  No pair inside one
-   component is ever made, so a bucket of a million copies stays linear.
+   components, in pairs of small blocks, sketch first, full sets after.  Pairs
+   inside one component are not looked at and no pair of a group becomes a row.
 5. Components of the confirmed links, smallest doc_id first.
 
 Null or word-less texts have an empty set and link with nothing.  Rows that
@@ -36,6 +36,7 @@ PERMS = 128                # MinHash samples
 ROWS = 4                   # samples in a band: a pair at 0.75 is missed with probability 5e-6
 SKETCH_WORDS = 8           # odd sketch of 512 bits
 THRESHOLD = 75             # percent
+BLOCK = 64                 # documents in a block of the final comparison, on average
 SLACK = 0.20               # sketch estimates below threshold - SLACK are dropped (over 5 sigma)
 
 
@@ -125,6 +126,78 @@ def _plausible(pairs: DataFrame, about: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_hopeful(threshold)).select("a", "b")
 
 
+def _block_links(threshold: int):
+    """Links between the outsiders and the other members of one pair of blocks."""
+    def run(table: pa.Table) -> pa.Table:
+        left = np.asarray(table["outside"].to_numpy(zero_copy_only=False), bool)
+        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
+        n = table["n_shingles"].to_numpy()
+        i, j = np.flatnonzero(left), np.flatnonzero(~left)
+        ones = np.zeros((len(i), len(j)), np.int64)
+        for w in range(sketch.shape[1]):
+            ones += np.bitwise_count(sketch[i, w][:, None] ^ sketch[j, w][None, :])
+        hope = (ones <= max_ones(threshold / 100 - SLACK)) & (comp[i][:, None] != comp[j][None, :])
+        hope &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= threshold * np.maximum(n[i][:, None], n[j][None, :])
+        p, q = np.nonzero(hope)
+        p, q = i[p], j[q]
+        found = np.zeros(0, np.int64)
+        if len(p):
+            used = np.unique(np.concatenate([p, q]))
+            text = table["text"].combine_chunks().take(pa.array(used))
+            bits, size = _bitsets(list(shingle_sets(text)))
+            at = np.zeros(len(ids), np.int64)
+            at[used] = np.arange(len(used))
+            p2, q2 = at[p], at[q]
+            both = np.concatenate([np.bitwise_count(bits[p2[k:k + 2048]] & bits[q2[k:k + 2048]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p2), 2048)])
+            found = np.flatnonzero((100 * both >= threshold * (size[p2] + size[q2] - both)) & (both > 0))
+            # one link for each pair of components is enough
+            _, first = np.unique(np.stack([comp[p[found]], comp[q[found]]]), axis=1, return_index=True) if len(found) else (None, found)
+            found = found[first]
+        return pa.table({"a": pa.array(ids[p[found]] if len(found) else [], pa.int64()), "b": pa.array(ids[q[found]] if len(found) else [], pa.int64())})
+    return run
+
+
+def _bitsets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 64-bit words, a bit for each shingle that two sets or more have."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = (n > 1)[at]
+    width = -(-max(1, int((n > 1).sum())) // 64) * 64
+    has = np.zeros((len(sets), width), bool)
+    has[row[keep], number[at[keep]]] = True
+    return np.packbits(has, axis=1, bitorder="little").view(np.uint64), size
+
+
+def _across(member: DataFrame, comp: DataFrame, about: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) that link different components inside the band buckets.
+
+    For a bucket of several components, ``main`` is its largest.  Buckets of the
+    same main component are finished together: their outsiders meet all their
+    members, in pairs of blocks of about ``BLOCK`` documents, dealt by hash, so
+    that no task holds a whole bucket and no pair becomes a row.
+    """
+    member = staged(member.join(comp, F.col("doc_id") == F.col("node"), "left")
+                    .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
+    sizes = member.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = (sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
+             .filter("parts > 1 AND all > 2")                   # a bucket of two had its only pair confirmed or refused
+             .select("key", F.col("m.component").alias("main")))
+    mixed = staged(member.join(split, "key").select("main", "doc_id", "component").distinct(), "mixed")
+    count = (mixed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("outer"))
+             .filter("outer > 0"))
+    each = staged(mixed.join(count, "main").join(about, "doc_id").join(texts, "doc_id"), "mixed")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["main", "doc_id", "component", "n_shingles", "sketch", "text"]
+    outer = each.filter("component <> main").select(*cols, own("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"))
+    inner = each.select(*cols, every("outer").alias("i"), own("blocks").alias("j"), F.lit(False).alias("outside"))
+    return (outer.unionByName(inner).groupBy("main", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -142,21 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = staged(confirm(stars, texts, threshold), "links")
     comp = components(spark, links)
 
-    # Buckets with members of several components: outsiders against everyone else in the bucket.
-    member = staged(member.join(comp, F.col("doc_id") == F.col("node"), "left")
-                    .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
-    sizes = member.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = (sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("m"))
-             .filter("parts > 1").select("key", F.col("m.component").alias("main")))
-    mixed = staged(member.join(split, "key").join(about, "doc_id"), "mixed")
-    outside = mixed.filter("component <> main").select("key", F.col("component").alias("own"), F.col("doc_id").alias("a"),
-                                                       F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    rest = (outside.join(mixed.select("key", "main", "component", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"),
-                                      F.col("sketch").alias("sketch_b")), "key")
-            .filter(f"own <> component AND (component = main OR a < b) AND {_hopeful(threshold)}")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
-    more = staged(confirm(staged(rest, "rest"), texts, threshold), "links")
+    more = staged(_across(member, comp, about, texts, threshold), "links")
     if not more.isEmpty():
         comp = components(spark, links.unionByName(more))
 
