@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,35 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> D
             return new.select("node", "component")
         labels = new.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def across(member: DataFrame, comp: DataFrame, payload: DataFrame, compare: Callable[[pa.Table], pa.Table], block: int) -> DataFrame:
+    """(a, b) that link different components inside the buckets of ``member``
+    (columns ``key``, ``id``), after a first round has linked each bucket's
+    members to one of them.
+
+    For a bucket of several components, ``main`` is its largest.  Buckets of the
+    same main component are finished together: their outsiders meet all their
+    members, in pairs of blocks of about ``block`` ids, dealt by hash, so that no
+    task holds a whole bucket and no pair becomes a row.  ``compare`` gets a
+    table (main, id, component, i, j, outside, and the columns of ``payload``)
+    and returns the links it finds between rows outside and the others.
+    """
+    member = staged(member.join(comp, F.col("id") == F.col("node"), "left")
+                    .select("key", "id", F.coalesce("component", "id").alias("component")), "members")
+    sizes = member.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = (sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
+             .filter("parts > 1 AND all > 2")                   # a bucket of two had its only pair confirmed or refused
+             .select("key", F.col("m.component").alias("main")))
+    mixed = staged(member.join(split, "key").select("main", "id", "component").distinct(), "mixed")
+    count = (mixed.groupBy("main").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"),
+                                       F.ceil(F.count_if(F.col("component") != F.col("main")) / block).cast("int").alias("outer"))
+             .filter("outer > 0"))
+    each = staged(mixed.join(count, "main").join(payload, "id"), "mixed")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["main", "id", "component", *(c for c in payload.columns if c != "id")]
+    outer = each.filter("component <> main").select(*cols, own("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"))
+    inner = each.select(*cols, every("outer").alias("i"), own("blocks").alias("j"), F.lit(False).alias("outside"))
+    return (outer.unionByName(inner).groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

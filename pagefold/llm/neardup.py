@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.graph import components, staged
+from pagefold.llm.graph import across, components, staged
 from pagefold.llm.textvec import MinHasher, band_keys, mix, set_hash, shingle_sets
 
 PERMS = 128                # MinHash samples
@@ -130,7 +130,7 @@ def _block_links(threshold: int):
     """Links between the outsiders and the other members of one pair of blocks."""
     def run(table: pa.Table) -> pa.Table:
         left = np.asarray(table["outside"].to_numpy(zero_copy_only=False), bool)
-        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
         sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
         n = table["n_shingles"].to_numpy()
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
@@ -171,33 +171,6 @@ def _bitsets(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(has, axis=1, bitorder="little").view(np.uint64), size
 
 
-def _across(member: DataFrame, comp: DataFrame, about: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) that link different components inside the band buckets.
-
-    For a bucket of several components, ``main`` is its largest.  Buckets of the
-    same main component are finished together: their outsiders meet all their
-    members, in pairs of blocks of about ``BLOCK`` documents, dealt by hash, so
-    that no task holds a whole bucket and no pair becomes a row.
-    """
-    member = staged(member.join(comp, F.col("doc_id") == F.col("node"), "left")
-                    .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
-    sizes = member.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = (sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
-             .filter("parts > 1 AND all > 2")                   # a bucket of two had its only pair confirmed or refused
-             .select("key", F.col("m.component").alias("main")))
-    mixed = staged(member.join(split, "key").select("main", "doc_id", "component").distinct(), "mixed")
-    count = (mixed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("outer"))
-             .filter("outer > 0"))
-    each = staged(mixed.join(count, "main").join(about, "doc_id").join(texts, "doc_id"), "mixed")
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["main", "doc_id", "component", "n_shingles", "sketch", "text"]
-    outer = each.filter("component <> main").select(*cols, own("outer").alias("i"), every("blocks").alias("j"), F.lit(True).alias("outside"))
-    inner = each.select(*cols, every("outer").alias("i"), own("blocks").alias("j"), F.lit(False).alias("outside"))
-    return (outer.unionByName(inner).groupBy("main", "i", "j").applyInArrow(_block_links(threshold), "a long, b long")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -215,7 +188,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = staged(confirm(stars, texts, threshold), "links")
     comp = components(spark, links)
 
-    more = staged(_across(member, comp, about, texts, threshold), "links")
+    payload = about.join(texts, "doc_id").withColumnRenamed("doc_id", "id")
+    more = staged(across(member.select("key", F.col("doc_id").alias("id")), comp, payload, _block_links(threshold), BLOCK), "links")
     if not more.isEmpty():
         comp = components(spark, links.unionByName(more))
 

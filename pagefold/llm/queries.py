@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, mixing, neardup, quality, sharding, topk, toxicity
+from pagefold.llm import bpe, fingerprints, lines, mixing, neardup, quality, sharding, topk, toxicity
 from pagefold.session import ensure_session_defaults, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op2(spark, t):
     return topk.top_k(topk.integer_vectors(t("embeddings")), "vec_id % 50 = 0", 5)
 
 
+@query("op3_segment_edit_lines")
+def op3(spark, t):
+    """Class of near-equal lines for every line of every document."""
+    return lines.line_classes(t("documents")).drop("row")
+
+
 @query("op4_minhash_fingerprints")
 def op4(spark, t):
     """Fingerprints of every document and of its edited text."""

@@ -106,13 +106,23 @@ class Words:
         return span_hashes(self.raw, self.starts, self.ends, fold)
 
 
+class Rolling:
+    """64-bit content hashes of any byte spans of ``raw``, from one running sum."""
+
+    def __init__(self, raw: np.ndarray, fold: bool = False):
+        n = len(raw)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_FOLDED if fold else _TABLE)[raw] * _power(_BASE, max(n, 1))[:n], out=self.total[1:])
+        self.inverse = _power(_BASE_INV, n + 1)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * _LANES[SHINGLE_WORDS])
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """64-bit content hash of every byte span [start, end)."""
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _TABLE)[raw] * _power(_BASE, max(n, 1))[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_BASE_INV, max(n, 1))[np.minimum(starts, max(n - 1, 0))]
-    return mix(h + (ends - starts).astype(np.uint64) * _LANES[SHINGLE_WORDS])
+    return Rolling(raw, fold).spans(starts, ends)
 
 
 def row_words(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, int, Words, np.ndarray]]:
