@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, lines, mixing, neardup, quality, sharding, topk, toxicity
+from pagefold.llm import bpe, fingerprints, lines, mixing, neardup, passages, quality, sharding, topk, toxicity
 from pagefold.session import ensure_session_defaults, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,12 @@ def op7(spark, t):
     return sharding.kd_shards(t("documents"), shards=16)
 
 
+@query("op8_collinear_passages")
+def op8(spark, t):
+    """Passages of every document that an earlier document has too."""
+    return passages.repeated_passages(t("documents"))
+
+
 @query("op9_byte_bpe")
 def op9(spark, t):
     """Token counts and digests of every document's encoding and decoding."""
