@@ -190,22 +190,29 @@ def decode(ids: Column, path: str | None = None, pattern: str | None = None) ->
     return back(ids)
 
 
-def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: the ids are
-    digested where they are made, and decoded there and then."""
+def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, tokens: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the token ids, if asked
+    for) of every row: the ids are digested where they are made, and decoded
+    there and then."""
     p, x = default_vocabulary()
     path, pattern = path or p, pattern or x
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            ids, ids_sha, text_sha, n = [], [], [], []
             for b in c.encode_bytes([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(b) // 4)
                 ids_sha.append(hashlib.sha256(b).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode_bytes(np.frombuffer(b, "<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if tokens:
+                    ids.append(np.frombuffer(b, "<i4"))
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if tokens:
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "tokens"][:len(cols)])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(run, schema))

@@ -198,3 +198,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return (sig.select("doc_id", "n_shingles", "set_hash").join(reach, ["set_hash", "n_shingles"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` without those that have a near duplicate of smaller doc_id in
+    their group, all columns unchanged.  Rows that share a doc_id are one
+    document and stay or go together; rows without doc_id stay."""
+    gone = (near_duplicates(docs, threshold).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
+            .agg(F.max("kept").alias("stays")).filter("NOT stays").select("__id"))
+    return docs.join(gone, F.col("__id") == F.col("doc_id").cast("long"), "left_anti")
