@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from pagefold.functions.core import _ids, col, lit
 
@@ -38,6 +39,36 @@ def redact_userinfo_sql(text: str) -> str:
     return f"regexp_replace({text}, {lit(USERINFO_RE)}, '://$1:***@')"
 
 
+def masked_sql(path: str, dtype: DataType, mask: str = SECRET_MASK, sort: bool = False) -> str:
+    """``path`` with every struct field (and string map key) whose name ends in
+    ``_secret`` replaced by ``mask``, at any depth; fields sorted if asked."""
+    def hides(t) -> bool:
+        if isinstance(t, StructType):
+            return sort or any(f.name.endswith("_secret") or hides(f.dataType) for f in t.fields)
+        if isinstance(t, ArrayType):
+            return hides(t.elementType)
+        return isinstance(t, MapType) and (isinstance(t.keyType, StringType) or hides(t.valueType))
+
+    if not hides(dtype):
+        return path
+    if isinstance(dtype, StructType):
+        parts = []
+        for f in sorted(dtype.fields, key=lambda f: f.name) if sort else dtype.fields:
+            sub = f"{path}.`{f.name}`"
+            value = f"CAST({lit(mask)} AS STRING)" if f.name.endswith("_secret") else masked_sql(sub, f.dataType, mask, sort)
+            parts.append(f"{lit(f.name)}, {value}")
+        return f"CASE WHEN {path} IS NULL THEN NULL ELSE named_struct({', '.join(parts)}) END"
+    n = next(_ids)
+    if isinstance(dtype, ArrayType):
+        return f"transform({path}, _e{n} -> {masked_sql(f'_e{n}', dtype.elementType, mask, sort)})"
+    value = masked_sql(f"_v{n}", dtype.valueType, mask, sort)
+    if isinstance(dtype.keyType, StringType) and isinstance(dtype.valueType, StringType):
+        value = f"CASE WHEN endswith(_m{n}, '_secret') THEN {lit(mask)} ELSE {value} END"
+    elif isinstance(dtype.keyType, StringType):
+        value = f"CASE WHEN endswith(_m{n}, '_secret') THEN NULL ELSE {value} END"
+    return f"transform_values({path}, (_m{n}, _v{n}) -> {value})"
+
+
 def is_sensitive_header(name: str) -> Column:
     return col(is_sensitive_header_sql(name))
 

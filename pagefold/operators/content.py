@@ -10,6 +10,8 @@ sections, de-duplicate and apply the caps. All of it is keyed by
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,27 +19,42 @@ from pagefold.functions.core import lit, nonempty
 from pagefold.functions.text import decode_entities_sql, first_line_sql, normalize_text_sql, truncate_sql
 from pagefold.functions.url import resolve_url_sql, same_site_sql
 from pagefold.operators.html import (
-    BLOCK_TAGS, HEADING_TAGS, MAX_TEXT_CHARS, RUN, attr_sql, element_tokens, html_tokens,
-    join_pieces_sql, sql_list, text_piece_sql,
+    BLOCK_TAGS, HEADING_TAGS, RUN, attr_sql, element_tokens, html_tokens,
+    join_pieces_sql, span_join, sql_list, text_piece_sql,
 )
 
+@dataclass(frozen=True)
+class Limits:
+    """Optional limits of a captured document; None leaves everything in.
+
+    Counts and texts are cut for display only, after rows are de-duplicated,
+    numbered and counted.
+    """
+
+    text: int | None = None             # characters of paragraph text of a page
+    links: int | None = None
+    link_text: int | None = None        # also the text of actions
+    actions: int | None = None
+    items: int | None = None
+    item_text: int | None = None
+    item_title: int | None = None
+    tables: int | None = None
+    table_rows: int | None = None
+    cell: int | None = None
+    caption: int | None = None
+    heading: int | None = None
+    markdown_links: int | None = None
+    markdown_actions: int | None = None
+    markdown: int | None = None
+
+
+NO_LIMITS = Limits()
 # --- fixed values ----------------------------------------------------------
-MAX_LINKS = 1000
-MAX_ACTIONS = 500
-MAX_ITEMS = 300
-MAX_TABLES = 100
-MAX_TABLE_ROWS = 100
-LINK_TEXT_CUT = 240
-HEADING_CUT = 1000
-CELL_CUT = 1000
-CAPTION_CUT = 300
-ITEM_TEXT_CUT = 1200
+#: The limits of the acquisition tool's own documents.
+CAPTURE_LIMITS = Limits(text=200000, links=1000, link_text=240, actions=500, items=300, item_text=1200, item_title=160,
+                        tables=100, table_rows=100, cell=1000, caption=300, heading=1000,
+                        markdown_links=200, markdown_actions=100, markdown=300000)
 ITEM_MIN_TEXT = 20
-ITEM_TITLE_CUT = 160
-ITEM_HEADING_CUT = 200
-MARKDOWN_LINKS = 200
-MARKDOWN_ACTIONS = 100
-MARKDOWN_CUT = 300000
 LINK_KINDS = [  # first match wins, on lower(text + ' ' + absolute_url)
     ("login", r"login|log in|sign in|signin|account"),
     ("signup", r"signup|sign up|register|create account"),
@@ -48,6 +65,15 @@ LINK_KINDS = [  # first match wins, on lower(text + ' ' + absolute_url)
 # --- end fixed values -------------------------------------------------------
 
 HEADINGS = sql_list(HEADING_TAGS)
+
+
+def cut_sql(x: str, n: int | None) -> str:
+    return x if n is None else truncate_sql(x, n)
+
+
+def first_rows(column: str, n: int | None) -> str:
+    return "true" if n is None else f"{column} < {int(n)}"
+
 # Entry kinds link operators need: links, plus headings for section numbers.
 LINK_KINDS_NEEDED = ("link", "heading")
 
@@ -136,12 +162,13 @@ def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items:
     w = "(PARTITION BY page_id ORDER BY epos, ekind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return ent.selectExpr(
         "*", f"sum(CAST({is_head} AS INT)) OVER {w} AS section_no",
-        f"coalesce(last(CASE WHEN {is_head} THEN {truncate_sql('text', HEADING_CUT)} END, true) OVER {w}, 'Page') "
-        "AS section_heading")
+        f"coalesce(last(CASE WHEN {is_head} THEN text END, true) OVER {w}, 'Page') AS section_heading")
 
 
-def flow(entries: DataFrame) -> DataFrame:
-    """T6 core: heading / paragraph / table flow entries with dedupe and cap."""
+def flow(entries: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """T6 core: heading / paragraph / table flow entries, consecutive equal
+    paragraphs once. With ``limits.text`` the walk stops where that many
+    characters of paragraphs are out."""
     f = entries.where("(ekind = 'heading' AND walked AND text != '') OR (ekind = 'paragraph' AND text != '') "
                       "OR ekind = 'table'")
     w = "(PARTITION BY page_id ORDER BY epos)"
@@ -150,16 +177,21 @@ def flow(entries: DataFrame) -> DataFrame:
     f = f.selectExpr("*", "coalesce(sum(CASE WHEN ekind = 'paragraph' THEN length(text) + 1 ELSE 0 END) "
                           "OVER (PARTITION BY page_id ORDER BY epos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
                           " AS emitted_before")
-    f = f.where(f"ekind != 'paragraph' OR emitted_before < {MAX_TEXT_CHARS}")
+    if limits.text is None:
+        return f
+    f = f.where(f"emitted_before < {limits.text}")
     cols = [c if c != "text" else
-            f"CASE WHEN ekind = 'paragraph' THEN {truncate_sql('text', f'{MAX_TEXT_CHARS} - emitted_before')} "
+            f"CASE WHEN ekind = 'paragraph' THEN {truncate_sql('text', f'{limits.text} - emitted_before')} "
             "ELSE text END AS text" for c in f.columns]
     return f.selectExpr(*cols)
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
+FLOW_KINDS_NEEDED = ("paragraph", "heading", "table")
+
+
+def paragraphs(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """``(page_id, para_no, section_no, text)``."""
-    f = flow(content_entries(pages)).where("ekind = 'paragraph'")
+    f = flow(content_entries(pages, kinds=FLOW_KINDS_NEEDED), limits).where("ekind = 'paragraph'")
     return f.selectExpr("page_id", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS para_no",
                         "CAST(section_no AS BIGINT) AS section_no", "text")
 
@@ -171,23 +203,23 @@ def _href_sql() -> str:
         f"CASE WHEN {r} != '' AND {r} != '#' AND NOT startswith(lower({r}), 'javascript:') THEN {r} END"))
 
 
-def sections(pages: DataFrame, _entries: DataFrame | None = None) -> DataFrame:
+def sections(pages: DataFrame, _entries: DataFrame | None = None, limits: Limits = NO_LIMITS) -> DataFrame:
     """``(page_id, section_no, heading, level)``; the implicit ``Page``
     section (0) exists when a paragraph or a link precedes the first heading."""
-    ent = _entries if _entries is not None else content_entries(pages)
+    ent = _entries if _entries is not None else content_entries(pages, kinds=("paragraph", "heading", "link"))
     is_head = "(ekind = 'heading' AND walked AND text != '')"
     pre_para = "(ekind = 'paragraph' AND text != '' AND section_no = 0)"
     pre_link = f"(ekind = 'link' AND walked AND section_no = 0 AND {resolve_url_sql('url', _href_sql())} IS NOT NULL)"
     rows = ent.where(f"{is_head} OR {pre_para} OR {pre_link}").selectExpr(
         "page_id", "CAST(section_no AS BIGINT) AS section_no",
-        f"CASE WHEN {is_head} THEN {truncate_sql('text', HEADING_CUT)} ELSE 'Page' END AS heading",
+        f"CASE WHEN {is_head} THEN {cut_sql('text', limits.heading)} ELSE 'Page' END AS heading",
         f"CASE WHEN {is_head} THEN CAST(substring(tag, 2, 1) AS INT) ELSE 1 END AS level")
     return rows.dropDuplicates(["page_id", "section_no", "heading", "level"])
 
 
-def section_text(pages: DataFrame) -> DataFrame:
+def section_text(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Paragraphs grouped per section, in order, joined by newlines."""
-    p = paragraphs(pages)
+    p = paragraphs(pages, limits)
     return p.groupBy("page_id", "section_no").agg(
         *[F.expr(e) for e in [
             "count(*) AS n_paragraphs",
@@ -216,46 +248,48 @@ def link_rows(ent: DataFrame) -> DataFrame:
     l = l.selectExpr("*", f"{full} AS full_text", f"{same_site_sql('absolute_url', 'url')} AS same_site")
     return l.selectExpr(
         "*", f"{link_kind_sql('full_text', 'absolute_url', 'in_footer', 'in_nav', 'same_site')} AS kind",
-        f"{truncate_sql(_LINK_TEXT, LINK_TEXT_CUT)} AS link_text")
+        f"{_LINK_TEXT} AS link_text")
 
 
-def links_from_entries(ent: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
+def links_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     l = link_rows(ent)
     l = l.selectExpr("*", "row_number() OVER (PARTITION BY page_id, absolute_url, link_text ORDER BY epos) AS _rn") \
          .where("_rn = 1")
     l = l.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS link_no") \
-         .where(f"link_no < {int(cap)}")
-    return l.selectExpr("page_id", "link_no", "link_text AS text", "url_raw AS url", "absolute_url", "same_site",
-                        "true AS visible", "section_heading AS source_section",
+         .where(first_rows("link_no", limits.links))
+    return l.selectExpr("page_id", "link_no", f"{cut_sql('link_text', limits.link_text)} AS text", "url_raw AS url",
+                        "absolute_url", "same_site", "true AS visible",
+                        f"{cut_sql('section_heading', limits.heading)} AS source_section",
                         "CAST(section_no AS BIGINT) AS section_no", "kind", "epos")
 
 
-def links(pages: DataFrame, cap: int = MAX_LINKS) -> DataFrame:
-    """Page links, first of each (absolute_url, text), at most ``cap``."""
-    return links_from_entries(content_entries(pages, kinds=LINK_KINDS_NEEDED), cap).drop("epos")
+def links(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Page links, first of each (absolute_url, text)."""
+    return links_from_entries(content_entries(pages, kinds=LINK_KINDS_NEEDED), limits).drop("epos")
 
 
-def section_links(pages: DataFrame) -> DataFrame:
+def section_links(pages: DataFrame, _entries: DataFrame | None = None, limits: Limits = NO_LIMITS) -> DataFrame:
     """Distinct (absolute_url, text) per section, first occurrence."""
-    l = link_rows(content_entries(pages, kinds=LINK_KINDS_NEEDED))
+    l = link_rows(_entries if _entries is not None else content_entries(pages, kinds=LINK_KINDS_NEEDED))
     l = l.selectExpr("*", "row_number() OVER (PARTITION BY page_id, section_no, absolute_url, link_text "
                           "ORDER BY epos) AS _rn").where("_rn = 1")
     return l.selectExpr("page_id", "CAST(section_no AS BIGINT) AS section_no", "epos",
-                        "link_text AS text", "absolute_url")
+                        f"{cut_sql('link_text', limits.link_text)} AS text", "absolute_url")
 
 
-def link_scope_counts(pages: DataFrame) -> DataFrame:
-    """Per page: links, same-site, external, per kind, omitted past 200."""
-    from pyspark.sql import functions as F
+def link_scope_counts(pages: DataFrame, listed: int | None = None) -> DataFrame:
+    """Per page: all links, same-site, external, per kind, and how many a
+    list of the first ``listed`` links leaves out."""
     l = links(pages)
     aggs = ["count(*) AS n_links", "count_if(same_site) AS n_same_site", "count_if(NOT same_site) AS n_external"]
     for k in [n for n, _ in LINK_KINDS] + ["footer", "nav", "unknown", "external"]:
         aggs.append(f"count_if(kind = {lit(k)}) AS kind_{k}")
     g = l.groupBy("page_id").agg(*[F.expr(a) for a in aggs])
-    return g.selectExpr("*", f"greatest(n_links - {MARKDOWN_LINKS}, 0) AS n_omitted")
+    omitted = "CAST(0 AS BIGINT)" if listed is None else f"greatest(n_links - {int(listed)}, 0)"
+    return g.selectExpr("*", f"{omitted} AS n_omitted")
 
 
-def actions_from_entries(ent: DataFrame, cap: int = MAX_ACTIONS) -> DataFrame:
+def actions_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     a = ent.where("ekind = 'action' AND walked")
     text = normalize_text_sql(f"coalesce({nonempty('text')}, {nonempty(attr_sql('aria-label'))}, "
                               f"{nonempty(attr_sql('title'))}, {nonempty(attr_sql('value'))}, '')")
@@ -264,55 +298,64 @@ def actions_from_entries(ent: DataFrame, cap: int = MAX_ACTIONS) -> DataFrame:
     a = a.selectExpr("page_id", "epos", f"{text} AS full_text", f"{kind} AS kind",
                      f"CASE WHEN tag = 'a' THEN {resolve_url_sql('url', _href_sql())} END AS absolute_url",
                      "section_heading").where("full_text != ''")
-    a = a.selectExpr("*", f"{truncate_sql('full_text', LINK_TEXT_CUT)} AS text")
-    a = a.selectExpr("*", "row_number() OVER (PARTITION BY page_id, kind, text, absolute_url ORDER BY epos) AS _rn") \
+    a = a.selectExpr("*", "row_number() OVER (PARTITION BY page_id, kind, full_text, absolute_url ORDER BY epos) AS _rn") \
          .where("_rn = 1")
     a = a.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS action_no") \
-         .where(f"action_no < {int(cap)}")
-    return a.selectExpr("page_id", "action_no", "text", "kind", "absolute_url", "true AS visible",
-                        "section_heading AS source_section", "epos")
+         .where(first_rows("action_no", limits.actions))
+    return a.selectExpr("page_id", "action_no", f"{cut_sql('full_text', limits.link_text)} AS text", "kind", "absolute_url",
+                        "true AS visible", f"{cut_sql('section_heading', limits.heading)} AS source_section", "epos")
 
 
-def actions(pages: DataFrame, cap: int = MAX_ACTIONS) -> DataFrame:
+def actions(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """Buttons and button-like inputs with text; dedupe (kind, text, url)."""
-    return actions_from_entries(content_entries(pages, kinds=("action", "heading")), cap).drop("epos")
-
-
-def tables_from_entries(ent: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-    tabs = ent.where("ekind = 'table' AND walked").selectExpr("page_id", "epos AS table_pos", "section_heading")
-    cells = ent.where("ekind = 'cell' AND text != ''").selectExpr(
-        "page_id", "table_pos", "tr_pos", "epos", f"{truncate_sql('text', CELL_CUT)} AS text")
-    rows = cells.groupBy("page_id", "table_pos", "tr_pos").agg(
-        F.expr("transform(array_sort(collect_list(named_struct('epos', epos, 'text', text))), _c -> _c.text) AS cells"),
-        F.expr("min(epos) AS rpos"))
-    rows = rows.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id, table_pos ORDER BY rpos) - 1 AS BIGINT) "
-                                "AS row_no").where(f"row_no < {MAX_TABLE_ROWS}")
-    caps = ent.where("ekind = 'caption'").groupBy("page_id", "table_pos").agg(
-        F.expr(f"min_by({truncate_sql('text', CAPTION_CUT)}, epos) AS caption"))
-    has_rows = rows.select("page_id", "table_pos").distinct()
-    t = tabs.join(has_rows, ["page_id", "table_pos"], "left_semi")
-    t = t.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY table_pos) - 1 AS BIGINT) AS table_no") \
-         .where(f"table_no < {MAX_TABLES}")
-    t = t.join(caps, ["page_id", "table_pos"], "left")
-    return t.join(rows, ["page_id", "table_pos"]).selectExpr(
-        "page_id", "table_no", "row_no", "cells", "coalesce(caption, '') AS caption",
-        "section_heading AS source_section", "table_pos")
-
-
-def table_cells(pages: DataFrame) -> DataFrame:
+    return actions_from_entries(content_entries(pages, kinds=("action", "heading")), limits).drop("epos")
+
+
+def tables_from_tokens(ft: DataFrame, ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Rows of the tables that the walk reaches, in the document's order: every
+    ``tr`` inside is a row, every ``td``/``th`` inside a ``tr`` one of its cells
+    with all text inside, also of tables nested in it. Spans meet what they
+    hold by the bucketed range join."""
+    opened = ft.where("kind = 'open' AND in_table > 0")
+    texts = ft.where("in_table > 0 AND piece IS NOT NULL").selectExpr("page_id AS p_page", "pos AS p_pos", "piece")
+
+    def text_of(tags: str) -> DataFrame:
+        spans = opened.where(f"tag IN ({tags})").selectExpr("page_id", "pos AS start", "end")
+        t = span_join(spans, texts).groupBy("page_id", "start").agg(F.expr("collect_list(named_struct('pos', p_pos, 'piece', piece)) AS _p"))
+        return t.selectExpr("page_id AS p_page", "start AS p_pos", f"{join_pieces_sql('_p')} AS text").where("text != ''")
+
+    rows = span_join(opened.where("tag = 'tr'").selectExpr("page_id", "pos AS start", "end"), text_of("'td', 'th'"))
+    rows = rows.groupBy("page_id", "start").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('p', p_pos, 't', text))), _c -> _c.t) AS cells"))
+    if limits.cell is not None:
+        rows = rows.selectExpr("page_id", "start", f"transform(cells, _c -> {truncate_sql('_c', limits.cell)}) AS cells")
+    spans = opened.where("tag = 'table' AND walked").selectExpr("page_id", "pos AS start", "end")
+    t = span_join(spans, rows.selectExpr("page_id AS p_page", "start AS p_pos", "cells"))
+    t = t.selectExpr("page_id", "start AS table_pos", "cells",
+                     "CAST(row_number() OVER (PARTITION BY page_id, start ORDER BY p_pos) - 1 AS BIGINT) AS row_no",
+                     "CAST(dense_rank() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS table_no")
+    caps = span_join(spans, text_of("'caption'")).groupBy("page_id", F.col("start").alias("table_pos")).agg(F.min_by("text", "p_pos").alias("caption"))
+    heads = ent.where("ekind = 'table'").selectExpr("page_id", "epos AS table_pos", "section_heading")
+    t = t.where(f"{first_rows('row_no', limits.table_rows)} AND {first_rows('table_no', limits.tables)}")
+    return t.join(caps, ["page_id", "table_pos"], "left").join(heads, ["page_id", "table_pos"]).selectExpr(
+        "page_id", "table_no", "row_no", "cells", f"{cut_sql('coalesce(caption, {0})'.format(lit('')), limits.caption)} AS caption",
+        f"{cut_sql('section_heading', limits.heading)} AS source_section", "table_pos")
+
+
+def table_cells(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """``(page_id, table_no, row_no, cells[])`` plus caption."""
-    return tables_from_entries(content_entries(pages, kinds=("table", "cell", "caption", "heading"))).drop("table_pos")
+    ft = flow_tokens(pages)
+    return tables_from_tokens(ft, content_entries(pages, ft, kinds=("table", "heading")), limits).drop("table_pos")
 
 
-def visible_text(pages: DataFrame, cut: int = MAX_TEXT_CHARS) -> DataFrame:
-    """T4: per page, all visible text pieces joined by one space, cut."""
-    from pyspark.sql import functions as F
+def visible_text(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """T4: per page, all visible text pieces joined by one space."""
     et = element_tokens(html_tokens(pages)).where("visible AND in_iframe = 0") \
         .selectExpr("page_id", "pos", f"{text_piece_sql()} AS piece")
     g = et.groupBy("page_id").agg(F.expr(
         "collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _p"))
-    return g.selectExpr("page_id", f"substring({join_pieces_sql('_p')}, 1, {int(cut)}) AS text")
+    text = join_pieces_sql("_p")
+    return g.selectExpr("page_id", f"{text if limits.text is None else f'substring({text}, 1, {limits.text})'} AS text")
 
 
 def page_title_sql(html: str = "html") -> str:
@@ -326,7 +369,7 @@ def page_title(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("page_id", f"{page_title_sql()} AS title")
 
 
-def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None,
+def items(pages: DataFrame, limits: Limits = NO_LIMITS, _ft: DataFrame | None = None,
           _entries: DataFrame | None = None) -> DataFrame:
     """Outermost card-like elements with >= 20 characters of text.
 
@@ -334,42 +377,50 @@ def items(pages: DataFrame, cap: int = MAX_ITEMS, _ft: DataFrame | None = None,
     (outermost, >= 20 characters) cards are the top-level candidates that
     reach 20 characters. Each token feeds the entry of its outermost
     enclosing candidate, so a card is one more entry kind: no span join.
-    Title = text of the first heading inside (cut 200), else the first
-    sentence; dedupe on (title, text); at most ``cap``.
+    Title = text of the first heading inside, else the first sentence; dedupe
+    on (title, text).
     """
-    ent = _entries if _entries is not None else content_entries(pages, _ft, with_items=True)
+    ent = _entries if _entries is not None else content_entries(pages, _ft, with_items=True, kinds=("heading", "item"))
     it = ent.where("ekind = 'item' AND walked").selectExpr(
-        "page_id", "epos AS start", f"{truncate_sql('text', ITEM_TEXT_CUT)} AS text", "item_heading")
+        "page_id", "epos AS start", "text", "item_heading", f"{cut_sql('section_heading', limits.heading)} AS source_section")
     it = it.where(f"length(text) >= {ITEM_MIN_TEXT}")
-    it = it.selectExpr("*", f"coalesce({nonempty(truncate_sql('item_heading', ITEM_HEADING_CUT))}, {first_line_sql('text')}) AS title")
+    it = it.selectExpr("*", f"coalesce({nonempty('item_heading')}, {first_line_sql('text')}) AS title")
     it = it.selectExpr("*", "row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn").where("_rn = 1")
     it = it.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS item_no") \
-           .where(f"item_no < {int(cap)}")
-    return it.selectExpr("page_id", "item_no", "'card' AS kind", f"{truncate_sql('title', ITEM_TITLE_CUT)} AS title",
-                         "text", "start")
+           .where(first_rows("item_no", limits.items))
+    return it.selectExpr("page_id", "item_no", "'card' AS kind", f"{cut_sql('title', limits.item_title)} AS title",
+                         f"{cut_sql('text', limits.item_text)} AS text", "start", "source_section")
+
 
 def escape_md_sql(x: str) -> str:
     return f"replace(replace({x}, '[', '\\\\['), ']', '\\\\]')"
 
 
-def content_warnings(pages: DataFrame, _entries: DataFrame | None = None, _ft: DataFrame | None = None) -> DataFrame:
-    """``content_empty`` (no flow), ``content_truncated`` (text cap
-    reached), ``iframe_cross_origin`` / ``iframe_unavailable`` per iframe
-    (a same-origin frame whose page is not in the table is unavailable)."""
-    ent = _entries if _entries is not None else content_entries(pages)
-    f = flow(ent)
+def content_warnings(pages: DataFrame, _entries: DataFrame | None = None, _ft: DataFrame | None = None,
+                     limits: Limits = NO_LIMITS) -> DataFrame:
+    """``(page_id, warning_no, code, detail)``: ``iframe_cross_origin`` /
+    ``iframe_unavailable`` per iframe in page order (a same-origin frame whose
+    page is not in the table is unavailable), then ``content_empty`` (no flow)
+    and ``content_truncated`` (``limits.text`` reached)."""
+    ent = _entries if _entries is not None else content_entries(pages, kinds=FLOW_KINDS_NEEDED)
+    f = flow(ent, limits)
     per = f.groupBy("page_id").agg(F.expr(
         "coalesce(max(CASE WHEN ekind = 'paragraph' THEN emitted_before + length(text) + 1 END), 0) AS _emitted"))
     base = pages.select("page_id").join(per, "page_id", "left")
-    w1 = base.selectExpr("page_id", "explode(array_compact(array("
+    cut = "CAST(NULL AS STRUCT<code: STRING, detail: STRING>)" if limits.text is None else (
+        f"CASE WHEN _emitted >= {limits.text} THEN named_struct('code', 'content_truncated', 'detail', "
+        f"'content text capped at {limits.text} characters') END")
+    w1 = base.selectExpr("page_id", "posexplode(array_compact(array("
                          "CASE WHEN _emitted IS NULL THEN named_struct('code', 'content_empty', 'detail', 'no visible composed content captured') END, "
-                         f"CASE WHEN _emitted >= {MAX_TEXT_CHARS} THEN named_struct('code', 'content_truncated', 'detail', "
-                         f"'content text capped at {MAX_TEXT_CHARS} characters') END))) AS w")
+                         f"{cut}))) AS (_n, w)").selectExpr("page_id", "CAST(9223372036854775000 + _n AS BIGINT) AS _o", "w")
     fr = inline_frames(pages, _ft).where("NOT inlined").selectExpr(
-        "page_id", "named_struct('code', CASE WHEN same_origin THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END, "
+        "page_id", "CAST(iframe_pos AS BIGINT) AS _o",
+        "named_struct('code', CASE WHEN same_origin THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END, "
         "'detail', CASE WHEN same_origin THEN concat('iframe content unavailable: ', coalesce(src, '(no src)')) "
         "ELSE concat('cross-origin iframe not traversed: ', coalesce(src, '')) END) AS w")
-    return w1.unionByName(fr).selectExpr("page_id", "w.code AS code", "w.detail AS detail")
+    return w1.unionByName(fr).selectExpr(
+        "page_id", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY _o) - 1 AS BIGINT) AS warning_no",
+        "w.code AS code", "w.detail AS detail")
 
 
 def inline_frames(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
@@ -382,11 +433,14 @@ def inline_frames(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
                        f"{resolve_url_sql('url', attr_sql('src'))} AS src")
     origin = "regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
     fr = fr.selectExpr("*", f"lower({origin.format('src')}) = lower({origin.format('url')}) AS same_origin")
-    targets = pages.selectExpr("page_id AS frame_page_id", "url AS src")
-    j = fr.join(targets, "src", "left")
-    return j.selectExpr("page_id", "iframe_pos", "src", "same_origin",
-                        "CASE WHEN same_origin THEN frame_page_id END AS frame_page_id",
-                        "same_origin AND frame_page_id IS NOT NULL AS inlined",
+    # Only same-origin frames look for their page; of several captures of one
+    # URL the smallest page_id stands for it.
+    targets = pages.groupBy(F.col("url").alias("own_src")).agg(F.min("page_id").alias("frame_page_id"))
+    fr = fr.selectExpr("*", "CASE WHEN same_origin THEN src END AS own_src")
+    own = fr.where("own_src IS NOT NULL").join(targets, "own_src", "left")
+    j = own.unionByName(fr.where("own_src IS NULL").selectExpr("*", "CAST(NULL AS BIGINT) AS frame_page_id"), allowMissingColumns=True)
+    return j.selectExpr("page_id", "iframe_pos", "src", "coalesce(same_origin, false) AS same_origin", "frame_page_id",
+                        "frame_page_id IS NOT NULL AS inlined",
                         "concat('Frame: ', coalesce(src, 'same-origin iframe')) AS frame_heading")
 
 
@@ -422,12 +476,12 @@ def shared_flow(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame,
     return ft, ent
 
 
-def flow_markdown(ent: DataFrame) -> DataFrame:
+def flow_markdown(ft: DataFrame, ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """The "Visible Content" block of T21 per page: headings at level+1
     (clamped 2..6, brackets escaped), paragraphs, pipe tables; one blank
     line after each entry."""
-    f = flow(ent)
-    tabs = _table_md_lines(tables_from_entries(ent))
+    f = flow(ent, limits)
+    tabs = _table_md_lines(tables_from_tokens(ft, ent, limits))
     f = f.join(tabs.withColumnRenamed("table_pos", "epos"), ["page_id", "epos"], "left")
     level = "least(6, greatest(2, CAST(substring(tag, 2, 1) AS INT) + 1))"
     line = (f"CASE ekind WHEN 'heading' THEN concat(repeat('#', {level}), ' ', {escape_md_sql('text')}, '\\n') "
@@ -437,14 +491,20 @@ def flow_markdown(ent: DataFrame) -> DataFrame:
         "_x -> _x.l), '\\n') AS flow_md"))
 
 
-def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool = True) -> DataFrame:
+def content_markdown(pages: DataFrame, materialize: bool = True, limits: Limits = NO_LIMITS) -> DataFrame:
     """The markdown document per page: header block, visible content
-    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links
-    (200 listed), actions (100 listed), warnings; ``[``/``]`` escaped,
-    3+ newlines collapsed, cut at 300,000 characters."""
+    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links,
+    actions, warnings; ``[``/``]`` escaped, 3+ newlines collapsed."""
+    def listed(n, most):
+        return "true" if most is None else f"{n} < {int(most)}"
+
+    def omitted(most, what):
+        return "''" if most is None else (f"CASE WHEN _n > {int(most)} THEN concat('\\n- … ', CAST(_n - {int(most)} AS STRING), "
+                                          f"' more {what} omitted') ELSE '' END")
+
     ft, ent = shared_flow(pages, materialize)
-    body = flow_markdown(ent)
-    ln = links_from_entries(ent)
+    body = flow_markdown(ft, ent, limits)
+    ln = links_from_entries(ent, limits)
     meta = ("array_join(filter(array(kind, CASE WHEN kind = CASE WHEN same_site THEN 'same-site' ELSE 'external' END THEN '' "
             "ELSE CASE WHEN same_site THEN 'same-site' ELSE 'external' END END, "
             "CASE WHEN source_section != '' THEN concat('source: ', source_section) ELSE '' END), _m -> _m != ''), ', ')")
@@ -452,20 +512,19 @@ def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool
     lmd = ln.selectExpr("page_id", "link_no", f"concat('- [', {ltext}, "
                                               f"'](', absolute_url, ')', CASE WHEN {meta} != '' THEN concat(' — ', {meta}) ELSE '' END) AS l")
     links_md = lmd.groupBy("page_id").agg(F.expr(
-        f"array_join(transform(array_sort(collect_list(CASE WHEN link_no < {MARKDOWN_LINKS} THEN named_struct('o', link_no, 'l', l) END)), "
+        f"array_join(transform(array_sort(collect_list(CASE WHEN {listed("link_no", limits.markdown_links)} THEN named_struct('o', link_no, 'l', l) END)), "
         f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
-    links_md = links_md.selectExpr("page_id", f"concat('## Links\\n\\n', _l, CASE WHEN _n > {MARKDOWN_LINKS} THEN "
-                                              f"concat('\\n- … ', CAST(_n - {MARKDOWN_LINKS} AS STRING), ' more links omitted') ELSE '' END, '\\n') AS links_md")
-    ac = actions_from_entries(ent)
+    links_md = links_md.selectExpr("page_id", f"concat('## Links\\n\\n', _l, {omitted(limits.markdown_links, 'links')}, '\\n') AS links_md")
+    ac = actions_from_entries(ent, limits)
     amd = ac.selectExpr("page_id", "action_no", f"concat('- ', {escape_md_sql('text')}, ' — ', kind, "
                                                 "CASE WHEN source_section != '' THEN concat(', source: ', source_section) ELSE '' END) AS l")
     actions_md = amd.groupBy("page_id").agg(F.expr(
-        f"array_join(transform(array_sort(collect_list(CASE WHEN action_no < {MARKDOWN_ACTIONS} THEN named_struct('o', action_no, 'l', l) END)), "
+        f"array_join(transform(array_sort(collect_list(CASE WHEN {listed("action_no", limits.markdown_actions)} THEN named_struct('o', action_no, 'l', l) END)), "
         f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
-    actions_md = actions_md.selectExpr("page_id", f"concat('## Actions\\n\\n', _l, CASE WHEN _n > {MARKDOWN_ACTIONS} THEN "
-                                                  f"concat('\\n- … ', CAST(_n - {MARKDOWN_ACTIONS} AS STRING), ' more actions omitted') ELSE '' END, '\\n') AS actions_md")
-    warn = content_warnings(pages, ent, ft).groupBy("page_id").agg(F.expr(
-        "concat('## Warnings\\n\\n', array_join(collect_list(concat('- ', code, ': ', detail)), '\\n'), '\\n') AS warnings_md"))
+    actions_md = actions_md.selectExpr("page_id", f"concat('## Actions\\n\\n', _l, {omitted(limits.markdown_actions, 'actions')}, '\\n') AS actions_md")
+    warn = content_warnings(pages, ent, ft, limits).groupBy("page_id").agg(F.expr(
+        "concat('## Warnings\\n\\n', array_join(transform(array_sort(collect_list(named_struct('o', warning_no, "
+        "'l', concat('- ', code, ': ', detail)))), _x -> _x.l), '\\n'), '\\n') AS warnings_md"))
     head = pages.selectExpr("page_id", "url", f"{page_title_sql()} AS title")
     doc = head.join(body, "page_id", "left").join(links_md, "page_id", "left") \
               .join(actions_md, "page_id", "left").join(warn, "page_id", "left")
@@ -473,42 +532,49 @@ def content_markdown(pages: DataFrame, title_col: bool = True, materialize: bool
     header = (f"concat('# ', {htext}, '\\n\\n', "
               "'URL: ', url, '\\n', 'Final URL: ', url, '\\n', CASE WHEN title != '' THEN concat('Title: ', title, '\\n') ELSE '' END, "
               "'Ready State: complete\\n\\n## Visible Content\\n\\n')")
-    md = (f"concat({header}, coalesce(flow_md, '_No visible composed content captured._\\n'), '\\n', "
-          "coalesce(links_md, ''), '\\n', coalesce(actions_md, ''), '\\n', coalesce(warnings_md, ''))")
-    return doc.selectExpr("page_id", f"substring(regexp_replace({md}, '\\n{{3,}}', '\\n\\n'), 1, {MARKDOWN_CUT}) AS markdown")
+    md = (f"concat_ws('\\n', concat({header}, coalesce(flow_md, '_No visible composed content captured._')), "
+          "links_md, actions_md, warnings_md)")
+    md = f"regexp_replace({md}, '\\n{{3,}}', '\\n\\n')"
+    return doc.selectExpr("page_id", f"{md if limits.markdown is None else f'substring({md}, 1, {limits.markdown})'} AS markdown")
 
 
-def content_json(pages: DataFrame, materialize: bool = True) -> DataFrame:
+def content_json(pages: DataFrame, materialize: bool = True, limits: Limits = NO_LIMITS) -> DataFrame:
     """One nested document per page: schema_version, page, sections
     (with their paragraphs and links), items, tables, links, actions,
     warnings. Each array is one ``collect_list`` per page; the parts are
     joined on ``page_id`` (all derived from the same page partitioning)."""
     ft, ent = shared_flow(pages, materialize)
-    secs = sections(pages, ent)
-    paras = flow(ent).where("ekind = 'paragraph'").groupBy("page_id", "section_no").agg(F.expr(
+    secs = sections(pages, ent, limits)
+    paras = flow(ent, limits).where("ekind = 'paragraph'").groupBy("page_id", "section_no").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', epos, 't', text))), _x -> _x.t) AS text"))
-    s = secs.join(paras, ["page_id", "section_no"], "left").groupBy("page_id").agg(F.expr(
+    slinks = section_links(pages, ent, limits).groupBy("page_id", "section_no").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', epos, 'text', text, 'absolute_url', absolute_url))), "
+        "_x -> named_struct('text', _x.text, 'absolute_url', _x.absolute_url)) AS links"))
+    s = secs.join(paras, ["page_id", "section_no"], "left").join(slinks, ["page_id", "section_no"], "left").groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', section_no, 'heading', heading, 'level', level, "
-        "'text', coalesce(text, array())))), _x -> named_struct('heading', _x.heading, 'level', _x.level, 'text', _x.text)) AS sections"))
-    ln = links_from_entries(ent).groupBy("page_id").agg(F.expr(
+        "'text', coalesce(text, array()), 'links', coalesce(links, array())))), "
+        "_x -> named_struct('heading', _x.heading, 'level', _x.level, 'text', _x.text, 'links', _x.links)) AS sections"))
+    ln = links_from_entries(ent, limits).groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', link_no, 'text', text, 'url', url, 'absolute_url', absolute_url, "
         "'same_site', same_site, 'visible', visible, 'source_section', source_section, 'kind', kind))), "
         "_x -> named_struct('text', _x.text, 'url', _x.url, 'absolute_url', _x.absolute_url, 'same_site', _x.same_site, "
         "'visible', _x.visible, 'source_section', _x.source_section, 'kind', _x.kind)) AS links"))
-    ac = actions_from_entries(ent).groupBy("page_id").agg(F.expr(
+    ac = actions_from_entries(ent, limits).groupBy("page_id").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('o', action_no, 'text', text, 'kind', kind, 'visible', visible, "
         "'source_section', source_section, 'absolute_url', absolute_url))), _x -> named_struct('text', _x.text, 'kind', _x.kind, "
         "'visible', _x.visible, 'source_section', _x.source_section, 'absolute_url', _x.absolute_url)) AS actions"))
-    tb = tables_from_entries(ent).groupBy("page_id", "table_no", "caption", "source_section").agg(F.expr(
+    tb = tables_from_tokens(ft, ent, limits).groupBy("page_id", "table_no", "caption", "source_section").agg(F.expr(
         "transform(array_sort(collect_list(named_struct('r', row_no, 'c', cells))), _x -> _x.c) AS rows")) \
         .groupBy("page_id").agg(F.expr(
             "transform(array_sort(collect_list(named_struct('o', table_no, 'caption', caption, 'rows', rows, 'source_section', source_section))), "
             "_x -> named_struct('caption', _x.caption, 'rows', _x.rows, 'source_section', _x.source_section)) AS tables"))
-    it = items(pages, _entries=ent).groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text)))), "
-        "_x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text)) AS items"))
-    wr = content_warnings(pages, ent, ft).groupBy("page_id").agg(F.expr(
-        "collect_list(named_struct('code', code, 'detail', detail)) AS warnings"))
+    it = items(pages, limits, _entries=ent).groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text), "
+        "'source_section', source_section))), _x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text, "
+        "'source_section', _x.source_section)) AS items"))
+    wr = content_warnings(pages, ent, ft, limits).groupBy("page_id").agg(F.expr(
+        "transform(array_sort(collect_list(named_struct('o', warning_no, 'code', code, 'detail', detail))), "
+        "_x -> named_struct('code', _x.code, 'detail', _x.detail)) AS warnings"))
     head = pages.selectExpr("page_id", "named_struct('url', url, 'final_url', url, 'title', "
                                        f"{page_title_sql()}, 'ready_state', 'complete', 'capture', 'browser_composed_content') AS page")
     doc = head
@@ -539,9 +605,9 @@ def inline_frame_flow(pages: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def first_heading(pages: DataFrame, cut: int = ITEM_HEADING_CUT) -> DataFrame:
+def first_heading(pages: DataFrame, cut: int | None = None) -> DataFrame:
     """The first visible heading with text in each page (headings in
-    tables count; hidden ones do not), cut at ``cut`` characters."""
+    tables count; hidden ones do not), cut at ``cut`` characters if given."""
     ent = content_entries(pages, kinds=("heading",))
     h = ent.where("ekind = 'heading' AND text != ''")
-    return h.groupBy("page_id").agg(F.expr(f"min_by({truncate_sql('text', cut)}, epos) AS first_heading"))
+    return h.groupBy("page_id").agg(F.expr(f"min_by({cut_sql('text', cut)}, epos) AS first_heading"))

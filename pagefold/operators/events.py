@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagefold.functions.core import lit
-from pagefold.functions.redact import redact_headers_sql, redact_userinfo_sql
+from pagefold.functions.redact import SECRET_MASK, masked_sql, redact_headers_sql, redact_userinfo_sql
 from pagefold.operators import scan
-from pagefold.plans.sizing import maybe_broadcast
 
 # --- fixed values ----------------------------------------------------------
 SENT = "Network.requestWillBeSent"
@@ -48,6 +47,7 @@ EVENT_SCHEMA = [
     ("redirect_status", "int"), ("status", "int"), ("mime_type", "string"), ("response_headers", "string"),
     ("protocol", "string"), ("remote_address", "string"), ("timestamp_ms", "bigint"),
     ("encoded_data_length", "bigint"), ("error_text", "string"),
+    ("frame_id", "string"), ("loader_id", "string"), ("initiator", "string"),
 ]
 KEY = ["session_id", "request_id"]
 
@@ -60,47 +60,67 @@ def conform_events(df: DataFrame) -> DataFrame:
     return df.selectExpr(*cols, *extra)
 
 
-def _fold_aggs(prefix: str = "") -> list[str]:
-    """Aggregates folding one request slot (events from its send on)."""
-    m = "method"
+def _fold_fields() -> list[tuple[str, str, str]]:
+    """(field, value, events that set it) of one request slot."""
+    sent, responded, finished, failed = (f"method = '{m}'" for m in (SENT, RESPONDED, FINISHED, FAILED))
     return [
-        f"max_by(CASE {m} WHEN '{SENT}' THEN 'pending' WHEN '{RESPONDED}' THEN 'responded' "
-        f"WHEN '{FINISHED}' THEN 'finished' WHEN '{FAILED}' THEN 'failed' END, seq) "
-        f"FILTER (WHERE {m} IN ('{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}')) AS state",
-        f"max_by(coalesce(resource_type, 'Other'), seq) FILTER (WHERE {m} = '{SENT}') AS resource_type",
-        f"max_by(coalesce(url, ''), seq) FILTER (WHERE {m} = '{SENT}') AS url",
-        f"max_by(coalesce(http_method, 'GET'), seq) FILTER (WHERE {m} = '{SENT}') AS http_method",
-        f"max_by(timestamp_ms, seq) FILTER (WHERE {m} = '{SENT}') AS start_ms",
-        f"max_by(coalesce(has_redirect, false), seq) FILTER (WHERE {m} = '{SENT}') AS has_redirect",
-        f"max_by(status, seq) FILTER (WHERE {m} = '{RESPONDED}') AS status",
-        f"max_by(mime_type, seq) FILTER (WHERE {m} = '{RESPONDED}' AND mime_type IS NOT NULL) AS mime_type",
-        f"max_by(protocol, seq) FILTER (WHERE {m} = '{RESPONDED}' AND protocol IS NOT NULL) AS protocol",
-        f"max_by(remote_address, seq) FILTER (WHERE {m} = '{RESPONDED}' AND remote_address IS NOT NULL) AS remote_address",
-        f"max_by(timestamp_ms, seq) FILTER (WHERE {m} = '{FINISHED}') AS end_ms",
-        f"max_by(encoded_data_length, seq) FILTER (WHERE {m} = '{FINISHED}' AND encoded_data_length IS NOT NULL) AS encoded_data_length",
-        f"max_by(coalesce(error_text, ''), seq) FILTER (WHERE {m} = '{FAILED}') AS failure",
-        f"coalesce(bool_or({m} = '{CACHED}'), false) AS served_from_cache",
-        f"max_by(post_data, seq) FILTER (WHERE {m} = '{SENT}') AS post_data",
-        f"max_by(request_headers, seq) FILTER (WHERE {m} = '{SENT}') AS request_headers",
-        f"max_by(response_headers, seq) FILTER (WHERE {m} = '{RESPONDED}') AS response_headers",
+        ("state", f"CASE method WHEN '{SENT}' THEN 'pending' WHEN '{RESPONDED}' THEN 'responded' WHEN '{FINISHED}' THEN 'finished' "
+                  f"ELSE 'failed' END", f"method IN ('{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}')"),
+        ("resource_type", "coalesce(resource_type, 'Other')", sent),
+        ("url", "coalesce(url, '')", sent),
+        ("http_method", "coalesce(http_method, 'GET')", sent),
+        ("start_ms", "timestamp_ms", sent),
+        ("has_redirect", "coalesce(has_redirect, false)", sent),
+        ("status", "status", responded),
+        ("mime_type", "mime_type", f"{responded} AND mime_type IS NOT NULL"),
+        ("protocol", "protocol", f"{responded} AND protocol IS NOT NULL"),
+        ("remote_address", "remote_address", f"{responded} AND remote_address IS NOT NULL"),
+        ("end_ms", "timestamp_ms", finished),
+        ("encoded_data_length", "encoded_data_length", f"{finished} AND encoded_data_length IS NOT NULL"),
+        ("failure", "coalesce(error_text, '')", failed),
+        ("post_data", "post_data", sent),
+        ("frame_id", "frame_id", sent),
+        ("loader_id", "loader_id", sent),
+        ("initiator", "initiator", sent),
+        ("request_headers", "request_headers", sent),
+        ("response_headers", "response_headers", responded),
     ]
 
 
-def network_entries(events: DataFrame) -> DataFrame:
+def slot_states(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The slot of each key as one associative aggregate: every field keeps its
+    last value together with that event's ``seq``. Events may come in any order
+    and combine map-side; no join, and no task holds a hot key. The same
+    aggregate runs on a stream."""
+    return events.groupBy(*keys).agg(
+        F.expr(f"max(seq) FILTER (WHERE method = '{SENT}') AS _send"),
+        F.expr(f"count_if(method = '{SENT}') AS n_sends"),
+        F.expr("count(*) AS n_events"),
+        F.expr(f"max(seq) FILTER (WHERE method = '{CACHED}') AS _cached"),
+        *[F.expr(f"max_by(struct(seq AS q, {value} AS v), seq) FILTER (WHERE {when}) AS {name}") for name, value, when in _fold_fields()])
+
+
+def slot_entries(states: DataFrame, keys: list[str] = KEY, redact: bool = True) -> DataFrame:
+    """Entries of slot states: what is older than the last send belongs to an
+    earlier slot and becomes NULL; keys without a send vanish."""
+    cols = []
+    for name, _, _ in _fold_fields():
+        value = f"CASE WHEN {name}.q >= _send THEN {name}.v END"
+        if name.endswith("_headers"):
+            value = header_map_sql(value)
+            value = redact_headers_sql(value) if redact else value
+        cols.append(f"{value} AS {name}")
+    out = states.where("_send IS NOT NULL").selectExpr(*keys, *cols, "coalesce(_cached >= _send, false) AS served_from_cache", "n_sends")
+    return out.selectExpr("*", "CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id", f"{str(redact).lower()} AS redacted")
+
+
+def network_entries(events: DataFrame, redact: bool = True) -> DataFrame:
     """One row per (session, request): the fold of its last send's slot.
 
-    ``requestWillBeSent`` replaces the slot, so only events from the key's
-    last send on matter: a per-key ``max(seq)`` of sends is joined back
-    (broadcast when its measured size allows, otherwise an equi-join that
-    AQE splits when a key is skewed), then one partial aggregation folds
-    the slot with ``max_by(field, seq)``. Keys without a send vanish.
+    ``requestWillBeSent`` replaces the slot; keys without a send vanish.
+    Header maps come with credential values redacted unless ``redact`` is off.
     """
-    e = conform_events(events)
-    last = e.where(f"method = '{SENT}'").groupBy(*KEY).agg(
-        F.expr("max(seq) AS _last_send"), F.expr("count(*) AS n_sends"))
-    slot = e.join(maybe_broadcast(last), KEY).where("seq >= _last_send")
-    out = slot.groupBy(*KEY).agg(*[F.expr(a) for a in _fold_aggs()], F.expr("first(n_sends) AS n_sends"))
-    return out.selectExpr("*", "CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id")
+    return slot_entries(slot_states(conform_events(events)), redact=redact)
 
 
 def main_request(events: DataFrame) -> DataFrame:
@@ -116,7 +136,8 @@ def redirect_hops(events: DataFrame) -> DataFrame:
     Hop numbers are a skew-safe running count of sends per key."""
     e = conform_events(events)
     e = scan.running_sum(e, KEY, "seq", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "hop_no")
-    hops = e.where("hop_no > 0").groupBy(*KEY, "hop_no").agg(*[F.expr(a) for a in _fold_aggs()])
+    keys = [*KEY, "hop_no"]
+    hops = slot_entries(slot_states(e.where("hop_no > 0"), keys), keys)
     nxt = e.where(f"method = '{SENT}'").selectExpr(
         *KEY, "hop_no - 1 AS hop_no", "coalesce(has_redirect, false) AS _next_redirect",
         "redirect_status AS _next_status")
@@ -147,14 +168,17 @@ def header_map_sql(json: str) -> str:
     return f"from_json({json}, 'map<string,string>')"
 
 
-def network_summary(entries: DataFrame, redacted: bool = True) -> DataFrame:
-    """Per-session totals."""
+def network_summary(entries: DataFrame) -> DataFrame:
+    """Per-session totals; ``redacted`` says whether all entries are, and
+    ``captured_body_files`` counts entries with a ``body_file`` (if given)."""
+    files = "count(body_file)" if "body_file" in entries.columns else "CAST(0 AS BIGINT)"
+    flag = "bool_and(redacted)" if "redacted" in entries.columns else "false"
     return entries.groupBy("session_id").agg(*[F.expr(a) for a in [
         "count(*) AS requests_total", "count_if(status IS NOT NULL) AS responses_total",
         "count_if(state = 'finished') AS finished_total",
         "count_if(state = 'failed' OR failure IS NOT NULL) AS failed_total",
         "count_if(state IN ('pending', 'responded')) AS inflight_total_at_capture",
-        "CAST(0 AS BIGINT) AS captured_body_files", f"{str(redacted).lower()} AS redacted"]])
+        f"{files} AS captured_body_files", f"{flag} AS redacted"]])
 
 
 def pending_by_resource_type(entries: DataFrame) -> DataFrame:
@@ -230,7 +254,7 @@ def console_events(events: DataFrame) -> DataFrame:
              "WHEN 'error' THEN 'error' WHEN 'info' THEN 'info' WHEN 'debug' THEN 'debug' ELSE 'log' END")
     ex_text = ("coalesce(get_json_object(exception_json, '$.exception.description'), "
                "get_json_object(exception_json, '$.text'), 'exception')")
-    return c.selectExpr(
+    return c.where(f"method != '{EXCEPTION}' OR exception_json IS NOT NULL").selectExpr(
         "session_id", "seq", "ts_ms",
         f"CASE WHEN method = '{EXCEPTION}' THEN 'exception' ELSE {level} END AS level",
         f"CASE WHEN method = '{EXCEPTION}' THEN {ex_text} ELSE coalesce({text}, '') END AS text",
@@ -268,50 +292,35 @@ def recent_requests(events: DataFrame, cap: int = RECENT_CAP) -> DataFrame:
                         "coalesce(resource_type, '') AS resource_type")
 
 
-def log_tail_sql(text: str) -> list[str]:
-    """Ring of the last 200 lines; summary of the last 20 joined by
-    `` | `` (passwords in URLs masked), last 2000 characters with ``...``."""
+def log_tail_sql(text: str, ring_lines: int = LOG_RING, summary_lines: int = LOG_SUMMARY_LINES,
+                 summary_chars: int = LOG_SUMMARY_CHARS) -> list[str]:
+    """Ring of the last ``ring_lines`` lines; summary of the last
+    ``summary_lines`` joined by `` | `` (passwords in URLs masked), its last
+    ``summary_chars`` characters with ``...``. The tail is the feature."""
     lines = f"CASE WHEN {text} IS NULL OR {text} = '' THEN array() ELSE split(regexp_replace({text}, '\\r?\\n$', ''), '\\r?\\n') END"
-    ring = f"slice({lines}, greatest(size({lines}) - {LOG_RING - 1}, 1), {LOG_RING})"
-    last = f"slice({lines}, greatest(size({lines}) - {LOG_SUMMARY_LINES - 1}, 1), {LOG_SUMMARY_LINES})"
+    ring = f"slice({lines}, greatest(size({lines}) - {ring_lines - 1}, 1), {ring_lines})"
+    last = f"slice({lines}, greatest(size({lines}) - {summary_lines - 1}, 1), {summary_lines})"
     joined = f"array_join(transform({last}, _l -> {redact_userinfo_sql('_l')}), ' | ')"
     return [f"CAST(size({ring}) AS BIGINT) AS lines_kept",
-            f"CASE WHEN length({joined}) > {LOG_SUMMARY_CHARS} THEN concat('...', right({joined}, {LOG_SUMMARY_CHARS})) "
+            f"CASE WHEN length({joined}) > {summary_chars} THEN concat('...', right({joined}, {summary_chars})) "
             f"ELSE {joined} END AS summary"]
 
 
-def redact_secret_fields(df: DataFrame, mask: str = "***") -> DataFrame:
-    """Every field whose name ends in ``_secret`` (nested structs too)
-    is replaced by ``mask``. The schema walk happens on the driver; the
-    rewrite is one native projection."""
-    from pyspark.sql.types import StructType
-
-    def rebuild(path: str, dtype):
-        if isinstance(dtype, StructType):
-            parts = []
-            for f in dtype.fields:
-                sub = f"{path}.`{f.name}`"
-                expr = f"CAST({lit(mask)} AS STRING)" if f.name.endswith("_secret") else rebuild(sub, f.dataType)
-                parts.append(f"{lit(f.name)}, {expr}")
-            return f"CASE WHEN {path} IS NULL THEN NULL ELSE named_struct({', '.join(parts)}) END"
-        return path
-
-    cols = []
-    for f in df.schema.fields:
-        if f.name.endswith("_secret"):
-            cols.append(f"CAST({lit(mask)} AS STRING) AS `{f.name}`")
-        elif isinstance(f.dataType, StructType):
-            cols.append(f"{rebuild('`' + f.name + '`', f.dataType)} AS `{f.name}`")
-        else:
-            cols.append(f"`{f.name}`")
+def redact_secret_fields(df: DataFrame, mask: str = SECRET_MASK) -> DataFrame:
+    """Every field whose name ends in ``_secret`` is replaced by ``mask``,
+    in nested structs, arrays and string-keyed maps too. The schema walk
+    happens on the driver; the rewrite is one native projection."""
+    cols = [f"CAST({lit(mask)} AS STRING) AS `{f.name}`" if f.name.endswith("_secret") else
+            f"{masked_sql('`' + f.name + '`', f.dataType, mask)} AS `{f.name}`" for f in df.schema.fields]
     return df.selectExpr(*cols)
 
 
 def download_navigations(events: DataFrame) -> DataFrame:
     """Sessions whose navigation became a download: a browser-level
     downloadWillBegin, a page-level one in the same session, or an
-    ``is_download`` flag; a lone ERR_ABORTED is not a download."""
-    e = events.selectExpr("*", f"method IN ('{DOWNLOAD}', '{PAGE_DOWNLOAD}') OR coalesce(is_download, false) AS _dl")
+    ``is_download`` flag; a lone ERR_ABORTED is not a download. Browser-level
+    events without a session are left out."""
+    e = events.where("session_id IS NOT NULL").selectExpr("*", f"method IN ('{DOWNLOAD}', '{PAGE_DOWNLOAD}') OR coalesce(is_download, false) AS _dl")
     return e.groupBy("session_id").agg(F.expr("bool_or(_dl) AS is_download"))
 
 

@@ -27,7 +27,6 @@ BLOCK_TAGS = ["address", "article", "aside", "blockquote", "body", "dd", "detail
               "footer", "form", "header", "hr", "li", "main", "nav", "ol", "p",
               "pre", "section", "summary", "ul"]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-MAX_TEXT_CHARS = 200000
 # --- end fixed values -------------------------------------------------------
 
 # Possessive quantifiers keep Java's regex from recursing on long tags.
@@ -62,22 +61,12 @@ def page_partitions(pages: DataFrame) -> int:
     An explicit count keeps AQE from coalescing this exchange into a handful
     of partitions: the stage after it is CPU-bound (regex tokenizing and
     per-page windows), so it needs every core. It is at least the shuffle
-    partition setting and twice the cores, and grows with the input so
-    each task gets about one scan split of pages
-    (``spark.sql.files.maxPartitionBytes`` of the estimated input, taken
-    from the optimizer's statistics without running a job).
+    partition setting and twice the cores; pass ``num_partitions`` to
+    ``by_page`` (or bucket the page table) for inputs that need more.
     """
-    from pagefold.plans.sizing import estimated_bytes
     spark = pages.sparkSession
     conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    split = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).lower().rstrip("b")
-    try:
-        split_bytes = int(split)
-    except ValueError:
-        split_bytes = 128 * 1024 * 1024
-    est = estimated_bytes(pages) or 0
-    by_size = -(-est // max(split_bytes, 1))
-    return int(max(conf, 2 * spark.sparkContext.defaultParallelism, by_size))
+    return max(conf, 2 * spark.sparkContext.defaultParallelism)
 
 
 def strip_raw_sql(html: str) -> str:
@@ -158,10 +147,11 @@ ITEM_SIGNATURE = r"(?i)card|product|plan|pricing|package|server|tile|box"
 
 
 def is_card_candidate_sql() -> str:
-    """``article``, ``li`` or id/class/role matching the card signature; not body/main."""
+    """``article``, ``li`` or id/class/role matching the card signature; not
+    body/main, nor what the walk consumes before it looks for cards."""
     sig = (f"concat_ws(' ', coalesce({attr_sql('id', False)}, ''), coalesce({attr_sql('class', False)}, ''), "
            f"coalesce({attr_sql('role', False)}, ''))")
-    return f"(tag NOT IN ('body', 'main') AND (tag IN ('article', 'li') OR {sig} RLIKE {lit(ITEM_SIGNATURE)}))"
+    return f"(tag NOT IN ('body', 'main', 'table', 'iframe', 'br', {sql_list(HEADING_TAGS)}) AND (tag IN ('article', 'li') OR {sig} RLIKE {lit(ITEM_SIGNATURE)}))"
 
 
 def _cover_conds() -> dict[str, str]:

@@ -181,13 +181,12 @@ def site_key(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFram
     broadcast only behind a size check. IPs and suffix-only hosts map to the
     host; a URL without a host yields NULL with ``invalid_argument``.
     """
-    from pagefold.plans.sizing import maybe_broadcast
     h = urls.selectExpr("*", f"regexp_replace({url_host_sql(url)}, '\\\\.$', '') AS _host")
     hosts = h.select("_host").where("_host != ''").distinct()
     ex = hosts.selectExpr("_host", "split(_host, '\\\\.') AS _labels") \
               .selectExpr("_host", "_labels", "posexplode(_labels) AS (_i, _l)") \
               .selectExpr("_host", "_labels", "_i", "array_join(slice(_labels, _i + 1, size(_labels)), '.') AS _suffix")
-    sfx = maybe_broadcast(suffixes.selectExpr("lower(suffix) AS _suffix").distinct())
+    sfx = suffixes.selectExpr("lower(suffix) AS _suffix").distinct()
     best = ex.join(sfx, "_suffix", "left_semi").groupBy("_host").agg(
         F.expr("max_by(_i, length(_suffix)) AS _best_i"))
     ip = "(_host RLIKE '^[0-9.]+$' OR startswith(_host, '['))"
@@ -196,7 +195,7 @@ def site_key(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFram
         "_host",
         f"CASE WHEN {ip} THEN _host WHEN coalesce(_best_i, size({labels}) - 1) = 0 THEN _host "
         f"ELSE array_join(slice({labels}, coalesce(_best_i, size({labels}) - 1), size({labels})), '.') END AS site_key")
-    out = h.join(maybe_broadcast(site), "_host", "left")
+    out = h.join(site, "_host", "left")
     return out.selectExpr(*urls.columns, "site_key",
                           "CASE WHEN _host = '' THEN 'invalid_argument' END AS site_key_error")
 

@@ -28,6 +28,17 @@ ACTION_NAV = [
     '<input type="button" title="Help"><a role="button" href="/go">Go</a><button aria-label="Close"> </button>',
     '',
 ]
+# frame_pages: iframes put after </article> by page_id % 5 (0: the page itself;
+# 2: an empty page instead).
+FRAME_CROSS = '<iframe src="https://frames.example.org/x"></iframe>'
+FRAME_MISSING = '<p>before</p><iframe src="/not-captured"></iframe><p>after</p>'
+# table_pages: a table put after </article> by page_id % 3.
+NESTED_TABLES = [
+    '<table class="pricing-table"><caption>Outer</caption><tr><td>A<table><caption>Inner</caption><tr><td>B</td></tr></table>C</td><td>D</td></tr></table>',
+    '<table><tr><th>H</th></tr><tr><td> </td><td>x<table><tr><td>y<table><tr><td>z</td></tr></table></td></tr></table></td></tr></table>',
+    '<h2 class="product-title">Boxes</h2><table><tr hidden><td>gone</td></tr><tr><td>kept</td></tr></table>',
+]
+EMPTY_PAGE = '<html><body> </body></html>'
 # --- end fixed values -------------------------------------------------------
 
 
@@ -52,3 +63,13 @@ def href_forms_values() -> str:
 
 def action_pages_html() -> str:
     return f"replace(html, '</nav>', concat('</nav>', {_case('page_id', ACTION_NAV, 3)}))"
+
+
+def frame_pages_html() -> str:
+    return (f"CASE page_id % 5 WHEN 2 THEN '{EMPTY_PAGE}' ELSE replace(html, '</article>', concat('</article>', CASE page_id % 5 "
+            f"WHEN 0 THEN concat('<iframe src=\"', url, '\"></iframe>') WHEN 1 THEN '{FRAME_CROSS}' "
+            f"WHEN 3 THEN '{FRAME_MISSING}' ELSE '' END)) END")
+
+
+def table_pages_html() -> str:
+    return f"replace({link_pages_html()}, '</article>', concat('</article>', {_case('page_id', NESTED_TABLES, 3)}))"

@@ -246,7 +246,7 @@ _n1 AS (SELECT page_id, url, ekind, ekey, CASE WHEN ekind = 'paragraph' THEN _pp
           coalesce(_walked = 1, ekind = 'paragraph') AS walked, in_nav, in_footer, table_pos, tr_pos,
           {join_pieces('_pieces')} AS text FROM _n0 WHERE ekind = 'paragraph' OR tag IS NOT NULL),
 ent AS (SELECT *, CAST(sum(CAST({is_head} AS INT)) OVER {w} AS BIGINT) AS section_no,
-          coalesce(last_value(CASE WHEN {is_head} THEN {trunc('text', 1000)} END IGNORE NULLS) OVER {w}, 'Page') AS section_heading
+          coalesce(last_value(CASE WHEN {is_head} THEN text END IGNORE NULLS) OVER {w}, 'Page') AS section_heading
         FROM _n1),
 _fl0 AS (SELECT *, ekind = 'paragraph' AND coalesce(lag(ekind) OVER (PARTITION BY page_id ORDER BY epos) = 'paragraph'
           AND lag(text) OVER (PARTITION BY page_id ORDER BY epos) = text, false) AS _dup
@@ -254,8 +254,7 @@ _fl0 AS (SELECT *, ekind = 'paragraph' AND coalesce(lag(ekind) OVER (PARTITION B
 _fl1 AS (SELECT *, coalesce(sum(CASE WHEN ekind = 'paragraph' THEN length(text) + 1 ELSE 0 END)
           OVER (PARTITION BY page_id ORDER BY epos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS emitted_before
         FROM _fl0 WHERE NOT _dup),
-flow AS (SELECT * REPLACE (CASE WHEN ekind = 'paragraph' THEN {trunc('text', '200000 - emitted_before')} ELSE text END AS text)
-        FROM _fl1 WHERE ekind != 'paragraph' OR emitted_before < 200000)
+flow AS (SELECT * FROM _fl1)
 """
 
 
@@ -277,13 +276,13 @@ def link_rows_sql() -> str:
     res = resolve_stage_sql(f"SELECT * FROM ({src}) WHERE url_raw IS NOT NULL", "url", "url_raw", "absolute_url")
     full = norm(f"coalesce(nullif(text, ''), nullif({attr('aria-label')}, ''), nullif({attr('title')}, ''), url_raw)")
     s1 = f"SELECT *, {full} AS full_text, {same_site('absolute_url', 'url')} AS same_site FROM ({res}) WHERE absolute_url IS NOT NULL"
-    lt = trunc("(CASE WHEN full_text != '' THEN full_text ELSE absolute_url END)", 240)
+    lt = "(CASE WHEN full_text != '' THEN full_text ELSE absolute_url END)"
     return (f"SELECT *, {link_kind('full_text', 'absolute_url', 'in_footer', 'in_nav', 'same_site')} AS kind, "
             f"{lt} AS link_text FROM ({s1})")
 
 
-def links_sql(cap: int = 1000) -> str:
+def links_sql() -> str:
     s1 = f"SELECT *, row_number() OVER (PARTITION BY page_id, absolute_url, link_text ORDER BY epos) AS _rn FROM ({link_rows_sql()})"
     s2 = f"SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS link_no FROM ({s1}) WHERE _rn = 1"
     return (f"SELECT page_id, CAST(link_no AS BIGINT) AS link_no, link_text AS text, url_raw AS url, absolute_url, same_site, "
-            f"true AS visible, section_heading AS source_section, section_no, kind FROM ({s2}) WHERE link_no < {cap}")
+            f"true AS visible, section_heading AS source_section, section_no, kind FROM ({s2})")

@@ -9,7 +9,7 @@ from pagefold.functions.url import resolve_url_sql, same_site_sql
 from pagefold.operators import content as C
 from pagefold.operators import html as H
 from pagefold.plans import duck as D
-from pagefold.plans.adapters import href_forms_values, link_pages_html
+from pagefold.plans.adapters import href_forms_values, link_pages_html, table_pages_html
 from pagefold.plans.registry import register
 
 
@@ -46,7 +46,7 @@ def t3(t):
 
 @register("t4_visible_text", f"""WITH {D.tokens_cte()},
 _v AS (SELECT page_id, pos, {D.text_piece()} AS piece FROM et WHERE in_hidden = 0 AND in_iframe = 0)
-SELECT page_id, substr({D.join_pieces("coalesce(list({'pos': pos, 'piece': piece}) FILTER (WHERE piece IS NOT NULL), [])")}, 1, 200000) AS text
+SELECT page_id, {D.join_pieces("coalesce(list({'pos': pos, 'piece': piece}) FILTER (WHERE piece IS NOT NULL), [])")} AS text
 FROM _v GROUP BY page_id""")
 def t4(t):
     """Visible text per page (text nodes joined by one space)."""
@@ -71,7 +71,7 @@ def t6(t):
 @register("t7_sections", f"""WITH {D.tokens_cte()}, {D.flow_cte()},
 _l AS ({D.link_rows_sql()})
 SELECT DISTINCT page_id, section_no, heading, level FROM (
-  SELECT page_id, section_no, {D.trunc('text', 1000)} AS heading, CAST(substr(tag, 2, 1) AS INTEGER) AS level
+  SELECT page_id, section_no, text AS heading, CAST(substr(tag, 2, 1) AS INTEGER) AS level
     FROM ent WHERE ekind = 'heading' AND walked AND text != ''
   UNION ALL SELECT page_id, section_no, 'Page', 1 FROM ent WHERE ekind = 'paragraph' AND text != '' AND section_no = 0
   UNION ALL SELECT page_id, section_no, 'Page', 1 FROM _l WHERE section_no = 0)""")
@@ -145,11 +145,11 @@ SELECT page_id, count(*) AS n_links, CAST(count_if(same_site) AS BIGINT) AS n_sa
 FROM _l GROUP BY page_id""")
 def t14(t):
     """Per-page link counts by scope and kind, and links omitted past 200."""
-    return C.link_scope_counts(_link_pages(t))
+    return C.link_scope_counts(_link_pages(t), listed=200)
 
 
-@register("t16_items", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()},
-_c AS (SELECT page_id AS c_page, pos AS start, "end" FROM ft WHERE kind = 'open' AND walked AND tag NOT IN ('body', 'main') AND
+@register("t16_items", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()},
+_c AS (SELECT page_id AS c_page, pos AS start, "end" FROM ft WHERE kind = 'open' AND walked AND tag NOT IN ('body', 'main', 'table', 'iframe', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND
        (tag IN ('article', 'li') OR regexp_matches(concat_ws(' ', coalesce({D.attr('id', False)}, ''), coalesce({D.attr('class', False)}, ''),
         coalesce({D.attr('role', False)}, '')), '(?i)card|product|plan|pricing|package|server|tile|box'))),
 _j AS (SELECT * FROM _c JOIN (SELECT page_id, pos, piece, in_heading, heading_pos FROM ft WHERE piece IS NOT NULL) p
@@ -158,8 +158,8 @@ _a AS (SELECT page_id, start, "end", list({{'pos': pos, 'piece': piece}}) AS _al
        FROM _j GROUP BY page_id, start, "end"),
 _h AS (SELECT page_id, start, heading_pos AS hpos, list({{'pos': pos, 'piece': piece}}) AS _h FROM _j WHERE in_heading > 0
        GROUP BY page_id, start, heading_pos),
-_b AS (SELECT _a.page_id, _a.start, _a."end", {D.trunc(D.join_pieces('_all'), 1200)} AS text,
-       CASE WHEN _h._h IS NOT NULL THEN {D.trunc(D.join_pieces('_h._h'), 200)} END AS htext
+_b AS (SELECT _a.page_id, _a.start, _a."end", {D.join_pieces('_all')} AS text,
+       CASE WHEN _h._h IS NOT NULL THEN {D.join_pieces('_h._h')} END AS htext
        FROM _a LEFT JOIN _h ON _a.page_id = _h.page_id AND _a.start = _h.start AND _a.hpos = _h.hpos),
 _o AS (SELECT *, max("end") OVER (PARTITION BY page_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _me
        FROM _b WHERE length(text) >= 20),
@@ -169,12 +169,13 @@ _t AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE
 _u AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE {D.trunc('_title0', 120)} END AS title FROM _t),
 _d AS (SELECT *, row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn FROM _u),
 _n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS item_no FROM _d WHERE _rn = 1)
-SELECT page_id, CAST(item_no AS BIGINT) AS item_no, 'card' AS kind, {D.trunc('title', 160)} AS title, text,
-       CAST(start AS BIGINT) AS start FROM _n WHERE item_no < 300""")
+SELECT page_id, CAST(item_no AS BIGINT) AS item_no, 'card' AS kind, title, text, CAST(start AS BIGINT) AS start,
+       coalesce((SELECT arg_max(h.text, h.epos) FROM ent h WHERE h.page_id = _n.page_id AND h.ekind = 'heading' AND h.walked
+                 AND h.text != '' AND h.epos < _n.start), 'Page') AS source_section FROM _n""")
 def t16(t):
     """Card items (article / li / card-like), outermost accepted only."""
-    return C.items(_link_pages(t)).selectExpr("page_id", "item_no", "kind", "title", "text",
-                                              "CAST(start AS BIGINT) AS start")
+    return C.items(_table_pages(t)).selectExpr("page_id", "item_no", "kind", "title", "text",
+                                              "CAST(start AS BIGINT) AS start", "source_section")
 
 
 @register("t17_first_line", f"""
@@ -221,35 +222,44 @@ _ACT_KIND = (f"CASE WHEN tag = 'a' THEN 'link' WHEN tag = 'input' THEN coalesce(
 _a0 AS (SELECT page_id, epos, section_heading, {_ACT_TEXT} AS full_text, {_ACT_KIND} AS kind, url, tag,
         CASE WHEN tag = 'a' THEN {D.href_sql()} END AS href FROM ent WHERE ekind = 'action' AND walked),
 _a1 AS ({D.resolve_stage_sql("SELECT * FROM _a0 WHERE full_text != ''", 'url', 'href', 'absolute_url')}),
-_a2 AS (SELECT *, {D.trunc('full_text', 240)} AS text FROM _a1),
+_a2 AS (SELECT *, full_text AS text FROM _a1),
 _a3 AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind, text, absolute_url ORDER BY epos) AS _rn FROM _a2),
 _a4 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS action_no FROM _a3 WHERE _rn = 1)
 SELECT page_id, CAST(action_no AS BIGINT) AS action_no, text, kind, absolute_url, true AS visible,
-       section_heading AS source_section FROM _a4 WHERE action_no < 500""")
+       section_heading AS source_section FROM _a4""")
 def t15(t):
     """Buttons, role=button and button-like inputs of action_pages; dedupe (kind, text, url)."""
     return C.actions(_action_pages(t))
 
 
-@register("t19_tables", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()},
-_c AS (SELECT page_id, table_pos, tr_pos, epos, {D.trunc('text', 1000)} AS text FROM ent WHERE ekind = 'cell' AND text != ''),
-_r0 AS (SELECT page_id, table_pos, tr_pos, array_to_string(list(text ORDER BY epos), ' | ') AS cells, min(epos) AS rpos FROM _c GROUP BY ALL),
-_r AS (SELECT *, row_number() OVER (PARTITION BY page_id, table_pos ORDER BY rpos) - 1 AS row_no FROM _r0),
-_tb0 AS (SELECT page_id, epos AS table_pos, section_heading FROM ent WHERE ekind = 'table' AND walked
-        AND EXISTS (SELECT 1 FROM _r0 WHERE _r0.page_id = ent.page_id AND _r0.table_pos = ent.epos)),
-_tb AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY table_pos) - 1 AS table_no FROM _tb0),
-_cap AS (SELECT page_id, table_pos, arg_min({D.trunc('text', 300)}, epos) AS caption FROM ent WHERE ekind = 'caption' GROUP BY ALL)
-SELECT _tb.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, cells, coalesce(caption, '') AS caption,
+def _table_pages(t):
+    return t("pages").selectExpr("page_id", "url", f"{table_pages_html()} AS html")
+
+
+@register("t19_tables", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()},
+_o AS (SELECT page_id, pos, "end", tag, walked FROM ft WHERE kind = 'open' AND in_table > 0 AND tag IN ('table', 'tr', 'td', 'th', 'caption')),
+_t AS (SELECT o.page_id, o.pos, o.tag, {D.join_pieces("list({'pos': p.pos, 'piece': p.piece})")} AS text
+       FROM _o o JOIN ft p ON p.page_id = o.page_id AND p.pos BETWEEN o.pos AND o."end" WHERE p.piece IS NOT NULL GROUP BY ALL),
+_r AS (SELECT r.page_id, r.pos, array_to_string(list(c.text ORDER BY c.pos), ' | ') AS cells
+       FROM _o r JOIN _t c ON c.page_id = r.page_id AND c.pos BETWEEN r.pos AND r."end"
+       WHERE r.tag = 'tr' AND c.tag IN ('td', 'th') AND c.text != '' GROUP BY r.page_id, r.pos),
+_b AS (SELECT b.page_id, b.pos AS table_pos, r.cells, row_number() OVER (PARTITION BY b.page_id, b.pos ORDER BY r.pos) - 1 AS row_no,
+       dense_rank() OVER (PARTITION BY b.page_id ORDER BY b.pos) - 1 AS table_no
+       FROM _o b JOIN _r r ON r.page_id = b.page_id AND r.pos BETWEEN b.pos AND b."end" WHERE b.tag = 'table' AND b.walked),
+_cap AS (SELECT b.page_id, b.pos AS table_pos, arg_min(c.text, c.pos) AS caption FROM _o b JOIN _t c ON c.page_id = b.page_id
+         AND c.pos BETWEEN b.pos AND b."end" WHERE b.tag = 'table' AND b.walked AND c.tag = 'caption' AND c.text != '' GROUP BY ALL),
+_hd AS (SELECT page_id, epos, section_heading FROM ent WHERE ekind = 'table')
+SELECT _b.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, cells, coalesce(caption, '') AS caption,
        section_heading AS source_section
-FROM _tb JOIN _r USING (page_id, table_pos) LEFT JOIN _cap USING (page_id, table_pos) WHERE table_no < 100 AND row_no < 100""")
+FROM _b LEFT JOIN _cap USING (page_id, table_pos) JOIN _hd ON _hd.page_id = _b.page_id AND _hd.epos = table_pos""")
 def t19(t):
-    """Table rows of link_pages (cells joined by ' | '), ragged rows kept."""
-    return C.table_cells(_link_pages(t)).selectExpr("page_id", "table_no", "row_no", "array_join(cells, ' | ') AS cells",
-                                                    "caption", "source_section")
+    """Table rows of table_pages (cells joined by ' | '), nested tables included."""
+    return C.table_cells(_table_pages(t)).selectExpr("page_id", "table_no", "row_no", "array_join(cells, ' | ') AS cells",
+                                                     "caption", "source_section")
 
 
 @register("t18_first_heading", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()}
-SELECT page_id, arg_min({D.trunc('text', 200)}, epos) AS first_heading FROM ent
+SELECT page_id, arg_min(text, epos) AS first_heading FROM ent
 WHERE ekind = 'heading' AND text != '' GROUP BY page_id""")
 def t18(t):
     """First visible non-empty heading of every link_pages page."""

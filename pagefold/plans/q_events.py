@@ -46,6 +46,8 @@ def cap_events_select(k: str, ts: str) -> str:
   {ts} AS timestamp_ms,
   CASE WHEN event_type = 'purchase' THEN event_id * 10 END AS encoded_data_length,
   CASE WHEN event_type = 'error' THEN concat('net::ERR_', CAST(event_id % 3 AS STRING)) END AS error_text,
+  CASE WHEN event_type = 'view' THEN concat('{{\"Authorization\":\"Bearer b', CAST(event_id AS STRING), '\",\"Accept\":\"a', CAST(event_id % 7 AS STRING), '\"}}') END AS request_headers,
+  CASE WHEN event_type = 'click' THEN concat('{{\"Set-Cookie\":\"c=', CAST(event_id AS STRING), '\",\"x-run-token\":\"t\",\"Server\":\"s', CAST(event_id % 3 AS STRING), '\"}}') END AS response_headers,
   ({k}) AS k, event_id, user_id, event_type"""
 
 
@@ -58,8 +60,24 @@ def cap_events(t):
 
 
 CE = (f"ce AS (SELECT {_duck_select(cap_events_select(K_DUCK, TS_DUCK))}, NULL::VARCHAR AS protocol, "
-      "NULL::VARCHAR AS remote_address, NULL::VARCHAR AS request_headers, NULL::VARCHAR AS response_headers FROM events)")
-DUCK_FOLD = ",\n  ".join(a.replace("max_by(", "arg_max_null(") for a in E._fold_aggs())
+      "NULL::VARCHAR AS remote_address FROM events)")
+DUCK_FOLD = f"""
+  arg_max(CASE method WHEN '{E.SENT}' THEN 'pending' WHEN '{E.RESPONDED}' THEN 'responded' WHEN '{E.FINISHED}' THEN 'finished' WHEN '{E.FAILED}' THEN 'failed' END, seq)
+    FILTER (WHERE method != '{E.CACHED}') AS state,
+  arg_max_null(coalesce(resource_type, 'Other'), seq) FILTER (WHERE method = '{E.SENT}') AS resource_type,
+  arg_max_null(coalesce(url, ''), seq) FILTER (WHERE method = '{E.SENT}') AS url,
+  arg_max_null(coalesce(http_method, 'GET'), seq) FILTER (WHERE method = '{E.SENT}') AS http_method,
+  arg_max_null(timestamp_ms, seq) FILTER (WHERE method = '{E.SENT}') AS start_ms,
+  arg_max_null(coalesce(has_redirect, false), seq) FILTER (WHERE method = '{E.SENT}') AS has_redirect,
+  arg_max_null(status, seq) FILTER (WHERE method = '{E.RESPONDED}') AS status,
+  arg_max(mime_type, seq) FILTER (WHERE method = '{E.RESPONDED}') AS mime_type,
+  arg_max_null(timestamp_ms, seq) FILTER (WHERE method = '{E.FINISHED}') AS end_ms,
+  arg_max(encoded_data_length, seq) FILTER (WHERE method = '{E.FINISHED}') AS encoded_data_length,
+  arg_max_null(coalesce(error_text, ''), seq) FILTER (WHERE method = '{E.FAILED}') AS failure,
+  count_if(method = '{E.CACHED}') > 0 AS served_from_cache,
+  arg_max_null(post_data, seq) FILTER (WHERE method = '{E.SENT}') AS post_data,
+  arg_max_null(request_headers, seq) FILTER (WHERE method = '{E.SENT}') AS request_headers,
+  arg_max_null(response_headers, seq) FILTER (WHERE method = '{E.RESPONDED}') AS response_headers"""
 ENTRIES_D = f"""{CE},
 _ls AS (SELECT session_id, request_id, max(seq) AS _last_send, count(*) AS n_sends FROM ce WHERE method = '{E.SENT}' GROUP BY ALL),
 _sl AS (SELECT ce.*, _ls._last_send, _ls.n_sends FROM ce JOIN _ls USING (session_id, request_id) WHERE seq >= _last_send),
@@ -72,10 +90,21 @@ def entries(t):
     return E.network_entries(cap_events(t))
 
 
-@register("e1_network_entries", f"WITH {ENTRIES_D}\nSELECT {ENTRY_COLS}, CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id FROM ne")
+HEADERS_D = """CASE WHEN request_headers IS NOT NULL THEN '[redacted]' END AS authorization, json_extract_string(request_headers, '$.Accept') AS accept,
+  CASE WHEN response_headers IS NOT NULL THEN '[redacted]' END AS set_cookie, CASE WHEN response_headers IS NOT NULL THEN '[redacted]' END AS run_token,
+  json_extract_string(response_headers, '$.Server') AS server"""
+
+
+HEADERS_S = ["request_headers['Authorization'] AS authorization", "request_headers['Accept'] AS accept",
+             "response_headers['Set-Cookie'] AS set_cookie", "response_headers['x-run-token'] AS run_token", "response_headers['Server'] AS server"]
+
+
+@register("e1_network_entries", f"""WITH {ENTRIES_D}
+SELECT {ENTRY_COLS}, CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id, post_data, {HEADERS_D} FROM ne""")
 def e1(t):
-    """Per-request fold: last send replaces the slot, last event wins per field."""
-    return entries(t).selectExpr(*[c.strip() for c in ENTRY_COLS.split(",")], "redirect_from_request_id")
+    """Per-request fold: last send replaces the slot, last event wins per field;
+    credential headers come redacted."""
+    return entries(t).selectExpr(*[c.strip() for c in ENTRY_COLS.split(",")], "redirect_from_request_id", "post_data", *HEADERS_S)
 
 
 @register("e2_main_request", f"WITH {CE}\nSELECT session_id, arg_min(request_id, seq) AS main_request_id FROM ce "

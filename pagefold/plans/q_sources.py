@@ -7,6 +7,7 @@ from pagefold import dims
 from pagefold.operators import content as C
 from pagefold.operators.assemble import assemble_results
 from pagefold.plans import duck as D
+from pagefold.plans.adapters import frame_pages_html
 from pagefold.plans.q_content import LINK_PAGES_CTE, _link_pages
 from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
@@ -67,20 +68,44 @@ def t21(t):
     return C.content_markdown(_link_pages(t))
 
 
-@register("t22_content_warnings", f"""WITH {LINK_PAGES_CTE}, {D.tokens_cte('lp')}, {D.flow_cte()},
-_f AS (SELECT page_id, max(CASE WHEN ekind = 'paragraph' THEN emitted_before + length(text) + 1 END) AS e FROM flow GROUP BY page_id)
-SELECT p.page_id, 'content_empty' AS code, 'no visible composed content captured' AS detail FROM pages p
-  LEFT JOIN _f USING (page_id) WHERE _f.e IS NULL
-UNION ALL SELECT page_id, 'content_truncated', 'content text capped at 200000 characters' FROM _f WHERE e >= 200000""")
-def t22(t):
-    """Content warnings (empty / truncated; no iframes in the test pages)."""
-    return C.content_warnings(_link_pages(t))
+def _frame_pages(t):
+    return t("pages").selectExpr("page_id", "url", f"{frame_pages_html()} AS html")
+
 
+_ORIGIN = "lower(regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1))"
+#: Frames of frame_pages with their own captured page, written from the element table.
+FRAMES_CTE = f"""fp AS (SELECT page_id, url, {frame_pages_html()} AS html FROM pages),
+{D.tokens_cte('fp')}, {D.flow_cte()},
+_i0 AS (SELECT page_id, pos, url, {D.attr('src')} AS raw_src FROM ft WHERE kind = 'open' AND tag = 'iframe' AND walked),
+_i1 AS ({D.resolve_stage_sql('SELECT * FROM _i0', 'url', 'raw_src', 'src')}),
+_i2 AS (SELECT *, coalesce({_ORIGIN.format('src')} = {_ORIGIN.format('url')}, false) AS same FROM _i1),
+_fr AS (SELECT _i2.page_id, _i2.pos, _i2.src, same, CASE WHEN same THEN p.page_id END AS child FROM _i2
+        LEFT JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p ON p.url = _i2.src)"""
 
-@register("t23_inline_frames")
+
+@register("t22_content_warnings", f"""WITH {FRAMES_CTE},
+_e AS (SELECT page_id, 1 AS o, 0 AS pos, 'content_empty' AS code, 'no visible composed content captured' AS detail FROM pages
+       WHERE page_id NOT IN (SELECT page_id FROM flow)
+  UNION ALL SELECT page_id, 0, pos, CASE WHEN same THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END,
+       CASE WHEN same THEN 'iframe content unavailable: ' ELSE 'cross-origin iframe not traversed: ' END || coalesce(src, CASE WHEN same THEN '(no src)' ELSE '' END)
+       FROM _fr WHERE child IS NULL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o, pos) - 1 AS BIGINT) AS warning_no, code, detail FROM _e""")
+def t22(t):
+    """Content warnings of frame_pages: empty pages, unavailable and cross-origin frames."""
+    return C.content_warnings(_frame_pages(t))
+
+
+@register("t23_inline_frames", f"""WITH {FRAMES_CTE},
+_k AS (SELECT _fr.page_id, _fr.pos, src, f.epos, f.ekind, f.tag, f.text,
+       row_number() OVER (PARTITION BY _fr.page_id, _fr.pos ORDER BY f.epos) AS n
+       FROM _fr JOIN flow f ON f.page_id = _fr.child WHERE f.ekind IN ('heading', 'paragraph'))
+SELECT page_id, CAST(pos AS BIGINT) AS iframe_pos, 'Frame: ' || src AS frame_heading, CAST(0 AS BIGINT) AS entry_no, 'heading' AS kind,
+       3 AS level, 'Frame: ' || src AS text FROM _fr WHERE child IS NOT NULL
+UNION ALL SELECT page_id, CAST(pos AS BIGINT), 'Frame: ' || src, CAST(n AS BIGINT), ekind,
+       CASE WHEN ekind = 'heading' THEN CAST(substr(tag, 2, 1) AS INTEGER) END, text FROM _k""")
 def t23(t):
-    """Same-origin frame content (self join on the frame URL) under 'Frame: src' headings."""
-    return C.inline_frame_flow(_link_pages(t))
+    """Same-origin frame content (join on the frame URL) under 'Frame: src' headings."""
+    return C.inline_frame_flow(_frame_pages(t)).selectExpr("page_id", "CAST(iframe_pos AS BIGINT) AS iframe_pos", "frame_heading", "entry_no", "kind", "level", "text")
 
 
 @register("t21_markdown_flow", f"""WITH {D.tokens_cte()}, {D.flow_cte()},
@@ -89,5 +114,5 @@ _l AS (SELECT page_id, epos, CASE ekind WHEN 'heading' THEN repeat('#', least(6,
 SELECT page_id, string_agg(line, chr(10) ORDER BY epos) AS flow_md FROM _l WHERE line IS NOT NULL GROUP BY page_id""")
 def t21f(t):
     """Markdown 'Visible Content' block (headings + paragraphs) of every page."""
-    from pagefold.operators.content import content_entries, flow_markdown
-    return flow_markdown(content_entries(t("pages")))
+    ft = C.flow_tokens(t("pages"))
+    return C.flow_markdown(ft, C.content_entries(t("pages"), ft))

@@ -11,7 +11,6 @@ from pagefold.plans.registry import REGISTRY, register
 from pagefold.operators.events import CONSOLE as E_CONSOLE, EXCEPTION as E_EXCEPTION
 from pagefold.streaming import streams as S
 
-EVENT_WATERMARK = "36500 days"   # no slot times out inside the test data
 SESSION_GAP = "1 hour"
 
 
@@ -22,8 +21,15 @@ def _stream(spark, sf_dir, table):
                  .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
 
 
-def _cap_stream(spark, sf_dir):
+def _cap_stream(spark, sf_dir, closing=False):
+    """The events as a stream; with ``closing``, followed by one far later event
+    (user -1), so that every window of the table closes and is returned."""
     ev = _stream(spark, sf_dir, "events")
+    if closing:
+        path = S.scratch_path(spark, "closing-event")
+        last = {"event_id": "CAST(-1 AS BIGINT)", "user_id": "-1", "event_type": "'view'", "ts": "TIMESTAMP '2200-01-01 00:00:00'", "props": "'{\"k\": 0}'"}
+        spark.range(1).selectExpr(*[f"CAST({last.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in ev.schema.fields]).write.parquet(path)
+        ev = ev.unionByName(spark.readStream.schema(ev.schema).parquet(path))
     cols = select_items(QE.cap_events_select(QE.K_SPARK, QE.TS_SPARK))
     return ev.selectExpr(*cols, "CAST(ts AS TIMESTAMP) AS event_time")
 
@@ -37,25 +43,20 @@ def _run(q):
 def w1(spark, sf_dir):
     """Incremental network entries == the batch fold."""
     sink, ckpt = S.scratch_path(spark, "w1-sink"), S.scratch_path(spark, "w1-ckpt")
-    ev = _cap_stream(spark, sf_dir)
-    from pagefold.operators.events import EVENT_SCHEMA
-    have = set(ev.columns)
-    ev = ev.selectExpr(*[c if c in have else f"CAST(NULL AS {t}) AS {c}" for c, t in EVENT_SCHEMA], "event_time")
-    _run(S.stream_network_entries(ev, sink, ckpt, EVENT_WATERMARK))
+    _run(S.stream_network_entries(_cap_stream(spark, sf_dir).drop("event_time"), sink, ckpt))
     out = S.network_entries_from_log(spark, sink)
-    return out.selectExpr(*[c.strip() for c in QE.ENTRY_COLS.split(",")],
-                          "CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id")
+    return out.selectExpr(*[c.strip() for c in QE.ENTRY_COLS.split(",")], "redirect_from_request_id", "post_data", *QE.HEADERS_S)
 
 
 def w2(spark, sf_dir):
-    """Session windows (gap 1 hour) per session, closed before the final watermark."""
+    """All session windows (gap 1 hour) of every session."""
     sink, ckpt = S.scratch_path(spark, "w2-sink"), S.scratch_path(spark, "w2-ckpt")
-    q = (S.stream_quiet_sessions(_cap_stream(spark, sf_dir), SESSION_GAP, "0 seconds")
+    q = (S.stream_quiet_sessions(_cap_stream(spark, sf_dir, closing=True), SESSION_GAP, "0 seconds")
           .selectExpr("session_id", "w.start AS session_start", "w.end AS session_end", "n_events", "first_seq", "last_seq")
           .writeStream.outputMode("append").format("parquet").option("path", sink)
           .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(sink).selectExpr("session_id", "CAST(unix_millis(session_start) AS BIGINT) AS start_ms",
+    return spark.read.parquet(sink).where("session_id != 's-1'").selectExpr("session_id", "CAST(unix_millis(session_start) AS BIGINT) AS start_ms",
                                                "CAST(unix_millis(session_end) AS BIGINT) AS end_ms", "n_events",
                                                "first_seq", "last_seq")
 
@@ -70,14 +71,14 @@ def w4(spark, sf_dir):
 
 
 def w3(spark, sf_dir):
-    """Requests sent per resource type per 1-hour tumbling window (closed windows)."""
+    """Requests sent per resource type per 1-hour tumbling window (all windows)."""
     sink, ckpt = S.scratch_path(spark, "w3-sink"), S.scratch_path(spark, "w3-ckpt")
-    q = (S.stream_inflight_counts(_cap_stream(spark, sf_dir), "1 hour", "0 seconds")
+    q = (S.stream_inflight_counts(_cap_stream(spark, sf_dir, closing=True), "1 hour", "0 seconds")
           .selectExpr("CAST(unix_millis(w.start) AS BIGINT) AS window_start_ms", "resource_type", "n_sent")
           .writeStream.outputMode("append").format("parquet").option("path", sink)
           .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).where("window_start_ms < unix_millis(TIMESTAMP '2200-01-01 00:00:00')")
 
 
 def w5(spark, sf_dir):
@@ -118,12 +119,11 @@ _g AS (SELECT *, CASE WHEN lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_
 _i AS (SELECT *, sum(_new) OVER (PARTITION BY session_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _sid FROM _g),
 _s AS (SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) + 3600000 AS end_ms, count(*) AS n_events, min(seq) AS first_seq,
   max(seq) AS last_seq FROM _i GROUP BY session_id, _sid)
-SELECT * FROM _s WHERE end_ms <= (SELECT max(epoch_us(ts) // 1000) FROM events)"""
+SELECT * FROM _s"""
 
 W3_ORACLE = f"""WITH {QE.CE},
 _w AS (SELECT (ts_ms // 3600000) * 3600000 AS window_start_ms, resource_type FROM ce WHERE method = 'Network.requestWillBeSent')
-SELECT window_start_ms, resource_type, count(*) AS n_sent FROM _w
-WHERE window_start_ms + 3600000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) GROUP BY ALL"""
+SELECT window_start_ms, resource_type, count(*) AS n_sent FROM _w GROUP BY ALL"""
 
 W5_ORACLE = f"""WITH {QE.CE}, _c AS (SELECT *, {QE.CONSOLE_D} AS ct FROM ce)
 SELECT session_id, {QE.LEVEL_D} AS level, count(*) AS n FROM _c WHERE ({QE.LEVEL_D}) IN ('error', 'exception') GROUP BY ALL"""

@@ -10,13 +10,16 @@ from pyspark.sql.types import StructType
 
 from pagefold import dims
 from pagefold.functions.core import lit
+from pagefold.functions.redact import SECRET_MASK, masked_sql
 
 # Typed view of the CDP ``params`` object the operators use.
 PARAMS_SCHEMA = (
-    "requestId string, type string, timestamp double, encodedDataLength bigint, errorText string, "
+    "requestId string, frameId string, loaderId string, initiator string, type string, timestamp double, encodedDataLength bigint, errorText string, "
     "request struct<url:string, method:string, headers:string, postData:string>, "
     "redirectResponse struct<status:int, headers:string>, "
-    "response struct<status:int, mimeType:string, headers:string, protocol:string, remoteIPAddress:string, url:string>"
+    "response struct<status:int, mimeType:string, headers:string, protocol:string, remoteIPAddress:string, url:string, "
+    "opcode:int, mask:boolean, payloadData:string>, "
+    "errorMessage string, eventName string, eventId string, data string, isDownload boolean"
 )
 
 
@@ -46,7 +49,10 @@ def _typed_events(raw: DataFrame) -> DataFrame:
         "_p.response.status AS status", "_p.response.mimeType AS mime_type", "_p.response.headers AS response_headers",
         "_p.response.protocol AS protocol", "_p.response.remoteIPAddress AS remote_address",
         "CAST(_p.timestamp * 1000 AS BIGINT) AS timestamp_ms", "_p.encodedDataLength AS encoded_data_length",
-        "_p.errorText AS error_text", "params")
+        "_p.errorText AS error_text", "_p.frameId AS frame_id", "_p.loaderId AS loader_id", "_p.initiator AS initiator",
+        "_p.response.opcode AS opcode", "_p.response.mask AS mask", "_p.response.payloadData AS payload_data",
+        "_p.errorMessage AS error_message", "_p.eventName AS event_name", "_p.data AS data", "_p.eventId AS event_id",
+        "_p.isDownload AS is_download", "params")
 
 
 RAW_EVENT_SCHEMA = "session_id string, method string, params string, seq bigint, ts bigint"
@@ -64,36 +70,42 @@ def stream_capture_events(spark: SparkSession, path: str) -> DataFrame:
     return _typed_events(raw).withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
-def _sorted_struct(path: str, dtype) -> str:
+def sorted_sql(path: str, dtype) -> str:
+    """``path`` with the fields of its structs in name order."""
     if isinstance(dtype, StructType):
-        fields = sorted(dtype.fields, key=lambda f: f.name)
-        inner = ", ".join(f"{lit(f.name)}, {_sorted_struct(f'{path}.`{f.name}`', f.dataType)}" for f in fields)
+        inner = ", ".join(f"{lit(f.name)}, {sorted_sql(f'{path}.`{f.name}`', f.dataType)}" for f in sorted(dtype.fields, key=lambda f: f.name))
         return f"CASE WHEN {path} IS NULL THEN NULL ELSE named_struct({inner}) END"
     return path
 
 
-def envelope_json(df: DataFrame, code: str) -> DataFrame:
+def envelope_json(df: DataFrame, code: str, redact: bool = True) -> DataFrame:
     """S4 core: one JSON text per row with keys in sorted order (nested too)
     and the envelope ``code``. If the payload already carries a *different*
-    ``code`` it is nested under ``result``; NULL fields are omitted."""
+    ``code`` it is nested under ``result``; NULL fields are omitted. Fields
+    whose names end in ``_secret`` are masked unless ``redact`` is off."""
+    mask = SECRET_MASK if redact else None
+
+    def value(f):
+        if mask is not None and f.name.endswith("_secret"):
+            return f"CAST({lit(mask)} AS STRING)"
+        return masked_sql(f"`{f.name}`", f.dataType, mask, sort=True) if mask is not None else sorted_sql(f"`{f.name}`", f.dataType)
+
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    body = ", ".join(f"{lit(f.name)}, {_sorted_struct(f'`{f.name}`', f.dataType)}" for f in fields)
-    payload = f"named_struct({body})"
+    payload = "named_struct(" + ", ".join(f"{lit(f.name)}, {value(f)}" for f in fields) + ")"
     if "code" in df.columns:
         with_code = "named_struct(" + ", ".join(
-            f"{lit(f.name)}, " + (f"coalesce(`code`, {lit(code)})" if f.name == "code" else _sorted_struct(f'`{f.name}`', f.dataType))
-            for f in fields) + ")"
+            f"{lit(f.name)}, " + (f"coalesce(`code`, {lit(code)})" if f.name == "code" else value(f)) for f in fields) + ")"
         nested = f"named_struct('code', {lit(code)}, 'result', {payload})"
         expr = f"CASE WHEN code IS NULL OR code = {lit(code)} THEN to_json({with_code}) ELSE to_json({nested}) END"
     else:
-        allf = sorted([(f.name, _sorted_struct(f'`{f.name}`', f.dataType)) for f in fields] + [("code", lit(code))])
+        allf = sorted([(f.name, value(f)) for f in fields] + [("code", lit(code))])
         expr = "to_json(named_struct(" + ", ".join(f"{lit(n)}, {e}" for n, e in allf) + "))"
     return df.selectExpr(f"{expr} AS value")
 
 
-def write_results_jsonl(df: DataFrame, path: str, code: str = "fetch") -> None:
+def write_results_jsonl(df: DataFrame, path: str, code: str = "fetch", redact: bool = True) -> None:
     """Results as JSON lines (Spark's committer makes the write atomic)."""
-    envelope_json(df, code).write.mode("overwrite").text(path)
+    envelope_json(df, code, redact).write.mode("overwrite").text(path)
 
 
 def write_frames_jsonl(frames: DataFrame, path: str) -> None:

@@ -9,112 +9,42 @@ sink rewrites a snapshot per batch and nothing passes through the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagefold.operators import cookies as K
 from pagefold.operators import events as E
 from pagefold.session import checkpoint_dir
 
-SLOT_FIELDS = [
-    ("state", "string"), ("resource_type", "string"), ("url", "string"), ("http_method", "string"),
-    ("start_ms", "bigint"), ("has_redirect", "boolean"), ("status", "int"), ("mime_type", "string"),
-    ("end_ms", "bigint"), ("encoded_data_length", "bigint"), ("failure", "string"),
-    ("served_from_cache", "boolean"), ("n_sends", "bigint"), ("last_seq", "bigint"), ("last_ts", "bigint"),
-]
-SLOT_SCHEMA = ", ".join(f"{n} {t}" for n, t in SLOT_FIELDS)
-OUT_SCHEMA = "session_id string, request_id string, " + SLOT_SCHEMA
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _fold_slot(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per (session, request): apply events in seq order to the slot.
-
-    Emits the slot after every batch that changed it (update mode); on an
-    event-time timeout the state is dropped (the last emitted row stands).
-    """
-    session_id, request_id = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    slot = dict(zip([n for n, _ in SLOT_FIELDS], state.get)) if state.exists else None
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-    changed = False
-    for ev in batch.itertuples(index=False):
-        m = ev.method
-        if m == E.SENT:
-            n = (slot["n_sends"] if slot else 0) + 1
-            slot = {"state": "pending", "resource_type": ev.resource_type if isinstance(ev.resource_type, str) else "Other",
-                    "url": ev.url if isinstance(ev.url, str) else "",
-                    "http_method": ev.http_method if isinstance(ev.http_method, str) else "GET",
-                    "start_ms": ev.timestamp_ms, "has_redirect": bool(ev.has_redirect) if pd.notna(ev.has_redirect) else False,
-                    "status": None, "mime_type": None, "end_ms": None, "encoded_data_length": None, "failure": None,
-                    "served_from_cache": False, "n_sends": n}
-        elif slot is None:
-            continue
-        elif m == E.RESPONDED:
-            slot["state"] = "responded"
-            slot["status"] = None if pd.isna(ev.status) else int(ev.status)
-            if isinstance(ev.mime_type, str):
-                slot["mime_type"] = ev.mime_type
-        elif m == E.FINISHED:
-            slot["state"] = "finished"
-            slot["end_ms"] = None if pd.isna(ev.timestamp_ms) else int(ev.timestamp_ms)
-            if pd.notna(ev.encoded_data_length):
-                slot["encoded_data_length"] = int(ev.encoded_data_length)
-        elif m == E.FAILED:
-            slot["state"] = "failed"
-            slot["failure"] = ev.error_text if isinstance(ev.error_text, str) else ""
-        elif m == E.CACHED:
-            slot["served_from_cache"] = True
-        else:
-            continue
-        slot["last_seq"] = int(ev.seq)
-        slot["last_ts"] = int(ev.ts_ms)
-        changed = True
-    if slot is None:
-        return
-    state.update(tuple(slot[n] for n, _ in SLOT_FIELDS))
-    state.setTimeoutTimestamp(max(int(slot["last_ts"]), int(state.getCurrentWatermarkMs())) + 1)
-    if changed:
-        row = {"session_id": session_id, "request_id": request_id, **slot}
-        yield pd.DataFrame([row], columns=["session_id", "request_id"] + [n for n, _ in SLOT_FIELDS])
-
-
-def stream_network_entries(events: DataFrame, sink: str, checkpoint: str, watermark: str = "1 hour",
-                           available_now: bool = True):
-    """Incremental E1. ``events`` is a streaming DataFrame of typed
-    events with an event-time column ``event_time`` (TIMESTAMP). Changed
-    slots are appended to ``sink``; ``network_entries_from_log`` gives the
-    current entries."""
-    e = E.conform_events(events) if "event_time" not in events.columns else events
-    q = (e.withWatermark("event_time", watermark)
-          .groupBy("session_id", "request_id")
-          .applyInPandasWithState(_fold_slot, OUT_SCHEMA, SLOT_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout))
-
+def stream_network_entries(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
+    """Incremental E1. The batch fold is associative, so it runs as a plain
+    streaming aggregate: late and out-of-order events change exactly what they
+    would have changed in time. Each batch appends the slots it changed to
+    ``sink`` (pending ones included); ``network_entries_from_log`` gives the
+    current entries. The state keeps one slot per request; on a cluster keep it
+    in the RocksDB state store."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("append").parquet(sink)
 
-    w = q.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = (E.slot_states(E.conform_events(events)).writeStream.outputMode("update")
+          .option("checkpointLocation", checkpoint).foreachBatch(write))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def network_entries_from_log(spark: SparkSession, sink: str) -> DataFrame:
-    """Latest slot per (session, request) from the W1 update log."""
+def network_entries_from_log(spark: SparkSession, sink: str, redact: bool = True) -> DataFrame:
+    """Entries of the latest slot per (session, request) in the W1 update log:
+    a slot that has seen more events replaces one that has seen fewer."""
     log = spark.read.parquet(sink)
-    cols = [n for n, _ in SLOT_FIELDS]
-    packed = "named_struct(" + ", ".join(f"'{c}', {c}" for c in cols) + ")"
-    g = log.groupBy("session_id", "request_id").agg(F.expr(f"max_by({packed}, last_seq) AS _s"))
-    return g.selectExpr("session_id", "request_id", *[f"_s.{c} AS {c}" for c in cols])
+    cols = [c for c in log.columns if c not in E.KEY]
+    g = log.groupBy(*E.KEY).agg(F.max_by(F.struct(*cols), "n_events").alias("_s"))
+    return E.slot_entries(g.select(*E.KEY, *(F.col(f"_s.{c}").alias(c) for c in cols)), redact=redact)
 
 
 def stream_quiet_sessions(events: DataFrame, idle: str, watermark: str) -> DataFrame:

@@ -1,52 +1,73 @@
-"""Composed content on restated reference fixtures."""
+"""Composed content on small hand-written pages."""
 
 from conftest import pages_df
 
 from pagefold.operators import content as C
 
-CONTENT_HTML = (
-    '<!doctype html><html><head><title>Content Fixture</title></head><body><main><h1>Plans</h1>'
-    '<p>This fixture contains enough visible static copy to prove that the browser path is selected.</p>'
-    '<section class="pricing-section"><article class="product-card"><h2>Starter VPS</h2>'
-    '<span>starting from</span> <strong>€ 4 . 49</strong> <span>max/mo.</span>'
-    '<a href="/starter.html">Explore this plan</a><a>Missing href</a><a href="">Empty href</a>'
-    '<a href="#">Hash only</a><a href="javascript:void(0)">JS pseudo link</a>'
-    '<a href="#pricing-details">Pricing details anchor</a><a href="https://external.example/partner">Partner</a>'
-    '</article><article class="product-card"><h2>Storage VPS</h2><p>300 GB SSD</p><a href="/pricing/">Pricing</a>'
-    '</article></section><table><tr><th>Plan</th><th>RAM</th></tr><tr><td>Starter VPS</td><td>4 GB</td></tr></table>'
-    '<iframe src="/frame-inner.html"></iframe></main><script>var x = "</p>";</script></body></html>')
-URL = "http://127.0.0.1:8080/content.html"
+BIKES = """<html lang=en><head><title>Rental &amp; repair</title></head><body>
+<header><nav><a href='/bikes'>All bikes</a> <a href="mailto:desk@velo.example">Write us</a></nav></header>
+<h1>City bikes</h1> Open all year.
+<ul><li class=offer><h3>Three-speed</h3> now $ 12 . 50 per day, helmet and lock included
+  <a href="three#sizes">Sizes</a> <a href="JavaScript:void 0">popup</a> <a href=' # '>top</a> <a name=x>anchor</a></li>
+<li class=offer><b>Cargo bike</b> carries two children or ninety kilograms of shopping.<a href="//cargo.example.net/rent">Rent at partner</a></li></ul>
+<h2 class="product-title">Opening hours of the workshop</h2>
+<table class="pricing-table"><caption>Hours</caption><tr><th>Day</th><th>From</th></tr>
+<tr><td>Mon <table><tr><td>odd weeks</td></tr></table> only</td><td>9</td></tr></table>
+<footer>Imprint <a href="/legal">Legal</a></footer></body></html>"""
+URL = "https://velo.example/rental/index.html"
 
 
 def test_links_and_kinds(spark):
-    links = {r.text: r for r in C.links(pages_df(spark, [(1, URL, CONTENT_HTML)])).collect()}
-    assert links["Explore this plan"].kind == "product_detail" and links["Explore this plan"].same_site
-    for skipped in ["Missing href", "Empty href", "Hash only", "JS pseudo link"]:
-        assert skipped not in links
-    assert links["Pricing details anchor"].absolute_url == URL + "#pricing-details"
-    assert links["Partner"].kind == "external" and not links["Partner"].same_site
+    links = {r.text: r for r in C.links(pages_df(spark, [(1, URL, BIKES)])).collect()}
+    assert set(links) == {"All bikes", "Write us", "Sizes", "Rent at partner", "Legal"}
+    assert links["Sizes"].absolute_url == "https://velo.example/rental/three#sizes" and links["Sizes"].same_site
+    assert links["Rent at partner"].absolute_url == "https://cargo.example.net/rent"
+    assert (links["Rent at partner"].kind, links["Rent at partner"].same_site) == ("external", False)
+    assert (links["All bikes"].kind, links["Legal"].kind) == ("nav", "footer")
 
 
-def test_items_title_and_price(spark):
-    p = pages_df(spark, [(1, URL, CONTENT_HTML)])
-    items = C.items(p).collect()
-    assert any(i.title == "Starter VPS" for i in items)
-    assert any("€4.49" in i.text for i in items)
-    paras = [r.text for r in C.paragraphs(p).collect()]
-    assert any("€4.49" in t for t in paras)
+def test_items_are_cards_not_headings_or_tables(spark):
+    items = C.items(pages_df(spark, [(1, URL, BIKES)])).orderBy("item_no").collect()
+    assert [i.title for i in items] == ["Three-speed", "Cargo bike carries two children or ninety kilograms of shopping."]
+    assert "now $12.50 per day" in items[0].text and [i.source_section for i in items] == ["City bikes", "Three-speed"]
 
 
 def test_sections_tables_markdown(spark):
-    p = pages_df(spark, [(1, URL, CONTENT_HTML)])
+    p = pages_df(spark, [(1, URL, BIKES)])
     secs = {(r.heading, r.level) for r in C.sections(p).collect()}
-    assert ("Plans", 1) in secs and ("Starter VPS", 2) in secs and ("Storage VPS", 2) in secs
-    rows = sorted((r.row_no, r.cells) for r in C.table_cells(p).collect())
-    assert rows == [(0, ["Plan", "RAM"]), (1, ["Starter VPS", "4 GB"])]
+    assert {("City bikes", 1), ("Three-speed", 3), ("Opening hours of the workshop", 2)} <= secs
+    rows = C.table_cells(p).orderBy("row_no").collect()
+    assert rows[0].cells == ["Day", "From"] and rows[0].caption == "Hours"
+    assert [r.cells for r in rows[1:]] == [["Mon odd weeks only", "odd weeks", "9"], ["odd weeks"]]
     md = C.content_markdown(p).collect()[0].markdown
-    assert md.startswith("# Content Fixture\n\nURL: ")
-    assert "## Plans" in md and "### Starter VPS" in md and "| Plan | RAM |" in md and "| --- | --- |" in md
-    assert "- [Partner](https://external.example/partner) — external, source: Starter VPS" in md
-    assert "\n\n\n" not in md
+    assert md.startswith("# Rental & repair\n\nURL: ") and "\n\n\n" not in md
+    assert "## City bikes\n" in md and "#### Three-speed\n" in md and "| Day | From |  |\n| --- | --- | --- |\n" in md
+    assert "- [Rent at partner](https://cargo.example.net/rent) — external, source: Three-speed\n" in md
+    assert md.endswith("\n") and not md.endswith("\n\n")
+
+
+def test_nothing_is_cut_by_default(spark):
+    words = " ".join(f"word{i}" for i in range(40000))
+    links = "".join(f"<p><a href='/l{i}'>{'long label ' * 30}{i}</a></p>" for i in range(1200))
+    cards = "".join(f"<article>Card number {i} with enough text to count</article>" for i in range(350))
+    rows = "".join(f"<tr><td>{'c' * 1100}{i}</td></tr>" for i in range(130))
+    buttons = "".join(f"<button>{i}</button>" for i in range(600))
+    head = "<h2>" + "h" * 1500 + "</h2>"
+    p = pages_df(spark, [(1, URL, f"<body>{head}<p>{words}</p>{links}{cards}<table>{rows}</table>{buttons}</body>")])
+    assert max(r.text for r in C.paragraphs(p).collect() if r.text.startswith("word")) == words
+    assert words in C.visible_text(p).collect()[0].text
+    found = C.links(p).collect()
+    assert len(found) == 1200 and all(len(r.text) > 240 for r in found)
+    assert C.link_scope_counts(p, listed=200).collect()[0].n_omitted == 1000
+    assert (C.items(p).count(), C.actions(p).count()) == (350, 600)
+    cells = C.table_cells(p).collect()
+    assert len(cells) == 130 and all(len(r.cells[0]) > 1100 for r in cells)
+    assert len(C.first_heading(p).collect()[0].first_heading) == 1500
+    cut = C.CAPTURE_LIMITS
+    assert sum(len(r.text) + 1 for r in C.paragraphs(p, cut).collect()) <= cut.text + 1
+    limited = C.links(p, cut).collect()
+    assert len(limited) == 1000 and all(len(r.text) == 240 for r in limited)
+    assert (C.items(p, cut).count(), C.actions(p, cut).count(), C.table_cells(p, cut).count()) == (300, 500, 100)
 
 
 def test_hidden_and_dedupe(spark):
@@ -85,14 +106,11 @@ def test_inline_frames(spark):
 
 
 def test_content_json_document(spark):
-    p = pages_df(spark, [(1, URL, CONTENT_HTML)])
-    doc = C.content_json(p).collect()[0]
-    assert doc.schema_version == 1 and doc.page.title == "Content Fixture"
-    assert [(s.heading, s.level) for s in doc.sections][:2] == [("Plans", 1), ("Starter VPS", 2)]
-    assert any("€4.49" in t for s in doc.sections for t in s.text)
-    assert {l.text for l in doc.links} >= {"Explore this plan", "Partner", "Pricing details anchor", "Pricing"}
-    # the pricing <section> is itself a card candidate, so it is the one
-    # (outermost) card and the two articles inside it are not separate cards
-    assert [i.title for i in doc.items] == ["Starter VPS"] and "Storage VPS" in doc.items[0].text[0]
-    assert [list(r) for r in doc.tables[0].rows] == [["Plan", "RAM"], ["Starter VPS", "4 GB"]]
-    assert [w.code for w in doc.warnings] == ["iframe_unavailable"]
+    doc = C.content_json(pages_df(spark, [(1, URL, BIKES + "<iframe src='//maps.example.net/'></iframe>")])).collect()[0]
+    assert doc.schema_version == 1 and doc.page.title == "Rental & repair"
+    assert [(s.heading, s.level) for s in doc.sections] == [("Page", 1), ("City bikes", 1), ("Three-speed", 3), ("Opening hours of the workshop", 2)]
+    assert any("now $12.50 per day" in t for s in doc.sections for t in s.text)
+    assert [l.text for s in doc.sections for l in s.links] == ["All bikes", "Write us", "Sizes", "Rent at partner", "Legal"]
+    assert [(i.title, i.source_section) for i in doc.items][0] == ("Three-speed", "City bikes")
+    assert [list(r) for r in doc.tables[0].rows] == [["Day", "From"], ["Mon odd weeks only", "odd weeks", "9"], ["odd weeks"]]
+    assert [w.code for w in doc.warnings] == ["iframe_cross_origin"]

@@ -1,37 +1,38 @@
-"""Observation on the interactive and node-cap fixtures."""
+"""Observation of a hand-written form page and of many nodes."""
 
 from conftest import pages_df
 
 from pagefold.operators import observation as N
 
-INTERACTIVE = ('<!doctype html><html><body><a id="docs" href="/plain.html">Docs</a>'
-               '<form action="/submit"><label for="q">Query</label><input id="q" name="q" value="secret">'
-               '<button id="go" type="submit">Go</button><input id="ok" type="checkbox" checked>'
-               '<select id="single"><option>One</option></select>'
-               '<select id="menu" aria-haspopup="listbox"><option>Menu</option></select>'
-               '<select id="multi" multiple><option>Many</option></select></form>'
-               '<iframe id="child" src="/plain.html"></iframe></body></html>')
+BOOKING = """<body><p><a id=terms href="terms.html">Terms</a></p>
+<form id=book action="reserve"><label for=who>Your name</label><input id=who name=who value="Ada L.">
+<textarea id=note></textarea><input type=radio id=am name=t><input type=radio id=pm name=t checked>
+<select id=size size=4><option>S</option></select><select id=day><option value="">any</option><option selected>Tue</option></select>
+<button id=send disabled>Reserve</button></form>
+<ul><li id=tip role=option tabindex=0>Bring a lock</li></ul>
+<iframe id=map src="map.html"></iframe></body>"""
+AT = "https://velo.example/booking/"
 
 
-def test_interactive(spark):
-    p = pages_df(spark, [(1, "http://127.0.0.1/interactive.html", INTERACTIVE)])
+def test_booking_form(spark):
+    p = pages_df(spark, [(1, AT, BOOKING)])
     nodes = {r.selector_hint: r for r in N.observation_nodes(p).collect()}
-    go = nodes["#go"]
-    assert (go.role, go.name, go.actions[0], go.selector_hint_unique) == ("button", "Go", "click", True)
-    q = nodes["#q"]
-    assert q.name == "Query" and q.value_redacted is True and q.role == "textbox"
-    assert nodes["#ok"].checked is True and nodes["#ok"].actions == ["check", "focus"]
-    assert [nodes[k].role for k in ("#single", "#menu", "#multi")] == ["combobox", "combobox", "listbox"]
-    assert nodes["#docs"].href == "http://127.0.0.1/plain.html"
+    who, send = nodes["#who"], nodes["#send"]
+    assert (who.role, who.name, who.value_redacted) == ("textbox", "Your name", True)
+    assert (send.role, send.name, send.enabled, send.selector_hint_unique) == ("button", "Reserve", False, True)
+    assert (nodes["#am"].checked, nodes["#pm"].checked) == (False, True)
+    assert [nodes[k].role for k in ("#size", "#day")] == ["listbox", "combobox"]
+    assert nodes["#terms"].href == AT + "terms.html"
+    assert nodes["#note"].value_redacted is not True
     forms = N.observation_forms(p).collect()
-    assert forms[0].ref == "form-0" and forms[0].action == "http://127.0.0.1/submit"
-    assert forms[0].field_refs == [nodes[k].ref for k in ("#q", "#go", "#ok", "#single", "#menu", "#multi")]
+    assert (forms[0].ref, forms[0].action) == ("form-0", AT + "reserve")
+    assert forms[0].field_refs == [nodes[k].ref for k in ("#who", "#note", "#am", "#pm", "#size", "#day", "#send")]
     frames = sorted((r.frame_id, r.url) for r in N.observation_frames(p).collect())
-    assert frames == [("iframe-0", "http://127.0.0.1/plain.html"), ("main", "http://127.0.0.1/interactive.html")]
+    assert frames == [("iframe-0", AT + "map.html"), ("main", AT)]
 
 
 def test_node_cap_and_empty(spark):
-    html = "<body><div id='root'>" + "".join(f"<button id='many-{i}'>Many {i}</button>" for i in range(130)) + "</div></body>"
+    html = "<body>" + "".join(f"<p><button name=b{i}>Row {i}</button></p>" for i in range(130)) + "</body>"
     p = pages_df(spark, [(1, "http://h/", html), (2, "http://h/e", "<body></body>")])
     assert N.observation_nodes(p).where("page_id = 1").count() == 100
     t = N.observation_truncated(p).collect()
