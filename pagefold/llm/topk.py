@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pagefold.llm.graph import staged
 
 BLOCK, QUERIES = 4096, 256
-DEPTHS = (0.125, 0.25, 0.5)
-FEW = 0.1                  # share of a block that is resolved without further reading
+MARGIN = 0.3               # how far below the k-th best an unread row is before bounds are compared
+FEW = 0.5                  # share of a block that is resolved without further reading
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
@@ -40,35 +40,52 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
             .groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
-def no_random_access(x: np.ndarray, order: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Candidate rows of ``x`` among which the k best products with ``q`` are.
+class Lists:
+    """A block of vectors as one sorted list per dimension."""
 
-    ``order`` sorts every column of ``x``.  All rows that could tie with rank k
-    are returned.
-    """
-    n, d = x.shape
-    if n <= 4 * k:
+    def __init__(self, x: np.ndarray):
+        order = np.argsort(x, axis=0, kind="stable")
+        self.x = x
+        self.ids = np.ascontiguousarray(order.T)
+        self.rows = np.take_along_axis(x, order, 0).astype(np.float64)
+        self.values = np.ascontiguousarray(self.rows.T)
+
+    def last(self, q: np.ndarray, upto: int) -> float:
+        """Upper bound of the score of a row not met among the first ``upto`` of any list."""
+        up, down = self.rows[-upto], self.rows[upto - 1]
+        return float(np.where(q > 0, up * q, down * q).sum())
+
+    def upper(self, q: np.ndarray, upto: int) -> np.ndarray:
+        """Upper bounds of all rows after reading ``upto`` entries of each list:
+        what was read, and the list's last value for what was not."""
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        read = [(self.ids[up, -upto:], (self.values[up, -upto:] - self.values[up, -upto, None]) * q[up, None]),
+                (self.ids[down, :upto], (self.values[down, :upto] - self.values[down, upto - 1, None]) * q[down, None])]
+        return sum(np.bincount(ids.ravel(), gain.ravel(), minlength=len(self.x)) for ids, gain in read) + self.last(q, upto)
+
+    def floor(self, q: np.ndarray, upper: np.ndarray, k: int) -> float:
+        """A lower bound of the k-th best score: k of the 2k most promising rows reach it."""
+        best = np.argpartition(upper, len(upper) - 2 * k)[-2 * k:]
+        return float(np.partition(self.x[best] @ q, k)[k])
+
+    def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
+        """Rows among which are the k best, and all that tie with them."""
+        n = len(self.x)
+        if n <= 8 * k:
+            return np.arange(n)
+        upto = max(2 * k, n // 32)
+        low = self.floor(q, self.upper(q, upto), k)
+        while upto < n:
+            # read on until a row never met is well below the k-th best
+            while upto < n and self.last(q, upto) > low * MARGIN:
+                upto = min(n, upto + n // 16)
+            upper = self.upper(q, upto)
+            low = max(low, self.floor(q, upper, k))
+            can = np.flatnonzero(upper >= low - 0.5)
+            if len(can) <= max(4 * k, FEW * n):
+                return can
+            upto = min(n, upto + n // 8)
         return np.arange(n)
-    shown = np.zeros(n, np.int64)                      # read products
-    seen = np.zeros((d, n), np.float64)
-    read = 0
-    dims = np.flatnonzero(q)
-    for depth in DEPTHS:
-        upto = max(k, int(n * depth))
-        last = np.zeros(d)
-        for j in dims:
-            ids = order[n - upto:n - read, j] if q[j] > 0 else order[read:upto, j]
-            shown[ids] += x[ids, j] * q[j]
-            seen[j, ids] = 1.0
-            last[j] = q[j] * x[order[n - upto, j] if q[j] > 0 else order[upto - 1, j], j]
-        read = upto
-        upper = shown + last.sum() - last @ seen
-        best = np.argpartition(upper, n - 2 * k)[n - 2 * k:]
-        floor = np.partition(x[best] @ q, k)[k]        # rank k is at least this: k of 2k exact scores reach it
-        can = np.flatnonzero(upper >= floor - 0.5)
-        if len(can) <= max(4 * k, FEW * n):
-            return can
-    return np.arange(n)
 
 
 def _block_pair(k: int):
@@ -80,9 +97,9 @@ def _block_pair(k: int):
         by_id = np.argsort(ids[~query], kind="stable")          # ties go to the smaller id
         x, xid = m[~query][by_id], ids[~query][by_id]
         out: list[tuple[np.ndarray, ...]] = []
-        order = np.argsort(x, axis=0, kind="stable")
+        lists = Lists(x)
         for q, qid in zip(m[query], ids[query]):
-            can = no_random_access(x, order, q, k + 1) if len(x) else np.zeros(0, np.int64)
+            can = lists.candidates(q, k + 1) if len(x) else np.zeros(0, np.int64)
             can = can[xid[can] != qid]
             score = x[can] @ q
             top = np.lexsort((xid[can], -score))[:k]
