@@ -145,11 +145,11 @@ def overlay_cookies(explicit: DataFrame, applicable: DataFrame, keys: list[str])
 
 def validate_cookie_sql(host: str = "_host", path: str = "_path") -> str:
     """K8: reason an explicit cookie is invalid (NULL when valid)."""
-    return (f"CASE WHEN name IS NULL OR name = '' THEN 'empty_name' "
-            f"WHEN name RLIKE '[\\\\s;,=\\\\x00-\\\\x1f\\\\x7f]' THEN 'bad_name' "
-            f"WHEN coalesce(value, '') RLIKE '[;\\\\x00-\\\\x1f\\\\x7f]' THEN 'bad_value' "
-            f"WHEN coalesce(same_site, '') = 'None' AND NOT coalesce(secure, false) THEN 'samesite_none_requires_secure' "
-            f"WHEN coalesce(partitioned, false) AND NOT coalesce(secure, false) THEN 'partitioned_requires_secure' "
+    return (f"CASE WHEN name IS NULL OR trim(name) = '' THEN 'empty_name' "
+            f"WHEN trim(name) RLIKE '[;=\\\\x00-\\\\x20\\\\x7f]' THEN 'bad_name' "
+            f"WHEN coalesce(value, '') RLIKE '[;\\\\r\\\\n]' THEN 'bad_value' "
+            f"WHEN coalesce(partitioned, false) AND secure = false THEN 'partitioned_requires_secure' "
+            f"WHEN coalesce(same_site, '') = 'None' AND secure = false THEN 'samesite_none_requires_secure' "
             f"WHEN domain IS NOT NULL AND NOT ({host} = lower(regexp_replace(domain, '^\\\\.+', '')) OR endswith({host}, concat('.', lower(regexp_replace(domain, '^\\\\.+', ''))))) "
             f"THEN 'domain_mismatch' "
             f"WHEN cookie_path IS NOT NULL AND NOT startswith({path}, cookie_path) THEN 'path_mismatch' END")

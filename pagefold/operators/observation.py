@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 from pagefold.functions.core import lit, nonempty
 from pagefold.functions.text import squash_ws_sql
 from pagefold.functions.url import resolve_url_sql
-from pagefold.operators.html import attr_sql, element_tokens, has_attr_sql, html_tokens, join_pieces_sql, text_piece_sql
+from pagefold.operators.html import attr_sql, element_tokens, has_attr_sql, html_tokens, join_pieces_sql, span_join, text_piece_sql
 
 # --- fixed values ----------------------------------------------------------
-NODE_LIMIT = 100
-SCAN_LIMIT = 2000
+NODE_LIMIT, SCAN_LIMIT = 100, 2000      # the observer's own limits; pass them to apply them
 NAME_CUT = 160
 SEMANTIC_TAGS = ["button", "input", "textarea", "select", "summary", "iframe"]
 DISABLEABLE = ["button", "input", "select", "textarea", "optgroup", "option", "fieldset"]
@@ -56,17 +55,18 @@ def semantic_sql() -> str:
             f"OR {has_attr_sql('role')} OR {has_attr_sql('tabindex')} OR {attr_sql('contenteditable', False)} = 'true')")
 
 
-def _elements(pages: DataFrame, node_limit: int, scan_limit: int) -> DataFrame:
+def _elements(pages: DataFrame, node_limit: int | None, scan_limit: int | None) -> DataFrame:
     et = element_tokens(html_tokens(pages))
     el = et.where("kind = 'open' AND tag NOT IN ('body', 'html')")
     el = el.selectExpr("*", f"{semantic_sql()} AS semantic",
                        "row_number() OVER (PARTITION BY page_id ORDER BY pos) AS e_no")
     el = el.selectExpr("*", "sum(CAST(semantic AS INT)) OVER (PARTITION BY page_id ORDER BY pos "
                             "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sem_no")
-    return el.selectExpr("*", f"semantic AND e_no <= {scan_limit} AND sem_no <= {node_limit} AS emitted")
+    limits = " AND ".join(["semantic", *(f"{c} <= {int(n)}" for c, n in (("e_no", scan_limit), ("sem_no", node_limit)) if n is not None)])
+    return el.selectExpr("*", f"{limits} AS emitted")
 
 
-def observation_nodes(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit: int = SCAN_LIMIT) -> DataFrame:
+def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limit: int | None = None) -> DataFrame:
     """One row per emitted node: ref ``obs-<n>``, role, name, text,
     visible, enabled, actions, href, src, input type, checked, value flag,
     ``#id`` selector hint and its uniqueness."""
@@ -77,24 +77,33 @@ def observation_nodes(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit
     # Node text: visible text pieces inside the node span (range join keyed by page).
     pieces = element_tokens(html_tokens(pages)).where("visible").selectExpr(
         "page_id AS p_page", "pos AS p_pos", f"{text_piece_sql()} AS piece").where("piece IS NOT NULL")
-    from pagefold.operators.html import span_join
     spans = nodes.selectExpr("page_id", "pos", "end")
     txt = span_join(spans, pieces, start="pos").groupBy("page_id", "pos").agg(
         F.expr("collect_list(named_struct('pos', p_pos, 'piece', piece)) AS _p"))
     txt = txt.selectExpr("page_id", "pos", f"{join_pieces_sql('_p')} AS _text")
     labels = label_texts(pages)
-    n = nodes.join(txt, ["page_id", "pos"], "left")
+    # The value of a select: its first selected option, else (drop-downs only) its first.
+    options = el.where("tag = 'option'").selectExpr(
+        "page_id AS p_page", "pos AS p_pos", f"{has_attr_sql('selected')} AS chosen",
+        # an option without a value attribute counts by its text, which static options have
+        f"CASE WHEN {has_attr_sql('value')} THEN {attr_sql('value')} ELSE 'text' END AS value")
+    selects = nodes.where("tag = 'select'").selectExpr(
+        "page_id", "pos", "end", f"{has_attr_sql('multiple')} OR coalesce(try_cast({attr_sql('size', False)} AS INT), 0) > 1 AS listed")
+    chosen = span_join(selects, options, start="pos").groupBy("page_id", "pos").agg(F.expr(
+        "coalesce(min_by(value, CASE WHEN chosen THEN p_pos END), CASE WHEN NOT any_value(listed) THEN min_by(value, p_pos) END) AS _selected"))
+    n = nodes.join(txt, ["page_id", "pos"], "left").join(chosen, ["page_id", "pos"], "left")
     n = n.selectExpr("*", f"{attr_sql('id', False)} AS _id")
     n = n.join(labels, ["page_id", "_id"], "left").join(ids, ["page_id", "_id"], "left")
     itype = f"lower(coalesce({attr_sql('type', False)}, 'text'))"
     name = (f"coalesce({nonempty(trim160_sql(attr_sql('aria-label')))}, {nonempty(trim160_sql(attr_sql('alt')))}, "
             f"{nonempty(trim160_sql(attr_sql('title')))}, {nonempty('_label')}, {nonempty(trim160_sql('_text'))})")
     disabled = (f"(tag IN ({', '.join(lit(t) for t in DISABLEABLE)}) AND {has_attr_sql('disabled')}) "
-                f"OR {attr_sql('aria-disabled', False)} = 'true'")
+                f"OR coalesce({attr_sql('aria-disabled', False)} = 'true', false)")
     value_flag = (f"CASE WHEN tag = 'input' THEN CASE WHEN {itype} IN ('checkbox', 'radio') THEN coalesce({attr_sql('value')}, 'on') != '' "
                   f"ELSE coalesce({attr_sql('value')}, '') != '' END "
                   f"WHEN tag IN ('button', 'option') THEN coalesce({attr_sql('value')}, '') != '' "
-                  f"WHEN tag IN ('textarea', 'select') THEN coalesce(_text, '') != '' WHEN tag = 'li' THEN true END")
+                  f"WHEN tag = 'textarea' THEN coalesce(_text, '') != '' WHEN tag = 'select' THEN coalesce(_selected, '') != '' "
+                  f"WHEN tag = 'li' THEN coalesce(try_cast({attr_sql('value', False)} AS INT), 0) != 0 END")
     return n.selectExpr(
         "page_id", "CAST(sem_no - 1 AS BIGINT) AS node_no", "concat('obs-', CAST(sem_no - 1 AS STRING)) AS ref",
         "'main' AS frame_id", "tag", f"{role_sql()} AS role", f"{name} AS name", f"{nonempty(trim160_sql('_text'))} AS text",
@@ -123,28 +132,32 @@ def label_texts(pages: DataFrame) -> DataFrame:
     return g.groupBy("page_id", "_id").agg(F.expr("min_by(_label, label_pos) AS _label"))
 
 
-def observation_forms(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit: int = SCAN_LIMIT) -> DataFrame:
+def observation_forms(pages: DataFrame, node_limit: int | None = None, scan_limit: int | None = None) -> DataFrame:
     """``form-<n>`` per form in document order, its action (absolute;
     the page URL when absent) and the refs of its emitted fields."""
     el = _elements(pages, node_limit, scan_limit)
     forms = el.where("tag = 'form'").selectExpr(
-        "page_id", "pos AS f_pos", "end AS f_end",
+        "page_id", "pos AS f_pos", "end AS f_end", f"{attr_sql('id', False)} AS f_id",
         "CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS form_no",
         f"coalesce({resolve_url_sql('url', nonempty(attr_sql('action')))}, url) AS action")
     fields = el.where(f"emitted AND tag IN ({', '.join(lit(t) for t in FORM_FIELDS)}) AND NOT "
                       f"(tag = 'input' AND lower(coalesce({attr_sql('type', False)}, '')) = 'image')") \
-               .selectExpr("page_id AS n_page", "pos AS n_pos", "sem_no")
-    from pagefold.operators.html import span_join
-    inside = span_join(forms, fields, start="f_pos", end="f_end", pos="n_pos", p_page="n_page")
-    j = forms.join(inside.select("page_id", "form_no", "sem_no"), ["page_id", "form_no"], "left")
+               .selectExpr("page_id AS n_page", "pos AS n_pos", "sem_no", f"{nonempty(attr_sql('form', False))} AS owner")
+    # A field belongs to the form it names (the first of that id), else to the one around it.
+    inside = span_join(forms, fields.where("owner IS NULL"), start="f_pos", end="f_end", pos="n_pos", p_page="n_page")
+    first = forms.where("f_id IS NOT NULL").groupBy("page_id", "f_id").agg(F.min("form_no").alias("form_no"))
+    named = fields.where("owner IS NOT NULL").join(first, (F.col("n_page") == F.col("page_id")) & (F.col("owner") == F.col("f_id")))
+    own = inside.select("page_id", "form_no", "sem_no").unionByName(named.select("page_id", "form_no", "sem_no"))
+    j = forms.join(own, ["page_id", "form_no"], "left")
     g = j.groupBy("page_id", "form_no", "action").agg(F.expr(
         "transform(array_sort(collect_list(CASE WHEN sem_no IS NOT NULL THEN sem_no END)), _s -> concat('obs-', CAST(_s - 1 AS STRING))) AS field_refs"))
     return g.selectExpr("page_id", "form_no", "concat('form-', CAST(form_no AS STRING)) AS ref", "action", "field_refs")
 
 
-def observation_frames(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit: int = SCAN_LIMIT) -> DataFrame:
-    """``main`` plus ``iframe-<n>`` for every scanned iframe."""
-    el = _elements(pages, node_limit, scan_limit).where(f"tag = 'iframe' AND e_no <= {scan_limit}")
+def observation_frames(pages: DataFrame, node_limit: int | None = None, scan_limit: int | None = None) -> DataFrame:
+    """``main`` plus ``iframe-<n>`` for every iframe that the walk emits
+    (it stops at the first limit)."""
+    el = _elements(pages, node_limit, scan_limit).where("tag = 'iframe' AND emitted")
     ifr = el.selectExpr("page_id", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS frame_no",
                         f"coalesce({resolve_url_sql('url', attr_sql('src'))}, '') AS url")
     ifr = ifr.selectExpr("page_id", "frame_no", "concat('iframe-', CAST(frame_no - 1 AS STRING)) AS frame_id", "url")
@@ -152,7 +165,7 @@ def observation_frames(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limi
     return main.unionByName(ifr)
 
 
-def observation_truncated(pages: DataFrame, node_limit: int = NODE_LIMIT, scan_limit: int = SCAN_LIMIT) -> DataFrame:
+def observation_truncated(pages: DataFrame, node_limit: int, scan_limit: int) -> DataFrame:
     """The first limit hit per page (node or scan), with counts; pages
     within both limits have no row."""
     el = _elements(pages, node_limit, scan_limit)

@@ -18,7 +18,7 @@ _el AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS e_no,
   (tag = 'a' AND {D.has_attr('href')}) OR tag IN ('button', 'input', 'textarea', 'select', 'summary', 'iframe') OR {D.has_attr('role')}
   OR {D.has_attr('tabindex')} OR {D.attr('contenteditable', False)} = 'true' AS semantic FROM et WHERE kind = 'open' AND tag NOT IN ('body', 'html')),
 _s AS (SELECT *, sum(CAST(semantic AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sem_no FROM _el),
-_n AS (SELECT * FROM _s WHERE semantic AND e_no <= 2000 AND sem_no <= 100),
+_n AS (SELECT * FROM _s WHERE semantic),
 _pc AS (SELECT page_id AS p_page, pos AS p_pos, {D.text_piece()} AS piece FROM et WHERE in_hidden = 0),
 _tx AS (SELECT _n.page_id, _n.pos, {D.join_pieces("list({'pos': p_pos, 'piece': piece})")} AS _text FROM _n JOIN _pc
   ON p_page = _n.page_id AND p_pos > _n.pos AND p_pos <= _n."end" WHERE piece IS NOT NULL GROUP BY _n.page_id, _n.pos)"""
@@ -47,8 +47,3 @@ def n9(t):
     return N.observation_truncated(t("pages"), 3, 20)
 
 
-@register("n10_observation_empty")
-def n10(t):
-    """Pages whose observation holds no node (rows-only: none on the raw pages)."""
-    p = t("pages")
-    return N.observation_empty(p, N.observation_nodes(p))

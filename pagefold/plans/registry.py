@@ -33,11 +33,7 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from pagefold.plans import q_content  # noqa: F401
-    for mod in ("q_rules", "q_events", "q_cookies", "q_readiness", "q_observation", "q_streaming", "q_sources"):
-        try:
-            __import__(f"pagefold.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"pagefold.plans.{mod}":
-                raise
+    from pagefold.plans import (  # noqa: F401
+        q_capture, q_content, q_cookies, q_events, q_forms, q_observation, q_readiness, q_rules, q_sources, q_streaming,
+    )
     return REGISTRY

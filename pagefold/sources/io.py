@@ -37,7 +37,7 @@ def read_capture_dirs(spark: SparkSession, root: str, artifact: str) -> DataFram
     return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("request_id"))
 
 
-def _typed_events(raw: DataFrame) -> DataFrame:
+def typed_events(raw: DataFrame) -> DataFrame:
     """Raw event envelope ``{session_id, method, params, seq, ts}`` (params
     as JSON text) -> typed event columns."""
     p = raw.selectExpr("*", f"from_json(params, '{PARAMS_SCHEMA}') AS _p")
@@ -61,13 +61,13 @@ RAW_EVENT_SCHEMA = "session_id string, method string, params string, seq bigint,
 def read_capture_events(spark: SparkSession, path: str) -> DataFrame:
     """S3: JSON-lines event log (explicit schema, no inference)."""
     raw = spark.read.schema(RAW_EVENT_SCHEMA).json(path)
-    return _typed_events(raw)
+    return typed_events(raw)
 
 
 def stream_capture_events(spark: SparkSession, path: str) -> DataFrame:
     """S3 (streaming): the same typed events from files arriving in ``path``."""
     raw = spark.readStream.schema(RAW_EVENT_SCHEMA).json(path)
-    return _typed_events(raw).withColumn("event_time", F.timestamp_millis("ts_ms"))
+    return typed_events(raw).withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
 def sorted_sql(path: str, dtype) -> str:

@@ -34,8 +34,9 @@ def test_booking_form(spark):
 def test_node_cap_and_empty(spark):
     html = "<body>" + "".join(f"<p><button name=b{i}>Row {i}</button></p>" for i in range(130)) + "</body>"
     p = pages_df(spark, [(1, "http://h/", html), (2, "http://h/e", "<body></body>")])
-    assert N.observation_nodes(p).where("page_id = 1").count() == 100
-    t = N.observation_truncated(p).collect()
+    assert N.observation_nodes(p).where("page_id = 1").count() == 130
+    assert N.observation_nodes(p, N.NODE_LIMIT, N.SCAN_LIMIT).where("page_id = 1").count() == 100
+    t = N.observation_truncated(p, N.NODE_LIMIT, N.SCAN_LIMIT).collect()
     assert [(r.page_id, r.reason, r.emitted_nodes) for r in t] == [(1, "node_limit_exceeded", 100)]
     empty = N.observation_empty(p, N.observation_nodes(p)).collect()
     assert [r.page_id for r in empty] == [2]
