@@ -28,6 +28,19 @@ STATE_METHODS = f"'{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}'"
 NETWORK_METHODS = f"'{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}', '{CACHED}'"
 
 
+def _timeline(events: DataFrame, width: int) -> DataFrame:
+    """R1 with each session's next event time: one pass per request, one per session."""
+    e = conform_events(events).where(f"method IN ({NETWORK_METHODS})")
+    state = f"CASE WHEN method IN ({STATE_METHODS}) THEN method END"
+    e = scan.multi(e, ["session_id", "request_id"], "seq", [
+        ("sum", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "_sends"),
+        ("last", state, "_last_state"), ("last_before", state, "_state_before")], width)
+    before = f"_sends - CAST(method = '{SENT}' AS INT) > 0 AND _state_before IN ('{SENT}', '{RESPONDED}')"
+    e = e.selectExpr("*", f"CAST(_sends > 0 AND _last_state IN ('{SENT}', '{RESPONDED}') AS INT) "
+                          f"- CAST(coalesce({before}, false) AS INT) AS _delta")
+    return scan.multi(e, ["session_id"], "seq", [("sum", "_delta", "inflight"), ("next", "ts_ms", "_next_ts")], width)
+
+
 def inflight_timeline(events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
     """In-flight (pending or responded) requests per session after each event.
 
@@ -35,23 +48,15 @@ def inflight_timeline(events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> Dat
     state-changing event is a send or a response; each event contributes
     open_after - open_before of its own request, summed in session order.
     """
-    e = conform_events(events).where(f"method IN ({NETWORK_METHODS})")
-    key = ["session_id", "request_id"]
-    e = scan.multi(e, key, "seq", [("sum", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "_sends"),
-                                   ("last", f"CASE WHEN method IN ({STATE_METHODS}) THEN method END", "_last_state")], width)
-    e = e.selectExpr("*", f"CAST(_sends > 0 AND _last_state IN ('{SENT}', '{RESPONDED}') AS INT) AS _open")
-    e = scan.neighbor(e, key, "seq", "_open", "_open_before", "prev", width)
-    e = e.selectExpr("*", "_open - coalesce(_open_before, 0) AS _delta")
-    e = scan.running_sum(e, ["session_id"], "seq", "_delta", "inflight", width)
-    return e.selectExpr("session_id", "seq", "ts_ms", "request_id", "method", "CAST(inflight AS BIGINT) AS inflight")
+    return _timeline(events, width).selectExpr(
+        "session_id", "seq", "ts_ms", "request_id", "method", "CAST(inflight AS BIGINT) AS inflight")
 
 
 def network_quiet(events: DataFrame, idle_ms: int = NETWORK_IDLE_MS, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
     """R2: first instant per session at which nothing is in flight and no
     network event followed for ``idle_ms`` (the last event counts as
     followed by silence)."""
-    tl = inflight_timeline(events, width)
-    tl = scan.neighbor(tl, ["session_id"], "seq", "ts_ms", "_next_ts", "next", width)
+    tl = _timeline(events, width)
     q = tl.where(f"inflight = 0 AND (_next_ts IS NULL OR _next_ts - ts_ms >= {int(idle_ms)})")
     return q.groupBy("session_id").agg(F.expr(f"min(ts_ms) + {int(idle_ms)} AS quiet_at_ms"))
 
@@ -95,7 +100,7 @@ def readiness(events: DataFrame, samples: DataFrame, budget_ms: int, idle_ms: in
     s = u.where("_kind = 1").selectExpr(
         "session_id", "ts_ms", "stable",
         f"coalesce(inflight_asof, 0) = 0 AND (last_event_ts IS NULL OR ts_ms - last_event_ts >= {int(idle_ms)}) AS network_quiet")
-    first = s.groupBy("session_id").agg(F.expr("min(ts_ms) AS _t0"))
+    first = samples.groupBy("session_id").agg(F.expr("min(ts_ms) AS _t0"))
     s = s.join(first, "session_id").where(f"ts_ms < _t0 + {int(budget_ms)}")
     g = s.groupBy("session_id").agg(
         F.expr("min(CASE WHEN network_quiet AND stable THEN ts_ms END) AS ready_at_ms"),
@@ -118,11 +123,10 @@ def stage_spans(stage_events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> Dat
     """
     key = ["fetch_id", "stage"]
     e = stage_events.selectExpr("*", "CASE WHEN event = 'begin' THEN 1 ELSE -1 END AS _v")
-    e = scan.running_sum_min(e, key, "seq", "_v", "_s", "_smin", width)
-    e = e.selectExpr("*", "_s - least(0, _smin) AS depth")
-    e = scan.neighbor(e, key, "seq", "depth", "_depth_before", "prev", width)
-    e = e.selectExpr("*", "event = 'begin' AND depth = 1 AND coalesce(_depth_before, 0) = 0 AS _start",
-                     "event = 'end' AND depth = 0 AND coalesce(_depth_before, 0) = 1 AS _end")
+    e = scan.running_sum_min(e, key, "seq", "_v", "_s", "_smin", width, "_smin_before")
+    e = e.selectExpr("*", "_s - least(0, _smin) AS depth", "_s - _v - least(0, coalesce(_smin_before, 0)) AS _depth_before")
+    e = e.selectExpr("*", "event = 'begin' AND depth = 1 AND _depth_before = 0 AS _start",
+                     "event = 'end' AND depth = 0 AND _depth_before = 1 AS _end")
     e = scan.last_non_null(e, key, "seq", "CASE WHEN _start THEN ts_ms END", "_start_ts", width)
     tcodes = ", ".join(f"'{c}'" for c in TIMEOUT_CODES)
     ends = e.where("_end").selectExpr(

@@ -43,9 +43,11 @@ def multi(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str
     """Several ordered scans over the same key and order in one pass.
 
     ``specs``: ``(op, expr, out)`` with ``op`` one of ``sum`` (inclusive
-    running sum), ``last`` (last non-null at or before the row), ``prev`` /
-    ``next`` (value of the previous / next row). One chunking, one window
-    pass per (key, chunk), one per-chunk carry table, one join.
+    running sum), ``last`` (last non-null at or before the row),
+    ``last_before`` (last non-null before the row), ``prev`` / ``next`` (value
+    of the previous / next row). One chunking, one window pass per (key,
+    chunk), one per-chunk carry table, one join: every pass reads its input
+    twice, so operators put what they can into one pass.
     """
     d = with_chunk(df, order, width)
     k = _keys(keys)
@@ -66,6 +68,11 @@ def multi(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str
             aggs.append(f"max_by({expr}, {ok}) FILTER (WHERE ({expr}) IS NOT NULL) AS _a{i}")
             carries.append(f"last(_a{i}, true) OVER {before} AS _c{i}")
             outs.append(f"coalesce(_w{i}, _c{i}) AS {out}")
+        elif op == "last_before":
+            within.append(f"last({expr}, true) OVER {wk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _w{i}")
+            aggs.append(f"max_by({expr}, {ok}) FILTER (WHERE ({expr}) IS NOT NULL) AS _a{i}")
+            carries.append(f"last(_a{i}, true) OVER {before} AS _c{i}")
+            outs.append(f"coalesce(_w{i}, _c{i}) AS {out}")
         elif op in ("prev", "next"):
             fn, pick = ("lag", "max_by") if op == "prev" else ("lead", "min_by")
             within.append(f"{fn}(named_struct('v', {expr})) OVER {wk}) AS _w{i}")
@@ -77,7 +84,6 @@ def multi(df: DataFrame, keys: list[str], order: str, specs: list[tuple[str, str
     d = d.selectExpr("*", *within)
     ch = d.groupBy(*keys, "_chunk").agg(*[F.expr(a) for a in aggs])
     ch = ch.selectExpr(*keys, "_chunk", *carries)
-    # one row per (key, chunk): broadcast when its estimated size allows
     j = d.join(ch, keys + ["_chunk"])
     return j.selectExpr(*df.columns, *outs)
 
@@ -101,14 +107,16 @@ def neighbor(df: DataFrame, keys: list[str], order: str, value: str, out: str, d
 
 
 def running_sum_min(df: DataFrame, keys: list[str], order: str, value: str, out_sum: str, out_min: str,
-                    width: int = DEFAULT_WIDTH) -> DataFrame:
-    """``out_sum`` = running sum S of ``value`` and ``out_min`` = running
-    minimum of S (both inclusive), per key, in two levels."""
+                    width: int = DEFAULT_WIDTH, out_min_before: str = "_min_before") -> DataFrame:
+    """``out_sum`` = running sum S of ``value``, ``out_min`` = running minimum
+    of S (both inclusive) and ``out_min_before`` = the minimum of S before the
+    row (NULL for the first), per key, in two levels."""
     d = with_chunk(df, order, width)
     k = _keys(keys)
     w = f"(PARTITION BY {k}, _chunk ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     d = d.selectExpr("*", f"sum({value}) OVER {w} AS _s")
-    d = d.selectExpr("*", f"min(_s) OVER {w} AS _m")
+    upto = w.replace("CURRENT ROW", "1 PRECEDING")
+    d = d.selectExpr("*", f"min(_s) OVER {w} AS _m", f"min(_s) OVER {upto} AS _mb")
     tot = d.groupBy(*keys, "_chunk").agg(F.expr(f"sum({value}) AS _tot"), F.expr("min(_s) AS _cmin"))
     tot = tot.selectExpr("*", f"coalesce(sum(_tot) OVER (PARTITION BY {k} ORDER BY _chunk "
                               f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _csum")
@@ -116,4 +124,5 @@ def running_sum_min(df: DataFrame, keys: list[str], order: str, value: str, out_
                                                    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _cmin_before")
     j = d.join(tot, keys + ["_chunk"])
     return j.selectExpr(*df.columns, f"_csum + _s AS {out_sum}",
-                        f"CASE WHEN _cmin_before IS NULL THEN _csum + _m ELSE least(_cmin_before, _csum + _m) END AS {out_min}")
+                        f"CASE WHEN _cmin_before IS NULL THEN _csum + _m ELSE least(_cmin_before, _csum + _m) END AS {out_min}",
+                        f"least(_cmin_before, _csum + _mb) AS {out_min_before}")

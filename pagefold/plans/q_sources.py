@@ -39,11 +39,17 @@ def s6(t):
     return S.artifact_manifest(r)
 
 
-@register("s4_results_jsonl")
+_S4_BODY = """CASE WHEN page_id % 2 = 0 THEN '"body_file":"/out/' || r || '/body.html",' ELSE '' END || '"code":"' || c || '","network_file":"/out/' || r
+  || '/network.json","request_id":"' || r || '","request_url":"' || url || '"' || CASE WHEN page_id % 3 = 0 THEN ',"text_file":"/out/' || r || '/text.txt"' ELSE '' END
+  || ',"token_secret":"***"'"""
+
+
+@register("s4_results_jsonl", f"""WITH x AS (SELECT *, 'req-' || CAST(page_id AS VARCHAR) AS r, CASE WHEN page_id % 4 = 0 THEN 'other' ELSE 'fetch' END AS c FROM pages)
+SELECT CASE WHEN page_id % 4 = 0 THEN '{{"code":"fetch","result":{{' || {_S4_BODY} || '}}}}' ELSE '{{' || {_S4_BODY} || '}}' END AS value FROM x""")
 def s4(t):
-    """Result rows as sorted-key JSON envelopes (code 'fetch'; a payload with another code is nested)."""
+    """Result rows as sorted-key JSON envelopes (code 'fetch'; a payload with another code is nested; secrets masked)."""
     r = t("pages").selectExpr(*select_items(RESULTS_SELECT.format(s="STRING")),
-                              "CASE WHEN page_id % 4 = 0 THEN 'other' END AS code")
+                              "CASE WHEN page_id % 4 = 0 THEN 'other' END AS code", "concat('t', CAST(page_id AS STRING)) AS token_secret")
     return S.envelope_json(r, "fetch")
 
 

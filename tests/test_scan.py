@@ -24,5 +24,11 @@ def test_chunked_scans_match_windows(spark):
     got_p = {(r.k, r.seq): r.p for r in scan.neighbor(df, ["k"], "seq", "v", "p", "prev", width).collect()}
     got_n = {(r.k, r.seq): r.n for r in scan.neighbor(df, ["k"], "seq", "v", "n", "next", width).collect()}
     got_m = {(r.k, r.seq): r.m for r in scan.running_sum_min(df, ["k"], "seq", "coalesce(v, 0)", "s", "m", width).collect()}
+    w1 = w.replace("CURRENT ROW", "1 PRECEDING")
+    before = {(r.k, r.seq): (r.l, r.m) for r in df.selectExpr("*", f"sum(coalesce(v, 0)) OVER {w} AS s").selectExpr(
+        "k", "seq", f"last(v, true) OVER {w1} AS l", f"min(s) OVER {w1} AS m").collect()}
+    got_b = {(r.k, r.seq): r.b for r in scan.multi(df, ["k"], "seq", [("last_before", "v", "b")], width).collect()}
+    got_mb = {(r.k, r.seq): r._min_before for r in scan.running_sum_min(df, ["k"], "seq", "coalesce(v, 0)", "s", "m", width).collect()}
+    assert {k: (got_b[k], got_mb[k]) for k in before} == before
     for key, r in ref.items():
         assert got_s[key] == r.s and got_l[key] == r.l and got_p[key] == r.p and got_n[key] == r.n and got_m[key] == r.m, key
