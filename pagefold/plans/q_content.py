@@ -53,8 +53,10 @@ def t4(t):
     return C.visible_text(t("pages"))
 
 
-@register("t5_page_title", f"""
-SELECT page_id, {D.norm(D.decode("regexp_extract(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"))} AS title FROM pages""")
+PAGE_TITLE_D = D.norm(D.decode("regexp_extract(regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"))
+
+
+@register("t5_page_title", f"SELECT page_id, {PAGE_TITLE_D} AS title FROM pages")
 def t5(t):
     """Document title per page."""
     return C.page_title(t("pages"))
@@ -236,20 +238,23 @@ def _table_pages(t):
     return t("pages").selectExpr("page_id", "url", f"{table_pages_html()} AS html")
 
 
-@register("t19_tables", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()},
-_o AS (SELECT page_id, pos, "end", tag, walked FROM ft WHERE kind = 'open' AND in_table > 0 AND tag IN ('table', 'tr', 'td', 'th', 'caption')),
+#: Rows of the tables that the walk reaches, by element extents (needs ``ft``).
+TABLES_D = f"""_o AS (SELECT page_id, pos, "end", tag, walked FROM ft WHERE kind = 'open' AND in_table > 0 AND tag IN ('table', 'tr', 'td', 'th', 'caption')),
 _t AS (SELECT o.page_id, o.pos, o.tag, {D.join_pieces("list({'pos': p.pos, 'piece': p.piece})")} AS text
        FROM _o o JOIN ft p ON p.page_id = o.page_id AND p.pos BETWEEN o.pos AND o."end" WHERE p.piece IS NOT NULL GROUP BY ALL),
-_r AS (SELECT r.page_id, r.pos, array_to_string(list(c.text ORDER BY c.pos), ' | ') AS cells
+_r AS (SELECT r.page_id, r.pos, list(c.text ORDER BY c.pos) AS cells
        FROM _o r JOIN _t c ON c.page_id = r.page_id AND c.pos BETWEEN r.pos AND r."end"
        WHERE r.tag = 'tr' AND c.tag IN ('td', 'th') AND c.text != '' GROUP BY r.page_id, r.pos),
 _b AS (SELECT b.page_id, b.pos AS table_pos, r.cells, row_number() OVER (PARTITION BY b.page_id, b.pos ORDER BY r.pos) - 1 AS row_no,
        dense_rank() OVER (PARTITION BY b.page_id ORDER BY b.pos) - 1 AS table_no
        FROM _o b JOIN _r r ON r.page_id = b.page_id AND r.pos BETWEEN b.pos AND b."end" WHERE b.tag = 'table' AND b.walked),
 _cap AS (SELECT b.page_id, b.pos AS table_pos, arg_min(c.text, c.pos) AS caption FROM _o b JOIN _t c ON c.page_id = b.page_id
-         AND c.pos BETWEEN b.pos AND b."end" WHERE b.tag = 'table' AND b.walked AND c.tag = 'caption' AND c.text != '' GROUP BY ALL),
+         AND c.pos BETWEEN b.pos AND b."end" WHERE b.tag = 'table' AND b.walked AND c.tag = 'caption' AND c.text != '' GROUP BY ALL)"""
+
+
+@register("t19_tables", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()}, {TABLES_D},
 _hd AS (SELECT page_id, epos, section_heading FROM ent WHERE ekind = 'table')
-SELECT _b.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, cells, coalesce(caption, '') AS caption,
+SELECT _b.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, array_to_string(cells, ' | ') AS cells, coalesce(caption, '') AS caption,
        section_heading AS source_section
 FROM _b LEFT JOIN _cap USING (page_id, table_pos) JOIN _hd ON _hd.page_id = _b.page_id AND _hd.epos = table_pos""")
 def t19(t):

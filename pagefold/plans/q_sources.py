@@ -7,8 +7,8 @@ from pagefold import dims
 from pagefold.operators import content as C
 from pagefold.operators.assemble import assemble_results
 from pagefold.plans import duck as D
-from pagefold.plans.adapters import frame_pages_html
-from pagefold.plans.q_content import LINK_PAGES_CTE, _link_pages
+from pagefold.plans.adapters import frame_pages_html, table_pages_html
+from pagefold.plans.q_content import LINK_PAGES_CTE, PAGE_TITLE_D, TABLES_D, _link_pages
 from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 from pagefold.sources import io as S
@@ -68,10 +68,34 @@ def t20(t):
     return C.content_json(_link_pages(t))
 
 
-@register("t21_content_markdown")
+def _md(x: str) -> str:
+    return f"replace(replace({x}, '[', '\\['), ']', '\\]')"
+
+
+_LF = "chr(10)"
+
+
+@register("t21_content_markdown", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()}, {TABLES_D},
+_w AS (SELECT page_id, table_pos, max(len(cells)) AS w FROM _b GROUP BY ALL),
+_p AS (SELECT page_id, table_pos, row_no, w, '| ' || array_to_string(list_transform(list_resize(cells, w, ''), lambda c: replace({D.norm('c')}, '|', '\\|')), ' | ') || ' |' AS l
+       FROM _b JOIN _w USING (page_id, table_pos)),
+_tm AS (SELECT page_id, table_pos, string_agg(l || CASE WHEN row_no = 0 THEN {_LF} || '|' || repeat(' --- |', w) ELSE '' END, {_LF} ORDER BY row_no) AS body FROM _p GROUP BY ALL),
+_tb AS (SELECT page_id, table_pos, CASE WHEN caption IS NOT NULL THEN '**' || {_md('caption')} || '**' || {_LF} || {_LF} ELSE '' END || body AS md
+        FROM _tm LEFT JOIN _cap USING (page_id, table_pos)),
+_fl AS (SELECT f.page_id, epos, CASE ekind WHEN 'heading' THEN repeat('#', least(6, greatest(2, CAST(substr(tag, 2, 1) AS INTEGER) + 1))) || ' ' || {_md('text')}
+        WHEN 'paragraph' THEN text ELSE md END AS line FROM flow f LEFT JOIN _tb ON _tb.page_id = f.page_id AND _tb.table_pos = f.epos AND f.ekind = 'table'),
+_fm AS (SELECT page_id, string_agg(line || {_LF}, {_LF} ORDER BY epos) AS flow_md FROM _fl WHERE line IS NOT NULL GROUP BY page_id),
+_ln AS (SELECT *, CASE WHEN same_site THEN 'same-site' ELSE 'external' END AS scope FROM ({D.links_sql()})),
+_lm AS (SELECT page_id, string_agg('- [' || {_md('text')} || '](' || absolute_url || ') — ' || kind || CASE WHEN kind = scope THEN '' ELSE ', ' || scope END
+        || ', source: ' || source_section, {_LF} ORDER BY link_no) AS links_md FROM _ln GROUP BY page_id),
+_h AS (SELECT page_id, url, {PAGE_TITLE_D} AS title FROM tp)
+SELECT page_id, regexp_replace('# ' || {_md("CASE WHEN title != '' THEN title ELSE url END")} || {_LF} || {_LF} || 'URL: ' || url || {_LF} || 'Final URL: ' || url || {_LF}
+  || CASE WHEN title != '' THEN 'Title: ' || title || {_LF} ELSE '' END || 'Ready State: complete' || {_LF} || {_LF} || '## Visible Content' || {_LF} || {_LF} || flow_md
+  || coalesce({_LF} || '## Links' || {_LF} || {_LF} || links_md || {_LF}, ''), '\\n{{3,}}', {_LF} || {_LF}, 'g') AS markdown
+FROM _h JOIN _fm USING (page_id) LEFT JOIN _lm USING (page_id)""")
 def t21(t):
-    """Markdown rendering of the composed content per page."""
-    return C.content_markdown(_link_pages(t))
+    """Markdown rendering of the composed content per page (nested tables, links)."""
+    return C.content_markdown(t("pages").selectExpr("page_id", "url", f"{table_pages_html()} AS html"))
 
 
 def _frame_pages(t):

@@ -22,3 +22,8 @@ def test_topk_limits_before_shuffle(spark):
 def test_scan_prunes_columns(spark):
     plan = _plan(spark, "c9_body_cap")
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan or "page_id,html" in plan.replace(" ", "")
+
+
+def test_ordered_scans_do_not_double(spark):
+    for name, most in (("e1_network_entries", 1), ("r1_inflight_timeline", 4), ("r2_network_quiet", 4), ("r5_stage_spans", 8)):
+        assert _plan(spark, name).count("FileScan") <= most, name
