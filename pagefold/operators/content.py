@@ -19,7 +19,7 @@ from pagefold.functions.core import lit, nonempty
 from pagefold.functions.text import decode_entities_sql, first_line_sql, normalize_text_sql, truncate_sql
 from pagefold.functions.url import resolve_url_sql, same_site_sql
 from pagefold.operators.html import (
-    BLOCK_TAGS, HEADING_TAGS, RUN, attr_sql, element_tokens, html_tokens,
+    BLOCK_TAGS, COVER_KINDS, HEADING_TAGS, RUN, attr_sql, element_tokens, html_tokens,
     join_pieces_sql, span_join, sql_list, text_piece_sql,
 )
 
@@ -78,9 +78,16 @@ def first_rows(column: str, n: int | None) -> str:
 LINK_KINDS_NEEDED = ("link", "heading")
 
 
-def flow_tokens(pages: DataFrame) -> DataFrame:
-    """Visible element tokens with walk scope, boundaries and block keys."""
-    et = element_tokens(html_tokens(pages)).where("visible")
+#: Element kinds that the walk, and each entry kind, looks at.
+WALK_COVER = ("heading", "table", "iframe")
+ENTRY_COVER = {"link": ("a", "nav", "footer"), "action": ("action",), "item": ("cand",)}
+
+
+def flow_tokens(pages: DataFrame, kinds=None) -> DataFrame:
+    """Visible element tokens with walk scope, boundaries and block keys; with
+    ``kinds``, only what these entry kinds need is looked for."""
+    cover = COVER_KINDS if kinds is None else [*WALK_COVER, *(c for k in kinds for c in ENTRY_COVER.get(k, ()))]
+    et = element_tokens(html_tokens(pages), cover).where("visible")
     # Tokens the content walk reaches: not inside a heading, table or iframe
     # (those are consumed whole), except their opening tag itself.
     opaque = "(in_heading + in_table + in_iframe)"
@@ -116,8 +123,6 @@ def _memberships_sql(with_items: bool = False, kinds=None) -> str:
         ("heading", m("heading", "heading_pos", f"in_heading > 0 AND ({piece} OR (kind = 'open' AND tag IN ({HEADINGS})))")),
         ("link", m("link", "a_pos", f"in_a > 0 AND ({piece} OR (kind = 'open' AND tag = 'a'))")),
         ("action", m("action", "action_pos", f"in_action > 0 AND ({piece} OR (kind = 'open' AND pos = action_pos))")),
-        ("cell", m("cell", "cell_pos", f"in_cell > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag IN ('td', 'th')))")),
-        ("caption", m("caption", "caption_pos", f"in_caption > 0 AND in_table > 0 AND ({piece} OR (kind = 'open' AND tag = 'caption'))")),
         ("table", m("table", "pos", "kind = 'open' AND tag = 'table' AND walked")),
     ] + ([("item", m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"))]
          if with_items else []) if want(k)]) + "))"
@@ -128,9 +133,9 @@ def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items:
     """All content entries of all pages, one row each, with section context.
 
     Columns: page_id, url, ekind, ekey, epos, tag, attrs, walked, in_nav,
-    in_footer, table_pos, tr_pos, text, section_no, section_heading.
+    in_footer, text, section_no, section_heading.
     """
-    ft = _ft if _ft is not None else flow_tokens(pages)
+    ft = _ft if _ft is not None else flow_tokens(pages, kinds)
     ex = ft.selectExpr("*", f"explode({_memberships_sql(with_items, kinds)}) AS _m").selectExpr(
         "*", "_m.ekind AS ekind", "_m.ekey AS ekey")
     owner = "kind = 'open' AND pos = ekey"
@@ -143,8 +148,6 @@ def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items:
             f"max(CASE WHEN {owner} THEN CAST(walked AS INT) END) AS _walked",
             f"max(CASE WHEN {owner} THEN in_nav END) AS in_nav",
             f"max(CASE WHEN {owner} THEN in_footer END) AS in_footer",
-            f"max(CASE WHEN {owner} THEN table_pos END) AS table_pos",
-            f"max(CASE WHEN {owner} THEN tr_pos END) AS tr_pos",
             "collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _pieces",
             "collect_list(CASE WHEN ekind = 'item' AND in_heading > 0 AND piece IS NOT NULL "
             "THEN named_struct('pos', pos, 'piece', piece, 'h', heading_pos) END) AS _hp",
@@ -153,7 +156,7 @@ def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items:
         "page_id", "url", "ekind", "ekey",
         "CASE WHEN ekind = 'paragraph' THEN _ppos ELSE ekey END AS epos",
         "tag", "attrs", "coalesce(_walked = 1, ekind = 'paragraph') AS walked",
-        "in_nav", "in_footer", "table_pos", "tr_pos", f"{join_pieces_sql('_pieces')} AS text",
+        "in_nav", "in_footer", f"{join_pieces_sql('_pieces')} AS text",
         f"CASE WHEN ekind = 'item' AND size(_hp) > 0 THEN {join_pieces_sql('filter(_hp, _y -> _y.h = array_min(transform(_hp, _z -> _z.h)))')} "
         "END AS item_heading")
     # Owner rows are required except for paragraphs (keyed by block).
@@ -344,7 +347,7 @@ def tables_from_tokens(ft: DataFrame, ent: DataFrame, limits: Limits = NO_LIMITS
 
 def table_cells(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     """``(page_id, table_no, row_no, cells[])`` plus caption."""
-    ft = flow_tokens(pages)
+    ft = flow_tokens(pages, ("table", "heading"))
     return tables_from_tokens(ft, content_entries(pages, ft, kinds=("table", "heading")), limits).drop("table_pos")
 
 

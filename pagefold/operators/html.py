@@ -13,6 +13,8 @@ Expressions are Spark SQL text (``selectExpr``): one JVM call per column.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
 from pagefold.functions.core import let, lit, nonempty
@@ -173,8 +175,9 @@ def _cover_conds() -> dict[str, str]:
     }
 
 
-def element_tokens(tokens: DataFrame) -> DataFrame:
+def element_tokens(tokens: DataFrame, cover: Iterable[str] = COVER_KINDS) -> DataFrame:
     """T1+T2 base: add element extents and coverage counts to each token.
+    Only the kinds in ``cover`` (and hidden) are looked for; the others count 0.
 
     Columns added: ``end`` (open rows: matching close or ``last_pos``),
     ``hidden_self``, ``in_<kind>`` coverage counts and ``<kind>_pos`` (the
@@ -184,7 +187,8 @@ def element_tokens(tokens: DataFrame) -> DataFrame:
     """
     base = tokens.columns
     conds = _cover_conds()
-    mask = " | ".join(f"(CASE WHEN {conds[k]} THEN {1 << i} ELSE 0 END)" for i, k in enumerate(COVER_KINDS))
+    cover = {"hidden", *cover}
+    mask = " | ".join(f"(CASE WHEN {conds[k]} THEN {1 << i} ELSE 0 END)" for i, k in enumerate(COVER_KINDS) if k in cover)
     void = f"tag IN ({sql_list(VOID_TAGS)})"
     step = f"CASE WHEN {void} THEN 0 WHEN kind = 'open' THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END"
     s = f"sum({step}) OVER (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -201,6 +205,9 @@ def element_tokens(tokens: DataFrame) -> DataFrame:
         f"CASE WHEN kind = 'close' AND coalesce(lag(kind) OVER {w} = 'open', false) THEN lag(_m) OVER {w} ELSE 0 END AS _cm")
     cols = []
     for i, k in enumerate(COVER_KINDS):
+        if k not in cover:
+            cols += [f"CAST(0 AS BIGINT) AS in_{k}", f"CAST(NULL AS INT) AS {k}_pos"]
+            continue
         om = f"shiftright(_m, {i}) & 1"
         cm = f"CASE WHEN _void THEN {om} ELSE shiftright(_cm, {i}) & 1 END"
         cols.append(f"sum({om}) OVER {RUN} - coalesce(sum({cm}) OVER {RUN_BEFORE}, 0) AS in_{k}")
