@@ -30,6 +30,7 @@ from pagefold.llm.textvec import MinHasher, band_keys, shingle_sets
 
 PERMS = 128
 ROWS = 4
+SLICE_ROWS = 256           # rows whose texts and edited texts are held as Python strings
 
 
 def fingerprints(texts: pa.Array, hasher: MinHasher) -> list[np.ndarray]:
@@ -50,7 +51,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk, repeated, and yields nothing itself."""
     hasher = MinHasher(PERMS)
     held: tuple | None = None                           # (chunk, doc_id, text, fingerprint, is_next)
-    for batch in batches:
+    for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
         rows = []
         col = [batch.column(i) for i in range(4)]
         texts = col[2].to_pylist()
