@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.llm.graph import staged
-from pagefold.llm.neardup import confirm
-from pagefold.llm.textvec import MinHasher, band_keys, shingle_sets
+from pagefold.llm.graph import across, components, staged
+from pagefold.llm.neardup import BLOCK, _block_links, _signatures, confirm
+from pagefold.llm.textvec import MinHasher, shingle_sets
 
 PERMS = 128
-ROWS = 4
 SLICE_ROWS = 256           # rows whose texts and edited texts are held as Python strings
 
 
@@ -102,19 +101,26 @@ def edited_fingerprints(docs: DataFrame, chunks: int | None = None) -> DataFrame
             .mapInArrow(_compare, schema))
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = MinHasher(PERMS)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their text, as it is confirmed, beside what ``neardup`` computes of it."""
     for batch in batches:
-        keys = [band_keys(hasher.signature(s), ROWS) if len(s) else np.zeros(0, np.int64) for s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], names=["doc_id", "bands"])
+        for sig in _signatures(iter([batch])):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(sig.column(c) for c in ("n_shingles", "bands", "sketch"))],
+                                             names=["doc_id", "text", "n_shingles", "bands", "sketch"])
 
 
 def near_links(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """(a, b), a < b: links of every document to the smallest doc_id of each of
     its band buckets, confirmed on the full shingle sets (at least ``threshold``
-    percent Jaccard).  A spanning set, not all pairs."""
+    percent Jaccard), and, where a bucket then still holds several components,
+    links between those.  A spanning set, not all pairs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    keyed = staged(texts.mapInArrow(_bands, "doc_id long, bands array<long>").select(F.explode("bands").alias("key"), "doc_id"), "bands")
+    sig = staged(texts.mapInArrow(_signed, "doc_id long, text string, n_shingles long, bands array<long>, sketch array<long>").filter("n_shingles > 0"), "signatures")
+    keyed = sig.select(F.explode("bands").alias("key"), "doc_id").distinct()
     heads = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(heads, "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    return confirm(pairs, texts, threshold)
+    member = staged(keyed.join(heads.select("key", "a"), "key"), "bands")
+    pairs = member.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    links = staged(confirm(pairs, texts, threshold).distinct(), "links")
+    payload = sig.select(F.col("doc_id").alias("id"), "text", "n_shingles", "sketch")
+    more = across(member.select("key", F.col("doc_id").alias("id")), components(docs.sparkSession, links), payload, _block_links(threshold), BLOCK)
+    return links.unionByName(more).distinct()

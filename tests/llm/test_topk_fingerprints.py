@@ -74,3 +74,18 @@ def test_near_links(spark):
     docs = [(i, " ".join(base[:40] + [f"new{i}"] + base[41:])) for i in range(6)] + [(10 + i, prose(90, 40 + i)) for i in range(6)] + [(20, None), (21, "")]
     links = {(r.a, r.b) for r in fingerprints.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {b for _, b in links} == {1, 2, 3, 4, 5} and all(a < b for a, b in links)
+
+
+def test_near_links_in_buckets_whose_head_is_near_none(spark):
+    """60 smaller doc_ids share buckets with the near pair (100, 101), but are near neither."""
+    words = prose(100, 3).split()
+    docs = []
+    for i in range(60):
+        changed = {(i * 7 + 25 * n + (i * n) % 11) % 96 + 2 for n in range(4)}
+        docs.append((i, " ".join(f"x{i}y{k}" if k in changed else w for k, w in enumerate(words))))
+    docs += [(100, " ".join(words)), (101, " ".join([*words[:50], "changed", *words[51:]]))]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(96)} for i, t in docs}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {b for _, b in near if b >= 100} == {101} and not any(a < 100 <= b for a, b in near)
+    links = {(r.a, r.b) for r in fingerprints.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert (100, 101) in links and links <= near
