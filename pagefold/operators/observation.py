@@ -18,7 +18,7 @@ from pagefold.operators.html import attr_sql, element_tokens, has_attr_sql, html
 
 # --- fixed values ----------------------------------------------------------
 NODE_LIMIT, SCAN_LIMIT = 100, 2000      # the observer's own limits; pass them to apply them
-NAME_CUT = 160
+NAME_CUT = 160                          # characters of a name, label or text, likewise
 SEMANTIC_TAGS = ["button", "input", "textarea", "select", "summary", "iframe"]
 DISABLEABLE = ["button", "input", "select", "textarea", "optgroup", "option", "fieldset"]
 FORM_FIELDS = ["button", "fieldset", "input", "object", "output", "select", "textarea"]
@@ -26,8 +26,8 @@ DISALLOWED_LABELS = ["login", "captcha", "paywall", "important", "best", "likely
 # --- end fixed values -------------------------------------------------------
 
 
-def trim160_sql(x: str) -> str:
-    return f"substring({squash_ws_sql(x)}, 1, {NAME_CUT})"
+def trimmed_sql(x: str, cut: int | None = None) -> str:
+    return squash_ws_sql(x) if cut is None else f"substring({squash_ws_sql(x)}, 1, {int(cut)})"
 
 
 def role_sql() -> str:
@@ -66,10 +66,11 @@ def _elements(pages: DataFrame, node_limit: int | None, scan_limit: int | None)
     return el.selectExpr("*", f"{limits} AS emitted")
 
 
-def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limit: int | None = None) -> DataFrame:
+def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limit: int | None = None, name_cut: int | None = None) -> DataFrame:
     """One row per emitted node: ref ``obs-<n>``, role, name, text,
     visible, enabled, actions, href, src, input type, checked, value flag,
-    ``#id`` selector hint and its uniqueness."""
+    ``#id`` selector hint and its uniqueness.  ``name_cut`` keeps as many
+    characters of names and texts."""
     el = _elements(pages, node_limit, scan_limit)
     ids = el.where(f"{attr_sql('id', False)} IS NOT NULL").groupBy("page_id", F.expr(f"{attr_sql('id', False)} AS _id")) \
             .agg(F.count("*").alias("_n_id"))
@@ -81,7 +82,7 @@ def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limi
     txt = span_join(spans, pieces, start="pos").groupBy("page_id", "pos").agg(
         F.expr("collect_list(named_struct('pos', p_pos, 'piece', piece)) AS _p"))
     txt = txt.selectExpr("page_id", "pos", f"{join_pieces_sql('_p')} AS _text")
-    labels = label_texts(pages)
+    labels = label_texts(pages, name_cut)
     # The value of a select: its first selected option, else (drop-downs only) its first.
     options = el.where("tag = 'option'").selectExpr(
         "page_id AS p_page", "pos AS p_pos", f"{has_attr_sql('selected')} AS chosen",
@@ -95,8 +96,8 @@ def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limi
     n = n.selectExpr("*", f"{attr_sql('id', False)} AS _id")
     n = n.join(labels, ["page_id", "_id"], "left").join(ids, ["page_id", "_id"], "left")
     itype = f"lower(coalesce({attr_sql('type', False)}, 'text'))"
-    name = (f"coalesce({nonempty(trim160_sql(attr_sql('aria-label')))}, {nonempty(trim160_sql(attr_sql('alt')))}, "
-            f"{nonempty(trim160_sql(attr_sql('title')))}, {nonempty('_label')}, {nonempty(trim160_sql('_text'))})")
+    name = (f"coalesce({nonempty(trimmed_sql(attr_sql('aria-label'), name_cut))}, {nonempty(trimmed_sql(attr_sql('alt'), name_cut))}, "
+            f"{nonempty(trimmed_sql(attr_sql('title'), name_cut))}, {nonempty('_label')}, {nonempty(trimmed_sql('_text', name_cut))})")
     disabled = (f"(tag IN ({', '.join(lit(t) for t in DISABLEABLE)}) AND {has_attr_sql('disabled')}) "
                 f"OR coalesce({attr_sql('aria-disabled', False)} = 'true', false)")
     value_flag = (f"CASE WHEN tag = 'input' THEN CASE WHEN {itype} IN ('checkbox', 'radio') THEN coalesce({attr_sql('value')}, 'on') != '' "
@@ -106,7 +107,7 @@ def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limi
                   f"WHEN tag = 'li' THEN coalesce(try_cast({attr_sql('value', False)} AS INT), 0) != 0 END")
     return n.selectExpr(
         "page_id", "CAST(sem_no - 1 AS BIGINT) AS node_no", "concat('obs-', CAST(sem_no - 1 AS STRING)) AS ref",
-        "'main' AS frame_id", "tag", f"{role_sql()} AS role", f"{name} AS name", f"{nonempty(trim160_sql('_text'))} AS text",
+        "'main' AS frame_id", "tag", f"{role_sql()} AS role", f"{name} AS name", f"{nonempty(trimmed_sql('_text', name_cut))} AS text",
         "visible", f"NOT ({disabled}) AS enabled", f"{actions_sql()} AS actions",
         f"CASE WHEN tag IN ('a', 'area') AND {has_attr_sql('href')} THEN {resolve_url_sql('url', attr_sql('href'))} END AS href",
         f"CASE WHEN tag IN ('iframe', 'img', 'script', 'embed', 'source', 'audio', 'video', 'track', 'input') AND {has_attr_sql('src')} "
@@ -119,7 +120,7 @@ def observation_nodes(pages: DataFrame, node_limit: int | None = None, scan_limi
         "pos", "end")
 
 
-def label_texts(pages: DataFrame) -> DataFrame:
+def label_texts(pages: DataFrame, name_cut: int | None = None) -> DataFrame:
     """First label text per (page, for) — N4's ``label[for=id]``."""
     et = element_tokens(html_tokens(pages))
     lab = et.where("in_label > 0").selectExpr(
@@ -128,7 +129,7 @@ def label_texts(pages: DataFrame) -> DataFrame:
     g = lab.groupBy("page_id", "label_pos").agg(
         F.expr("max(_for) AS _id"),
         F.expr("collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _p"))
-    g = g.where("_id IS NOT NULL").selectExpr("page_id", "_id", "label_pos", f"{trim160_sql(join_pieces_sql('_p'))} AS _label")
+    g = g.where("_id IS NOT NULL").selectExpr("page_id", "_id", "label_pos", f"{trimmed_sql(join_pieces_sql('_p'), name_cut)} AS _label")
     return g.groupBy("page_id", "_id").agg(F.expr("min_by(_label, label_pos) AS _label"))
 
 

@@ -31,8 +31,8 @@ SELECT _n.page_id, CAST(sem_no - 1 AS BIGINT) AS node_no, 'obs-' || CAST(sem_no
   regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {D.attr('href')} AS href
 FROM _n LEFT JOIN _tx USING (page_id, pos)""")
 def n1(t):
-    """Interactive nodes of every page (the raw pages hold a[href] nav links)."""
-    return N.observation_nodes(t("pages")).selectExpr("page_id", "node_no", "ref", "role", "name", "text", "visible", "href")
+    """Interactive nodes of every page (the raw pages hold a[href] nav links); names and texts cut as in the oracle."""
+    return N.observation_nodes(t("pages"), name_cut=N.NAME_CUT).selectExpr("page_id", "node_no", "ref", "role", "name", "text", "visible", "href")
 
 
 @register("n9_observation_truncated", NODES_D.split(",\n_n AS")[0] + """,

@@ -42,3 +42,15 @@ def test_node_cap_and_empty(spark):
     assert [r.page_id for r in empty] == [2]
     audit = N.label_audit(N.observation_nodes(p)).count()
     assert audit == 0
+
+
+def test_names_are_cut_only_on_request(spark):
+    long = "word " * 40 + "captcha"
+    html = f'<body><label for=f>{long}</label><input id=f><button id=b>{long}</button><a id=l href="/" aria-label="{long}">x</a></body>'
+    p = pages_df(spark, [(1, "http://h/", html)])
+    whole = {r.selector_hint: r for r in N.observation_nodes(p).collect()}
+    assert {k: whole[k].name for k in ("#f", "#b", "#l")} == dict.fromkeys(("#f", "#b", "#l"), long) and whole["#b"].text == long
+    assert N.label_audit(N.observation_nodes(p)).count() == 3
+    cut = N.observation_nodes(p, name_cut=N.NAME_CUT)
+    assert {r.name for r in cut.collect()} == {long[:160]}
+    assert N.label_audit(cut).count() == 0
