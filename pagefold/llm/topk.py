@@ -10,9 +10,9 @@ candidates seen so far give the lower bound of rank k.  Reading stops when few
 outsiders (or none) can still reach that bound; their scores are resolved
 exactly.  A block's k best meet those of other blocks in a window by query.
 
-Vectors that are null, or hold null or non-finite components, take no part; a
-vec_id given more than once counts with its smallest vector; vectors meet those
-of their own length only.  Equal scores rank by smaller vec_id.  Fewer than k
+Vectors that are null, or hold null or non-finite components, take no part; of a
+vec_id given more than once every row counts, and none meets another of them;
+vectors meet those of their own length only.  Equal scores rank by smaller vec_id.  Fewer than k
 candidates give fewer rows; an empty table gives none.
 """
 
@@ -36,8 +36,7 @@ def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v) with v = floor(scale * component) of every usable vector."""
     usable = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     return (embeddings.filter(usable)
-            .select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> floor({scale}D * cast(x AS double)))").alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> floor({scale}D * cast(x AS double)))").alias("v")))
 
 
 class Lists:
@@ -99,7 +98,8 @@ def _block_pair(k: int):
         out: list[tuple[np.ndarray, ...]] = []
         lists = Lists(x)
         for q, qid in zip(m[query], ids[query]):
-            can = lists.candidates(q, k + 1) if len(x) else np.zeros(0, np.int64)
+            own = int(np.searchsorted(xid, qid, "right") - np.searchsorted(xid, qid))
+            can = lists.candidates(q, k + own) if len(x) else np.zeros(0, np.int64)
             can = can[xid[can] != qid]
             score = x[can] @ q
             top = np.lexsort((xid[can], -score))[:k]

@@ -27,6 +27,16 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(topk.integer_vectors(df.limit(0)), "vec_id % 50 = 0").collect() == []
 
 
+def test_every_row_of_a_repeated_id_counts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 250, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(500)] + [(50, [2.0] * 8)] * 30
+    got = topk.top_k(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id % 50 = 0", 5).collect()
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    for q in range(0, 250, 50):
+        exp = sorted((-int(x @ v), j) for i, x in whole if i == q for j, v in whole if j != q)[:5]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q) == [(n + 1, j, -s) for n, (s, j) in enumerate(exp)]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [0.1, 0.2]), (1, [0.3, -0.1])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(topk.integer_vectors(df), "vec_id = 0").collect()] == [(0, 1, 1)]
