@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm import bpe, fingerprints, lines, mixing, neardup, passages, quality, sharding, topk, toxicity
+from pagefold.llm import bpe, chat, clusters, fingerprints, lines, mixing, neardup, passages, quality, repair, sharding, topk, toxicity
 from pagefold.session import ensure_session_defaults, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,71 @@ def op9(spark, t):
 def op10(spark, t):
     """Near-duplicate components of all documents."""
     return neardup.near_duplicates(t("documents"))
+
+
+@query("op11_bidirectional_repair")
+def op11(spark, t):
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repaired_conversations(t("conversations"))
+
+
+CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|OUT\])"
+
+CHAT_ORACLE = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g') AS e,
+    regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '{CONTROL}', '\1\\\2\3', 'g') AS r FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(CASE WHEN role = 'assistant' THEN length('[OUT]</s>') + length(e) ELSE length('[INST][/INST]') + length(r) + 1 + length(e) END))::BIGINT
+    AS formatted_chars,
+  0::BIGINT AS rewritten
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op12_incremental_chat", CHAT_ORACLE)
+def op12(spark, t):
+    """Digests of every formatted conversation, read back."""
+    return chat.formatted(t("conversations"))
+
+
+def _cluster_oracle(k: int = clusters.CENTROIDS, rounds: int = clusters.ROUNDS, d: int = clusters.DIMENSIONS, scale: int = clusters.SCALE) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS (
+  SELECT n, (least_of).c AS c, (least_of).dist AS dist FROM (
+    SELECT v.n, min({{'dist': list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) AS least_of
+    FROM v, c{r} c GROUP BY v.n))""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT c, list(floor((s - ((s % n) + n) % n) / n)::DOUBLE ORDER BY dim) AS v FROM (
+    SELECT a.c, u.dim, sum(u.x)::BIGINT AS s, count(*) AS n FROM a{r} a JOIN u ON u.n = a.n GROUP BY a.c, u.dim) GROUP BY c),
+c{r + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c)""")
+    body = ",".join(steps)
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {d} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT n, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS dim FROM v),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {k}),{body},
+i AS (SELECT c, sum(dist)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.dist::BIGINT AS distance, i.cluster_inertia, (SELECT sum(dist) FROM a{rounds})::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v ON v.n = a.n JOIN i ON i.c = a.c JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+@query("op13_threshold_clusters", _cluster_oracle())
+def op13(spark, t):
+    """Cluster of every embedding of 64 components, after three rounds."""
+    return clusters.clusters(clusters.integer_vectors(t("embeddings")))
