@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagefold.operators import scan
-from pagefold.operators.events import CACHED, FAILED, FINISHED, RESPONDED, SENT, conform_events
+from pagefold.operators import scan, stack
+from pagefold.operators.events import CACHED, FAILED, FINISHED, KEY, RESPONDED, SENT, conform_events
 
 # --- fixed values ----------------------------------------------------------
 NETWORK_IDLE_MS = 800
@@ -28,51 +28,66 @@ STATE_METHODS = f"'{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}'"
 NETWORK_METHODS = f"'{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}', '{CACHED}'"
 
 
-def _timeline(events: DataFrame, width: int) -> DataFrame:
-    """R1 with each session's next event time: one pass per request, one per session."""
-    e = conform_events(events).where(f"method IN ({NETWORK_METHODS})")
+def _network(events: DataFrame) -> DataFrame:
+    return conform_events(events).where(f"method IN ({NETWORK_METHODS})")
+
+
+def _timeline(events: DataFrame, rows: int) -> DataFrame:
+    """R1 with each session's next event time: one scan by request, one by session,
+    cut by the same sample of the events."""
+    e = _network(events)
+    cuts = scan.sample(e, [*KEY, "seq"], rows)
     state = f"CASE WHEN method IN ({STATE_METHODS}) THEN method END"
-    e = scan.multi(e, ["session_id", "request_id"], "seq", [
+    e = scan.multi(e, KEY, "seq", [
         ("sum", f"CASE WHEN method = '{SENT}' THEN 1 ELSE 0 END", "_sends"),
-        ("last", state, "_last_state"), ("last_before", state, "_state_before")], width)
+        ("last", state, "_last_state"), ("last_before", state, "_state_before")], sampled=cuts)
     before = f"_sends - CAST(method = '{SENT}' AS INT) > 0 AND _state_before IN ('{SENT}', '{RESPONDED}')"
-    e = e.selectExpr("*", f"CAST(_sends > 0 AND _last_state IN ('{SENT}', '{RESPONDED}') AS INT) "
-                          f"- CAST(coalesce({before}, false) AS INT) AS _delta")
-    return scan.multi(e, ["session_id"], "seq", [("sum", "_delta", "inflight"), ("next", "ts_ms", "_next_ts")], width)
+    e = e.selectExpr("session_id", "seq", "ts_ms", "request_id", "method",
+                     f"CAST(_sends > 0 AND _last_state IN ('{SENT}', '{RESPONDED}') AS INT) - CAST(coalesce({before}, false) AS INT) AS _delta")
+    return scan.multi(e, ["session_id"], "seq", [("sum", "_delta", "inflight"), ("next", "ts_ms", "_next_ts")], sampled=cuts)
 
 
-def inflight_timeline(events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
+def inflight_timeline(events: DataFrame, rows: int = scan.CHUNK_ROWS) -> DataFrame:
     """In-flight (pending or responded) requests per session after each event.
 
     A request is open after an event when it has had a send and its latest
     state-changing event is a send or a response; each event contributes
     open_after - open_before of its own request, summed in session order.
     """
-    return _timeline(events, width).selectExpr(
+    return _timeline(events, rows).selectExpr(
         "session_id", "seq", "ts_ms", "request_id", "method", "CAST(inflight AS BIGINT) AS inflight")
 
 
-def network_quiet(events: DataFrame, idle_ms: int = NETWORK_IDLE_MS, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
+def network_quiet(events: DataFrame, idle_ms: int = NETWORK_IDLE_MS, sessions: DataFrame | None = None,
+                  rows: int = scan.CHUNK_ROWS) -> DataFrame:
     """R2: first instant per session at which nothing is in flight and no
-    network event followed for ``idle_ms`` (the last event counts as
-    followed by silence)."""
-    tl = _timeline(events, width)
-    q = tl.where(f"inflight = 0 AND (_next_ts IS NULL OR _next_ts - ts_ms >= {int(idle_ms)})")
-    return q.groupBy("session_id").agg(F.expr(f"min(ts_ms) + {int(idle_ms)} AS quiet_at_ms"))
+    network event followed for ``idle_ms`` (the last event counts as followed
+    by silence); sessions that are never quiet have no row.
+
+    ``sessions`` (session_id, started_ms) lists the sessions that were watched:
+    one without any network event has been idle for ever, so it is quiet as soon
+    as it is started, and every listed session gets a row (null: never quiet)."""
+    tl = _timeline(events, rows)
+    q = f"inflight = 0 AND (_next_ts IS NULL OR _next_ts - ts_ms >= {int(idle_ms)})"
+    g = tl.groupBy("session_id").agg(F.expr(f"min(CASE WHEN {q} THEN ts_ms END) + {int(idle_ms)} AS quiet_at_ms"))
+    if sessions is None:
+        return g.where("quiet_at_ms IS NOT NULL")
+    listed = sessions.groupBy("session_id").agg(F.expr("min(started_ms) AS _started"))
+    seen = g.withColumn("_seen", F.lit(True))
+    return (listed.join(seen, "session_id", "full")
+            .selectExpr("session_id", "CASE WHEN _seen IS NULL THEN _started ELSE quiet_at_ms END AS quiet_at_ms"))
 
 
 def stability(samples: DataFrame, stable_ms: int = STABLE_MS, order: str = "ts_ms",
-              width: int = scan.DEFAULT_WIDTH, then: str | None = "seq") -> DataFrame:
+              rows: int = scan.CHUNK_ROWS, then: str | None = "seq") -> DataFrame:
     """Per sample, DOM/text stability. Any change of node_count,
     html_hash, text_len or text_hash resets both; stable once unchanged for
     ``stable_ms``; the first sample is never stable."""
     sig = "named_struct('n', node_count, 'h', html_hash, 'l', text_len, 't', text_hash)"
-    s = samples.selectExpr("*", f"{sig} AS _sig")
-    s = scan.neighbor(s, ["session_id"], order, "_sig", "_prev", "prev", width, then=then)
-    s = s.selectExpr("*", "_prev IS NULL OR _prev != _sig AS _changed")
-    s = scan.last_non_null(s, ["session_id"], order, "CASE WHEN _changed THEN ts_ms END", "_since", width, then=then)
-    return s.selectExpr(*samples.columns, f"NOT _changed AND ts_ms - _since >= {int(stable_ms)} AS stable",
-                        "_changed AS changed")
+    changed = f"(_prev IS NULL OR _prev != {sig})"
+    s = (scan.chunks(samples, ["session_id"], order, then, rows).scan([("prev", sig, "_prev")])
+         .scan([("last", f"CASE WHEN {changed} THEN ts_ms END", "_since")]).rows())
+    return s.selectExpr(*samples.columns, f"NOT {changed} AND ts_ms - _since >= {int(stable_ms)} AS stable", f"{changed} AS changed")
 
 
 def readiness_budget_ms(remaining_ms: int, timeout_ms: int) -> int:
@@ -82,26 +97,29 @@ def readiness_budget_ms(remaining_ms: int, timeout_ms: int) -> int:
 
 
 def readiness(events: DataFrame, samples: DataFrame, budget_ms: int, idle_ms: int = NETWORK_IDLE_MS,
-              stable_ms: int = STABLE_MS, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
+              stable_ms: int = STABLE_MS, rows: int = scan.CHUNK_ROWS) -> DataFrame:
     """First sample where the network is quiet and DOM and text are
     stable, before ``first sample + budget``; otherwise readiness_timeout
     with the last flags. The network state at a sample comes from an as-of
     join: samples and events in one stream, last values carried forward."""
-    st = stability(samples, stable_ms, "ts_ms", width, then="seq")
-    tl = inflight_timeline(events, width)
+    st = stability(samples, stable_ms, "ts_ms", rows, then="seq")
+    tl = _timeline(events, rows)
     ev = tl.selectExpr("session_id", "ts_ms", "0 AS _kind", "seq AS _seq", "CAST(inflight AS BIGINT) AS _inflight",
                        "ts_ms AS _ev_ts", "CAST(NULL AS BOOLEAN) AS stable")
     sm = st.selectExpr("session_id", "ts_ms", "1 AS _kind", "seq AS _seq", "CAST(NULL AS BIGINT) AS _inflight",
                        "CAST(NULL AS BIGINT) AS _ev_ts", "stable")
     u = ev.unionByName(sm)
+    # the union's cuts come from its two inputs, not from their scans
+    place = ["session_id", "ts_ms", "_kind", "_seq"]
+    cuts = scan.sample(_network(events).selectExpr("session_id", "ts_ms", "0 AS _kind", "seq AS _seq")
+                       .unionByName(samples.selectExpr("session_id", "ts_ms", "1 AS _kind", "seq AS _seq")), place, rows)
     # events before samples at equal times; seq breaks remaining ties
-    u = scan.multi(u, ["session_id"], "ts_ms", [("last", "_inflight", "inflight_asof"), ("last", "_ev_ts", "last_event_ts")],
-                   width, then="_kind, _seq")
-    s = u.where("_kind = 1").selectExpr(
+    u = scan.multi(u, ["session_id"], "ts_ms", [
+        ("last", "_inflight", "inflight_asof"), ("last", "_ev_ts", "last_event_ts"),
+        ("first", "CASE WHEN _kind = 1 THEN ts_ms END", "_t0")], then="_kind, _seq", sampled=cuts)
+    s = u.where(f"_kind = 1 AND ts_ms < _t0 + {int(budget_ms)}").selectExpr(
         "session_id", "ts_ms", "stable",
         f"coalesce(inflight_asof, 0) = 0 AND (last_event_ts IS NULL OR ts_ms - last_event_ts >= {int(idle_ms)}) AS network_quiet")
-    first = samples.groupBy("session_id").agg(F.expr("min(ts_ms) AS _t0"))
-    s = s.join(first, "session_id").where(f"ts_ms < _t0 + {int(budget_ms)}")
     g = s.groupBy("session_id").agg(
         F.expr("min(CASE WHEN network_quiet AND stable THEN ts_ms END) AS ready_at_ms"),
         F.expr("max_by(named_struct('q', network_quiet, 'd', stable), ts_ms) AS _last"))
@@ -112,32 +130,21 @@ def readiness(events: DataFrame, samples: DataFrame, budget_ms: int, idle_ms: in
                         "CASE WHEN ready_at_ms IS NULL THEN _last.d ELSE true END AS text_stable")
 
 
-def stage_spans(stage_events: DataFrame, width: int = scan.DEFAULT_WIDTH) -> DataFrame:
-    """begin/end events per (fetch, stage) -> spans.
+def stage_spans(stage_events: DataFrame, rows: int = scan.CHUNK_ROWS) -> DataFrame:
+    """begin/end events of a fetch's stages -> spans.
 
-    Depth = S - least(0, running min S) with S the running +1/-1 sum, so an
-    end without an open span is dropped; a span runs from depth 0->1 to
-    1->0 (nested begins of the same stage open none); a span still open at
-    the end is ``started``. An end carrying one of the timeout codes gives
-    status ``timeout``, another code ``error``, none ``ok``.
+    A fetch has one stack of open stages (`stack.replayed`): a begin directly
+    inside a stage of the same name opens no span, an end closes the latest open
+    begin of its stage wherever it lies in the stack, an end without one is
+    dropped, and a span still open at the end is ``started``. An end carrying one
+    of the timeout codes gives status ``timeout``, another code ``error``, none
+    ``ok``.
     """
-    key = ["fetch_id", "stage"]
-    e = stage_events.selectExpr("*", "CASE WHEN event = 'begin' THEN 1 ELSE -1 END AS _v")
-    e = scan.running_sum_min(e, key, "seq", "_v", "_s", "_smin", width, "_smin_before")
-    e = e.selectExpr("*", "_s - least(0, _smin) AS depth", "_s - _v - least(0, coalesce(_smin_before, 0)) AS _depth_before")
-    e = e.selectExpr("*", "event = 'begin' AND depth = 1 AND _depth_before = 0 AS _start",
-                     "event = 'end' AND depth = 0 AND _depth_before = 1 AS _end")
-    e = scan.last_non_null(e, key, "seq", "CASE WHEN _start THEN ts_ms END", "_start_ts", width)
     tcodes = ", ".join(f"'{c}'" for c in TIMEOUT_CODES)
-    ends = e.where("_end").selectExpr(
-        *key, "_start_ts AS start_ms", "ts_ms AS end_ms", "ts_ms - _start_ts AS duration_ms",
-        f"CASE WHEN error_code IS NULL THEN 'ok' WHEN error_code IN ({tcodes}) THEN 'timeout' ELSE 'error' END AS status")
-    last = e.groupBy(*key).agg(F.expr("max_by(depth, seq) AS _final"),
-                               F.expr("max_by(ts_ms, seq) FILTER (WHERE _start) AS _open_ts"))
-    open_ = last.where("_final > 0 AND _open_ts IS NOT NULL").selectExpr(
-        *key, "_open_ts AS start_ms", "CAST(NULL AS BIGINT) AS end_ms", "CAST(NULL AS BIGINT) AS duration_ms",
-        "'started' AS status")
-    return ends.unionByName(open_)
+    return stack.replayed(stage_events, rows).selectExpr(
+        "fetch_id", "stage", "start_ms", "end_ms", "end_ms - start_ms AS duration_ms",
+        "CASE WHEN end_ms IS NULL THEN 'started' WHEN error_code IS NULL THEN 'ok' "
+        f"WHEN error_code IN ({tcodes}) THEN 'timeout' ELSE 'error' END AS status")
 
 
 def stage_stats(spans: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:

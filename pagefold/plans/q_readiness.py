@@ -17,6 +17,7 @@ RETRY_CODES = ["success", "navigation_timeout", "host_unreachable", "tls_error",
 RETRIES = 2
 BACKOFF_MS = 250
 DEADLINE_AFTER_MS = 3_600_000
+STAGE_CODES = ["navigation_timeout", "host_unreachable", "readiness_timeout"]
 # --- end fixed values -------------------------------------------------------
 
 STATE = f"'{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}'"
@@ -38,13 +39,19 @@ def r1(t):
     return R.inflight_timeline(cap_events(t))
 
 
+#: Watched sessions: one for each customer, most of them without events.
+SESSIONS = "concat('s', CAST(c_custkey AS STRING)) AS session_id, CAST(c_custkey AS BIGINT) * 1000 AS started_ms"
+
+
 @register("r2_network_quiet", f"""WITH {TIMELINE_D},
-_n AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session_id ORDER BY seq) AS _next FROM tl)
-SELECT session_id, min(ts_ms) + {IDLE_MS} AS quiet_at_ms FROM _n
-WHERE inflight = 0 AND (_next IS NULL OR _next - ts_ms >= {IDLE_MS}) GROUP BY session_id""")
+_n AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session_id ORDER BY seq) AS _next FROM tl),
+_q AS (SELECT session_id, min(ts_ms) FILTER (WHERE inflight = 0 AND (_next IS NULL OR _next - ts_ms >= {IDLE_MS})) + {IDLE_MS} AS quiet_at_ms FROM _n GROUP BY session_id),
+_l AS (SELECT {SESSIONS.replace('AS STRING)', 'AS VARCHAR)')} FROM customer)
+SELECT session_id, quiet_at_ms FROM _q
+UNION ALL SELECT session_id, started_ms FROM _l WHERE session_id NOT IN (SELECT session_id FROM ce WHERE method IN ({NET}))""")
 def r2(t):
-    """First network-quiet instant per session (idle one hour on this data)."""
-    return R.network_quiet(cap_events(t), IDLE_MS)
+    """First network-quiet instant per watched session (idle one hour on this data); without events, its start."""
+    return R.network_quiet(cap_events(t), IDLE_MS, t("customer").selectExpr(*select_items(SESSIONS)))
 
 
 def samples_select(ts: str) -> str:
@@ -94,8 +101,10 @@ def r4(t):
 
 
 def stage_events_select(k: str, ts: str) -> str:
+    code = ("CASE WHEN event_type = 'purchase' THEN CASE event_id % 5 "
+            + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(STAGE_CODES)) + " END END")
     return (f"user_id AS fetch_id, concat('st', CAST(({k}) % 4 AS STRING)) AS stage, event_id AS seq, {ts} AS ts_ms, "
-            f"CASE event_type WHEN 'view' THEN 'begin' ELSE 'end' END AS event, CAST(NULL AS STRING) AS error_code")
+            f"CASE event_type WHEN 'view' THEN 'begin' ELSE 'end' END AS event, {code} AS error_code")
 
 
 def stage_events(t):
@@ -105,20 +114,25 @@ def stage_events(t):
 
 SE_D = (f"se AS (SELECT {stage_events_select(K_DUCK, TS_DUCK).replace('AS STRING)', 'AS VARCHAR)')} FROM events "
         f"WHERE event_type IN ('view', 'purchase'))")
+# Begins are paired with ends level by level; a begin is nested if the latest other begin open then has its stage.
 SPANS_D = f"""{SE_D},
 _a AS (SELECT *, sum(CASE WHEN event = 'begin' THEN 1 ELSE -1 END) OVER (PARTITION BY fetch_id, stage ORDER BY seq {RUN}) AS _s FROM se),
 _b AS (SELECT *, _s - least(0, min(_s) OVER (PARTITION BY fetch_id, stage ORDER BY seq {RUN})) AS depth FROM _a),
 _c AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY fetch_id, stage ORDER BY seq), 0) AS _db FROM _b),
-_d AS (SELECT *, event = 'begin' AND depth = 1 AND _db = 0 AS _start, event = 'end' AND depth = 0 AND _db = 1 AS _end FROM _c),
-_e AS (SELECT *, last_value(CASE WHEN _start THEN ts_ms END IGNORE NULLS) OVER (PARTITION BY fetch_id, stage ORDER BY seq {RUN}) AS _st FROM _d),
-spans AS (SELECT fetch_id, stage, _st AS start_ms, ts_ms AS end_ms, ts_ms - _st AS duration_ms, 'ok' AS status FROM _e WHERE _end
-  UNION ALL SELECT fetch_id, stage, _ot, NULL, NULL, 'started' FROM (SELECT fetch_id, stage, arg_max(depth, seq) AS _f,
-    arg_max(ts_ms, seq) FILTER (WHERE _start) AS _ot FROM _e GROUP BY ALL) WHERE _f > 0 AND _ot IS NOT NULL)"""
+_d AS (SELECT *, CASE event WHEN 'begin' THEN depth ELSE _db END AS _level FROM _c WHERE event = 'begin' OR _db > 0),
+_e AS (SELECT *, lead(seq) OVER w AS _end, lead(ts_ms) OVER w AS _end_ms, lead(error_code) OVER w AS _code FROM _d
+  WINDOW w AS (PARTITION BY fetch_id, stage, _level ORDER BY seq)),
+_t AS (SELECT * FROM _e WHERE event = 'begin'),
+_o AS (SELECT x.fetch_id, x.seq, arg_max(y.stage, y.seq) AS _top FROM _t x JOIN _t y
+  ON y.fetch_id = x.fetch_id AND y.seq < x.seq AND (y._end IS NULL OR y._end > x.seq) GROUP BY ALL),
+spans AS (SELECT x.fetch_id, x.stage, x.ts_ms AS start_ms, x._end_ms AS end_ms, x._end_ms - x.ts_ms AS duration_ms,
+  CASE WHEN x._end IS NULL THEN 'started' WHEN x._code IS NULL THEN 'ok' WHEN x._code IN ({', '.join(f"'{c}'" for c in R.TIMEOUT_CODES)}) THEN 'timeout' ELSE 'error' END AS status
+  FROM _t x LEFT JOIN _o o ON o.fetch_id = x.fetch_id AND o.seq = x.seq WHERE o._top IS NULL OR o._top <> x.stage)"""
 
 
 @register("r5_stage_spans", f"WITH {SPANS_D}\nSELECT * FROM spans")
 def r5(t):
-    """Begin/end pairs per (fetch, stage); nested begins open no span; open spans are 'started'."""
+    """Spans of each fetch's stage stack; a begin directly inside its own stage opens none; open spans are 'started'."""
     return R.stage_spans(stage_events(t))
 
 

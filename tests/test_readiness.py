@@ -1,5 +1,9 @@
 """Readiness, stage spans and retries."""
 
+import random
+
+import pytest
+
 from pagefold.operators import readiness as R
 
 
@@ -28,3 +32,66 @@ def test_stage_spans(spark):
                                "fetch_id long, stage string, seq long, ts_ms long, event string, error_code string")
     got = sorted((r.stage, r.start_ms, r.end_ms, r.status) for r in R.stage_spans(ev).collect())
     assert got == [("cap", 60, None, "started"), ("nav", 10, 40, "timeout")]
+
+
+def _events(spark):
+    from conftest import SF
+    from pagefold.plans import q_events, q_readiness
+    t = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    return q_events.cap_events(t), q_readiness.samples(t), q_readiness.stage_events(t)
+
+
+@pytest.mark.parametrize("op", ["r1", "r2", "r3", "r4", "r5"])
+def test_cut_scans_equal_whole_ones(spark, op):
+    events, samples, stages = _events(spark)
+    run = {"r1": lambda **k: R.inflight_timeline(events, **k), "r2": lambda **k: R.network_quiet(events, 3_600_000, **k),
+           "r3": lambda **k: R.stability(samples, 43_200_000, **k), "r4": lambda **k: R.readiness(events, samples, 864_000_000, 3_600_000, 43_200_000, **k),
+           "r5": lambda **k: R.stage_spans(stages, **k)}[op]
+    whole, cut = run(), run(rows=5)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+
+
+@pytest.mark.parametrize("op, most", [("r1", 2), ("r3", 2), ("r5", 2), ("r4", 4), ("r8", 6)])
+def test_tables_are_read_once_more_than_needed_at_most(spark, op, most):
+    """The cuts' pass is run when a query is built; the plan holds the other reads."""
+    from conftest import SF
+    from pagefold.plans.registry import load_all
+    name = next(n for n in load_all() if n.startswith(op + "_"))
+    plan = load_all()[name].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    passes = {"r1": 1, "r3": 1, "r5": 1, "r4": 3, "r8": 1}[op]           # r4: a sample of events, of samples, and of both
+    assert plan.count("FileScan") <= most - (0 if op == "r4" else passes) and plan.count("FileScan") > 0
+
+
+def _spans(rows):
+    """A plain stack: (stage, seq, ts, nested), ends close the latest begin of their stage."""
+    open_, out = [], []
+    for fetch, stage, seq, ts, event, code in sorted(rows, key=lambda r: r[2]):
+        if event == "begin":
+            open_.append((stage, ts, bool(open_) and open_[-1][0] == stage))
+            continue
+        at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == stage), None)
+        if at is not None:
+            _, start, nested = open_.pop(at)
+            if not nested:
+                out.append((stage, start, ts, "ok" if code is None else "timeout" if code in R.TIMEOUT_CODES else "error"))
+    return out + [(stage, ts, None, "started") for stage, ts, nested in open_ if not nested]
+
+
+@pytest.mark.parametrize("rows", [2, 7, 1 << 18])
+def test_interleaved_stages_against_a_plain_stack(spark, rows):
+    rnd = random.Random(rows)
+    ev = [(f, rnd.choice("abc"), f * 1000 + i, 10 * i, "begin" if rnd.random() < [0.5, 0.7, 0.3][f % 3] else "end",
+           rnd.choice([None, None, "cdp_timeout", "tls_error"])) for f in range(30) for i in range(rnd.choice([1, 5, 60, 300]))]
+    df = spark.createDataFrame(ev, "fetch_id long, stage string, seq long, ts_ms long, event string, error_code string")
+    got = {}
+    for r in R.stage_spans(df, rows).collect():
+        got.setdefault(r.fetch_id, []).append((r.stage, r.start_ms, r.end_ms, r.status))
+    for f in range(30):
+        assert sorted(got.get(f, []), key=str) == sorted(_spans([e for e in ev if e[0] == f]), key=str)
+
+
+def test_sessions_without_events_are_quiet(spark):
+    from pagefold.operators.events import SENT
+    ev = spark.createDataFrame([("a", "r", 1, 5, SENT)], "session_id string, request_id string, seq long, ts_ms long, method string")
+    listed = spark.createDataFrame([("a", 0), ("b", 7)], "session_id string, started_ms long")
+    assert sorted((r.session_id, r.quiet_at_ms) for r in R.network_quiet(ev, 10, listed).collect()) == [("a", None), ("b", 7)]
