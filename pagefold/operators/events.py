@@ -34,6 +34,10 @@ PAGE_DOWNLOAD = "Page.downloadWillBegin"
 XHR_TYPES = ["XHR", "Fetch", "EventSource"]
 NETWORK_BODY_MAX = 10 * 1024 * 1024
 STORAGE_CAP = 262144
+# Mime type beginnings -> extension of a captured network body.
+BODY_EXTENSIONS = [("application/json", "json"), ("text/html", "html"), ("text/css", "css"), ("application/javascript", "js"),
+                   ("text/javascript", "js"), ("text/plain", "txt"), ("image/png", "png"), ("image/jpeg", "jpg"), ("image/webp", "webp"),
+                   ("image/svg", "svg"), ("text/event-stream", "txt")]
 RECENT_CAP = 200
 LOG_RING = 200
 LOG_SUMMARY_LINES = 20
@@ -60,9 +64,13 @@ def conform_events(df: DataFrame) -> DataFrame:
     return df.selectExpr(*cols, *extra)
 
 
-def _fold_fields() -> list[tuple[str, str, str]]:
-    """(field, value, events that set it) of one request slot."""
+def _fold_fields(redact: bool) -> list[tuple[str, str, str]]:
+    """(field, value, events that set it) of one request slot. Header values are
+    redacted before they are folded, and of a request body only its hints are
+    kept: no credential reaches a state, a shuffle or a sink."""
     sent, responded, finished, failed = (f"method = '{m}'" for m in (SENT, RESPONDED, FINISHED, FAILED))
+    headers = lambda c: f"to_json({redact_headers_sql(header_map_sql(c))})" if redact else c
+    hints = ", ".join(payload_hints_sql())
     return [
         ("state", f"CASE method WHEN '{SENT}' THEN 'pending' WHEN '{RESPONDED}' THEN 'responded' WHEN '{FINISHED}' THEN 'finished' "
                   f"ELSE 'failed' END", f"method IN ('{SENT}', '{RESPONDED}', '{FINISHED}', '{FAILED}')"),
@@ -78,49 +86,52 @@ def _fold_fields() -> list[tuple[str, str, str]]:
         ("end_ms", "timestamp_ms", finished),
         ("encoded_data_length", "encoded_data_length", f"{finished} AND encoded_data_length IS NOT NULL"),
         ("failure", "coalesce(error_text, '')", failed),
-        ("post_data", "post_data", sent),
+        ("payload", f"struct({hints})", sent),
         ("frame_id", "frame_id", sent),
         ("loader_id", "loader_id", sent),
         ("initiator", "initiator", sent),
-        ("request_headers", "request_headers", sent),
-        ("response_headers", "response_headers", responded),
+        ("request_headers", headers("request_headers"), sent),
+        ("response_headers", headers("response_headers"), responded),
     ]
 
 
-def slot_states(events: DataFrame, keys: list[str] = KEY) -> DataFrame:
+def slot_states(events: DataFrame, keys: list = KEY, redact: bool = True) -> DataFrame:
     """The slot of each key as one associative aggregate: every field keeps its
     last value together with that event's ``seq``. Events may come in any order
     and combine map-side; no join, and no task holds a hot key. The same
-    aggregate runs on a stream."""
+    aggregate runs on a stream (where one of ``keys`` is a window)."""
     return events.groupBy(*keys).agg(
         F.expr(f"max(seq) FILTER (WHERE method = '{SENT}') AS _send"),
         F.expr(f"count_if(method = '{SENT}') AS n_sends"),
-        F.expr("count(*) AS n_events"),
         F.expr(f"max(seq) FILTER (WHERE method = '{CACHED}') AS _cached"),
-        *[F.expr(f"max_by(struct(seq AS q, {value} AS v), seq) FILTER (WHERE {when}) AS {name}") for name, value, when in _fold_fields()])
+        *[F.expr(f"max_by(struct(seq AS q, {value} AS v), seq) FILTER (WHERE {when}) AS {name}") for name, value, when in _fold_fields(redact)])
 
 
 def slot_entries(states: DataFrame, keys: list[str] = KEY, redact: bool = True) -> DataFrame:
     """Entries of slot states: what is older than the last send belongs to an
     earlier slot and becomes NULL; keys without a send vanish."""
     cols = []
-    for name, _, _ in _fold_fields():
+    for name, _, _ in _fold_fields(redact):
         value = f"CASE WHEN {name}.q >= _send THEN {name}.v END"
-        if name.endswith("_headers"):
-            value = header_map_sql(value)
-            value = redact_headers_sql(value) if redact else value
-        cols.append(f"{value} AS {name}")
+        cols.append(f"{header_map_sql(value) if name.endswith('_headers') else value} AS {name}")
     out = states.where("_send IS NOT NULL").selectExpr(*keys, *cols, "coalesce(_cached >= _send, false) AS served_from_cache", "n_sends")
-    return out.selectExpr("*", "CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id", f"{str(redact).lower()} AS redacted")
+    return out.selectExpr(*[c for c in out.columns if c != "payload"], "payload.*", "CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id",
+                          f"{str(redact).lower()} AS redacted")
 
 
-def network_entries(events: DataFrame, redact: bool = True) -> DataFrame:
+def network_entries(events: DataFrame, redact: bool = True, bodies: DataFrame | None = None) -> DataFrame:
     """One row per (session, request): the fold of its last send's slot.
 
     ``requestWillBeSent`` replaces the slot; keys without a send vanish.
-    Header maps come with credential values redacted unless ``redact`` is off.
+    Header maps come with credential values redacted unless ``redact`` is off; a
+    request body is told by its hints (E5). ``bodies`` (session_id, request_id,
+    body_file) gives the files of captured bodies (E11); without it there are none.
     """
-    return slot_entries(slot_states(conform_events(events)), redact=redact)
+    entries = slot_entries(slot_states(conform_events(events), redact=redact), redact=redact)
+    if bodies is None:
+        return entries.selectExpr("*", "CAST(NULL AS STRING) AS body_file")
+    files = bodies.where("body_file IS NOT NULL").groupBy(*KEY).agg(F.min("body_file").alias("body_file"))
+    return entries.join(files, KEY, "left")
 
 
 def main_request(events: DataFrame) -> DataFrame:
@@ -169,16 +180,23 @@ def header_map_sql(json: str) -> str:
 
 
 def network_summary(entries: DataFrame) -> DataFrame:
-    """Per-session totals; ``redacted`` says whether all entries are, and
-    ``captured_body_files`` counts entries with a ``body_file`` (if given)."""
+    """Per-session totals; ``redacted`` says whether all entries are,
+    ``captured_body_files`` counts entries with a ``body_file``, and
+    ``pending_by_resource_type`` maps the types that are in flight to their
+    numbers (E8, nested). Entries are counted by session and type first, so a hot
+    session is combined map-side and its last step has one row a type."""
     files = "count(body_file)" if "body_file" in entries.columns else "CAST(0 AS BIGINT)"
     flag = "bool_and(redacted)" if "redacted" in entries.columns else "false"
-    return entries.groupBy("session_id").agg(*[F.expr(a) for a in [
-        "count(*) AS requests_total", "count_if(status IS NOT NULL) AS responses_total",
-        "count_if(state = 'finished') AS finished_total",
-        "count_if(state = 'failed' OR failure IS NOT NULL) AS failed_total",
-        "count_if(state IN ('pending', 'responded')) AS inflight_total_at_capture",
-        f"{files} AS captured_body_files", f"{flag} AS redacted"]])
+    by_type = entries.groupBy("session_id", "resource_type").agg(*[F.expr(a) for a in [
+        "count(*) AS _n", "count_if(status IS NOT NULL) AS _r", "count_if(state = 'finished') AS _d",
+        "count_if(state = 'failed' OR failure IS NOT NULL) AS _f", "count_if(state IN ('pending', 'responded')) AS _p",
+        f"{files} AS _b", f"{flag} AS _x"]])
+    total = by_type.groupBy("session_id").agg(*[F.expr(a) for a in [
+        "sum(_n) AS requests_total", "sum(_r) AS responses_total", "sum(_d) AS finished_total", "sum(_f) AS failed_total",
+        "sum(_p) AS incomplete_total", "sum(_p) AS inflight_total_at_capture",
+        "map_from_entries(sort_array(collect_list(CASE WHEN _p > 0 THEN struct(resource_type, _p) END))) AS pending_by_resource_type",
+        "sum(_b) AS captured_body_files", "bool_and(_x) AS redacted"]])
+    return total
 
 
 def pending_by_resource_type(entries: DataFrame) -> DataFrame:
@@ -217,15 +235,17 @@ def body_capture_plan(entries: DataFrame, mode: str = "xhr", wait_auto: bool = F
 
 def network_bodies(bodies: DataFrame, max_bytes: int = NETWORK_BODY_MAX) -> DataFrame:
     """Decode (base64 when flagged), cut at ``max_bytes`` (flagged only
-    when over), JSON validity for json mime types. Input columns:
+    when over), JSON validity for json mime types, file extension by the mime
+    type's beginning. Input columns:
     ``body`` string, ``base64_encoded`` boolean, ``mime_type`` string."""
+    ext = "CASE " + " ".join(f"WHEN startswith(mime_type, {lit(p)}) THEN {lit(x)}" for p, x in BODY_EXTENSIONS) + " ELSE 'bin' END"
     raw = "CASE WHEN coalesce(base64_encoded, false) THEN try_to_binary(body, 'base64') ELSE CAST(body AS BINARY) END"
     b = bodies.selectExpr("*", f"{raw} AS _bytes")
     b = b.selectExpr("*", "_bytes IS NULL AND coalesce(base64_encoded, false) AS capture_failed",
                      f"substring(_bytes, 1, {int(max_bytes)}) AS body_bytes",
                      f"coalesce(octet_length(_bytes) > {int(max_bytes)}, false) AS truncated")
     return b.selectExpr("*", "CASE WHEN contains(lower(coalesce(mime_type, '')), 'json') THEN "
-                             "try_parse_json(CAST(body_bytes AS STRING)) IS NOT NULL END AS json_valid").drop("_bytes")
+                             "try_parse_json(CAST(body_bytes AS STRING)) IS NOT NULL END AS json_valid", f"{ext} AS extension").drop("_bytes")
 
 
 def console_events(events: DataFrame) -> DataFrame:

@@ -31,14 +31,16 @@ def e6(t):
 @register("e11_network_bodies", """WITH b AS (SELECT event_id AS seq, '{"n":' || CAST(event_id AS VARCHAR) || '}' AS j, event_id % 4 AS k FROM events)
 SELECT seq, k = 2 AS capture_failed, CASE k WHEN 0 THEN substr(j, 1, 8) WHEN 1 THEN substr(j, 1, 8) WHEN 3 THEN 'plain te' END AS body,
   CASE WHEN k = 2 THEN false WHEN k = 3 THEN true ELSE length(j) > 8 END AS truncated,
-  CASE k WHEN 0 THEN length(j) <= 8 WHEN 2 THEN false END AS json_valid FROM b""")
+  CASE k WHEN 0 THEN length(j) <= 8 WHEN 2 THEN false END AS json_valid,
+  CASE k WHEN 0 THEN 'json' WHEN 2 THEN 'bin' ELSE ['txt', 'svg', 'js'][seq % 3 + 1] END AS extension FROM b""")
 def e11(t):
     """Bodies decoded and cut at 8 bytes; JSON validity of what is kept (a failed capture has no valid JSON)."""
     j = "concat('{\"n\":', CAST(event_id AS STRING), '}')"
     b = t("events").selectExpr(
         "event_id AS seq", f"CASE event_id % 4 WHEN 0 THEN base64(CAST({j} AS BINARY)) WHEN 1 THEN {j} WHEN 2 THEN '%%%' ELSE 'plain text' END AS body",
-        "event_id % 4 IN (0, 2) AS base64_encoded", "CASE event_id % 4 WHEN 0 THEN 'application/json' WHEN 2 THEN 'text/JSON' ELSE 'text/plain' END AS mime_type")
-    return E.network_bodies(b, 8).selectExpr("seq", "capture_failed", "CAST(body_bytes AS STRING) AS body", "truncated", "coalesce(json_valid, CASE WHEN capture_failed THEN false END) AS json_valid")
+        "event_id % 4 IN (0, 2) AS base64_encoded", "CASE event_id % 4 WHEN 0 THEN 'application/json; charset=utf-8' WHEN 2 THEN 'text/JSON' "
+        "ELSE element_at(array('text/plain', 'image/svg+xml', 'text/javascript'), CAST(event_id % 3 AS INT) + 1) END AS mime_type")
+    return E.network_bodies(b, 8).selectExpr("seq", "capture_failed", "CAST(body_bytes AS STRING) AS body", "truncated", "coalesce(json_valid, CASE WHEN capture_failed THEN false END) AS json_valid", "extension")
 
 
 @register("e12_console_events", """WITH c AS (SELECT event_id AS seq, event_id % 4 AS k FROM events)

@@ -75,7 +75,7 @@ DUCK_FOLD = f"""
   arg_max(encoded_data_length, seq) FILTER (WHERE method = '{E.FINISHED}') AS encoded_data_length,
   arg_max_null(coalesce(error_text, ''), seq) FILTER (WHERE method = '{E.FAILED}') AS failure,
   count_if(method = '{E.CACHED}') > 0 AS served_from_cache,
-  arg_max_null(post_data, seq) FILTER (WHERE method = '{E.SENT}') AS post_data,
+  arg_max_null(post_data, seq) FILTER (WHERE method = '{E.SENT}') AS _post,
   arg_max_null(request_headers, seq) FILTER (WHERE method = '{E.SENT}') AS request_headers,
   arg_max_null(response_headers, seq) FILTER (WHERE method = '{E.RESPONDED}') AS response_headers"""
 ENTRIES_D = f"""{CE},
@@ -90,6 +90,28 @@ def entries(t):
     return E.network_entries(cap_events(t))
 
 
+#: Captured bodies: requests with a finished event of even id have a file.
+BODIES = "concat('network/', session_id, '-', request_id, '.bin') AS body_file"
+
+
+def entries_with_bodies(t):
+    ev = cap_events(t)
+    files = ev.where(f"method = '{E.FINISHED}' AND event_id % 2 = 0").selectExpr("session_id", "request_id", BODIES).distinct()
+    return E.network_entries(ev, bodies=files)
+
+
+BODY_FILES_D = f"_bf AS (SELECT DISTINCT session_id, request_id, {BODIES} FROM ce WHERE method = '{E.FINISHED}' AND event_id % 2 = 0)"
+HINTS = "post_data_present, post_data_size_bytes, request_body_json_valid, graphql_operation_name, graphql_operation_type"
+
+
+def hints_d(post: str) -> str:
+    j = f"TRY_CAST({post} AS JSON)"
+    return (f"{post} IS NOT NULL AS post_data_present, CAST(octet_length(encode({post})) AS BIGINT) AS post_data_size_bytes, "
+            f"{post} IS NOT NULL AND {j} IS NOT NULL AS request_body_json_valid, "
+            f"CASE WHEN json_type({j}, '$.operationName') = 'VARCHAR' THEN json_extract_string({j}, '$.operationName') END AS graphql_operation_name, "
+            f"CASE WHEN json_exists({j}, '$.query') THEN 'request' END AS graphql_operation_type")
+
+
 HEADERS_D = """CASE WHEN request_headers IS NOT NULL THEN '[redacted]' END AS authorization, json_extract_string(request_headers, '$.Accept') AS accept,
   CASE WHEN response_headers IS NOT NULL THEN '[redacted]' END AS set_cookie, CASE WHEN response_headers IS NOT NULL THEN '[redacted]' END AS run_token,
   json_extract_string(response_headers, '$.Server') AS server"""
@@ -99,12 +121,14 @@ HEADERS_S = ["request_headers['Authorization'] AS authorization", "request_heade
              "response_headers['Set-Cookie'] AS set_cookie", "response_headers['x-run-token'] AS run_token", "response_headers['Server'] AS server"]
 
 
-@register("e1_network_entries", f"""WITH {ENTRIES_D}
-SELECT {ENTRY_COLS}, CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id, post_data, {HEADERS_D} FROM ne""")
+@register("e1_network_entries", f"""WITH {ENTRIES_D}, {BODY_FILES_D}
+SELECT {ENTRY_COLS}, CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id, {hints_d('_post')}, body_file, {HEADERS_D}
+FROM ne LEFT JOIN _bf USING (session_id, request_id)""")
 def e1(t):
     """Per-request fold: last send replaces the slot, last event wins per field;
-    credential headers come redacted."""
-    return entries(t).selectExpr(*[c.strip() for c in ENTRY_COLS.split(",")], "redirect_from_request_id", "post_data", *HEADERS_S)
+    credential headers come redacted, request bodies as hints, captured ones with their file."""
+    return entries_with_bodies(t).selectExpr(*[c.strip() for c in ENTRY_COLS.split(",")], "redirect_from_request_id",
+                                             *HINTS.split(", "), "body_file", *HEADERS_S)
 
 
 @register("e2_main_request", f"WITH {CE}\nSELECT session_id, arg_min(request_id, seq) AS main_request_id FROM ce "
@@ -152,15 +176,19 @@ def e5(t):
     return cap_events(t).where(f"method = '{E.SENT}'").selectExpr("session_id", "seq", *E.payload_hints_sql())
 
 
-@register("e7_network_summary", f"""WITH {ENTRIES_D}
+@register("e7_network_summary", f"""WITH {ENTRIES_D}, {BODY_FILES_D},
+_p AS (SELECT session_id, string_agg('"' || resource_type || '":' || n, ',' ORDER BY resource_type) AS pending FROM (
+  SELECT session_id, resource_type, count(*) AS n FROM ne WHERE state IN ('pending', 'responded') GROUP BY ALL) GROUP BY session_id)
 SELECT session_id, count(*) AS requests_total, CAST(count_if(status IS NOT NULL) AS BIGINT) AS responses_total,
   CAST(count_if(state = 'finished') AS BIGINT) AS finished_total,
   CAST(count_if(state = 'failed' OR failure IS NOT NULL) AS BIGINT) AS failed_total,
-  CAST(count_if(state IN ('pending', 'responded')) AS BIGINT) AS inflight_total_at_capture, CAST(0 AS BIGINT) AS captured_body_files, true AS redacted
-FROM ne GROUP BY session_id""")
+  CAST(count_if(state NOT IN ('finished', 'failed')) AS BIGINT) AS incomplete_total,
+  CAST(count_if(state IN ('pending', 'responded')) AS BIGINT) AS inflight_total_at_capture,
+  '{{' || coalesce(any_value(pending), '') || '}}' AS pending_by_resource_type, count(body_file) AS captured_body_files, true AS redacted
+FROM ne LEFT JOIN _bf USING (session_id, request_id) LEFT JOIN _p USING (session_id) GROUP BY session_id""")
 def e7(t):
-    """Per-session network totals."""
-    return E.network_summary(entries(t))
+    """Per-session network totals, with the types in flight as JSON."""
+    return E.network_summary(entries_with_bodies(t)).withColumn("pending_by_resource_type", F.to_json("pending_by_resource_type"))
 
 
 @register("e8_pending_by_resource_type", f"""WITH {ENTRIES_D}

@@ -8,10 +8,11 @@ from pagefold.plans import q_cookies as QK
 from pagefold.plans import q_events as QE
 from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import REGISTRY, register
-from pagefold.operators.events import CONSOLE as E_CONSOLE, EXCEPTION as E_EXCEPTION
+from pagefold.operators.events import CONSOLE as E_CONSOLE, EXCEPTION as E_EXCEPTION, SENT as E_SENT
 from pagefold.streaming import streams as S
 
 SESSION_GAP = "1 hour"
+SLOT_GAP, SLOT_GAP_US = "2 days", 2 * 86_400_000_000
 
 
 def _stream(spark, sf_dir, table):
@@ -40,12 +41,19 @@ def _run(q):
         raise q.exception()
 
 
+def _finished(q, df, spark, name):
+    """Runs an append-mode stream to its end and reads what it wrote."""
+    sink, ckpt = S.scratch_path(spark, f"{name}-sink"), S.scratch_path(spark, f"{name}-ckpt")
+    _run(q.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    return spark.read.schema(df.schema).parquet(sink)
+
+
 def w1(spark, sf_dir):
-    """Incremental network entries == the batch fold."""
-    sink, ckpt = S.scratch_path(spark, "w1-sink"), S.scratch_path(spark, "w1-ckpt")
-    _run(S.stream_network_entries(_cap_stream(spark, sf_dir).drop("event_time"), sink, ckpt))
-    out = S.network_entries_from_log(spark, sink)
-    return out.selectExpr(*[c.strip() for c in QE.ENTRY_COLS.split(",")], "redirect_from_request_id", "post_data", *QE.HEADERS_S)
+    """Network entries of every closed slot (a silence of two days) == E1 of each island of a request's events."""
+    df = S.stream_network_entries(_cap_stream(spark, sf_dir, closing=True), SLOT_GAP, "0 seconds")
+    out = _finished(df.writeStream, df, spark, "w1").where("session_id != 's-1'")
+    return out.selectExpr(*[c.strip() for c in QE.ENTRY_COLS.split(",")], "redirect_from_request_id", *QE.HINTS.split(", "), *QE.HEADERS_S,
+                          "unix_micros(slot.start) AS slot_start_us", "unix_micros(slot.end) AS slot_end_us")
 
 
 def w2(spark, sf_dir):
@@ -71,14 +79,10 @@ def w4(spark, sf_dir):
 
 
 def w3(spark, sf_dir):
-    """Requests sent per resource type per 1-hour tumbling window (all windows)."""
-    sink, ckpt = S.scratch_path(spark, "w3-sink"), S.scratch_path(spark, "w3-ckpt")
-    q = (S.stream_inflight_counts(_cap_stream(spark, sf_dir, closing=True), "1 hour", "0 seconds")
-          .selectExpr("CAST(unix_millis(w.start) AS BIGINT) AS window_start_ms", "resource_type", "n_sent")
-          .writeStream.outputMode("append").format("parquet").option("path", sink)
-          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _run(q)
-    return spark.read.parquet(sink).where("window_start_ms < unix_millis(TIMESTAMP '2200-01-01 00:00:00')")
+    """Requests in flight when their timer fired, per resource type and day: chained behind W1."""
+    df = (S.stream_pending_counts(S.stream_network_entries(_cap_stream(spark, sf_dir, closing=True), SLOT_GAP, "0 seconds"), "1 day")
+          .selectExpr("unix_millis(w.start) AS window_start_ms", "resource_type", "n_pending"))
+    return _finished(df.writeStream, df, spark, "w3").where("window_start_ms < unix_millis(TIMESTAMP '2199-01-01 00:00:00')")
 
 
 def w5(spark, sf_dir):
@@ -97,7 +101,7 @@ def w5(spark, sf_dir):
 
 def _register_streaming():
     REGISTRY_ITEMS = {
-        "w1_stream_network_entries": (w1, REGISTRY["e1_network_entries"].oracle),
+        "w1_stream_network_entries": (w1, W1_ORACLE),
         "w4_stream_cookie_jar": (w4, REGISTRY["k2_cookie_jar"].oracle),
         "w2_stream_quiet_sessions": (w2, W2_ORACLE),
         "w3_stream_inflight_counts": (w3, W3_ORACLE),
@@ -121,9 +125,23 @@ _s AS (SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) + 3600000 AS end_ms
   max(seq) AS last_seq FROM _i GROUP BY session_id, _sid)
 SELECT * FROM _s"""
 
-W3_ORACLE = f"""WITH {QE.CE},
-_w AS (SELECT (ts_ms // 3600000) * 3600000 AS window_start_ms, resource_type FROM ce WHERE method = 'Network.requestWillBeSent')
-SELECT window_start_ms, resource_type, count(*) AS n_sent FROM _w GROUP BY ALL"""
+SLOTS_D = f"""{QE.CE},
+_u AS (SELECT ce.*, epoch_us(ev.ts) AS us FROM ce JOIN events ev USING (event_id)),
+_g AS (SELECT *, us - lag(us) OVER (PARTITION BY session_id, request_id ORDER BY us, seq) AS _gap FROM _u),
+_i AS (SELECT *, sum(CASE WHEN _gap < {SLOT_GAP_US} THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, request_id ORDER BY us, seq
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _slot FROM _g),
+_ls AS (SELECT session_id, request_id, _slot, max(seq) FILTER (WHERE method = '{E_SENT}') AS _last_send, count_if(method = '{E_SENT}') AS n_sends,
+  min(us) AS slot_start_us, max(us) + {SLOT_GAP_US} AS slot_end_us FROM _i GROUP BY ALL),
+_sl AS (SELECT _i.*, _ls.n_sends, slot_start_us, slot_end_us FROM _i JOIN _ls USING (session_id, request_id, _slot) WHERE seq >= _last_send),
+ne AS (SELECT session_id, request_id, slot_start_us, slot_end_us, {QE.DUCK_FOLD}, first(n_sends) AS n_sends FROM _sl GROUP BY ALL)"""
+
+W1_ORACLE = f"""WITH {SLOTS_D}
+SELECT {QE.ENTRY_COLS}, CASE WHEN has_redirect THEN request_id END AS redirect_from_request_id, {QE.hints_d('_post')}, {QE.HEADERS_D},
+  slot_start_us, slot_end_us FROM ne"""
+
+W3_ORACLE = f"""WITH {SLOTS_D}
+SELECT ((slot_end_us - 1) // 86400000000) * 86400000 AS window_start_ms, resource_type, count(*) AS n_pending FROM ne
+WHERE state IN ('pending', 'responded') GROUP BY ALL"""
 
 W5_ORACLE = f"""WITH {QE.CE}, _c AS (SELECT *, {QE.CONSOLE_D} AS ct FROM ce)
 SELECT session_id, {QE.LEVEL_D} AS level, count(*) AS n FROM _c WHERE ({QE.LEVEL_D}) IN ('error', 'exception') GROUP BY ALL"""

@@ -1,9 +1,9 @@
 """Structured Streaming operators.
 
 Sinks are append-only logs in the shared folder named by
-``spark.checkpoint.dir``; "current state" views (latest network entry per
-request, cookie jar) are newest-per-key aggregates over those logs, so no
-sink rewrites a snapshot per batch and nothing passes through the driver.
+``spark.checkpoint.dir``; the cookie jar is a newest-per-key aggregate over its
+log, so no sink rewrites a snapshot per batch and nothing passes through the
+driver. States (W1, W2, W3) are bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -22,29 +22,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stream_network_entries(events: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """Incremental E1. The batch fold is associative, so it runs as a plain
-    streaming aggregate: late and out-of-order events change exactly what they
-    would have changed in time. Each batch appends the slots it changed to
-    ``sink`` (pending ones included); ``network_entries_from_log`` gives the
-    current entries. The state keeps one slot per request; on a cluster keep it
-    in the RocksDB state store."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").parquet(sink)
+def stream_network_entries(events: DataFrame, idle: str, watermark: str, redact: bool = True) -> DataFrame:
+    """Incremental E1 (append mode). A request's slot is the fold of its
+    events up to a silence of ``idle``; when the watermark passes that silence its
+    timer fires: the slot is emitted once, finished or still pending, and leaves the
+    state. Late and out-of-order events within ``watermark`` change exactly what
+    they would have changed in time; later ones are dropped and counted by the
+    progress. Headers are redacted before they enter the state.
 
-    w = (E.slot_states(E.conform_events(events)).writeStream.outputMode("update")
-          .option("checkpointLocation", checkpoint).foreachBatch(write))
-    w = w.trigger(availableNow=True) if available_now else w
-    return w.start()
+    Columns: E1's, and ``slot`` (start: first event, end: when the timer fired).
+    Over closed slots the result equals E1 of each island of a request's events.
+    """
+    slots = E.slot_states(E.conform_events(events).withWatermark("event_time", watermark),
+                          [*E.KEY, F.session_window("event_time", idle).alias("slot")], redact)
+    return E.slot_entries(slots, [*E.KEY, "slot"], redact)
 
 
-def network_entries_from_log(spark: SparkSession, sink: str, redact: bool = True) -> DataFrame:
-    """Entries of the latest slot per (session, request) in the W1 update log:
-    a slot that has seen more events replaces one that has seen fewer."""
-    log = spark.read.parquet(sink)
-    cols = [c for c in log.columns if c not in E.KEY]
-    g = log.groupBy(*E.KEY).agg(F.max_by(F.struct(*cols), "n_events").alias("_s"))
-    return E.slot_entries(g.select(*E.KEY, *(F.col(f"_s.{c}").alias(c) for c in cols)), redact=redact)
+def stream_pending_counts(entries: DataFrame, window: str) -> DataFrame:
+    """Requests still in flight when their timer fired, per resource type and
+    tumbling window: a second stateful operator on W1's output (append mode)."""
+    return (entries.where("state IN ('pending', 'responded')")
+            .groupBy(F.window(F.window_time("slot"), window).alias("w"), "resource_type").agg(F.count("*").alias("n_pending")))
 
 
 def stream_quiet_sessions(events: DataFrame, idle: str, watermark: str) -> DataFrame:
@@ -54,14 +52,6 @@ def stream_quiet_sessions(events: DataFrame, idle: str, watermark: str) -> DataF
                   .agg(F.count("*").alias("n_events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
 
 
-def stream_inflight_counts(events: DataFrame, window: str, watermark: str) -> DataFrame:
-    """Requests sent per resource type per tumbling window (append mode;
-    rows later than the watermark are dropped and counted by the progress)."""
-    return (events.where(f"method = '{E.SENT}'").withWatermark("event_time", watermark)
-                  .groupBy(F.window("event_time", window).alias("w"), "resource_type")
-                  .agg(F.count("*").alias("n_sent")))
-
-
 def stream_cookie_jar(observations: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
     """Each batch is reduced to its newest row per identity (K2) and
     appended to an observation log; ``cookie_jar_from_log`` applies K2 over
