@@ -20,7 +20,7 @@ from pagefold.functions.text import decode_entities_sql, first_line_sql, normali
 from pagefold.functions.url import resolve_url_sql, same_site_sql
 from pagefold.operators.html import (
     BLOCK_TAGS, COVER_KINDS, HEADING_TAGS, RUN, attr_sql, element_tokens, html_tokens,
-    join_pieces_sql, span_join, sql_list, text_piece_sql,
+    join_pieces_sql, sql_list, text_piece_sql, with_extents,
 )
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class Limits:
     items: int | None = None
     item_text: int | None = None
     item_title: int | None = None
+    item_links: int | None = None
     tables: int | None = None
     table_rows: int | None = None
     cell: int | None = None
@@ -51,7 +52,7 @@ class Limits:
 NO_LIMITS = Limits()
 # --- fixed values ----------------------------------------------------------
 #: The limits of the acquisition tool's own documents.
-CAPTURE_LIMITS = Limits(text=200000, links=1000, link_text=240, actions=500, items=300, item_text=1200, item_title=160,
+CAPTURE_LIMITS = Limits(text=200000, links=1000, link_text=240, actions=500, items=300, item_text=1200, item_title=160, item_links=50,
                         tables=100, table_rows=100, cell=1000, caption=300, heading=1000,
                         markdown_links=200, markdown_actions=100, markdown=300000)
 ITEM_MIN_TEXT = 20
@@ -83,11 +84,16 @@ WALK_COVER = ("heading", "table", "iframe")
 ENTRY_COVER = {"link": ("a", "nav", "footer"), "action": ("action",), "item": ("cand",)}
 
 
-def flow_tokens(pages: DataFrame, kinds=None) -> DataFrame:
+#: What elements hold in order: text pieces, links (of the page itself) and table cells.
+EXTENTS = {"piece": "piece != ''", "a": "kind = 'open' AND tag = 'a' AND in_iframe = 0", "cell": "kind = 'open' AND tag IN ('td', 'th')"}
+
+
+def flow_tokens(pages: DataFrame, kinds=None, extents: bool = False, title: str | None = None) -> DataFrame:
     """Visible element tokens with walk scope, boundaries and block keys; with
-    ``kinds``, only what these entry kinds need is looked for."""
+    ``kinds``, only what these entry kinds need is looked for. ``extents`` adds
+    what elements hold (``EXTENTS``) and the walked table around each token."""
     cover = COVER_KINDS if kinds is None else [*WALK_COVER, *(c for k in kinds for c in ENTRY_COVER.get(k, ()))]
-    et = element_tokens(html_tokens(pages), cover).where("visible")
+    et = element_tokens(html_tokens(pages, title=title), cover).where("visible")
     # Tokens the content walk reaches: not inside a heading, table or iframe
     # (those are consumed whole), except their opening tag itself.
     opaque = "(in_heading + in_table + in_iframe)"
@@ -95,6 +101,11 @@ def flow_tokens(pages: DataFrame, kinds=None) -> DataFrame:
     et = et.selectExpr("*", f"{text_piece_sql()} AS piece",
                        f"{opaque} = 0 OR ({self_opaque} AND {opaque} = 1) AS walked",
                        "CASE WHEN in_heading > 0 THEN heading_pos END AS _hkey")
+    if extents:
+        et = with_extents(et, EXTENTS)
+        around = f"last(CASE WHEN kind = 'open' AND tag = 'table' AND walked THEN named_struct('pos', pos, 'end', end) END, true) OVER {RUN}"
+        et = et.selectExpr("*", f"CASE WHEN in_table > 0 THEN {around} END AS _table").selectExpr(
+            "*", "CASE WHEN pos <= _table.end THEN _table.pos END AS table_key")
     # A heading is a boundary only when it has text.
     et = et.selectExpr("*", "CASE WHEN _hkey IS NOT NULL THEN max(coalesce(piece != '', false)) "
                             "OVER (PARTITION BY page_id, _hkey) END AS heading_nonblank")
@@ -109,63 +120,113 @@ def flow_tokens(pages: DataFrame, kinds=None) -> DataFrame:
                          f"THEN pos END, true) OVER {RUN} END AS item_key")
 
 
-def _memberships_sql(with_items: bool = False, kinds=None) -> str:
+def _memberships_sql(kinds, extents: bool) -> str:
     """Array of (ekind, ekey) a token contributes to."""
     piece = "piece IS NOT NULL"
     plain = "in_heading = 0 AND in_table = 0 AND in_iframe = 0"
+    table = ("table_key", f"table_key IS NOT NULL AND ({piece} OR (kind = 'open' AND tag IN ('table', 'tr', 'td', 'th', 'caption')))") if extents else (
+        "pos", "kind = 'open' AND tag = 'table' AND walked")
+    all_kinds = {
+        "paragraph": ("block_key", f"walked AND {plain} AND {piece}"),
+        "heading": ("heading_pos", f"in_heading > 0 AND ({piece} OR (kind = 'open' AND tag IN ({HEADINGS})))"),
+        "link": ("a_pos", f"in_a > 0 AND ({piece} OR (kind = 'open' AND tag = 'a'))"),
+        "action": ("action_pos", f"in_action > 0 AND ({piece} OR (kind = 'open' AND pos = action_pos))"),
+        "table": table,
+        "item": ("item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"),
+        "frame": ("pos", "kind = 'open' AND tag = 'iframe' AND walked"),
+        "page": ("pos", "kind = 'page'"),
+    }
+    return "array_compact(array(" + ", ".join(
+        f"CASE WHEN {cond} THEN named_struct('ekind', {lit(k)}, 'ekey', CAST({key} AS BIGINT)) END"
+        for k, (key, cond) in all_kinds.items() if k in kinds) + "))"
 
-    def m(kind, key, cond):
-        return f"CASE WHEN {cond} THEN named_struct('ekind', {lit(kind)}, 'ekey', CAST({key} AS BIGINT)) END"
 
-    want = (lambda k: True) if kinds is None else (lambda k: k in kinds)
-    return "array_compact(array(" + ", ".join([x for k, x in [
-        ("paragraph", m("paragraph", "block_key", f"walked AND {plain} AND {piece}")),
-        ("heading", m("heading", "heading_pos", f"in_heading > 0 AND ({piece} OR (kind = 'open' AND tag IN ({HEADINGS})))")),
-        ("link", m("link", "a_pos", f"in_a > 0 AND ({piece} OR (kind = 'open' AND tag = 'a'))")),
-        ("action", m("action", "action_pos", f"in_action > 0 AND ({piece} OR (kind = 'open' AND pos = action_pos))")),
-        ("table", m("table", "pos", "kind = 'open' AND tag = 'table' AND walked")),
-    ] + ([("item", m("item", "item_key", f"item_key IS NOT NULL AND ({piece} OR (kind = 'open' AND pos = item_key))"))]
-         if with_items else []) if want(k)]) + "))"
+ENTRY_KINDS = ("paragraph", "heading", "link", "action", "table")
 
 
-def content_entries(pages: DataFrame, _ft: DataFrame | None = None, with_items: bool = False,
-                    kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """All content entries of all pages, one row each, with section context.
+def page_entries(pages: DataFrame, kinds: tuple[str, ...] = ENTRY_KINDS, extents: bool = False, title: str | None = None) -> DataFrame:
+    """All content entries of every page, one row each, in one aggregate.
 
     Columns: page_id, url, ekind, ekey, epos, tag, attrs, walked, in_nav,
-    in_footer, text, section_no, section_heading.
+    in_footer, listed (outside iframe elements), text, item_heading; with
+    ``extents`` also ``rows`` and ``caption`` of tables and ``a_n``, ``a_end``,
+    the range of the page's links inside a card.
     """
-    ft = _ft if _ft is not None else flow_tokens(pages, kinds)
-    ex = ft.selectExpr("*", f"explode({_memberships_sql(with_items, kinds)}) AS _m").selectExpr(
+    ft = flow_tokens(pages, kinds, extents, title)
+    ex = ft.selectExpr("*", f"explode({_memberships_sql(kinds, extents)}) AS _m").selectExpr(
         "*", "_m.ekind AS ekind", "_m.ekey AS ekey")
-    owner = "kind = 'open' AND pos = ekey"
-    ent = ex.groupBy("page_id", "ekind", "ekey").agg(
-        *[F.expr(e) for e in [
-            "first(url) AS url",
-            "min(CASE WHEN piece IS NOT NULL THEN pos END) AS _ppos",
-            f"max(CASE WHEN {owner} THEN tag END) AS tag",
-            f"max_by(attrs, CASE WHEN {owner} THEN 1 END) AS attrs",
-            f"max(CASE WHEN {owner} THEN CAST(walked AS INT) END) AS _walked",
-            f"max(CASE WHEN {owner} THEN in_nav END) AS in_nav",
-            f"max(CASE WHEN {owner} THEN in_footer END) AS in_footer",
-            "collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _pieces",
-            "collect_list(CASE WHEN ekind = 'item' AND in_heading > 0 AND piece IS NOT NULL "
-            "THEN named_struct('pos', pos, 'piece', piece, 'h', heading_pos) END) AS _hp",
-        ]])
+    owner = "kind IN ('open', 'page') AND pos = ekey"
+    aggs = [
+        "first(url) AS url",
+        "min(CASE WHEN piece IS NOT NULL THEN pos END) AS _ppos",
+        f"max(CASE WHEN {owner} THEN coalesce(tag, '') END) AS tag",
+        f"max_by(attrs, CASE WHEN {owner} THEN 1 END) AS attrs",
+        f"max(CASE WHEN {owner} THEN CAST(walked AS INT) END) AS _walked",
+        f"max(CASE WHEN {owner} THEN in_nav END) AS in_nav",
+        f"max(CASE WHEN {owner} THEN in_footer END) AS in_footer",
+        f"max(CASE WHEN {owner} THEN in_iframe = 0 END) AS listed",
+        "collect_list(CASE WHEN piece IS NOT NULL THEN named_struct('pos', pos, 'piece', piece) END) AS _pieces",
+        "collect_list(CASE WHEN ekind = 'item' AND in_heading > 0 AND piece IS NOT NULL "
+        "THEN named_struct('pos', pos, 'piece', piece, 'h', heading_pos) END) AS _hp"]
+    extra = []
+    if title:
+        aggs.append("max(CASE WHEN kind = 'page' THEN text END) AS _title")
+    if extents:
+        inside = "ekind = 'table' AND kind = 'open'"
+        span = "named_struct('pos', pos, 'n', {0}_n, 'end', {0}_end)"
+        aggs += [*(f"max(CASE WHEN {owner} THEN {c} END) AS {c}" for c in ("a_n", "a_end")),
+                 f"max(CASE WHEN {owner} THEN piece_n END) AS _p0", f"max(CASE WHEN {owner} THEN cell_n END) AS _c0",
+                 f"collect_list(CASE WHEN {inside} AND tag IN ('td', 'th') THEN {span.format('piece')} END) AS _cells",
+                 f"collect_list(CASE WHEN {inside} AND tag = 'tr' THEN {span.format('cell')} END) AS _trs",
+                 f"min_by({span.format('piece')}, pos) FILTER (WHERE {inside} AND tag = 'caption' AND piece_end > piece_n) AS _cap"]
+    ent = ex.groupBy("page_id", "ekind", "ekey").agg(*[F.expr(e) for e in aggs])
+    if extents:
+        # What a cell holds is a slice of the table's pieces, what a row holds one of its cells.
+        text = lambda c: normalize_text_sql(f"array_join(slice(_sorted, CAST({c}.n - _p0 + 1 AS INT), CAST({c}.end - {c}.n AS INT)), ' ')")
+        ent = ent.selectExpr("*", "transform(filter(array_sort(CASE WHEN ekind = 'table' THEN _pieces ELSE array() END), _q -> _q.piece != ''), "
+                                  "_q -> _q.piece) AS _sorted")
+        ent = ent.selectExpr("*", f"transform(array_sort(_cells), _c -> {text('_c')}) AS _texts")
+        extra = ["a_n", "a_end", "filter(transform(array_sort(_trs), _r -> filter(slice(_texts, CAST(_r.n - _c0 + 1 AS INT), CAST(_r.end - _r.n AS INT)), "
+                                 "_x -> _x != '')), _x -> size(_x) > 0) AS rows",
+                 f"CASE WHEN ekind = 'table' THEN CASE WHEN _cap IS NULL THEN '' ELSE {text('_cap')} END END AS caption"]
+    text_of = f"CASE WHEN ekind NOT IN ('table', 'frame') THEN {join_pieces_sql('_pieces')} ELSE '' END" if extents else join_pieces_sql("_pieces")
+    text_of = f"CASE WHEN ekind = 'page' THEN _title ELSE {text_of} END" if title else text_of
     ent = ent.selectExpr(
         "page_id", "url", "ekind", "ekey",
         "CASE WHEN ekind = 'paragraph' THEN _ppos ELSE ekey END AS epos",
         "tag", "attrs", "coalesce(_walked = 1, ekind = 'paragraph') AS walked",
-        "in_nav", "in_footer", f"{join_pieces_sql('_pieces')} AS text",
+        "in_nav", "in_footer", "coalesce(listed, true) AS listed", f"{text_of} AS text",
         f"CASE WHEN ekind = 'item' AND size(_hp) > 0 THEN {join_pieces_sql('filter(_hp, _y -> _y.h = array_min(transform(_hp, _z -> _z.h)))')} "
-        "END AS item_heading")
+        "END AS item_heading", *extra)
     # Owner rows are required except for paragraphs (keyed by block).
-    ent = ent.where("ekind = 'paragraph' OR tag IS NOT NULL")
-    is_head = "(ekind = 'heading' AND walked AND text != '')"
-    w = "(PARTITION BY page_id ORDER BY epos, ekind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return ent.selectExpr(
-        "*", f"sum(CAST({is_head} AS INT)) OVER {w} AS section_no",
-        f"coalesce(last(CASE WHEN {is_head} THEN text END, true) OVER {w}, 'Page') AS section_heading")
+    return ent.where("ekind = 'paragraph' OR tag IS NOT NULL")
+
+
+IS_HEAD = "(ekind = 'heading' AND walked AND text != '')"
+
+
+def in_sections(ent: DataFrame, part: str = "page_id", within: str | None = None) -> DataFrame:
+    """Entries with their section: ``section_no`` (headings of the page up to
+    here) and ``section_heading``. With ``within`` (a part of the page: a frame)
+    an entry belongs to the last heading of its own part."""
+    w = "(PARTITION BY {0} ORDER BY epos, ekind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    if within is None:
+        return ent.selectExpr(
+            "*", f"sum(CAST({IS_HEAD} AS INT)) OVER {w.format(part)} AS section_no",
+            f"coalesce(last(CASE WHEN {IS_HEAD} THEN text END, true) OVER {w.format(part)}, 'Page') AS section_heading")
+    ent = ent.selectExpr("*", f"CASE WHEN {IS_HEAD} THEN named_struct('n', sum(CAST({IS_HEAD} AS INT)) OVER {w.format(part)}, 'h', text) END AS _head")
+    ent = ent.selectExpr("*", f"last(_head, true) OVER {w.format(f'{part}, {within}')} AS _section")
+    return ent.selectExpr(*[c for c in ent.columns if c != "_head"], "coalesce(_section.n, 0) AS section_no", "coalesce(_section.h, 'Page') AS section_heading")
+
+
+def content_entries(pages: DataFrame, kinds: tuple[str, ...] = ENTRY_KINDS, extents: bool = False, title: str | None = None,
+                    frames: bool = False) -> DataFrame:
+    """`page_entries` with section context (`in_sections`). With ``frames`` the
+    entries of same-origin frames take their places inside the parent's (T23)."""
+    if frames:
+        from pagefold.operators.frames import spliced
+        return in_sections(spliced(pages, page_entries(pages, (*kinds, *(k for k in ("frame",) if k not in kinds)), extents, title)), within="instance")
+    return in_sections(page_entries(pages, kinds, extents, title))
 
 
 def flow(entries: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
@@ -192,9 +253,9 @@ def flow(entries: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
 FLOW_KINDS_NEEDED = ("paragraph", "heading", "table")
 
 
-def paragraphs(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+def paragraphs(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
     """``(page_id, para_no, section_no, text)``."""
-    f = flow(content_entries(pages, kinds=FLOW_KINDS_NEEDED), limits).where("ekind = 'paragraph'")
+    f = flow(content_entries(pages, FLOW_KINDS_NEEDED, frames=frames), limits).where("ekind = 'paragraph'")
     return f.selectExpr("page_id", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS para_no",
                         "CAST(section_no AS BIGINT) AS section_no", "text")
 
@@ -206,10 +267,10 @@ def _href_sql() -> str:
         f"CASE WHEN {r} != '' AND {r} != '#' AND NOT startswith(lower({r}), 'javascript:') THEN {r} END"))
 
 
-def sections(pages: DataFrame, _entries: DataFrame | None = None, limits: Limits = NO_LIMITS) -> DataFrame:
+def sections(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
     """``(page_id, section_no, heading, level)``; the implicit ``Page``
     section (0) exists when a paragraph or a link precedes the first heading."""
-    ent = _entries if _entries is not None else content_entries(pages, kinds=("paragraph", "heading", "link"))
+    ent = content_entries(pages, ("paragraph", "heading", "link"), frames=frames)
     is_head = "(ekind = 'heading' AND walked AND text != '')"
     pre_para = "(ekind = 'paragraph' AND text != '' AND section_no = 0)"
     pre_link = f"(ekind = 'link' AND walked AND section_no = 0 AND {resolve_url_sql('url', _href_sql())} IS NOT NULL)"
@@ -220,9 +281,9 @@ def sections(pages: DataFrame, _entries: DataFrame | None = None, limits: Limits
     return rows.dropDuplicates(["page_id", "section_no", "heading", "level"])
 
 
-def section_text(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+def section_text(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
     """Paragraphs grouped per section, in order, joined by newlines."""
-    p = paragraphs(pages, limits)
+    p = paragraphs(pages, limits, frames)
     return p.groupBy("page_id", "section_no").agg(
         *[F.expr(e) for e in [
             "count(*) AS n_paragraphs",
@@ -242,18 +303,20 @@ def link_kind_sql(text: str, abs_url: str, in_footer: str, in_nav: str, same: st
 _LINK_TEXT = "CASE WHEN full_text != '' THEN full_text ELSE absolute_url END"
 
 
-def link_rows(ent: DataFrame) -> DataFrame:
-    """Every walked link occurrence (before page-level dedupe and cap)."""
-    l = ent.where("ekind = 'link' AND walked").selectExpr("*", f"{_href_sql()} AS url_raw").where("url_raw IS NOT NULL")
+def link_rows(ent: DataFrame, walked: str = "walked") -> DataFrame:
+    """Every link occurrence that the walk reaches (before page-level dedupe and cap)."""
+    l = ent.where(f"ekind = 'link' AND {walked}").selectExpr("*", f"{_href_sql()} AS url_raw").where("url_raw IS NOT NULL")
     l = l.selectExpr("*", f"{resolve_url_sql('url', 'url_raw')} AS absolute_url").where("absolute_url IS NOT NULL")
-    full = normalize_text_sql(f"coalesce({nonempty('text')}, {nonempty(attr_sql('aria-label'))}, "
-                              f"{nonempty(attr_sql('title'))}, url_raw)")
-    l = l.selectExpr("*", f"{full} AS full_text", f"{same_site_sql('absolute_url', 'url')} AS same_site")
+    l = l.selectExpr("*", f"{link_text_sql()} AS full_text", f"{same_site_sql('absolute_url', 'url')} AS same_site")
     return l.selectExpr(
         "*", f"{link_kind_sql('full_text', 'absolute_url', 'in_footer', 'in_nav', 'same_site')} AS kind",
         f"{_LINK_TEXT} AS link_text")
 
 
+def link_text_sql() -> str:
+    return normalize_text_sql(f"coalesce({nonempty('text')}, {nonempty(attr_sql('aria-label'))}, {nonempty(attr_sql('title'))}, url_raw)")
+
+
 def links_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     l = link_rows(ent)
     l = l.selectExpr("*", "row_number() OVER (PARTITION BY page_id, absolute_url, link_text ORDER BY epos) AS _rn") \
@@ -263,17 +326,17 @@ def links_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
     return l.selectExpr("page_id", "link_no", f"{cut_sql('link_text', limits.link_text)} AS text", "url_raw AS url",
                         "absolute_url", "same_site", "true AS visible",
                         f"{cut_sql('section_heading', limits.heading)} AS source_section",
-                        "CAST(section_no AS BIGINT) AS section_no", "kind", "epos")
+                        "CAST(section_no AS BIGINT) AS section_no", "kind")
 
 
-def links(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+def links(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
     """Page links, first of each (absolute_url, text)."""
-    return links_from_entries(content_entries(pages, kinds=LINK_KINDS_NEEDED), limits).drop("epos")
+    return links_from_entries(content_entries(pages, LINK_KINDS_NEEDED, frames=frames), limits)
 
 
-def section_links(pages: DataFrame, _entries: DataFrame | None = None, limits: Limits = NO_LIMITS) -> DataFrame:
+def section_links(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
     """Distinct (absolute_url, text) per section, first occurrence."""
-    l = link_rows(_entries if _entries is not None else content_entries(pages, kinds=LINK_KINDS_NEEDED))
+    l = link_rows(content_entries(pages, LINK_KINDS_NEEDED, frames=frames))
     l = l.selectExpr("*", "row_number() OVER (PARTITION BY page_id, section_no, absolute_url, link_text "
                           "ORDER BY epos) AS _rn").where("_rn = 1")
     return l.selectExpr("page_id", "CAST(section_no AS BIGINT) AS section_no", "epos",
@@ -292,13 +355,20 @@ def link_scope_counts(pages: DataFrame, listed: int | None = None) -> DataFrame:
     return g.selectExpr("*", f"{omitted} AS n_omitted")
 
 
-def actions_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    a = ent.where("ekind = 'action' AND walked")
-    text = normalize_text_sql(f"coalesce({nonempty('text')}, {nonempty(attr_sql('aria-label'))}, "
+def action_text_sql() -> str:
+    return normalize_text_sql(f"coalesce({nonempty('text')}, {nonempty(attr_sql('aria-label'))}, "
                               f"{nonempty(attr_sql('title'))}, {nonempty(attr_sql('value'))}, '')")
-    kind = (f"CASE WHEN tag = 'a' THEN 'link' WHEN tag = 'input' THEN coalesce({nonempty('lower(' + attr_sql('type') + ')')}, 'input') "
+
+
+def action_kind_sql() -> str:
+    return (f"CASE WHEN tag = 'a' THEN 'link' WHEN tag = 'input' THEN coalesce({nonempty('lower(' + attr_sql('type') + ')')}, 'input') "
             f"ELSE coalesce({nonempty(attr_sql('role'))}, tag) END")
-    a = a.selectExpr("page_id", "epos", f"{text} AS full_text", f"{kind} AS kind",
+
+
+def actions(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
+    """Buttons and button-like inputs with text; dedupe (kind, text, url)."""
+    a = content_entries(pages, ("action", "heading"), frames=frames).where("ekind = 'action' AND walked")
+    a = a.selectExpr("page_id", "epos", f"{action_text_sql()} AS full_text", f"{action_kind_sql()} AS kind",
                      f"CASE WHEN tag = 'a' THEN {resolve_url_sql('url', _href_sql())} END AS absolute_url",
                      "section_heading").where("full_text != ''")
     a = a.selectExpr("*", "row_number() OVER (PARTITION BY page_id, kind, full_text, absolute_url ORDER BY epos) AS _rn") \
@@ -306,49 +376,20 @@ def actions_from_entries(ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFram
     a = a.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS action_no") \
          .where(first_rows("action_no", limits.actions))
     return a.selectExpr("page_id", "action_no", f"{cut_sql('full_text', limits.link_text)} AS text", "kind", "absolute_url",
-                        "true AS visible", f"{cut_sql('section_heading', limits.heading)} AS source_section", "epos")
+                        "true AS visible", f"{cut_sql('section_heading', limits.heading)} AS source_section")
 
 
-def actions(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    """Buttons and button-like inputs with text; dedupe (kind, text, url)."""
-    return actions_from_entries(content_entries(pages, kinds=("action", "heading")), limits).drop("epos")
-
-
-def tables_from_tokens(ft: DataFrame, ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    """Rows of the tables that the walk reaches, in the document's order: every
-    ``tr`` inside is a row, every ``td``/``th`` inside a ``tr`` one of its cells
-    with all text inside, also of tables nested in it. Spans meet what they
-    hold by the bucketed range join."""
-    opened = ft.where("kind = 'open' AND in_table > 0")
-    texts = ft.where("in_table > 0 AND piece IS NOT NULL").selectExpr("page_id AS p_page", "pos AS p_pos", "piece")
-
-    def text_of(tags: str) -> DataFrame:
-        spans = opened.where(f"tag IN ({tags})").selectExpr("page_id", "pos AS start", "end")
-        t = span_join(spans, texts).groupBy("page_id", "start").agg(F.expr("collect_list(named_struct('pos', p_pos, 'piece', piece)) AS _p"))
-        return t.selectExpr("page_id AS p_page", "start AS p_pos", f"{join_pieces_sql('_p')} AS text").where("text != ''")
-
-    rows = span_join(opened.where("tag = 'tr'").selectExpr("page_id", "pos AS start", "end"), text_of("'td', 'th'"))
-    rows = rows.groupBy("page_id", "start").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('p', p_pos, 't', text))), _c -> _c.t) AS cells"))
-    if limits.cell is not None:
-        rows = rows.selectExpr("page_id", "start", f"transform(cells, _c -> {truncate_sql('_c', limits.cell)}) AS cells")
-    spans = opened.where("tag = 'table' AND walked").selectExpr("page_id", "pos AS start", "end")
-    t = span_join(spans, rows.selectExpr("page_id AS p_page", "start AS p_pos", "cells"))
-    t = t.selectExpr("page_id", "start AS table_pos", "cells",
-                     "CAST(row_number() OVER (PARTITION BY page_id, start ORDER BY p_pos) - 1 AS BIGINT) AS row_no",
-                     "CAST(dense_rank() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS table_no")
-    caps = span_join(spans, text_of("'caption'")).groupBy("page_id", F.col("start").alias("table_pos")).agg(F.min_by("text", "p_pos").alias("caption"))
-    heads = ent.where("ekind = 'table'").selectExpr("page_id", "epos AS table_pos", "section_heading")
-    t = t.where(f"{first_rows('row_no', limits.table_rows)} AND {first_rows('table_no', limits.tables)}")
-    return t.join(caps, ["page_id", "table_pos"], "left").join(heads, ["page_id", "table_pos"]).selectExpr(
-        "page_id", "table_no", "row_no", "cells", f"{cut_sql('coalesce(caption, {0})'.format(lit('')), limits.caption)} AS caption",
-        f"{cut_sql('section_heading', limits.heading)} AS source_section", "table_pos")
-
-
-def table_cells(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    """``(page_id, table_no, row_no, cells[])`` plus caption."""
-    ft = flow_tokens(pages, ("table", "heading"))
-    return tables_from_tokens(ft, content_entries(pages, ft, kinds=("table", "heading")), limits).drop("table_pos")
+def table_cells(pages: DataFrame, limits: Limits = NO_LIMITS, frames: bool = False) -> DataFrame:
+    """``(page_id, table_no, row_no, cells[])`` plus caption: rows of the
+    tables that the walk reaches, in the document's order. Every ``tr`` inside is a
+    row, every ``td``/``th`` inside a ``tr`` one of its cells with all text inside,
+    also of tables nested in it; blank cells and rows without cells are left out."""
+    t = content_entries(pages, ("table", "heading"), extents=True, frames=frames).where("ekind = 'table' AND size(rows) > 0")
+    t = t.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY epos) - 1 AS BIGINT) AS table_no").where(first_rows("table_no", limits.tables))
+    cells = "cells" if limits.cell is None else f"transform(cells, _c -> {truncate_sql('_c', limits.cell)})"
+    return (t.selectExpr("page_id", "table_no", f"{cut_sql('caption', limits.caption)} AS caption", f"{cut_sql('section_heading', limits.heading)} AS source_section",
+                         "posexplode(rows) AS (row_no, cells)").where(first_rows("row_no", limits.table_rows))
+            .selectExpr("page_id", "table_no", "CAST(row_no AS BIGINT) AS row_no", f"{cells} AS cells", "caption", "source_section"))
 
 
 def visible_text(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
@@ -372,67 +413,87 @@ def page_title(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("page_id", f"{page_title_sql()} AS title")
 
 
-def items(pages: DataFrame, limits: Limits = NO_LIMITS, _ft: DataFrame | None = None,
-          _entries: DataFrame | None = None) -> DataFrame:
-    """Outermost card-like elements with >= 20 characters of text.
+def item_title_sql() -> str:
+    return f"coalesce({nonempty('item_heading')}, {first_line_sql('text')})"
+
+
+def card_links_sql(limits: Limits = NO_LIMITS, links: str = "_links", card: str = "_i") -> str:
+    """The links inside a card: a slice of the page's links by their order, those in
+    headings and tables too; of anchors without a target only what they hold. Every
+    anchor counts once, equal ones are not merged."""
+    held = f"slice({links}, CAST({card}.a_n + 1 AS INT), CAST({card}.a_end - {card}.a_n AS INT))"
+    found = f"filter({held}, _l -> _l.absolute_url IS NOT NULL)"
+    found = found if limits.item_links is None else f"slice({found}, 1, {int(limits.item_links)})"
+    return (f"transform({found}, _l -> named_struct('text', _l.text, 'url', _l.url, 'absolute_url', _l.absolute_url, 'same_site', _l.same_site, "
+            f"'visible', true, 'source_section', {card}.source_section, 'kind', _l.kind))")
+
+
+ALL_LINKS = ("array_sort(collect_list(CASE WHEN ekind = 'link' AND listed THEN named_struct('epos', epos, 'text', {0}, 'url', url_raw, "
+             "'absolute_url', absolute_url, 'same_site', same_site, 'kind', kind) END))")
+
+
+def items(pages: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
+    """Outermost card-like elements with >= 20 characters of text, and the
+    links inside.
 
     A nested candidate's text is part of its parent's, so the accepted
     (outermost, >= 20 characters) cards are the top-level candidates that
     reach 20 characters. Each token feeds the entry of its outermost
-    enclosing candidate, so a card is one more entry kind: no span join.
+    enclosing candidate, so a card is one more entry kind, and its links are a
+    slice of the page's links: no span join.
     Title = text of the first heading inside, else the first sentence; dedupe
     on (title, text).
     """
-    ent = _entries if _entries is not None else content_entries(pages, _ft, with_items=True, kinds=("heading", "item"))
-    it = ent.where("ekind = 'item' AND walked").selectExpr(
-        "page_id", "epos AS start", "text", "item_heading", f"{cut_sql('section_heading', limits.heading)} AS source_section")
-    it = it.where(f"length(text) >= {ITEM_MIN_TEXT}")
-    it = it.selectExpr("*", f"coalesce({nonempty('item_heading')}, {first_line_sql('text')}) AS title")
-    it = it.selectExpr("*", "row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn").where("_rn = 1")
-    it = it.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS BIGINT) AS item_no") \
-           .where(first_rows("item_no", limits.items))
-    return it.selectExpr("page_id", "item_no", "'card' AS kind", f"{cut_sql('title', limits.item_title)} AS title",
-                         f"{cut_sql('text', limits.item_text)} AS text", "start", "source_section")
+    ent = marked(content_entries(pages, ("heading", "item", "link"), extents=True), ("item", "link"))
+    card = (f"CASE WHEN {CARD} AND _rn = 1 THEN named_struct('start', epos, 'title', title, 'text', text, 'a_n', a_n, 'a_end', a_end, "
+            f"'source_section', {cut_sql('section_heading', limits.heading)}) END")
+    page = ent.groupBy("page_id").agg(F.expr(f"array_sort(collect_list({card})) AS _cards"),
+                                      F.expr(f"{ALL_LINKS.format(cut_sql('link_text', limits.link_text))} AS _links"))
+    it = page.selectExpr("page_id", "_links", "posexplode(_cards) AS (_n, _i)").where(first_rows("_n", limits.items))
+    return it.selectExpr("page_id", "CAST(_n AS BIGINT) AS item_no", "'card' AS kind", f"{cut_sql('_i.title', limits.item_title)} AS title",
+                         f"{cut_sql('_i.text', limits.item_text)} AS text", "_i.start AS start", "_i.source_section AS source_section",
+                         f"{card_links_sql(limits)} AS links")
+
+
+CARD = f"ekind = 'item' AND walked AND length(text) >= {ITEM_MIN_TEXT}"
+
+
+def marked(ent: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Entries with what links, actions and cards are told by (url_raw,
+    absolute_url, link_text, same_site, kind, title), null for others, and ``_rn``,
+    ``_srn``: the how manieth of its equals on the page and in its section."""
+    have = [k for k in ("link", "action", "item") if k in kinds]
+    target = "ekind = 'link'" + (" OR (ekind = 'action' AND tag = 'a')" if "action" in have else "")
+    full = [f"WHEN ekind = 'link' THEN {link_text_sql()}"] + ([f"WHEN ekind = 'action' THEN {action_text_sql()}"] if "action" in have else [])
+    m = ent.selectExpr("*", f"CASE WHEN {target} THEN {_href_sql()} END AS url_raw")
+    m = m.selectExpr("*", f"CASE WHEN url_raw IS NOT NULL THEN {resolve_url_sql('url', 'url_raw')} END AS absolute_url")
+    m = m.selectExpr("*", f"CASE {' '.join(full)} END AS full_text", f"CASE WHEN ekind = 'link' AND absolute_url IS NOT NULL THEN {same_site_sql('absolute_url', 'url')} END AS same_site",
+                     *([f"CASE WHEN {CARD} THEN {item_title_sql()} END AS title"] if "item" in have else []))
+    link = f"WHEN ekind = 'link' AND absolute_url IS NOT NULL THEN {link_kind_sql('full_text', 'absolute_url', 'in_footer', 'in_nav', 'same_site')}"
+    m = m.selectExpr("*", f"CASE {link} {f"WHEN ekind = 'action' THEN {action_kind_sql()}" if 'action' in have else ''} END AS kind",
+                     f"CASE WHEN ekind = 'link' THEN {_LINK_TEXT} END AS link_text")
+    # Only what can be listed competes; the rest has a key of its own.
+    one = ["CASE WHEN ekind = 'link' AND walked AND absolute_url IS NOT NULL THEN named_struct('k', 'link', 'x', absolute_url, 'y', link_text, 'z', '', 'o', 0L)"]
+    if "action" in have:
+        one.append("WHEN ekind = 'action' AND walked AND full_text != '' THEN named_struct('k', 'action', 'x', kind, 'y', full_text, 'z', coalesce(absolute_url, ''), 'o', 0L)")
+    if "item" in have:
+        one.append(f"WHEN {CARD} THEN named_struct('k', 'item', 'x', title, 'y', text, 'z', '', 'o', 0L)")
+    m = m.selectExpr("*", f"{' '.join(one)} ELSE named_struct('k', ekind, 'x', '', 'y', '', 'z', '', 'o', epos) END AS _key")
+    return m.selectExpr("*", "row_number() OVER (PARTITION BY page_id, _key ORDER BY epos) AS _rn",
+                        "row_number() OVER (PARTITION BY page_id, _key, section_no ORDER BY epos) AS _srn")
 
 
 def escape_md_sql(x: str) -> str:
     return f"replace(replace({x}, '[', '\\\\['), ']', '\\\\]')"
 
 
-def content_warnings(pages: DataFrame, _entries: DataFrame | None = None, _ft: DataFrame | None = None,
-                     limits: Limits = NO_LIMITS) -> DataFrame:
-    """``(page_id, warning_no, code, detail)``: ``iframe_cross_origin`` /
-    ``iframe_unavailable`` per iframe in page order (a same-origin frame whose
-    page is not in the table is unavailable), then ``content_empty`` (no flow)
-    and ``content_truncated`` (``limits.text`` reached)."""
-    ent = _entries if _entries is not None else content_entries(pages, kinds=FLOW_KINDS_NEEDED)
-    f = flow(ent, limits)
-    per = f.groupBy("page_id").agg(F.expr(
-        "coalesce(max(CASE WHEN ekind = 'paragraph' THEN emitted_before + length(text) + 1 END), 0) AS _emitted"))
-    base = pages.select("page_id").join(per, "page_id", "left")
-    cut = "CAST(NULL AS STRUCT<code: STRING, detail: STRING>)" if limits.text is None else (
-        f"CASE WHEN _emitted >= {limits.text} THEN named_struct('code', 'content_truncated', 'detail', "
-        f"'content text capped at {limits.text} characters') END")
-    w1 = base.selectExpr("page_id", "posexplode(array_compact(array("
-                         "CASE WHEN _emitted IS NULL THEN named_struct('code', 'content_empty', 'detail', 'no visible composed content captured') END, "
-                         f"{cut}))) AS (_n, w)").selectExpr("page_id", "CAST(9223372036854775000 + _n AS BIGINT) AS _o", "w")
-    fr = inline_frames(pages, _ft).where("NOT inlined").selectExpr(
-        "page_id", "CAST(iframe_pos AS BIGINT) AS _o",
-        "named_struct('code', CASE WHEN same_origin THEN 'iframe_unavailable' ELSE 'iframe_cross_origin' END, "
-        "'detail', CASE WHEN same_origin THEN concat('iframe content unavailable: ', coalesce(src, '(no src)')) "
-        "ELSE concat('cross-origin iframe not traversed: ', coalesce(src, '')) END) AS w")
-    return w1.unionByName(fr).selectExpr(
-        "page_id", "CAST(row_number() OVER (PARTITION BY page_id ORDER BY _o) - 1 AS BIGINT) AS warning_no",
-        "w.code AS code", "w.detail AS detail")
-
-
 def inline_frames(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
     """Iframes of each page with their resolved ``src``; a same-origin
     frame whose URL is a page of the table is inlined (``frame_page_id``)
     under a level-3 ``Frame: <src>`` heading. Found by a self left join on
     the absolute URL; cross-origin frames only warn."""
-    ft = (_ft if _ft is not None else flow_tokens(pages)).where("kind = 'open' AND tag = 'iframe' AND walked")
-    fr = ft.selectExpr("page_id", "pos AS iframe_pos", "url",
+    ft = (flow_tokens(pages.where("contains(lower(html), '<iframe')"), ()) if _ft is None else _ft).where("kind = 'open' AND tag = 'iframe' AND walked")
+    fr = ft.selectExpr("page_id", "pos AS iframe_pos", "url", f"{attr_sql('src')} AS src_raw",
                        f"{resolve_url_sql('url', attr_sql('src'))} AS src")
     origin = "regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
     fr = fr.selectExpr("*", f"lower({origin.format('src')}) = lower({origin.format('url')}) AS same_origin")
@@ -442,162 +503,19 @@ def inline_frames(pages: DataFrame, _ft: DataFrame | None = None) -> DataFrame:
     fr = fr.selectExpr("*", "CASE WHEN same_origin THEN src END AS own_src")
     own = fr.where("own_src IS NOT NULL").join(targets, "own_src", "left")
     j = own.unionByName(fr.where("own_src IS NULL").selectExpr("*", "CAST(NULL AS BIGINT) AS frame_page_id"), allowMissingColumns=True)
-    return j.selectExpr("page_id", "iframe_pos", "src", "coalesce(same_origin, false) AS same_origin", "frame_page_id",
+    return j.selectExpr("page_id", "iframe_pos", "src_raw", "src", "coalesce(same_origin, false) AS same_origin", "frame_page_id",
                         "frame_page_id IS NOT NULL AS inlined",
                         "concat('Frame: ', coalesce(src, 'same-origin iframe')) AS frame_heading")
 
 
-def _table_md_lines(tables: DataFrame) -> DataFrame:
-    """Markdown lines of each table (padded pipe table, optional caption)."""
-    t = tables.groupBy("page_id", "table_pos", "caption").agg(
-        F.expr("transform(array_sort(collect_list(named_struct('r', row_no, 'c', cells))), _x -> _x.c) AS rows"))
-    cell = normalize_text_sql("_c")
-    esc = f"replace({cell}, '|', '\\\\|')"
-    t = t.selectExpr("page_id", "table_pos", "caption", "rows",
-                     "aggregate(rows, 0, (_a, _r) -> greatest(_a, size(_r))) AS width")
-    padded = (f"transform(rows, _r -> transform(concat(_r, array_repeat('', width - size(_r))), _c -> {esc}))")
-    t = t.selectExpr("page_id", "table_pos", "caption", f"{padded} AS p")
-    md = ("array_join(concat("
-          f"CASE WHEN caption != '' THEN array(concat('**', {escape_md_sql('caption')}, '**'), '') ELSE array() END, "
-          "array(concat('| ', array_join(p[0], ' | '), ' |'), concat('| ', array_join(transform(p[0], _h -> '---'), ' | '), ' |')), "
-          "transform(slice(p, 2, size(p)), _r -> concat('| ', array_join(_r, ' | '), ' |'))), '\\n')")
-    return t.selectExpr("page_id", "table_pos", f"{md} AS md")
-
-
-def shared_flow(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Flow tokens and entries computed once for operators that need many
-    parts of the same pages; with ``materialize`` both are written to the
-    shared checkpoint folder (reliable checkpoint: lineage is cut and the
-    parts read them instead of re-tokenizing)."""
-    from pagefold.session import cut_lineage
-    ft = flow_tokens(pages)
-    if materialize:
-        ft = cut_lineage(ft)
-    ent = content_entries(pages, ft, with_items=True)
-    if materialize:
-        ent = cut_lineage(ent)
-    return ft, ent
-
-
-def flow_markdown(ft: DataFrame, ent: DataFrame, limits: Limits = NO_LIMITS) -> DataFrame:
-    """The "Visible Content" block of T21 per page: headings at level+1
-    (clamped 2..6, brackets escaped), paragraphs, pipe tables; one blank
-    line after each entry."""
-    f = flow(ent, limits)
-    tabs = _table_md_lines(tables_from_tokens(ft, ent, limits))
-    f = f.join(tabs.withColumnRenamed("table_pos", "epos"), ["page_id", "epos"], "left")
-    level = "least(6, greatest(2, CAST(substring(tag, 2, 1) AS INT) + 1))"
-    line = (f"CASE ekind WHEN 'heading' THEN concat(repeat('#', {level}), ' ', {escape_md_sql('text')}, '\\n') "
-            f"WHEN 'paragraph' THEN concat(text, '\\n') WHEN 'table' THEN CASE WHEN md IS NOT NULL THEN concat(md, '\\n') END END")
-    return f.selectExpr("page_id", "epos", f"{line} AS line").groupBy("page_id").agg(F.expr(
-        "array_join(transform(array_sort(collect_list(CASE WHEN line IS NOT NULL THEN named_struct('o', epos, 'l', line) END)), "
-        "_x -> _x.l), '\\n') AS flow_md"))
-
-
-def content_markdown(pages: DataFrame, materialize: bool = True, limits: Limits = NO_LIMITS) -> DataFrame:
-    """The markdown document per page: header block, visible content
-    (headings at level+1 clamped to 2..6, paragraphs, pipe tables), links,
-    actions, warnings; ``[``/``]`` escaped, 3+ newlines collapsed."""
-    def listed(n, most):
-        return "true" if most is None else f"{n} < {int(most)}"
-
-    def omitted(most, what):
-        return "''" if most is None else (f"CASE WHEN _n > {int(most)} THEN concat('\\n- … ', CAST(_n - {int(most)} AS STRING), "
-                                          f"' more {what} omitted') ELSE '' END")
-
-    ft, ent = shared_flow(pages, materialize)
-    body = flow_markdown(ft, ent, limits)
-    ln = links_from_entries(ent, limits)
-    meta = ("array_join(filter(array(kind, CASE WHEN kind = CASE WHEN same_site THEN 'same-site' ELSE 'external' END THEN '' "
-            "ELSE CASE WHEN same_site THEN 'same-site' ELSE 'external' END END, "
-            "CASE WHEN source_section != '' THEN concat('source: ', source_section) ELSE '' END), _m -> _m != ''), ', ')")
-    ltext = escape_md_sql("CASE WHEN text != '' THEN text ELSE absolute_url END")
-    lmd = ln.selectExpr("page_id", "link_no", f"concat('- [', {ltext}, "
-                                              f"'](', absolute_url, ')', CASE WHEN {meta} != '' THEN concat(' — ', {meta}) ELSE '' END) AS l")
-    links_md = lmd.groupBy("page_id").agg(F.expr(
-        f"array_join(transform(array_sort(collect_list(CASE WHEN {listed("link_no", limits.markdown_links)} THEN named_struct('o', link_no, 'l', l) END)), "
-        f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
-    links_md = links_md.selectExpr("page_id", f"concat('## Links\\n\\n', _l, {omitted(limits.markdown_links, 'links')}, '\\n') AS links_md")
-    ac = actions_from_entries(ent, limits)
-    amd = ac.selectExpr("page_id", "action_no", f"concat('- ', {escape_md_sql('text')}, ' — ', kind, "
-                                                "CASE WHEN source_section != '' THEN concat(', source: ', source_section) ELSE '' END) AS l")
-    actions_md = amd.groupBy("page_id").agg(F.expr(
-        f"array_join(transform(array_sort(collect_list(CASE WHEN {listed("action_no", limits.markdown_actions)} THEN named_struct('o', action_no, 'l', l) END)), "
-        f"_x -> _x.l), '\\n') AS _l"), F.expr("count(*) AS _n"))
-    actions_md = actions_md.selectExpr("page_id", f"concat('## Actions\\n\\n', _l, {omitted(limits.markdown_actions, 'actions')}, '\\n') AS actions_md")
-    warn = content_warnings(pages, ent, ft, limits).groupBy("page_id").agg(F.expr(
-        "concat('## Warnings\\n\\n', array_join(transform(array_sort(collect_list(named_struct('o', warning_no, "
-        "'l', concat('- ', code, ': ', detail)))), _x -> _x.l), '\\n'), '\\n') AS warnings_md"))
-    head = pages.selectExpr("page_id", "url", f"{page_title_sql()} AS title")
-    doc = head.join(body, "page_id", "left").join(links_md, "page_id", "left") \
-              .join(actions_md, "page_id", "left").join(warn, "page_id", "left")
-    htext = escape_md_sql("CASE WHEN title != '' THEN title WHEN url != '' THEN url ELSE 'Page Content' END")
-    header = (f"concat('# ', {htext}, '\\n\\n', "
-              "'URL: ', url, '\\n', 'Final URL: ', url, '\\n', CASE WHEN title != '' THEN concat('Title: ', title, '\\n') ELSE '' END, "
-              "'Ready State: complete\\n\\n## Visible Content\\n\\n')")
-    md = (f"concat_ws('\\n', concat({header}, coalesce(flow_md, '_No visible composed content captured._')), "
-          "links_md, actions_md, warnings_md)")
-    md = f"regexp_replace({md}, '\\n{{3,}}', '\\n\\n')"
-    return doc.selectExpr("page_id", f"{md if limits.markdown is None else f'substring({md}, 1, {limits.markdown})'} AS markdown")
-
-
-def content_json(pages: DataFrame, materialize: bool = True, limits: Limits = NO_LIMITS) -> DataFrame:
-    """One nested document per page: schema_version, page, sections
-    (with their paragraphs and links), items, tables, links, actions,
-    warnings. Each array is one ``collect_list`` per page; the parts are
-    joined on ``page_id`` (all derived from the same page partitioning)."""
-    ft, ent = shared_flow(pages, materialize)
-    secs = sections(pages, ent, limits)
-    paras = flow(ent, limits).where("ekind = 'paragraph'").groupBy("page_id", "section_no").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', epos, 't', text))), _x -> _x.t) AS text"))
-    slinks = section_links(pages, ent, limits).groupBy("page_id", "section_no").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', epos, 'text', text, 'absolute_url', absolute_url))), "
-        "_x -> named_struct('text', _x.text, 'absolute_url', _x.absolute_url)) AS links"))
-    s = secs.join(paras, ["page_id", "section_no"], "left").join(slinks, ["page_id", "section_no"], "left").groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', section_no, 'heading', heading, 'level', level, "
-        "'text', coalesce(text, array()), 'links', coalesce(links, array())))), "
-        "_x -> named_struct('heading', _x.heading, 'level', _x.level, 'text', _x.text, 'links', _x.links)) AS sections"))
-    ln = links_from_entries(ent, limits).groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', link_no, 'text', text, 'url', url, 'absolute_url', absolute_url, "
-        "'same_site', same_site, 'visible', visible, 'source_section', source_section, 'kind', kind))), "
-        "_x -> named_struct('text', _x.text, 'url', _x.url, 'absolute_url', _x.absolute_url, 'same_site', _x.same_site, "
-        "'visible', _x.visible, 'source_section', _x.source_section, 'kind', _x.kind)) AS links"))
-    ac = actions_from_entries(ent, limits).groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', action_no, 'text', text, 'kind', kind, 'visible', visible, "
-        "'source_section', source_section, 'absolute_url', absolute_url))), _x -> named_struct('text', _x.text, 'kind', _x.kind, "
-        "'visible', _x.visible, 'source_section', _x.source_section, 'absolute_url', _x.absolute_url)) AS actions"))
-    tb = tables_from_tokens(ft, ent, limits).groupBy("page_id", "table_no", "caption", "source_section").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('r', row_no, 'c', cells))), _x -> _x.c) AS rows")) \
-        .groupBy("page_id").agg(F.expr(
-            "transform(array_sort(collect_list(named_struct('o', table_no, 'caption', caption, 'rows', rows, 'source_section', source_section))), "
-            "_x -> named_struct('caption', _x.caption, 'rows', _x.rows, 'source_section', _x.source_section)) AS tables"))
-    it = items(pages, limits, _entries=ent).groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', item_no, 'kind', kind, 'title', title, 'text', array(text), "
-        "'source_section', source_section))), _x -> named_struct('kind', _x.kind, 'title', _x.title, 'text', _x.text, "
-        "'source_section', _x.source_section)) AS items"))
-    wr = content_warnings(pages, ent, ft, limits).groupBy("page_id").agg(F.expr(
-        "transform(array_sort(collect_list(named_struct('o', warning_no, 'code', code, 'detail', detail))), "
-        "_x -> named_struct('code', _x.code, 'detail', _x.detail)) AS warnings"))
-    head = pages.selectExpr("page_id", "named_struct('url', url, 'final_url', url, 'title', "
-                                       f"{page_title_sql()}, 'ready_state', 'complete', 'capture', 'browser_composed_content') AS page")
-    doc = head
-    for part in (s, it, tb, ln, ac, wr):
-        doc = doc.join(part, "page_id", "left")
-    return doc.selectExpr("page_id", "1 AS schema_version", "page",
-                          "coalesce(sections, array()) AS sections", "coalesce(items, array()) AS items",
-                          "coalesce(tables, array()) AS tables", "coalesce(links, array()) AS links",
-                          "coalesce(actions, array()) AS actions", "coalesce(warnings, array()) AS warnings")
-
-
 def inline_frame_flow(pages: DataFrame) -> DataFrame:
     """T23 content: for each same-origin iframe whose page is in the table,
     the frame page's flow (headings, paragraphs) placed under a level-3
     ``Frame: <src>`` heading at the iframe's position; the parent's section
     resumes after it. Rows: ``(page_id, iframe_pos, frame_heading, entry_no,
     kind, level, text)`` with ``entry_no`` 0 the frame heading itself."""
-    ft = flow_tokens(pages)
-    fr = inline_frames(pages, ft).where("inlined")
-    child = flow(content_entries(pages, ft)).where("ekind IN ('heading', 'paragraph')").selectExpr(
+    fr = inline_frames(pages).where("inlined")
+    child = flow(content_entries(pages, FLOW_KINDS_NEEDED)).where("ekind IN ('heading', 'paragraph')").selectExpr(
         "page_id AS frame_page_id", "epos", "ekind", "CAST(substring(tag, 2, 1) AS INT) AS level", "text")
     body = fr.join(child, "frame_page_id").selectExpr(
         "page_id", "iframe_pos", "frame_heading",
@@ -611,6 +529,6 @@ def inline_frame_flow(pages: DataFrame) -> DataFrame:
 def first_heading(pages: DataFrame, cut: int | None = None) -> DataFrame:
     """The first visible heading with text in each page (headings in
     tables count; hidden ones do not), cut at ``cut`` characters if given."""
-    ent = content_entries(pages, kinds=("heading",))
+    ent = content_entries(pages, ("heading",))
     h = ent.where("ekind = 'heading' AND text != ''")
     return h.groupBy("page_id").agg(F.expr(f"min_by({cut_sql('text', cut)}, epos) AS first_heading"))

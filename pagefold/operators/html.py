@@ -46,29 +46,25 @@ def sql_list(xs) -> str:
     return ", ".join(lit(x) for x in xs)
 
 
-def by_page(pages: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """Hash-distribute pages on ``page_id`` once; every later step reuses it.
-
-    Bucketed page tables (``bucketBy(n, "page_id")``) are already distributed
-    and the repartition is then free of a shuffle.
-    """
-    if not num_partitions:
-        num_partitions = page_partitions(pages)
-    return pages.repartition(num_partitions, "page_id")
+#: Bytes of the page table that one partition of the page exchange takes.
+PAGE_BYTES = 256 << 20
+#: Estimates beyond are of inputs whose size Spark does not know.
+LARGEST_INPUT = 1 << 50
 
 
 def page_partitions(pages: DataFrame) -> int:
-    """Partition count for the page exchange.
+    """Partitions of the page exchange, which every later step reuses.
 
-    An explicit count keeps AQE from coalescing this exchange into a handful
-    of partitions: the stage after it is CPU-bound (regex tokenizing and
-    per-page windows), so it needs every core. It is at least the shuffle
-    partition setting and twice the cores; pass ``num_partitions`` to
-    ``by_page`` (or bucket the page table) for inputs that need more.
+    The stage after the exchange is CPU-bound (regular expressions and windows), so
+    its partitions are sized by what the scan is estimated to read, and there are
+    two for each core at least: adaptive execution, which sees only the compressed
+    bytes, would leave cores idle. Bucketed page tables (``bucketBy(n, "page_id")``)
+    are already distributed and the repartition is then free of a shuffle.
     """
     spark = pages.sparkSession
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(conf, 2 * spark.sparkContext.defaultParallelism)
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = -(-size // PAGE_BYTES) if size <= LARGEST_INPUT else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, parts)
 
 
 def strip_raw_sql(html: str) -> str:
@@ -99,29 +95,40 @@ def has_attr_sql(name: str, attrs: str = "attrs") -> str:
     return f"coalesce(exists({attrs}, _a -> _a.k = {lit(name)}), false)"
 
 
-def html_tokens(pages: DataFrame, repartition: bool = True) -> DataFrame:
+def html_tokens(pages: DataFrame, repartition: bool = True, title: str | None = None) -> DataFrame:
     """Ordered token table of the visible document flow.
 
     Output ``page_id, url, pos, last_pos, kind (open|close|text), tag,
     attrs array<struct<k,v>>, text``. ``last_pos`` is the page's final
-    position (the end of unclosed elements).
+    position (the end of unclosed elements). Scripts, styles and comments are
+    removed before the pages are exchanged.
+
+    With ``title`` (SQL text over the page's columns) every page has one more
+    row at ``pos`` -1, of kind ``page`` and that text, also where it has no tokens.
     """
-    p = by_page(pages) if repartition else pages
     # Separate projections so each regex runs once per page.
-    p = p.selectExpr("page_id", "url", f"{strip_raw_sql('html')} AS _s")
-    p = p.selectExpr("page_id", "url", f"{from_body_sql('_s')} AS _b")
-    p = p.selectExpr("page_id", "url", f"regexp_extract_all(_b, {lit(TOKEN_RE)}, 0) AS _toks")
-    # posexplode_outer: no inferred filter that would re-run the tokenizer
-    # below the shuffle; empty pages yield a NULL token dropped below.
-    t = p.selectExpr("page_id", "url", "size(_toks) - 1 AS last_pos", "posexplode_outer(_toks) AS (pos, tok)")
-    kind = ("CASE WHEN tok RLIKE '^<[a-zA-Z]' THEN 'open' WHEN tok RLIKE '^</[a-zA-Z]' THEN 'close' "
+    n = page_partitions(pages) if repartition else None
+    p = pages.selectExpr("page_id", "url", f"{strip_raw_sql('html')} AS _s", *([f"{title} AS _title"] if title else []))
+    p = p.selectExpr("page_id", "url", f"{from_body_sql('_s')} AS _b", *(["_title"] if title else []))
+    p = p.repartition(n, "page_id") if n else p
+    toks = f"regexp_extract_all(_b, {lit(TOKEN_RE)}, 0)"
+    if title:
+        p = p.selectExpr("page_id", "url", f"concat(array(coalesce(_title, '')), coalesce({toks}, array())) AS _toks")
+        t = p.selectExpr("page_id", "url", "size(_toks) - 2 AS last_pos", "posexplode(_toks) AS (_at, tok)") \
+             .selectExpr("page_id", "url", "_at - 1 AS pos", "last_pos", "tok")
+    else:
+        p = p.selectExpr("page_id", "url", f"{toks} AS _toks")
+        # posexplode_outer: no inferred filter that would re-run the tokenizer
+        # below the shuffle; empty pages yield a NULL token dropped below.
+        t = p.selectExpr("page_id", "url", "size(_toks) - 1 AS last_pos", "posexplode_outer(_toks) AS (pos, tok)")
+    kind = ("CASE WHEN pos < 0 THEN 'page' WHEN tok RLIKE '^<[a-zA-Z]' THEN 'open' WHEN tok RLIKE '^</[a-zA-Z]' THEN 'close' "
             "WHEN NOT startswith(tok, '<') OR tok = '<' THEN 'text' ELSE 'other' END")
     t = t.selectExpr("page_id", "url", "pos", "last_pos", f"{kind} AS kind", "tok")
     t = t.where("kind != 'other'").selectExpr(
         "page_id", "url", "pos", "last_pos", "kind",
-        f"CASE WHEN kind != 'text' THEN lower(regexp_extract(tok, {lit(r'^</?([a-zA-Z][^\s/>]*)')}, 1)) END AS tag",
+        f"CASE WHEN kind IN ('open', 'close') THEN lower(regexp_extract(tok, {lit(r'^</?([a-zA-Z][^\s/>]*)')}, 1)) END AS tag",
         f"CASE WHEN kind = 'open' THEN {parse_attrs_sql(f'regexp_replace(tok, {lit(r'(?s)^<[a-zA-Z][^\s/>]*|/?>\z')}, {lit('')})')} END AS attrs",
-        f"CASE WHEN kind = 'text' THEN {decode_entities_sql('tok')} END AS text")
+        f"CASE kind WHEN 'text' THEN {decode_entities_sql('tok')} WHEN 'page' THEN tok END AS text")
     return t
 
 
@@ -199,7 +206,7 @@ def element_tokens(tokens: DataFrame, cover: Iterable[str] = COVER_KINDS) -> Dat
     # Same-tag depth: an open pairs with the next close on its level.
     w = "(PARTITION BY page_id, tag, _lvl ORDER BY pos)"
     t = t.selectExpr(
-        *base, "_m", "_void",
+        *base, "_m", "_void", "_lvl",
         f"CASE WHEN _void THEN pos WHEN kind = 'open' THEN CASE WHEN coalesce(lead(kind) OVER {w} = 'close', false) "
         f"THEN lead(pos) OVER {w} ELSE last_pos END END AS end",
         f"CASE WHEN kind = 'close' AND coalesce(lag(kind) OVER {w} = 'open', false) THEN lag(_m) OVER {w} ELSE 0 END AS _cm")
@@ -213,7 +220,7 @@ def element_tokens(tokens: DataFrame, cover: Iterable[str] = COVER_KINDS) -> Dat
         cols.append(f"sum({om}) OVER {RUN} - coalesce(sum({cm}) OVER {RUN_BEFORE}, 0) AS in_{k}")
         if k != "hidden":
             cols.append(f"last(CASE WHEN ({om}) = 1 AND NOT _void THEN pos END, true) OVER {RUN} AS {k}_pos")
-    t = t.selectExpr(*base, "end", "(_m & 1) = 1 AS hidden_self", *cols)
+    t = t.selectExpr(*base, "_lvl", "end", "(_m & 1) = 1 AS hidden_self", *cols)
     return t.selectExpr("*", "in_hidden = 0 AS visible")
 
 
@@ -238,6 +245,21 @@ def join_pieces_sql(pieces: str) -> str:
 RANGE_BUCKET = 256
 
 
+def with_extents(et: DataFrame, counters: dict[str, str]) -> DataFrame:
+    """Adds, for every condition of ``counters`` (name -> SQL), the number of tokens
+    up to this one that satisfy it (``<name>_n``), and on open rows that number at the
+    element's end (``<name>_end``). What an element holds of an ordered list is then
+    a slice of it: no range join, however elements nest."""
+    run = [f"sum(CAST(coalesce({cond}, false) AS INT)) OVER {RUN} AS {name}_n" for name, cond in counters.items()]
+    t = et.selectExpr("*", *run)
+    w = "(PARTITION BY page_id, tag, _lvl ORDER BY pos)"
+    values = ", ".join(f"'{n}', {n}_n" for n in counters)
+    t = t.selectExpr("*", f"lead(named_struct('pos', pos, {values})) OVER {w} AS _next",
+                     *(f"max({n}_n) OVER (PARTITION BY page_id) AS _all_{n}" for n in counters))
+    ends = [f"CASE WHEN kind = 'open' THEN CASE WHEN end = pos THEN {n}_n WHEN _next.pos = end THEN _next.{n} ELSE _all_{n} END END AS {n}_end" for n in counters]
+    return t.selectExpr(*[c for c in t.columns if c != "_next" and not c.startswith("_all_")], *ends)
+
+
 def span_join(spans: DataFrame, points: DataFrame, start: str = "start", end: str = "end",
               pos: str = "p_pos", page: str = "page_id", p_page: str = "p_page",
               bucket: int = RANGE_BUCKET) -> DataFrame:

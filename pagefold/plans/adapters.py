@@ -32,6 +32,11 @@ ACTION_NAV = [
 # 2: an empty page instead).
 FRAME_CROSS = '<iframe src="https://frames.example.org/x"></iframe>'
 FRAME_MISSING = '<p>before</p><iframe src="/not-captured"></iframe><p>after</p>'
+# nested_pages: one site; after </article> a page of kind page_id % 6 shows the page
+# so many ids further on: 0 -> 1 -> 3 -> 4 -> 3 (a cycle); kind 2 shows a page that
+# is not there and one elsewhere, kind 5 nothing.
+NESTED_SITE = 'https://site.example.org/p/'
+NESTED_STEP = [1, 2, None, 1, -1, None]
 # table_pages: a table put after </article> by page_id % 3.
 NESTED_TABLES = [
     '<table class="pricing-table"><caption>Outer</caption><tr><td>A<table><caption>Inner</caption><tr><td>B</td></tr></table>C</td><td>D</td></tr></table>',
@@ -73,3 +78,13 @@ def frame_pages_html() -> str:
 
 def table_pages_html() -> str:
     return f"replace({link_pages_html()}, '</article>', concat('</article>', {_case('page_id', NESTED_TABLES, 3)}))"
+
+
+def nested_pages_select(text: str) -> str:
+    """SQL select list of nested_pages (``text``: the engine's string type)."""
+    def frame(step: int) -> str:
+        # relative to the page that holds it, so that a nested one resolves differently against the root
+        return f"concat('<h2>Before</h2><p>above</p><iframe src=\"', '../p/', CAST(page_id + ({step}) AS {text}), '\"></iframe><p>below</p>')"
+    cases = " ".join(f"WHEN {i} THEN {frame(step)}" for i, step in enumerate(NESTED_STEP) if step is not None)
+    return (f"page_id, concat('{NESTED_SITE}', CAST(page_id AS {text})) AS url, replace({table_pages_html()}, '</article>', "
+            f"concat('</article>', CASE page_id % 6 {cases} WHEN 2 THEN '{FRAME_MISSING}{FRAME_CROSS}' ELSE '' END)) AS html")

@@ -197,8 +197,9 @@ def join_pieces(pieces: str) -> str:
     return norm(f"array_to_string(list_transform(list_filter(list_sort({pieces}), lambda z: z.piece != ''), lambda z: z.piece), ' ')")
 
 
-def flow_cte() -> str:
-    """CTEs ``ft`` (flow tokens) and ``ent`` (content entries); needs ``et``."""
+def flow_cte(frames: str | None = None) -> str:
+    """CTEs ``ft`` (flow tokens), ``ent`` (content entries) and ``flow``; needs ``et``.
+    With ``frames`` (the name of the page table) same-origin frames are spliced in."""
     H = qlist(HEADING_TAGS)
     opaque = "(in_heading + in_table + in_iframe)"
     self_opaque = f"(kind = 'open' AND (tag IN ({H}) OR tag IN ('table', 'iframe')))"
@@ -245,9 +246,7 @@ _n0 AS (SELECT page_id, ekind, ekey, first(url) AS url,
 _n1 AS (SELECT page_id, url, ekind, ekey, CASE WHEN ekind = 'paragraph' THEN _ppos ELSE ekey END AS epos, tag, attrs,
           coalesce(_walked = 1, ekind = 'paragraph') AS walked, in_nav, in_footer, table_pos, tr_pos,
           {join_pieces('_pieces')} AS text FROM _n0 WHERE ekind = 'paragraph' OR tag IS NOT NULL),
-ent AS (SELECT *, CAST(sum(CAST({is_head} AS INT)) OVER {w} AS BIGINT) AS section_no,
-          coalesce(last_value(CASE WHEN {is_head} THEN text END IGNORE NULLS) OVER {w}, 'Page') AS section_heading
-        FROM _n1),
+{_spliced(frames, is_head, w)}
 _fl0 AS (SELECT *, ekind = 'paragraph' AND coalesce(lag(ekind) OVER (PARTITION BY page_id ORDER BY epos) = 'paragraph'
           AND lag(text) OVER (PARTITION BY page_id ORDER BY epos) = text, false) AS _dup
         FROM ent WHERE (ekind = 'heading' AND walked AND text != '') OR (ekind = 'paragraph' AND text != '') OR ekind = 'table'),
@@ -258,6 +257,35 @@ flow AS (SELECT * FROM _fl1)
 """
 
 
+def _spliced(pages: str | None, is_head: str, w: str) -> str:
+    """CTE ``ent`` from ``_n1``: with sections, and its instance and source page."""
+    if pages is None:
+        return f"""inst AS (SELECT DISTINCT page_id AS root, url, page_id AS src, []::BIGINT[] AS path FROM _p0),
+ent AS (SELECT *, page_id AS src, '' AS inst, CAST(sum(CAST({is_head} AS INT)) OVER {w} AS BIGINT) AS section_no,
+          coalesce(last_value(CASE WHEN {is_head} THEN text END IGNORE NULLS) OVER {w}, 'Page') AS section_heading
+        FROM _n1),"""
+    origin = "lower(regexp_extract({0}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1))"
+    wi = w.replace("page_id", "page_id, inst")
+    return f"""_i0 AS (SELECT page_id, pos, url, {attr('src')} AS raw_src FROM ft WHERE kind = 'open' AND tag = 'iframe' AND walked),
+_i1 AS ({resolve_stage_sql('SELECT * FROM _i0', 'url', 'raw_src', 'own_src')}),
+_i2 AS (SELECT *, coalesce({origin.format('own_src')} = {origin.format('url')}, false) AS same FROM _i1),
+_fr AS (SELECT _i2.page_id, CAST(pos AS BIGINT) AS pos, raw_src, same, CASE WHEN same THEN p.page_id END AS child FROM _i2
+        LEFT JOIN (SELECT url, min(page_id) AS page_id FROM {pages} GROUP BY url) p ON p.url = _i2.own_src),
+inst AS (SELECT page_id AS root, url, page_id AS src, []::BIGINT[] AS path, [page_id] AS chain, NULL::VARCHAR AS raw_src FROM {pages}
+  UNION ALL SELECT i.root, i.url, f.child, list_append(i.path, f.pos), list_append(i.chain, f.child), f.raw_src
+  FROM inst i JOIN _fr f ON f.page_id = i.src WHERE f.child IS NOT NULL AND NOT list_contains(i.chain, f.child)),
+_lab AS ({resolve_stage_sql("SELECT root, url, src, path, raw_src FROM inst WHERE len(path) > 0", 'url', 'raw_src', 'label')}),
+_s0 AS (SELECT i.root AS page_id, i.url, n.src, n.* EXCLUDE (page_id, url, src, epos), list_append(i.path, CAST(n.epos AS BIGINT)) AS path, array_to_string(i.path, '/') AS inst
+        FROM (SELECT *, page_id AS src FROM _n1) n JOIN inst i ON i.src = n.src
+  UNION ALL BY NAME SELECT root AS page_id, url, src, 'heading' AS ekind, -2 AS ekey, 'h3' AS tag, true AS walked, 0 AS in_nav, 0 AS in_footer,
+        'Frame: ' || coalesce(label, 'same-origin iframe') AS text, path, array_to_string(path, '/') AS inst FROM _lab),
+_s1 AS (SELECT * EXCLUDE (path), row_number() OVER (PARTITION BY page_id ORDER BY path, ekind) AS epos FROM _s0),
+_s2 AS (SELECT *, CASE WHEN {is_head} THEN {{'n': sum(CAST({is_head} AS INT)) OVER {w}, 'h': text}} END AS _hd FROM _s1),
+_s3 AS (SELECT *, last_value(_hd IGNORE NULLS) OVER {wi} AS _sec FROM _s2),
+ent AS (SELECT * EXCLUDE (_hd, _sec), CAST(coalesce(_sec.n, 0) AS BIGINT) AS section_no, coalesce(_sec.h, 'Page') AS section_heading FROM _s3),
+"""
+
+
 def href_sql() -> str:
     r = f"regexp_replace({attr('href')}, '^\\s+|\\s+$', '', 'g')"
     return f"CASE WHEN {r} != '' AND {r} != '#' AND NOT starts_with(lower({r}), 'javascript:') THEN {r} END"
@@ -270,9 +298,9 @@ def link_kind(text: str, abs_url: str, in_footer: str, in_nav: str, same: str) -
             + f" WHEN {in_footer} > 0 THEN 'footer' WHEN {in_nav} > 0 THEN 'nav' WHEN {same} THEN 'unknown' ELSE 'external' END")
 
 
-def link_rows_sql() -> str:
+def link_rows_sql(walked: str = "walked") -> str:
     """SELECT over ``ent`` producing link occurrences (before dedupe/cap)."""
-    src = f"SELECT *, {href_sql()} AS url_raw FROM ent WHERE ekind = 'link' AND walked"
+    src = f"SELECT *, {href_sql()} AS url_raw FROM ent WHERE ekind = 'link' AND {walked}"
     res = resolve_stage_sql(f"SELECT * FROM ({src}) WHERE url_raw IS NOT NULL", "url", "url_raw", "absolute_url")
     full = norm(f"coalesce(nullif(text, ''), nullif({attr('aria-label')}, ''), nullif({attr('title')}, ''), url_raw)")
     s1 = f"SELECT *, {full} AS full_text, {same_site('absolute_url', 'url')} AS same_site FROM ({res}) WHERE absolute_url IS NOT NULL"

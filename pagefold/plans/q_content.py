@@ -150,8 +150,8 @@ def t14(t):
     return C.link_scope_counts(_link_pages(t), listed=200)
 
 
-@register("t16_items", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()},
-_c AS (SELECT page_id AS c_page, pos AS start, "end" FROM ft WHERE kind = 'open' AND walked AND tag NOT IN ('body', 'main', 'table', 'iframe', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND
+#: Cards of every page shown, and the links inside them by element extents (needs ``ft``, ``ent``, ``inst``).
+CARDS_D = f"""_c AS (SELECT page_id AS c_page, pos AS start, "end" FROM ft WHERE kind = 'open' AND walked AND tag NOT IN ('body', 'main', 'table', 'iframe', 'br', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND
        (tag IN ('article', 'li') OR regexp_matches(concat_ws(' ', coalesce({D.attr('id', False)}, ''), coalesce({D.attr('class', False)}, ''),
         coalesce({D.attr('role', False)}, '')), '(?i)card|product|plan|pricing|package|server|tile|box'))),
 _j AS (SELECT * FROM _c JOIN (SELECT page_id, pos, piece, in_heading, heading_pos FROM ft WHERE piece IS NOT NULL) p
@@ -160,24 +160,35 @@ _a AS (SELECT page_id, start, "end", list({{'pos': pos, 'piece': piece}}) AS _al
        FROM _j GROUP BY page_id, start, "end"),
 _h AS (SELECT page_id, start, heading_pos AS hpos, list({{'pos': pos, 'piece': piece}}) AS _h FROM _j WHERE in_heading > 0
        GROUP BY page_id, start, heading_pos),
-_b AS (SELECT _a.page_id, _a.start, _a."end", {D.join_pieces('_all')} AS text,
+_cb AS (SELECT _a.page_id, _a.start, _a."end", {D.join_pieces('_all')} AS text,
        CASE WHEN _h._h IS NOT NULL THEN {D.join_pieces('_h._h')} END AS htext
        FROM _a LEFT JOIN _h ON _a.page_id = _h.page_id AND _a.start = _h.start AND _a.hpos = _h.hpos),
-_o AS (SELECT *, max("end") OVER (PARTITION BY page_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _me
-       FROM _b WHERE length(text) >= 20),
-_t AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE
+_co AS (SELECT *, max("end") OVER (PARTITION BY page_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _me
+       FROM _cb WHERE length(text) >= 20),
+_ct AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE
          (CASE WHEN regexp_extract({D.norm('text')}, '^(.*?[.!?]) ', 1) != '' THEN regexp_extract({D.norm('text')}, '^(.*?[.!?]) ', 1)
-               WHEN {D.norm('text')} != '' THEN {D.norm('text')} ELSE text END) END AS _title0 FROM _o WHERE _me IS NULL OR _me < start),
-_u AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE {D.trunc('_title0', 120)} END AS title FROM _t),
-_d AS (SELECT *, row_number() OVER (PARTITION BY page_id, title, text ORDER BY start) AS _rn FROM _u),
-_n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS item_no FROM _d WHERE _rn = 1)
-SELECT page_id, CAST(item_no AS BIGINT) AS item_no, 'card' AS kind, title, text, CAST(start AS BIGINT) AS start,
-       coalesce((SELECT arg_max(h.text, h.epos) FROM ent h WHERE h.page_id = _n.page_id AND h.ekind = 'heading' AND h.walked
-                 AND h.text != '' AND h.epos < _n.start), 'Page') AS source_section FROM _n""")
+               WHEN {D.norm('text')} != '' THEN {D.norm('text')} ELSE text END) END AS _title0 FROM _co WHERE _me IS NULL OR _me < start),
+_cu AS (SELECT *, CASE WHEN nullif(htext, '') IS NOT NULL THEN htext ELSE {D.trunc('_title0', 120)} END AS title FROM _ct),
+_ci AS (SELECT i.root AS page_id, array_to_string(i.path, '/') AS inst, list_append(i.path, CAST(c.start AS BIGINT)) AS path, c.start, c."end", c.title, c.text
+        FROM _cu c JOIN inst i ON i.src = c.page_id),
+_cd AS (SELECT *, row_number() OVER (PARTITION BY page_id, title, text ORDER BY path) AS _rn FROM _ci),
+_cn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY path) - 1 AS item_no,
+        coalesce((SELECT arg_max(h.text, h.ekey) FROM ent h WHERE h.page_id = _cd.page_id AND h.inst = _cd.inst AND h.ekind = 'heading' AND h.walked
+                  AND h.text != '' AND h.ekey < _cd.start), 'Page') AS source_section FROM _cd WHERE _rn = 1),
+_al AS ({D.link_rows_sql('true')}),
+_cl AS (SELECT n.page_id, n.item_no, n.source_section, l.ekey, l.link_text, l.url_raw, l.absolute_url, l.same_site, l.kind FROM _cn n
+        JOIN _al l ON l.page_id = n.page_id AND l.inst = n.inst AND l.ekey > n.start AND l.ekey <= n."end")"""
+
+
+@register("t16_items", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()}, {CARDS_D},
+_cs AS (SELECT page_id, item_no, string_agg(link_text || ' ' || absolute_url || ' ' || kind || ' ' || same_site, chr(10) ORDER BY ekey) AS links FROM _cl GROUP BY ALL)
+SELECT page_id, CAST(item_no AS BIGINT) AS item_no, 'card' AS kind, title, text, CAST(start AS BIGINT) AS start, source_section, coalesce(links, '') AS links
+FROM _cn LEFT JOIN _cs USING (page_id, item_no)""")
 def t16(t):
-    """Card items (article / li / card-like), outermost accepted only."""
-    return C.items(_table_pages(t)).selectExpr("page_id", "item_no", "kind", "title", "text",
-                                              "CAST(start AS BIGINT) AS start", "source_section")
+    """Card items (article / li / card-like), outermost accepted only, with the links inside."""
+    return C.items(_table_pages(t)).selectExpr(
+        "page_id", "item_no", "kind", "title", "text", "CAST(start AS BIGINT) AS start", "source_section",
+        "array_join(transform(links, _l -> concat_ws(' ', _l.text, _l.absolute_url, _l.kind, CAST(_l.same_site AS STRING))), '\\n') AS links")
 
 
 @register("t17_first_line", f"""
@@ -253,10 +264,10 @@ _cap AS (SELECT b.page_id, b.pos AS table_pos, arg_min(c.text, c.pos) AS caption
 
 
 @register("t19_tables", f"""WITH tp AS (SELECT page_id, url, {table_pages_html()} AS html FROM pages), {D.tokens_cte('tp')}, {D.flow_cte()}, {TABLES_D},
-_hd AS (SELECT page_id, epos, section_heading FROM ent WHERE ekind = 'table')
+_th AS (SELECT page_id, epos, section_heading FROM ent WHERE ekind = 'table')
 SELECT _b.page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, array_to_string(cells, ' | ') AS cells, coalesce(caption, '') AS caption,
        section_heading AS source_section
-FROM _b LEFT JOIN _cap USING (page_id, table_pos) JOIN _hd ON _hd.page_id = _b.page_id AND _hd.epos = table_pos""")
+FROM _b LEFT JOIN _cap USING (page_id, table_pos) JOIN _th ON _th.page_id = _b.page_id AND _th.epos = table_pos""")
 def t19(t):
     """Table rows of table_pages (cells joined by ' | '), nested tables included."""
     return C.table_cells(_table_pages(t)).selectExpr("page_id", "table_no", "row_no", "array_join(cells, ' | ') AS cells",

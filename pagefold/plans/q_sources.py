@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pagefold import dims
 from pagefold.operators import content as C
+from pagefold.operators import documents as DOC
 from pagefold.operators.assemble import assemble_results
 from pagefold.plans import duck as D
 from pagefold.plans.adapters import frame_pages_html, table_pages_html
-from pagefold.plans.q_content import LINK_PAGES_CTE, PAGE_TITLE_D, TABLES_D, _link_pages
+from pagefold.plans.q_content import PAGE_TITLE_D, TABLES_D
 from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 from pagefold.sources import io as S
@@ -62,12 +63,6 @@ def c16(t):
     return assemble_results(v)
 
 
-@register("t20_content_json")
-def t20(t):
-    """Composed content document per page (nested arrays)."""
-    return C.content_json(_link_pages(t))
-
-
 def _md(x: str) -> str:
     return f"replace(replace({x}, '[', '\\['), ']', '\\]')"
 
@@ -95,7 +90,7 @@ SELECT page_id, regexp_replace('# ' || {_md("CASE WHEN title != '' THEN title EL
 FROM _h JOIN _fm USING (page_id) LEFT JOIN _lm USING (page_id)""")
 def t21(t):
     """Markdown rendering of the composed content per page (nested tables, links)."""
-    return C.content_markdown(t("pages").selectExpr("page_id", "url", f"{table_pages_html()} AS html"))
+    return DOC.content_markdown(t("pages").selectExpr("page_id", "url", f"{table_pages_html()} AS html"))
 
 
 def _frame_pages(t):
@@ -122,11 +117,11 @@ _e AS (SELECT page_id, 1 AS o, 0 AS pos, 'content_empty' AS code, 'no visible co
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o, pos) - 1 AS BIGINT) AS warning_no, code, detail FROM _e""")
 def t22(t):
     """Content warnings of frame_pages: empty pages, unavailable and cross-origin frames."""
-    return C.content_warnings(_frame_pages(t))
+    return DOC.content_warnings(_frame_pages(t))
 
 
 @register("t23_inline_frames", f"""WITH {FRAMES_CTE},
-_k AS (SELECT _fr.page_id, _fr.pos, src, f.epos, f.ekind, f.tag, f.text,
+_k AS (SELECT _fr.page_id, _fr.pos, _fr.src, f.epos, f.ekind, f.tag, f.text,
        row_number() OVER (PARTITION BY _fr.page_id, _fr.pos ORDER BY f.epos) AS n
        FROM _fr JOIN flow f ON f.page_id = _fr.child WHERE f.ekind IN ('heading', 'paragraph'))
 SELECT page_id, CAST(pos AS BIGINT) AS iframe_pos, 'Frame: ' || src AS frame_heading, CAST(0 AS BIGINT) AS entry_no, 'heading' AS kind,
@@ -144,5 +139,4 @@ _l AS (SELECT page_id, epos, CASE ekind WHEN 'heading' THEN repeat('#', least(6,
 SELECT page_id, string_agg(line, chr(10) ORDER BY epos) AS flow_md FROM _l WHERE line IS NOT NULL GROUP BY page_id""")
 def t21f(t):
     """Markdown 'Visible Content' block (headings + paragraphs) of every page."""
-    ft = C.flow_tokens(t("pages"))
-    return C.flow_markdown(ft, C.content_entries(t("pages"), ft))
+    return DOC.flow_markdown(t("pages"))

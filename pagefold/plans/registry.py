@@ -34,6 +34,6 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the modules registers their queries.
     from pagefold.plans import (  # noqa: F401
-        q_capture, q_content, q_cookies, q_events, q_forms, q_observation, q_readiness, q_rules, q_sources, q_streaming,
+        q_capture, q_content, q_cookies, q_documents, q_events, q_forms, q_observation, q_readiness, q_rules, q_sources, q_streaming,
     )
     return REGISTRY

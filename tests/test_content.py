@@ -3,6 +3,7 @@
 from conftest import pages_df
 
 from pagefold.operators import content as C
+from pagefold.operators import documents as DOC
 
 BIKES = """<html lang=en><head><title>Rental &amp; repair</title></head><body>
 <header><nav><a href='/bikes'>All bikes</a> <a href="mailto:desk@velo.example">Write us</a></nav></header>
@@ -39,7 +40,7 @@ def test_sections_tables_markdown(spark):
     rows = C.table_cells(p).orderBy("row_no").collect()
     assert rows[0].cells == ["Day", "From"] and rows[0].caption == "Hours"
     assert [r.cells for r in rows[1:]] == [["Mon odd weeks only", "odd weeks", "9"], ["odd weeks"]]
-    md = C.content_markdown(p).collect()[0].markdown
+    md = DOC.content_markdown(p).collect()[0].markdown
     assert md.startswith("# Rental & repair\n\nURL: ") and "\n\n\n" not in md
     assert "## City bikes\n" in md and "#### Three-speed\n" in md and "| Day | From |  |\n| --- | --- | --- |\n" in md
     assert "- [Rent at partner](https://cargo.example.net/rent) — external, source: Three-speed\n" in md
@@ -82,7 +83,7 @@ def test_hidden_and_dedupe(spark):
 
 def test_empty_page_warnings(spark):
     p = pages_df(spark, [(1, "https://a.example.com/", "<body></body>")])
-    codes = [r.code for r in C.content_warnings(p).collect()]
+    codes = [r.code for r in DOC.content_warnings(p).collect()]
     assert codes == ["content_empty"]
 
 
@@ -101,12 +102,12 @@ def test_inline_frames(spark):
     rows = [(r.page_id, r.entry_no, r.kind, r.level, r.text) for r in C.inline_frame_flow(p).orderBy("page_id", "entry_no").collect()]
     assert rows == [(1, 0, "heading", 3, "Frame: http://127.0.0.1:8080/frame-inner.html"), (1, 1, "heading", 2, "Inner"),
                     (1, 2, "paragraph", None, "inside text")]
-    w = [(r.page_id, r.code) for r in C.content_warnings(p).collect()]
+    w = [(r.page_id, r.code) for r in DOC.content_warnings(p).collect()]
     assert w == [(1, "iframe_cross_origin")]
 
 
 def test_content_json_document(spark):
-    doc = C.content_json(pages_df(spark, [(1, URL, BIKES + "<iframe src='//maps.example.net/'></iframe>")])).collect()[0]
+    doc = DOC.content_json(pages_df(spark, [(1, URL, BIKES + "<iframe src='//maps.example.net/'></iframe>")])).collect()[0]
     assert doc.schema_version == 1 and doc.page.title == "Rental & repair"
     assert [(s.heading, s.level) for s in doc.sections] == [("Page", 1), ("City bikes", 1), ("Three-speed", 3), ("Opening hours of the workshop", 2)]
     assert any("now $12.50 per day" in t for s in doc.sections for t in s.text)
@@ -114,3 +115,61 @@ def test_content_json_document(spark):
     assert [(i.title, i.source_section) for i in doc.items][0] == ("Three-speed", "City bikes")
     assert [list(r) for r in doc.tables[0].rows] == [["Day", "From"], ["Mon odd weeks only", "odd weeks", "9"], ["odd weeks"]]
     assert [w.code for w in doc.warnings] == ["iframe_cross_origin"]
+
+
+def test_card_links_in_headings_and_tables_and_not_merged(spark):
+    html = ("<body><h1>Shop</h1><a href='/out'>out</a><article><h3><a href='/h'>Head</a></h3> enough text for a card here "
+            "<a name=x>no target <a href='/in'>inner</a></a><table><tr><td><a href='/t'>Cell</a></td></tr></table>"
+            "<a href='/h'>Head</a><ul><li>nested <a href='/n' hidden>gone</a><a href='/deep'>Deep</a></li></ul></article><a href='/after'>after</a></body>")
+    p = pages_df(spark, [(1, URL, html)])
+    (card,) = C.items(p).collect()
+    assert [(l.text, l.absolute_url.rsplit("/", 1)[1], l.source_section) for l in card.links] == [
+        ("Head", "h", "Shop"), ("inner", "in", "Shop"), ("Cell", "t", "Shop"), ("Head", "h", "Shop"), ("Deep", "deep", "Shop")]
+    (cut,) = C.items(p, C.Limits(item_links=2)).collect()
+    assert [l.text for l in cut.links] == ["Head", "inner"]
+    doc = DOC.content_json(p).collect()[0]
+    assert [l.text for l in doc["items"][0].links] == ["Head", "inner", "Cell", "Head", "Deep"]
+
+
+SITE = "http://site.test/a/"
+
+
+def frame_site(spark):
+    page = lambda name, body: (SITE + name, f"<body>{body}</body>")
+    pages = [page("top", "<h1>Top</h1><p>before</p><iframe src='one'></iframe><p>after</p><a href='x'>own</a>"),
+             page("one", "<p>one text</p><h2>One</h2><iframe src='../a/two'></iframe><article>a card in a frame, long enough <a href='x'>framed</a></article><p>tail</p>"),
+             page("two", "<p>two text</p><table><tr><td>cell</td></tr></table><iframe src='top'></iframe><iframe src='//else.test/z'></iframe>"),
+             page("loop", "<iframe src='loop'></iframe><p>self</p>")]
+    return pages_df(spark, [(i, u, h) for i, (u, h) in enumerate(pages)])
+
+
+def test_frames_in_frames_are_spliced_and_the_section_resumes(spark):
+    p = frame_site(spark)
+    paras = [(r.section_no, r.text) for r in C.paragraphs(p, frames=True).where("page_id = 0").orderBy("para_no").collect()]
+    assert paras == [(1, "before"), (2, "one text"), (4, "two text"), (3, "a card in a frame, long enough framed"), (3, "tail"), (1, "after"), (1, "own")]
+    secs = {r.section_no: (r.heading, r.level) for r in C.sections(p, frames=True).where("page_id = 0").collect()}
+    assert secs == {1: ("Top", 1), 2: (f"Frame: {SITE}one", 3), 3: ("One", 2), 4: (f"Frame: {SITE}two", 3)}
+    doc = {r.page_id: r for r in DOC.content_json(p, frames=True).collect()}[0]
+    assert [(w.code, w.detail.split(": ")[1]) for w in doc.warnings] == [("iframe_unavailable", SITE + "top"), ("iframe_cross_origin", "http://else.test/z")]
+    assert [(l.text, l.source_section) for l in doc.links] == [("framed", "One"), ("own", "Top")]
+    assert [l.text for l in doc["items"][0].links] == ["framed"] and doc.tables[0].source_section == f"Frame: {SITE}two"
+    md = {r.page_id: r.markdown for r in DOC.content_markdown(p, frames=True).collect()}
+    assert f"#### Frame: {SITE}two\n\ntwo text\n\n| cell |\n| --- |\n\na card in a frame" in md[0]
+
+
+def test_a_frame_of_itself_is_not_entered(spark):
+    p = frame_site(spark).where("page_id = 3")
+    assert [r.text for r in C.paragraphs(p, frames=True).collect()] == ["self"]
+    assert [w.code for w in DOC.content_warnings(p, frames=True).collect()] == ["iframe_unavailable"]
+
+
+def test_pages_without_html_have_documents(spark):
+    p = pages_df(spark, [(1, URL, None), (2, URL, ""), (3, URL, "<title>T</title>")])
+    docs = {r.page_id: r for r in DOC.content_json(p).collect()}
+    assert sorted(docs) == [1, 2, 3] and docs[3].page.title == "T"
+    assert all([w.code for w in d.warnings] == ["content_empty"] and not d.sections for d in docs.values())
+
+
+def test_one_exchange_of_the_pages_and_no_checkpoint(spark):
+    plan = DOC.page_parts(pages_df(spark, [(1, URL, BIKES)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(page_id" in plan
