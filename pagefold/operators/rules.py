@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagefold.session import cut_lineage
 from pagefold import dims
 from pagefold.functions.core import let, lit
 from pagefold.functions.text import JS_SPACE
@@ -171,33 +172,46 @@ def review_queue(results: DataFrame, url: str = "request_url", kind: str = "page
         "*", "'human_takeover' AS next_action", "false AS target_content_verified")
 
 
+#: Suffix rules (a name and three flags each) that are broadcast; of more, Spark joins as it likes.
+BROADCAST_RULES = 1 << 17
+
+
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """Public-suffix rules by the labels they name: ``plain`` (``co.uk``),
+    ``wild`` (``*.ck``: one more label belongs to the suffix) and ``exception``
+    (``!www.ck``: this name is no suffix after all), one row for each name."""
+    r = suffixes.selectExpr("lower(trim(suffix)) AS _rule").where("_rule != ''")
+    r = r.selectExpr("regexp_replace(_rule, '^(!|[*][.])', '') AS _name", "_rule")
+    return r.groupBy("_name").agg(F.expr("bool_or(_rule = _name) AS plain"), F.expr("bool_or(startswith(_rule, '*.')) AS wild"),
+                                  F.expr("bool_or(startswith(_rule, '!')) AS exception"))
+
+
 def site_key(urls: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
     """Registrable domain (eTLD+1) of each URL's host by a public-suffix table.
 
-    Work is done once per distinct host: the host's label suffixes are
-    exploded (a host has a handful of labels) and equi-joined to the suffix
-    table; the longest match wins, and with no match the last label is the
-    suffix (the list's default rule). The host -> site table is joined back,
-    broadcast only behind a size check. IPs and suffix-only hosts map to the
-    host; a URL without a host yields NULL with ``invalid_argument``.
+    The rules' precedence is the list's: an exception wins, then the longest
+    matching rule (a wildcard is as long as what it matches), and with no match the
+    last label is the suffix. The host's last 1, 2, ... labels (as many as the longest
+    rule names) are looked up in the same small table, one join each, broadcast up
+    to ``BROADCAST_RULES`` rules; URLs are then neither grouped nor exchanged. IPs and hosts that
+    are a suffix map to the host; a URL without a host yields NULL with
+    ``invalid_argument``.
     """
-    h = urls.selectExpr("*", f"regexp_replace({url_host_sql(url)}, '\\\\.$', '') AS _host")
-    hosts = h.select("_host").where("_host != ''").distinct()
-    ex = hosts.selectExpr("_host", "split(_host, '\\\\.') AS _labels") \
-              .selectExpr("_host", "_labels", "posexplode(_labels) AS (_i, _l)") \
-              .selectExpr("_host", "_labels", "_i", "array_join(slice(_labels, _i + 1, size(_labels)), '.') AS _suffix")
-    sfx = suffixes.selectExpr("lower(suffix) AS _suffix").distinct()
-    best = ex.join(sfx, "_suffix", "left_semi").groupBy("_host").agg(
-        F.expr("max_by(_i, length(_suffix)) AS _best_i"))
+    rules = cut_lineage(suffix_rules(suffixes))
+    about = rules.agg(F.max(F.size(F.split("_name", "\\."))).alias("deepest"), F.count("*").alias("n")).first()
+    deepest, small = about["deepest"] or 0, about["n"] <= BROADCAST_RULES
+    h = urls.selectExpr("*", f"regexp_replace({url_host_sql(url)}, '\\\\.+$', '') AS _host")
+    h = h.selectExpr("*", "split(_host, '\\\\.') AS _labels")
+    for d in range(1, deepest + 1):
+        one = rules.selectExpr(f"_name AS _t{d}", f"struct(plain, wild, exception) AS _r{d}").where(f"size(split(_t{d}, '\\\\.')) = {d}")
+        h = h.selectExpr("*", f"CASE WHEN size(_labels) >= {d} THEN array_join(slice(_labels, -{d}, {d}), '.') END AS _t{d}").join(F.broadcast(one) if small else one, f"_t{d}", "left")
+    exceptions = [f"CASE WHEN _r{d}.exception THEN {d - 1} END" for d in range(deepest, 0, -1)]
+    lengths = [f"CASE WHEN _r{d}.wild AND size(_labels) > {d} THEN {d + 1} WHEN _r{d}.plain THEN {d} END" for d in range(1, deepest + 1)]
+    longest = f"coalesce({', '.join([*exceptions, f'greatest(1, 1, {", ".join(lengths)})' if lengths else '1'])})"
     ip = "(_host RLIKE '^[0-9.]+$' OR startswith(_host, '['))"
-    labels = "split(_host, '\\\\.')"
-    site = hosts.join(best, "_host", "left").selectExpr(
-        "_host",
-        f"CASE WHEN {ip} THEN _host WHEN coalesce(_best_i, size({labels}) - 1) = 0 THEN _host "
-        f"ELSE array_join(slice({labels}, coalesce(_best_i, size({labels}) - 1), size({labels})), '.') END AS site_key")
-    out = h.join(site, "_host", "left")
-    return out.selectExpr(*urls.columns, "site_key",
-                          "CASE WHEN _host = '' THEN 'invalid_argument' END AS site_key_error")
+    site = (f"CASE WHEN _host = '' THEN NULL WHEN {ip} OR size(_labels) <= _n THEN _host ELSE array_join(slice(_labels, -(_n + 1), _n + 1), '.') END AS site_key")
+    return h.selectExpr(*urls.columns, "_host", "_labels", f"{longest} AS _n").selectExpr(
+        *urls.columns, site, "CASE WHEN _host = '' THEN 'invalid_argument' END AS site_key_error")
 
 
 def sensitive_capture_sql(redact: str, capture_ws: str, capture_sse: str) -> str:

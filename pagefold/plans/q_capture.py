@@ -92,15 +92,15 @@ def e14(t):
     return E.ws_frames(S.typed_events(_raw_events(t, _WS_KINDS, _WS_PARAMS)))
 
 
-@register("s5_frames_jsonl", f"SELECT request_id, direction, count(*) AS n, min(seq) AS first_seq FROM ({_WS_D}) w GROUP BY ALL")
+@register("s5_frames_jsonl", f"SELECT session_id, request_id, direction, count(*) AS n, min(seq) AS first_seq FROM ({_WS_D}) w GROUP BY ALL")
 def s5(t):
-    """Frame files, one folder per connection, written and read back."""
+    """Frame files, ordered by connection over a bounded number of files, written and read back."""
     from pagefold.streaming.streams import scratch_path
     frames = E.ws_frames(S.typed_events(_raw_events(t, _WS_KINDS, _WS_PARAMS)))
     path = scratch_path(frames.sparkSession, "frames")
     S.write_frames_jsonl(frames, path)
     back = frames.sparkSession.read.schema(frames.schema).json(path)
-    return back.groupBy("request_id", "direction").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    return back.groupBy("session_id", "request_id", "direction").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
 _SSE_PARAMS = ("concat('{\"requestId\":\"', CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('q', CAST(event_id % 7 AS STRING)) END, '\",\"eventName\":\"message\",\"eventId\":\"', "

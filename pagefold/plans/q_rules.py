@@ -231,17 +231,26 @@ def c14(t):
 SFX_VALUES = ", ".join(f"('{s}')" for s in dims.SAMPLE_PUBLIC_SUFFIXES)
 
 
-@register("c15_site_key", f"""WITH s(suffix) AS (VALUES {SFX_VALUES}),
-h AS (SELECT page_id, url, regexp_replace({D.host('url')}, '\\.$', '') AS host FROM pages),
-l AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM h WHERE host != ''),
-e AS (SELECT host, labels, i - 1 AS i, array_to_string(labels[i:], '.') AS suffix FROM (SELECT host, labels, generate_subscripts(labels, 1) AS i FROM l)),
-b AS (SELECT host, arg_max(i, length(suffix)) AS best_i FROM e SEMI JOIN s USING (suffix) GROUP BY host),
-k AS (SELECT l.host, CASE WHEN regexp_matches(l.host, '^[0-9.]+$') OR starts_with(l.host, '[') THEN l.host
-        WHEN coalesce(best_i, len(labels) - 1) = 0 THEN l.host
-        ELSE array_to_string(labels[coalesce(best_i, len(labels) - 1):], '.') END AS site_key FROM l LEFT JOIN b USING (host))
-SELECT h.page_id, h.url, k.site_key, CASE WHEN h.host = '' THEN 'invalid_argument' END AS site_key_error
-FROM h LEFT JOIN k USING (host)""")
+#: Rules of all three kinds: the sample list, a wildcard, and as exceptions to it the sites of every seventh page below.
+WILD_ZONE = "example.net"
+
+
+@register("c15_site_key", f"""WITH h AS (SELECT page_id, url, regexp_replace({D.host('url')}, '\\.+$', '') AS host FROM pages),
+x AS (SELECT *, string_split(host, '.') AS labels FROM h),
+r AS (SELECT rule, string_split(regexp_replace(rule, '^(!|[*][.])', ''), '.') AS names FROM (
+  SELECT col0 AS rule FROM (VALUES {SFX_VALUES}, ('*.{WILD_ZONE}'), ('!www.{WILD_ZONE}'))
+  UNION SELECT '!' || array_to_string(labels[-3:], '.') FROM x WHERE page_id % 7 = 0 AND ends_with(host, '.{WILD_ZONE}'))),
+m AS (SELECT x.page_id, CASE WHEN starts_with(rule, '!') THEN 1000 + len(names) - 1 WHEN starts_with(rule, '*') THEN len(names) + 1 ELSE len(names) END AS n
+      FROM x JOIN r ON labels[-len(names):] = names AND len(labels) >= len(names) + CASE WHEN starts_with(rule, '*') THEN 1 ELSE 0 END),
+b AS (SELECT page_id, max(n) % 1000 AS n FROM m GROUP BY page_id)
+SELECT x.page_id, url, CASE WHEN host = '' THEN NULL WHEN regexp_matches(host, '^[0-9.]+$') OR starts_with(host, '[') OR len(labels) <= coalesce(n, 1) THEN host
+  ELSE array_to_string(labels[-(coalesce(n, 1) + 1):], '.') END AS site_key, CASE WHEN host = '' THEN 'invalid_argument' END AS site_key_error
+FROM x LEFT JOIN b USING (page_id)""")
 def c15(t):
-    """Registrable domain of every page URL by a public-suffix table."""
+    """Registrable domain of every page URL by public-suffix rules (plain, wildcard, exception)."""
+    from pagefold.functions.url import url_host_sql
     p = t("pages").select("page_id", "url")
-    return R.site_key(p, dims.public_suffixes_df(p.sparkSession))
+    host = p.where("page_id % 7 = 0").selectExpr(f"split({url_host_sql('url')}, '\\\\.') AS l").where(f"endswith(array_join(l, '.'), '.{WILD_ZONE}')")
+    own = host.selectExpr("concat('!', array_join(slice(l, -3, 3), '.')) AS suffix").distinct()
+    fixed = p.sparkSession.sql(f"SELECT * FROM VALUES ('*.{WILD_ZONE}'), ('!www.{WILD_ZONE}') AS s(suffix)")
+    return R.site_key(p, dims.public_suffixes_df(p.sparkSession).unionByName(fixed).unionByName(own))

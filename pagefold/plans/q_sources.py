@@ -40,6 +40,18 @@ def s6(t):
     return S.artifact_manifest(r)
 
 
+@register("s2_capture_dirs", """SELECT 'req-' || CAST(page_id AS VARCHAR) AS request_id, url AS main_url, CAST(length(html) AS BIGINT) AS html_chars, page_id % 3 AS failed_total FROM pages""")
+def s2(t):
+    """Network artifacts of every page written as a folder tree into the shared folder, and read back."""
+    from pagefold.streaming.streams import scratch_path
+    body = "to_json(named_struct('schema_version', 1, 'main_url', url, 'summary', named_struct('html_chars', CAST(length(html) AS BIGINT), 'failed_total', page_id % 3)))"
+    files = t("pages").selectExpr("concat('req-', CAST(page_id AS STRING)) AS request_id", "explode(array('network', 'console')) AS artifact", f"{body} AS content")
+    root = scratch_path(files.sparkSession, "capture-dirs")
+    S.write_capture_dirs(files, root)
+    back = S.read_capture_dirs(files.sparkSession, root, "network", "schema_version int, main_url string, summary struct<html_chars: bigint, failed_total: bigint>")
+    return back.selectExpr("request_id", "main_url", "summary.html_chars AS html_chars", "summary.failed_total AS failed_total")
+
+
 _S4_BODY = """CASE WHEN page_id % 2 = 0 THEN '"body_file":"/out/' || r || '/body.html",' ELSE '' END || '"code":"' || c || '","network_file":"/out/' || r
   || '/network.json","request_id":"' || r || '","request_url":"' || url || '"' || CASE WHEN page_id % 3 = 0 THEN ',"text_file":"/out/' || r || '/text.txt"' ELSE '' END
   || ',"token_secret":"***"'"""

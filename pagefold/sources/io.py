@@ -28,12 +28,13 @@ def read_pages(spark: SparkSession, path: str, columns=("page_id", "url", "html"
     return spark.read.parquet(path).select(*columns)
 
 
-def read_capture_dirs(spark: SparkSession, root: str, artifact: str) -> DataFrame:
+def read_capture_dirs(spark: SparkSession, root: str, artifact: str, schema: str | None = None) -> DataFrame:
     """``<root>/<request_id>/<fixed file name>`` JSON artifacts, one row
-    per acquisition with its ``request_id`` taken from the file path."""
+    per acquisition with its ``request_id`` taken from the file path. Without
+    ``schema`` the files are read once more to infer it."""
     name = dict(dims.ARTIFACTS)[artifact]
-    df = (spark.read.option("multiLine", True).option("recursiveFileLookup", True)
-               .option("pathGlobFilter", name).json(root))
+    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    df = (reader.schema(schema) if schema else reader).json(root)
     return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("request_id"))
 
 
@@ -108,10 +109,40 @@ def write_results_jsonl(df: DataFrame, path: str, code: str = "fetch", redact: b
     envelope_json(df, code, redact).write.mode("overwrite").text(path)
 
 
-def write_frames_jsonl(frames: DataFrame, path: str) -> None:
-    """WebSocket / SSE frames, one JSON-lines folder per connection;
-    connections without frames write nothing."""
-    frames.write.mode("overwrite").partitionBy("request_id").json(path)
+def write_frames_jsonl(frames: DataFrame, path: str, files: int = 64, order: str = "seq") -> None:
+    """WebSocket / SSE frames as JSON lines, ordered by connection
+    (session_id, request_id) and ``order`` over at most ``files`` files; connections
+    without frames write nothing. Files take ranges of that order, so a connection
+    lies in one file or in files that follow each other, and neither many
+    connections nor a hot one make many files or one long task."""
+    keys = ["session_id", "request_id", order]
+    frames.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+
+
+def write_capture_dirs(artifacts: DataFrame, root: str) -> None:
+    """S2's layout: every row (request_id, artifact, content) of ``artifacts``
+    becomes the file ``<root>/<request_id>/<the artifact's file name>``. Tasks write
+    beside the final name and rename, so a task that is run again leaves the
+    same files."""
+    names = dict(dims.ARTIFACTS)
+
+    def write(batches):
+        import uuid
+
+        from pyarrow import fs
+        files, base = fs.FileSystem.from_uri(root.rstrip("/") if "://" in root else root.removeprefix("file:").rstrip("/"))
+        for batch in batches:
+            for request_id, artifact, content in zip(*(c.to_pylist() for c in batch.columns)):
+                folder = f"{base}/{request_id}"
+                files.create_dir(folder)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as out:
+                    out.write(content.encode())
+                files.move(draft, f"{folder}/{names[artifact]}")
+            yield batch.slice(0, 0)
+
+    (artifacts.where("request_id IS NOT NULL AND content IS NOT NULL").select("request_id", "artifact", "content")
+     .mapInArrow(write, "request_id string, artifact string, content string").write.format("noop").mode("overwrite").save())
 
 
 def artifact_manifest(results: DataFrame, want: list[str] | None = None) -> DataFrame:

@@ -51,20 +51,26 @@ def test_error_dimension(spark):
     assert d.count() == 34 and d.where("retryable").count() == 7
 
 
-def test_site_key(spark):
-    urls = ["https://www.court.gov.cn/foo", "https://accounts.google.com/foo", "https://foo.github.io/x",
-            "https://WWW.Example.COM./foo", "http://localhost:8080/foo", "http://127.0.0.1:8080/foo",
-            "file:///tmp/page.html", "https://tenant.vercel.app/x"]
-    df = spark.createDataFrame([(u,) for u in urls], "url string")
-    got = {r.url: (r.site_key, r.site_key_error) for r in R.site_key(df, dims.public_suffixes_df(spark)).collect()}
-    assert got["https://www.court.gov.cn/foo"][0] == "court.gov.cn"
-    assert got["https://accounts.google.com/foo"][0] == "google.com"
-    assert got["https://foo.github.io/x"][0] == "foo.github.io"
-    assert got["https://WWW.Example.COM./foo"][0] == "example.com"
-    assert got["http://localhost:8080/foo"][0] == "localhost"
-    assert got["http://127.0.0.1:8080/foo"][0] == "127.0.0.1"
-    assert got["file:///tmp/page.html"] == (None, "invalid_argument")
-    assert got["https://tenant.vercel.app/x"][0] == "tenant.vercel.app"
+def test_site_key_rules_of_all_kinds(spark):
+    rules = spark.createDataFrame([(x,) for x in ["org", "coop", "museum.coop", "*.isle", "!town.isle", "*.deep.coop", "!a.b.deep.coop", "b.deep.coop", "Shop.ORG "]], "suffix string")
+    want = {
+        "https://mail.velo.org/x": "velo.org", "https://VELO.Org.": "velo.org", "https://org/": "org",
+        "https://a.b.museum.coop": "b.museum.coop", "https://museum.coop/": "museum.coop", "https://old.museum.example": "museum.example",
+        "https://x.harbour.isle": "x.harbour.isle", "https://y.x.harbour.isle:8443/": "x.harbour.isle", "https://harbour.isle": "harbour.isle", "https://isle": "isle",
+        "https://town.isle": "town.isle", "https://www.town.isle": "town.isle",              # the exception is a site itself
+        "https://z.q.deep.coop": "z.q.deep.coop", "https://y.z.q.deep.coop": "z.q.deep.coop", "https://x.a.b.deep.coop": "a.b.deep.coop",
+        "https://c.b.deep.coop": "c.b.deep.coop", "https://my.shop.org": "my.shop.org", "http://10.0.0.7:8080/a": "10.0.0.7", "http://[::1]/": "[::1]",
+        "mailto:someone": None, "nothing": None}
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    got = {r.url: (r.site_key, r.site_key_error) for r in R.site_key(df, rules).collect()}
+    assert got == {u: (k, None if k else "invalid_argument") for u, k in want.items()}
+
+
+def test_site_key_neither_groups_nor_exchanges_the_urls(spark):
+    df = spark.createDataFrame([("https://a.b.org",)], "url string")
+    plan = R.site_key(df, spark.createDataFrame([("org",), ("b.org",)], "suffix string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    assert R.site_key(df, spark.createDataFrame([], "suffix string")).first().site_key == "b.org"
 
 
 def test_stale_navigation_and_misc(spark):

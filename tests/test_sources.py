@@ -52,7 +52,30 @@ def test_frames_writer_and_sse(spark, tmp_path):
     assert msgs.count() == 2
     out = str(tmp_path / "frames")
     S.write_frames_jsonl(msgs, out)
-    assert sorted(d for d in os.listdir(out) if d.startswith("request_id=")) == ["request_id=c1"]
+    assert [r.data for r in spark.read.schema(msgs.schema).json(out).orderBy("seq").collect()] == ["1", "2"]
+
+
+def test_connections_of_two_sessions_stay_apart_in_bounded_files(spark, tmp_path):
+    frames = spark.range(100_000).selectExpr("concat('s', id % 2) AS session_id", "concat('c', id DIV 2) AS request_id", "id AS seq", "'sent' AS direction")
+    hot = spark.range(20_000).selectExpr("'s0' AS session_id", "'hot' AS request_id", "id AS seq", "'sent' AS direction")
+    out = tmp_path / "many"
+    S.write_frames_jsonl(frames.unionByName(hot), str(out), files=8)
+    files = sorted(out.glob("*.json"))
+    assert 1 < len(files) <= 8 and sum(1 for _ in out.iterdir() if _.is_dir()) == 0
+    rows = [json.loads(x) for f in files for x in f.read_text().splitlines()]
+    keys = [(r["session_id"], r["request_id"], r["seq"]) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 120_000 and len({k[:2] for k in keys}) == 100_001
+    assert max(sum(1 for _ in f.open()) for f in files) < 40_000
+
+
+def test_capture_dirs_written_and_read(spark, tmp_path):
+    rows = [(f"r{i}", a, json.dumps({"n": i, "a": a})) for i in range(20) for a in ("network", "console")] + [(None, "network", "{}"), ("r0", "network", None)]
+    df = spark.createDataFrame(rows, "request_id string, artifact string, content string")
+    for _ in range(2):                                         # a task that is run again
+        S.write_capture_dirs(df, str(tmp_path))
+    assert sorted(os.listdir(tmp_path / "r3")) == ["console.json", "network.json"]
+    got = S.read_capture_dirs(spark, str(tmp_path), "console", "n int, a string").collect()
+    assert sorted((r.request_id, r.n, r.a) for r in got) == sorted((f"r{i}", i, "console") for i in range(20))
 
 
 def test_validate_and_secure(spark):
