@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEPT_BYTES = 48 << 20      # piece and id bytes kept in a Python worker
+KEPT_BYTES = 192 << 20     # pieces and their ids kept in a Python worker, as Python objects
+DECODE_IDS = 1 << 20       # ids that are decoded together
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -40,6 +40,10 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {r: t for t, r in self.ranks.items()}
+        top = max(self.tokens) + 1
+        self.blob = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)     # all tokens' bytes
+        self.sizes = np.array([len(self.tokens.get(i, b"")) for i in range(top)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.split = regex.compile(pattern).findall
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         two = np.full(65536, -1, np.int64)
@@ -47,14 +51,13 @@ class Codec:
             if len(t) == 2:
                 two[t[0] * 256 + t[1]] = r
         self.two = two
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}           # left << 20 | right -> rank
         self.kept: dict[str, bytes] = {}
         self.kept_bytes = 0
 
-    def _rank(self, a: int, b: int) -> int:
-        r = self.pairs.get((a, b))
-        if r is None:
-            r = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+    def _rank(self, pair: int) -> int:
+        """The rank of a pair of tokens (left << 20 | right), -1 if they do not join."""
+        r = self.pairs[pair] = self.ranks.get(self.tokens[pair >> 20] + self.tokens[pair & 0xFFFFF], -1)
         return r
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
@@ -64,60 +67,77 @@ class Codec:
         size = np.array([len(p) for p in pieces], np.int64)
         ends = np.cumsum(size)
         raw = np.frombuffer(flat, np.uint8).astype(np.int64)
-        single = np.array(self.single)
-        tok = single[raw].tolist()
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        for e, s in zip(ends.tolist(), size.tolist()):
-            if s:
-                nxt[e - 1] = -1
-                prv[e - s] = -1
+        tok = np.array(self.single)[raw].tolist()
+        # neighbours; a piece's ends have none (-1, which reads the spare last entry)
+        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        some = size > 0
+        nxt[ends[some] - 1] = -1
+        prv[(ends - size)[some]] = -1
+        nxt, prv = nxt.tolist(), prv.tolist()
         # the inverted index: rank -> positions of the left token
-        index: dict[int, list[int]] = defaultdict(list)
+        index: dict[int, list[int]] = {}
         if n > 1:
             rank = self.two[raw[:-1] * 256 + raw[1:]]
-            rank[ends[(ends < n) & (size > 0)] - 1] = -1
+            rank[ends[(ends < n) & some] - 1] = -1
             at = np.flatnonzero(rank >= 0)
             order = np.argsort(rank[at], kind="stable")
             at, by = at[order], rank[at][order]
-            cut = np.flatnonzero(np.diff(by)) + 1
-            for group, r in zip(np.split(at, cut), by[np.concatenate([[0], cut])].tolist() if len(by) else []):
-                index[r] = group.tolist()
+            cut = np.flatnonzero(np.diff(by, prepend=-1))
+            bounds = [*cut[1:].tolist(), len(by)]
+            at = at.tolist()
+            index = {r: at[x:y] for r, x, y in zip(by[cut].tolist(), cut.tolist(), bounds)}
         heap = list(index)
         heapq.heapify(heap)
-        pair_rank = self._rank
+        known, unknown, push = self.pairs.get, self._rank, heapq.heappush
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
             places.sort()
-            for p in places:
+            for done, p in enumerate(places):
                 q = nxt[p]
-                if q < 0 or tok[p] < 0 or pair_rank(tok[p], tok[q]) != r:
+                left = tok[p]
+                if q < 0 or left < 0:
+                    continue
+                pair = left << 20 | tok[q]
+                have = known(pair)
+                if (unknown(pair) if have is None else have) != r:
                     continue
                 tok[p] = r
                 tok[q] = -1
-                after = nxt[q]
-                nxt[p] = after
+                after = nxt[p] = nxt[q]
+                lower = False
                 if after >= 0:
                     prv[after] = p
-                    new = pair_rank(r, tok[after])
+                    pair = r << 20 | tok[after]
+                    new = known(pair)
+                    if new is None:
+                        new = unknown(pair)
                     if new >= 0:
-                        if new not in index:
-                            heapq.heappush(heap, new)
-                        index[new].append(p)
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            push(heap, new)
+                            lower = new <= r
                 before = prv[p]
                 if before >= 0:
-                    new = pair_rank(tok[before], r)
+                    pair = tok[before] << 20 | r
+                    new = known(pair)
+                    if new is None:
+                        new = unknown(pair)
                     if new >= 0:
-                        if new not in index:
-                            heapq.heappush(heap, new)
-                        index[new].append(before)
-                if heap and heap[0] <= r:
+                        if new in index:
+                            index[new].append(before)
+                        else:
+                            index[new] = [before]
+                            push(heap, new)
+                            lower = lower or new <= r
+                if lower:
                     # a rank that must come before this one's other places
-                    index[r] = [x for x in places if x > p] + index.pop(r, [])
-                    heapq.heappush(heap, r)
+                    index[r] = places[done + 1:] + index.get(r, [])
+                    push(heap, r)
                     break
         out, lo = [], 0
         for e in ends.tolist():
@@ -132,7 +152,7 @@ class Codec:
         for p, ids in zip(new, self.replay([p.encode() for p in new])):
             ids = np.array(ids, "<u4").tobytes()
             self.kept[p] = ids
-            self.kept_bytes += len(p) + len(ids) + 150
+            self.kept_bytes += len(p) + len(ids) + 230
 
     def encode_bytes(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -152,7 +172,14 @@ class Codec:
             lo = hi
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.decode_all(ids)[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids in order, the byte offset of each id and of the end)."""
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)
+        return self.blob[at], ends
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -201,13 +228,28 @@ def encoding_digests(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids, ids_sha, text_sha, n = [], [], [], []
+            ids, ids_sha, text_sha, n, held = [], [], [], [], 0
+
+            def decode() -> None:
+                """Digests of the decoded texts of ``ids`` not decoded yet, in one go."""
+                new = ids[len(text_sha):]
+                data, at = c.decode_all(np.concatenate(new)) if new else (None, None)
+                first = 0
+                for one in new:
+                    text_sha.append(hashlib.sha256(data[at[first]:at[first + len(one)]]).hexdigest())
+                    first += len(one)
+
             for b in c.encode_bytes([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(b) // 4)
                 ids_sha.append(hashlib.sha256(b).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode_bytes(np.frombuffer(b, "<u4"))).hexdigest())
-                if tokens:
-                    ids.append(np.frombuffer(b, "<i4"))
+                ids.append(np.frombuffer(b, "<i4"))
+                held += n[-1]
+                if held >= DECODE_IDS:
+                    decode()
+                    held = 0
+                    if not tokens:
+                        ids = [None] * len(ids)          # digested
+            decode()
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             if tokens:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
