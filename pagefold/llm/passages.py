@@ -1,17 +1,23 @@
 """Substring dedup: passages repeated across documents, by collinear chaining.
 
-Seeds are all 5-word k-mers of every document, so a passage with an edit every
-six words still has a seed between any two edits.  They are dealt by hash into
+Seeds are 5-word k-mers: of every ``WINDOW`` that follow each other the one of the
+smallest hash, so that equal stretches of text have equal seeds and a passage with
+an edit every eight words has one between any two edits.  They are dealt by hash into
 buckets of packed arrays; in its bucket each seed's occurrences are matched with
 those in the smallest doc_id (a star: linear in the occurrences): with the first
 one there, and the n-th of a document with the n-th.  As the seeds of one passage can
 have their smallest doc_id in different documents that hold parts of it, every
-run of ``RUNS`` words whose seeds all recur is matched in the same way: a run of
-50 words has its whole in the document it is matched with.  For two documents the
-matches are chained in order, with a cost per skipped word, by a Fenwick tree of
-prefix maxima; chains are cut out best first.  A chain is extended at both ends as long as words agree,
-over small edits, and aligned by a bit-parallel edit distance over words; passages of at least
-``MIN_WORDS`` words that agree in ``IDENTITY`` of them are returned.
+run of ``RUNS`` words whose seeds all recur is matched in the same way (of the shorter
+runs those that begin with a seed): a run of 50 words has its whole in the document
+it is matched with.  For two documents the matches are chained in order, with a cost
+per skipped word, by a Fenwick tree of prefix maxima; chains are cut out best first.
+
+Only chains that can be a passage meet the texts: a passage of ``MIN_WORDS`` words
+has ``MIN_SEEDS`` seeds or more over ``MIN_SPAN`` words, unless its edits leave no
+seed in both ``(MIN_WORDS - MIN_SPAN) / 2`` words at its ends; document pairs without
+that many are dropped before they are chained.  A chain is extended at both ends as long as
+words agree, over small edits, and aligned by a bit-parallel edit distance over words;
+passages of at least ``MIN_WORDS`` words that agree in ``IDENTITY`` of them are returned.
 
 Rows without doc_id are left out; null and short texts have no passages; of rows
 that share a doc_id each text is read, and none is compared with another.
@@ -31,6 +37,7 @@ from pagefold.llm.graph import staged
 from pagefold.llm.textvec import row_words, shingle_positions
 
 K = 5                      # words of a seed
+WINDOW = 3                 # k-mers of which one is a seed
 RUNS = (24, 50)            # words of longer runs that are matched as a whole
 BUCKETS, BUCKET_WORDS = 1024, 1 << 21   # buckets of seeds, more of them for more words than this in each
 CHUNK_WORDS = 1 << 21      # words whose seeds a task packs together
@@ -39,6 +46,8 @@ MIN_CHAIN = 1.5            # worth of a chain that is aligned
 MARGIN = 48                # words beyond a chain that are read to extend it
 HOP, AGREE = 4, 4          # words that an extension may skip, and that must agree beyond
 MIN_WORDS, IDENTITY = 50, 0.75
+MIN_CHAIN_MATCHES = 2      # matches of a chain, thinned (see `thinned`)
+MIN_SEEDS, MIN_SPAN = 3, 24             # what a document pair, and a chain, must share to be aligned
 _U = np.uint64
 
 
@@ -69,19 +78,34 @@ def _packed(parts: list[tuple], size: int, buckets: int) -> pa.RecordBatch:
         names=["bucket", "size", "keys", "docs", "at"])
 
 
+def _seed_places(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, position) of the seeds of a slice of rows of ``MIN_WORDS`` words or
+    more; ``first`` is each row's first word in ``h``."""
+    counts = np.diff(first)
+    kmers = shingle_positions(h, K)
+    row = np.repeat(np.arange(len(counts)), counts)[:len(kmers)]
+    at = np.arange(len(kmers)) - first[row]
+    inside = (at + K <= counts[row]) & (counts[row] >= MIN_WORDS)
+    kmers, row, at = kmers[inside], row[inside], at[inside]
+    chosen = np.zeros(len(kmers), bool)
+    if len(kmers) >= WINDOW:
+        n = len(kmers) - WINDOW + 1
+        least = np.argmin(np.stack([kmers[i:i + n] for i in range(WINDOW)]), axis=0) + np.arange(n)
+        chosen[least[row[:n] == row[WINDOW - 1:]]] = True
+    return kmers[chosen], row[chosen], at[chosen].astype(np.int32)
+
+
 def _seeds(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, w, h in row_words(batch.column(1)):
-                kmers = shingle_positions(h, K)
-                row = np.repeat(np.arange(hi - lo), w.counts)[:len(kmers)]
-                at = np.arange(len(kmers)) - w.first[row]
-                inside = at + K <= w.counts[row]
-                held.append((kmers[inside], ids[lo:hi][row[inside]], at[inside].astype(np.int32)))
+                key, row, at = _seed_places(w.first, h)
+                if len(key):
+                    held.append((key, ids[lo:hi][row], at))
                 words += len(h)
-                if words >= CHUNK_WORDS:
+                if words >= CHUNK_WORDS and held:
                     yield _packed(held, K, buckets)
                     held, words = [], 0
         if held:
@@ -90,23 +114,29 @@ def _seeds(buckets: int):
 
 
 def _runs(buckets: int):
-    """Keys of the runs of words in which every seed recurs (column ``seeds``: their positions)."""
+    """Keys of the runs of words in which every seed recurs (column ``seeds``: the positions of those that do)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = {n: [] for n in RUNS}, 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, w, h in row_words(batch.column(1)):
-                seeds = batch.column(2).slice(lo, hi - lo)
-                row = np.repeat(np.arange(hi - lo), seeds.value_lengths().to_numpy())
-                recurs = np.zeros(len(h) + 1, np.int64)
-                at = seeds.flatten().to_numpy()
+                _, seed_row, seed_at = _seed_places(w.first, h)
+                seed = w.first[seed_row] + seed_at
+                again = batch.column(2).slice(lo, hi - lo)
+                row = np.repeat(np.arange(hi - lo), again.value_lengths().to_numpy())
+                at = again.flatten().to_numpy()
                 fits = at + K <= w.counts[row]              # rows that share a doc_id have each other's positions
-                recurs[1 + w.first[row[fits]] + at[fits]] = 1
-                recurs = np.cumsum(recurs)
+                alone = np.zeros(len(h) + 1, np.int64)
+                alone[1 + seed] = 1
+                begins = alone[1:] == 1
+                alone[1 + w.first[row[fits]] + at[fits]] = 0
+                alone = np.cumsum(alone)                        # seeds that do not recur, up to each word
                 for n in RUNS:
-                    start = np.flatnonzero(recurs[n - K + 1:] - recurs[:len(recurs) - (n - K + 1)] == n - K + 1)
+                    seeds = n - K + 1
+                    clean = alone[seeds:] == alone[:len(alone) - seeds]
+                    start = np.flatnonzero(clean & begins[:len(clean)] if n < MIN_WORDS else clean)
                     of = np.searchsorted(w.first, start, "right") - 1
-                    inside = start + n <= w.first[of + 1]
+                    inside = (start + n <= w.first[of + 1]) & (w.counts[of] >= MIN_WORDS)
                     start, of = start[inside], of[inside]
                     if len(start):
                         held[n].append((shingle_positions(h, n)[start], ids[lo:hi][of], (start - w.first[of]).astype(np.int32)))
@@ -233,6 +263,8 @@ def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at_b, at_a = thinned(*spelled(pb[x:y], pa_[x:y], size[x:y]))
             for _, path in chains(at_b, at_a):
                 m, n = at_b[path], at_a[path]
+                if len(path) < MIN_CHAIN_MATCHES or min(m[-1] - m[0], n[-1] - n[0]) + K < MIN_SPAN:
+                    continue
                 out.append((a, b, int(m[0]), int(m[-1]) + K, int(n[0]), int(n[-1]) + K))
         cols = list(zip(*out)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.int32()) for c in cols[2:]],
@@ -333,14 +365,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             .filter("doc_id IS NOT NULL"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, size // (6 * BUCKET_WORDS))
-    met = "a long, b long, pos int, at int, size int"
-    matches = staged(base.mapInArrow(_seeds(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, met), "matches")
+    columns = "a long, b long, pos int, at int, size int"
+    matches = staged(base.mapInArrow(_seeds(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, columns), "matches")
     recurring = (matches.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("pos").alias("seeds"))
-                 .filter(f"size(seeds) > {min(RUNS) - K}"))
+                 .filter(f"size(seeds) >= {MIN_SEEDS}"))
     runs = (base.join(recurring, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_runs(buckets), _PACKED)
-            .groupBy("bucket", "size").applyInArrow(_meet, met))
-    pairs = (matches.filter("a <> b").unionByName(runs).groupBy("a", "b").agg(F.collect_set(F.struct("pos", "at", "size")).alias("m"))
-             .filter(f"size(m) > 1 OR m[0].size > {K}"))
+            .groupBy("bucket", "size").applyInArrow(_meet, columns))
+    met = matches.filter("a <> b").unionByName(runs)
+    span = lambda c: F.max(F.col(c) + F.col("size")) - F.min(c)
+    pairs = (met.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "at", "size")).alias("m"), F.least(span("pos"), span("at")).alias("span"),
+                                       F.max("size").alias("longest"))
+             .filter(f"span >= {MIN_SPAN} AND (size(m) >= {MIN_SEEDS} OR longest > {K})").select("a", "b", "m"))
     found = staged(pairs.mapInArrow(_chain_rows, "a long, b long, from_b int, to_b int, from_a int, to_a int"), "chains")
     cols = ["a", "b", "from_b", "to_b", "from_a", "to_a"]
     left = (found.join(base.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select(*cols, "text_b")
