@@ -7,9 +7,9 @@ buckets of packed arrays; in its bucket each seed's occurrences are matched with
 those in the smallest doc_id (a star: linear in the occurrences): with the first
 one there, and the n-th of a document with the n-th.  As the seeds of one passage can
 have their smallest doc_id in different documents that hold parts of it, every
-run of ``RUNS`` words whose seeds all recur is matched in the same way (of the shorter
-runs those that begin with a seed): a run of 50 words has its whole in the document
-it is matched with.  For two documents the matches are chained in order, with a cost
+run of ``RUNS`` words whose seeds all recur is matched in the same way, if it begins
+with the smallest of ``RUN_WINDOW`` k-mers or lies at an end of a stretch of words that
+recur: a run of 50 words has its whole in the document it is matched with.  For two documents the matches are chained in order, with a cost
 per skipped word, by a Fenwick tree of prefix maxima; chains are cut out best first.
 
 Only chains that can be a passage meet the texts: a passage of ``MIN_WORDS`` words
@@ -39,6 +39,7 @@ from pagefold.llm.textvec import row_words, shingle_positions
 K = 5                      # words of a seed
 WINDOW = 3                 # k-mers of which one is a seed
 RUNS = (24, 50)            # words of longer runs that are matched as a whole
+RUN_WINDOW = 8             # k-mers of which one begins runs
 BUCKETS, BUCKET_WORDS = 1024, 1 << 21   # buckets of seeds, more of them for more words than this in each
 CHUNK_WORDS = 1 << 21      # words whose seeds a task packs together
 GAP = 0.02                 # cost of a skipped word on either side; a seed is worth 1
@@ -46,8 +47,10 @@ MIN_CHAIN = 1.5            # worth of a chain that is aligned
 MARGIN = 48                # words beyond a chain that are read to extend it
 HOP, AGREE = 4, 4          # words that an extension may skip, and that must agree beyond
 MIN_WORDS, IDENTITY = 50, 0.75
+THIN = 10                  # words between the matches on one diagonal that are chained
 MIN_CHAIN_MATCHES = 2      # matches of a chain, thinned (see `thinned`)
-MIN_SEEDS, MIN_SPAN = 3, 24             # what a document pair, and a chain, must share to be aligned
+MIN_SEEDS, MIN_SPAN = 3, 30             # what a document pair, and a chain, must share to be aligned
+SIZES = (K, *RUNS)
 _U = np.uint64
 
 
@@ -78,21 +81,31 @@ def _packed(parts: list[tuple], size: int, buckets: int) -> pa.RecordBatch:
         names=["bucket", "size", "keys", "docs", "at"])
 
 
-def _seed_places(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, position) of the seeds of a slice of rows of ``MIN_WORDS`` words or
-    more; ``first`` is each row's first word in ``h``."""
+def _least(key: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
+    """Which keys are the smallest of some ``window`` keys that follow each other in a row."""
+    chosen = np.zeros(len(key), bool)
+    n = len(key) - window + 1
+    if n > 0:
+        at, least = np.arange(n), key[:n].copy()
+        for i in range(1, window):
+            lower = key[i:i + n] < least
+            at[lower] = np.flatnonzero(lower) + i
+            least[lower] = key[i:i + n][lower]
+        chosen[at[row[:n] == row[window - 1:]]] = True
+    return chosen
+
+
+def _seed_places(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, position, whether runs begin there too) of the seeds of a slice of
+    rows of ``MIN_WORDS`` words or more; ``first`` is each row's first word in ``h``."""
     counts = np.diff(first)
     kmers = shingle_positions(h, K)
     row = np.repeat(np.arange(len(counts)), counts)[:len(kmers)]
     at = np.arange(len(kmers)) - first[row]
     inside = (at + K <= counts[row]) & (counts[row] >= MIN_WORDS)
     kmers, row, at = kmers[inside], row[inside], at[inside]
-    chosen = np.zeros(len(kmers), bool)
-    if len(kmers) >= WINDOW:
-        n = len(kmers) - WINDOW + 1
-        least = np.argmin(np.stack([kmers[i:i + n] for i in range(WINDOW)]), axis=0) + np.arange(n)
-        chosen[least[row[:n] == row[WINDOW - 1:]]] = True
-    return kmers[chosen], row[chosen], at[chosen].astype(np.int32)
+    chosen = _least(kmers, row, WINDOW)
+    return kmers[chosen], row[chosen], at[chosen].astype(np.int32), _least(kmers, row, RUN_WINDOW)[chosen]
 
 
 def _seeds(buckets: int):
@@ -101,7 +114,7 @@ def _seeds(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, w, h in row_words(batch.column(1)):
-                key, row, at = _seed_places(w.first, h)
+                key, row, at, _ = _seed_places(w.first, h)
                 if len(key):
                     held.append((key, ids[lo:hi][row], at))
                 words += len(h)
@@ -120,7 +133,7 @@ def _runs(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, hi, w, h in row_words(batch.column(1)):
-                _, seed_row, seed_at = _seed_places(w.first, h)
+                _, seed_row, seed_at, begins = _seed_places(w.first, h)
                 seed = w.first[seed_row] + seed_at
                 again = batch.column(2).slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), again.value_lengths().to_numpy())
@@ -128,16 +141,23 @@ def _runs(buckets: int):
                 fits = at + K <= w.counts[row]              # rows that share a doc_id have each other's positions
                 alone = np.zeros(len(h) + 1, np.int64)
                 alone[1 + seed] = 1
-                begins = alone[1:] == 1
                 alone[1 + w.first[row[fits]] + at[fits]] = 0
                 alone = np.cumsum(alone)                        # seeds that do not recur, up to each word
+                sampled = np.zeros(len(h) + 1, bool)
+                sampled[seed[begins]] = True
                 for n in RUNS:
                     seeds = n - K + 1
-                    clean = alone[seeds:] == alone[:len(alone) - seeds]
-                    start = np.flatnonzero(clean & begins[:len(clean)] if n < MIN_WORDS else clean)
+                    start = np.flatnonzero(alone[seeds:] == alone[:max(0, len(alone) - seeds)])
                     of = np.searchsorted(w.first, start, "right") - 1
                     inside = (start + n <= w.first[of + 1]) & (w.counts[of] >= MIN_WORDS)
                     start, of = start[inside], of[inside]
+                    # starts near a stretch's ends, which words beside it may hide by up to WINDOW, and sampled ones between
+                    jump = np.flatnonzero(np.diff(start, prepend=-2, append=-2) != 1)
+                    number = np.arange(len(start))
+                    place = np.searchsorted(jump, number, "right")
+                    near = (number - jump[place - 1] < WINDOW) | (jump[place] - number <= WINDOW) if len(start) else number > 0
+                    take = sampled[start] | near
+                    start, of = start[take], of[take]
                     if len(start):
                         held[n].append((shingle_positions(h, n)[start], ids[lo:hi][of], (start - w.first[of]).astype(np.int32)))
                 words += len(h)
@@ -149,7 +169,8 @@ def _runs(buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Matches of one bucket: every occurrence with the first in the smallest doc_id, and the n-th of a document with the n-th there.
+    """Matches (a, b, place) of one bucket; a place is the positions in b and a (up to 2**29 and 2**32
+    words) and the number of the matched size: every occurrence with the first in the smallest doc_id, and the n-th of a document with the n-th there.
     Of seeds, the occurrences in the smallest doc_id come too, matched with themselves."""
     key, doc, at = _unplanes(table["keys"], np.uint32), _unplanes(table["docs"], np.int64), _unplanes(table["at"], np.int32)
     ordered = np.sort(key)
@@ -180,8 +201,9 @@ def _meet(table: pa.Table) -> pa.Table:
         shared = hub & (np.bincount(group[~hub], minlength=group[-1] + 1) > 0)[group]
     s = np.flatnonzero(shared)
     left, right = np.concatenate([b, c, s]), np.concatenate([first[b], other[c], s])
-    return pa.table({"a": pa.array(doc[right]), "b": pa.array(doc[left]), "pos": pa.array(at[left]), "at": pa.array(at[right]),
-                     "size": pa.array(np.full(len(left), size, np.int32))})
+    place = at[left].astype(np.int64) << 34 | at[right].astype(np.int64) << 2 | SIZES.index(size)
+    order = np.lexsort((place, doc[right], doc[left]))              # neighbours compress
+    return pa.table({"a": pa.array(doc[right][order]), "b": pa.array(doc[left][order]), "place": pa.array(place[order])})
 
 
 def chains(at_b: np.ndarray, at_a: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
@@ -233,30 +255,34 @@ def chains(at_b: np.ndarray, at_a: np.ndarray) -> Iterator[tuple[float, np.ndarr
 
 
 def spelled(at_b: np.ndarray, at_a: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The matches of seeds, those that longer runs are made of too."""
-    seeds = size - K + 1
-    step = np.arange(seeds.sum()) - np.repeat(np.cumsum(seeds) - seeds, seeds)
-    both = np.unique(np.stack([np.repeat(at_b, seeds) + step, np.repeat(at_a, seeds) + step]), axis=1)
+    """The matches of seeds: of longer runs one in ``THIN`` words of theirs, and the last."""
+    parts = [(at_b, at_a)]
+    for n in np.unique(size[size > K]):
+        of = size == n
+        for step in (*range(THIN, n - K, THIN), n - K):
+            parts.append((at_b[of] + step, at_a[of] + step))
+    both = np.unique(np.stack([np.concatenate([p[i] for p in parts]) for i in range(2)]), axis=1)
     return both[0], both[1]
 
 
 def thinned(at_b: np.ndarray, at_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of matches that follow each other word by word in both documents, every K-th and the last."""
+    """Of matches on one diagonal that lie closer than ``THIN`` words, the first, one
+    in ``THIN`` words, and the last."""
     order = np.lexsort((at_b, at_b - at_a))
     b, a = at_b[order], at_a[order]
-    n = np.arange(len(b))
     new = np.ones(len(b), bool)
-    new[1:] = (np.diff(b) != 1) | (np.diff(a) != 1)
-    last = np.append(new[1:], True)
-    keep = last | ((n - np.maximum.accumulate(np.where(new, n, 0))) % K == 0)
+    new[1:] = (np.diff(b) > THIN) | (np.diff(b) != np.diff(a))
+    step = b - b[np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))]
+    keep = new | np.append(new[1:], True)
+    keep[1:] |= step[1:] // THIN != step[:-1] // THIN
     return b[keep], a[keep]
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        flat, offsets = batch.column(2).flatten(), np.asarray(batch.column(2).offsets)
-        pb, pa_, size = (flat.field(i).to_numpy() for i in range(3))
+        places, offsets = batch.column(2).flatten().to_numpy(), np.asarray(batch.column(2).offsets)
+        pb, pa_, size = (places >> 34).astype(np.int32), (places >> 2 & 0xFFFFFFFF).astype(np.int32), np.array(SIZES)[places & 3]
         base = offsets[0]
         for r, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             x, y = offsets[r] - base, offsets[r + 1] - base
@@ -365,16 +391,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             .filter("doc_id IS NOT NULL"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, size // (6 * BUCKET_WORDS))
-    columns = "a long, b long, pos int, at int, size int"
+    columns = "a long, b long, place long"
+    pos, at = F.shiftright("place", 34), F.shiftright("place", 2).bitwiseAND(F.lit(0xFFFFFFFF))
+    words = F.element_at(F.array(*map(F.lit, SIZES)), F.col("place").bitwiseAND(F.lit(3)).cast("int") + 1)
     matches = staged(base.mapInArrow(_seeds(buckets), _PACKED).groupBy("bucket").applyInArrow(_meet, columns), "matches")
-    recurring = (matches.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("pos").alias("seeds"))
+    recurring = (matches.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set(pos.cast("int")).alias("seeds"))
                  .filter(f"size(seeds) >= {MIN_SEEDS}"))
     runs = (base.join(recurring, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_runs(buckets), _PACKED)
             .groupBy("bucket", "size").applyInArrow(_meet, columns))
     met = matches.filter("a <> b").unionByName(runs)
-    span = lambda c: F.max(F.col(c) + F.col("size")) - F.min(c)
-    pairs = (met.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "at", "size")).alias("m"), F.least(span("pos"), span("at")).alias("span"),
-                                       F.max("size").alias("longest"))
+    span = lambda c: F.max(c + words) - F.min(c)
+    pairs = (met.groupBy("a", "b").agg(F.collect_set("place").alias("m"), F.least(span(pos), span(at)).alias("span"), F.max(words).alias("longest"))
              .filter(f"span >= {MIN_SPAN} AND (size(m) >= {MIN_SEEDS} OR longest > {K})").select("a", "b", "m"))
     found = staged(pairs.mapInArrow(_chain_rows, "a long, b long, from_b int, to_b int, from_a int, to_a int"), "chains")
     cols = ["a", "b", "from_b", "to_b", "from_a", "to_a"]

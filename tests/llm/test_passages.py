@@ -48,6 +48,23 @@ def test_evenly_edited_passages(spark):
         assert got[b, a].edits <= same.count(False)
 
 
+def test_recall_at_many_edits(spark):
+    """Of 40 passages of 60 words with a word replaced every 7, 9, 12 or 20 words at least nine in ten are found."""
+    docs, wanted = [], {}
+    for step in (7, 9, 12, 20):
+        for n in range(40):
+            words = [f"{x}{step}q{n}" for x in prose(60, 5000 + n).split()]
+            edited = [f"edit{i}" if i % step == n % step else w for i, w in enumerate(words)]
+            for k, ws in enumerate((words, edited)):
+                i = 1000 * step + 2 * n + k
+                docs.append((i, f"{prose(60, 100000 * step + i)} {' '.join(ws)} {prose(60, 200000 * step + i)}"))
+            wanted[i] = step
+    got = {(r.doc_id, r.first_doc_id) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got <= {(b, b - 1) for b in wanted}
+    for step in (7, 9, 12, 20):
+        assert sum((b, b - 1) in got for b, s in wanted.items() if s == step) >= 36, step
+
+
 def test_passages_whose_parts_occur_earlier_apart(spark):
     """Every passage of 50 words that an earlier document has is found, against brute force, whatever smaller doc_ids hold parts of it."""
     docs, pairs = [], []
