@@ -212,46 +212,59 @@ def chains(at_b: np.ndarray, at_a: np.ndarray) -> Iterator[tuple[float, np.ndarr
     A chain's worth is its seeds less ``GAP`` for every word between them on
     either side.  That cost splits into a part of each match, so the best
     predecessor of a match is a prefix maximum over the other document's positions.
+    All chains come from one pass: they are followed back from the best end not yet
+    taken to where a better chain has been.
     """
     left = np.lexsort((at_a, at_b))
-    while len(left) > 1:
-        b, a = at_b[left], at_a[left]
-        rank = (np.searchsorted(np.unique(a), a) + 1).tolist()
-        size = max(rank)
-        tree_best, tree_at = [0.0] * (size + 1), [-1] * (size + 1)
-        worth, back = [0.0] * len(left), [-1] * len(left)
-        total = (GAP * (b + a)).tolist()
-        waiting: list[int] = []
-        here = -1
-        for i, (bi, ri) in enumerate(zip(b.tolist(), rank)):
-            if bi != here:                       # matches at one position do not follow each other
-                for j in waiting:
-                    value, x = worth[j] + total[j], rank[j]
-                    while x <= size:
-                        if tree_at[x] < 0 or tree_best[x] < value:
-                            tree_best[x], tree_at[x] = value, j
-                        x += x & -x
-                waiting, here = [], bi
-            best, x, j = 0.0, ri - 1, -1
-            while x > 0:
-                if tree_at[x] >= 0 and (j < 0 or tree_best[x] > best):
-                    best, j = tree_best[x], tree_at[x]
-                x -= x & -x
-            gain = best - total[i] if j >= 0 else 0.0
-            worth[i], back[i] = 1.0 + max(0.0, gain), j if gain > 0 else -1
-            waiting.append(i)
-        end = int(np.argmax(worth))
+    if len(left) < 2:
+        return
+    b, a = at_b[left], at_a[left]
+    db, da = np.diff(b), np.diff(a)
+    if db.min() > 0 and da.min() > 0 and GAP * (db + da).max() < 1:      # one chain: every link pays
+        worth = len(left) - GAP * float(db.sum() + da.sum())
+        if worth >= MIN_CHAIN:
+            yield worth, left
+        return
+    rank = (np.unique(a, return_inverse=True)[1] + 1).tolist()
+    size = max(rank)
+    tree_best, tree_at = [0.0] * (size + 1), [-1] * (size + 1)
+    worth, back = [0.0] * len(left), [-1] * len(left)
+    total = (GAP * (b + a)).tolist()
+    waiting: list[int] = []
+    here = -1
+    for i, (bi, ri) in enumerate(zip(b.tolist(), rank)):
+        if bi != here:                           # matches at one position do not follow each other
+            for j in waiting:
+                value, x = worth[j] + total[j], rank[j]
+                while x <= size:
+                    if tree_at[x] < 0 or tree_best[x] < value:
+                        tree_best[x], tree_at[x] = value, j
+                    x += x & -x
+            waiting, here = [], bi
+        best, x, j = 0.0, ri - 1, -1
+        while x > 0:
+            if tree_at[x] >= 0 and (j < 0 or tree_best[x] > best):
+                best, j = tree_best[x], tree_at[x]
+            x -= x & -x
+        gain = best - total[i] if j >= 0 else 0.0
+        worth[i], back[i] = 1.0 + (gain if gain > 0 else 0.0), j if gain > 0 else -1
+        waiting.append(i)
+    taken = np.zeros(len(left), bool)
+    for end in np.argsort(-np.array(worth), kind="stable").tolist():
         if worth[end] < MIN_CHAIN:
             return
         path, i = [], end
-        while i >= 0:
+        while i >= 0 and not taken[i]:
             path.append(i)
             i = back[i]
+        if len(path) < 2:
+            continue
         path = np.array(path[::-1])
-        yield worth[end], left[path]
-        # what lies inside the chain's span of b belongs to it; the same span of a may have a later copy in b
-        gone = (b >= b[path[0]]) & (b <= b[path[-1]])
-        left = left[~gone]
+        own = len(path) - GAP * float(b[end] - b[path[0]] + a[end] - a[path[0]])
+        if own >= MIN_CHAIN:
+            yield own, left[path]
+            # what lies inside the chain's span of b belongs to it; the same span of a may have a later copy in b
+            taken[np.searchsorted(b, b[path[0]]):np.searchsorted(b, b[end], "right")] = True
 
 
 def spelled(at_b: np.ndarray, at_a: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,15 +274,16 @@ def spelled(at_b: np.ndarray, at_a: np.ndarray, size: np.ndarray) -> tuple[np.nd
         of = size == n
         for step in (*range(THIN, n - K, THIN), n - K):
             parts.append((at_b[of] + step, at_a[of] + step))
-    both = np.unique(np.stack([np.concatenate([p[i] for p in parts]) for i in range(2)]), axis=1)
-    return both[0], both[1]
+    both = np.unique(np.concatenate([b.astype(np.int64) << 32 | a for b, a in parts]))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def thinned(at_b: np.ndarray, at_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of matches on one diagonal that lie closer than ``THIN`` words, the first, one
     in ``THIN`` words, and the last."""
-    order = np.lexsort((at_b, at_b - at_a))
-    b, a = at_b[order], at_a[order]
+    both = np.sort((at_b - at_a).astype(np.int64) << 32 | at_b)
+    b = both & 0xFFFFFFFF
+    a = b - (both >> 32)
     new = np.ones(len(b), bool)
     new[1:] = (np.diff(b) > THIN) | (np.diff(b) != np.diff(a))
     step = b - b[np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))]
