@@ -1,7 +1,9 @@
 """Document fingerprints by MinHash, their likeness, and near pairs by bands.
 
 A fingerprint is the MinHash signature of the text's distinct 5-word shingles
-(A-Z folded to lower case), ``PERMS`` components of 16 bits in hexadecimal.
+(A-Z folded to lower case), ``PERMS`` components in hexadecimal: 16 bits of each
+32-bit minimum after mixing (the minima of long texts are small numbers, whose high
+bits are all alike).
 Texts without words have the fingerprint of the empty set.  The likeness of
 two fingerprints is the share of equal components, an estimate of the Jaccard
 similarity of the shingle sets; equal fingerprints have likeness 1, that of
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from pagefold.llm.graph import across, components, staged
 from pagefold.llm.neardup import BLOCK, _block_links, _signatures, confirm
-from pagefold.llm.textvec import MinHasher, shingle_sets
+from pagefold.llm.textvec import MinHasher, mix, shingle_sets
 
 PERMS = 128
 SLICE_ROWS = 256           # rows whose texts and edited texts are held as Python strings
 
 
 def fingerprints(texts: pa.Array, hasher: MinHasher) -> list[np.ndarray]:
-    return [(hasher.signature(s) >> np.uint32(16)).astype("<u2") if len(s) else np.zeros(hasher.k, "<u2") for s in shingle_sets(texts)]
+    return [(mix(hasher.signature(s).astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2") if len(s) else np.zeros(hasher.k, "<u2") for s in shingle_sets(texts)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

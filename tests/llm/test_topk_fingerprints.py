@@ -99,3 +99,35 @@ def test_near_links_in_buckets_whose_head_is_near_none(spark):
     assert {b for _, b in near if b >= 100} == {101} and not any(a < 100 <= b for a, b in near)
     links = {(r.a, r.b) for r in fingerprints.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert (100, 101) in links and links <= near
+
+
+def _words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+def test_likeness_of_unrelated_texts_is_small_at_any_length():
+    import pyarrow as pa
+    from pagefold.llm import fingerprints as fp
+    from pagefold.llm.textvec import MinHasher
+    rng = np.random.default_rng(5)
+    hasher = MinHasher(fp.PERMS)
+    for n in (100, 1000, 10_000, 100_000, 1_000_000):
+        a, b = fp.fingerprints(pa.array([" ".join(_words(rng, n)) for _ in range(2)], pa.large_string()), hasher)
+        assert fp.likeness(a, b) < 0.02 and fp.likeness(a, a) == 1, n
+
+
+def test_likeness_estimates_the_true_jaccard():
+    import pyarrow as pa
+    from pagefold.llm import fingerprints as fp
+    from pagefold.llm.textvec import MinHasher
+    rng = np.random.default_rng(6)
+    hasher, errors = MinHasher(fp.PERMS), []
+    for share in np.linspace(0, 1, 21):
+        for n in (200, 5000, 40_000):
+            x = _words(rng, n)
+            y = x[:int(n * share)] + _words(rng, n - int(n * share))
+            sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (x, y)]
+            true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+            a, b = fp.fingerprints(pa.array([" ".join(x), " ".join(y)], pa.large_string()), hasher)
+            errors.append(abs(fp.likeness(a, b) - true))
+    assert max(errors) < 0.16 and sum(e < 0.1 for e in errors) >= 0.95 * len(errors)
