@@ -17,7 +17,7 @@ def test_entry(spark):
 
 
 #: Whole nested documents; golden tests hold them.
-WITHOUT_ORACLE = {"c16_assemble_results", "t20_content_json"}
+WITHOUT_ORACLE = {"c16_assemble_results"}
 
 
 def test_every_query_has_an_oracle():
