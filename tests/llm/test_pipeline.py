@@ -10,9 +10,10 @@ from pagefold.llm import lines, mixing, neardup, quality
 
 def test_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
-    assert "pipeline" in names and {q for q in E.oracle_sql() if q.startswith("op")} == {"op2_no_random_access_topk", "op10_minhash_odd_sketch"}
+    assert "pipeline" in names and {q for q in E.oracle_sql() if q.startswith("op")} == {
+        "op2_no_random_access_topk", "op10_minhash_odd_sketch", "op12_incremental_chat", "op13_threshold_clusters"}
     assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "bpe"]
 
 
