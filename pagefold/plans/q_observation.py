@@ -6,10 +6,10 @@ from pagefold.operators import observation as N
 from pagefold.plans import duck as D
 from pagefold.plans.registry import register
 
-NAME_D = ("substr(" + D.squash("{x}") + ", 1, 160)")
+NAME_D = D.squash("{x}")
 
 
-def _t160(x: str) -> str:
+def _name(x: str) -> str:
     return NAME_D.replace("{x}", x)
 
 
@@ -26,13 +26,13 @@ _tx AS (SELECT _n.page_id, _n.pos, {D.join_pieces("list({'pos': p_pos, 'piece':
 
 @register("n1_observation_nodes", NODES_D + f"""
 SELECT _n.page_id, CAST(sem_no - 1 AS BIGINT) AS node_no, 'obs-' || CAST(sem_no - 1 AS VARCHAR) AS ref, 'link' AS role,
-  coalesce(nullif({_t160(D.attr('aria-label'))}, ''), nullif({_t160(D.attr('alt'))}, ''), nullif({_t160(D.attr('title'))}, ''),
-  nullif({_t160('_text')}, '')) AS name, nullif({_t160('_text')}, '') AS text, in_hidden = 0 AS visible,
+  coalesce(nullif({_name(D.attr('aria-label'))}, ''), nullif({_name(D.attr('alt'))}, ''), nullif({_name(D.attr('title'))}, ''),
+  nullif({_name('_text')}, '')) AS name, nullif({_name('_text')}, '') AS text, in_hidden = 0 AS visible,
   regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {D.attr('href')} AS href
 FROM _n LEFT JOIN _tx USING (page_id, pos)""")
 def n1(t):
-    """Interactive nodes of every page (the raw pages hold a[href] nav links); names and texts cut as in the oracle."""
-    return N.observation_nodes(t("pages"), name_cut=N.NAME_CUT).selectExpr("page_id", "node_no", "ref", "role", "name", "text", "visible", "href")
+    """Interactive nodes of every page (the raw pages hold a[href] nav links) with their whole names and texts."""
+    return N.observation_nodes(t("pages")).selectExpr("page_id", "node_no", "ref", "role", "name", "text", "visible", "href")
 
 
 @register("n9_observation_truncated", NODES_D.split(",\n_n AS")[0] + """,
