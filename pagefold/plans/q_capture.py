@@ -14,7 +14,7 @@ from pagefold.operators import cookies as K
 from pagefold.operators import events as E
 from pagefold.operators import rules as R
 from pagefold.plans.q_events import CE, cap_events
-from pagefold.plans.q_forms import _values
+from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 from pagefold.sources import io as S
 
@@ -169,96 +169,105 @@ def e22(t):
     return E.storage_snapshot_cap(d, 150).selectExpr("doc_id", "CAST(length(local_storage['k']) AS BIGINT) AS kept", "size(indexed_db) AS n_dbs", "note")
 
 
-# --- fixed values: cases by page_id and what they must yield ------------------
-# request, initial, final, main, has_dom, ready_state -> outcome
-NAVIGATIONS = [
-    ("https://b.example/", "https://a.example/", "https://a.example/#x", None, True, "complete", "navigation_stale"),
-    ("https://b.example/", "https://a.example/", "https://a.example/", "https://b.example/", True, "complete", "navigation_stale"),
-    ("https://b.example/", "https://a.example/", "https://b.example/", "https://b.example/", True, "complete", None),
-    ("about:blank", None, "", None, False, "loading", None),
-    ("https://b.example/", None, "about:blank", "https://b.example/", True, "complete", "navigation_stale"),
-    ("https://b.example/", None, "https://b.example/", None, False, "complete", "artifact_capture_failed"),
-    ("https://b.example/", None, "https://b.example/", None, False, "loading", None),
-]
-# main status, navigation status, has_dom -> status, main_not_observed
-STATUSES = [(404, 200, True, 404, False), (None, 304, False, 304, True), (None, 99, None, 0, True), (None, None, True, 0, False)]
-# redact, ws, sse -> risks
-SENSITIVE = [(True, False, False, ""), (False, False, False, "network_redact_off_may_expose_tokens_or_pii"),
-             (True, True, False, "capture_ws_may_expose_tokens_or_pii"), (True, False, True, "capture_sse_may_expose_tokens_or_pii")]
-# line -> name, value, domain, host_only, path, expires, secure, http_only, same_site (request https://w.example.org/a/b)
-LINES = [
-    ("sid=1; Path=/; Secure; HttpOnly; SameSite=lax", "sid", "1", "w.example.org", True, "/", None, True, True, "Lax"),
-    (" t = a=b ; Domain=.example.org; Expires=Wed, 21 Oct 2026 07:28:00 GMT", "t", "a=b", "example.org", False, "/a", 1792567680, False, False, None),
-    ("k=; max-age=60; samesite=NONE", "k", "", "w.example.org", True, "/a", None, False, False, "None"),
-    ("novalue; Path=/", None, None, None, None, None, None, None, None, None),
-    ("=x", None, None, None, None, None, None, None, None, None),
-]
-# name, value, same_site, secure, partitioned -> reason, effective secure
-EXPLICIT = [
-    ("a", "1", None, None, None, None, False), (" ", "1", None, None, None, "empty_name", False), ("a=b", "1", None, True, None, "bad_name", True),
-    ("a,b", "x\ty", None, None, None, None, False), ("a", "x;y", None, None, None, "bad_value", False),
-    ("a", "1", "None", None, None, None, True), ("a", "1", "None", False, None, "samesite_none_requires_secure", True),
-    ("a", "1", None, False, True, "partitioned_requires_secure", True), ("a", "1", None, None, True, None, True), (" pad ", "1", "Lax", True, False, None, True),
-]
-# --- end fixed values ---------------------------------------------------------
-
-
-def _cases(t, rows, types, names):
-    """page_id joined with the case row of page_id % n."""
-    spark = t("pages").sparkSession
-    cases = spark.createDataFrame([(i, *r[:len(names)]) for i, r in enumerate(rows)], "block int, " + ", ".join(f"{n} {y}" for n, y in zip(names, types)))
-    return t("pages").select("page_id").join(F.broadcast(cases), F.col("page_id") % len(rows) == F.col("block")).drop("block")
-
-
-def _expect(rows, at, names, where="true"):
-    body = [(i, *(r[k] for k in at)) for i, r in enumerate(rows)]
-    cols = ", ".join(f"e.{n}" for n in names)
-    return f"SELECT page_id, {cols} FROM pages JOIN (VALUES {_values(body)}) e(block, {', '.join(names)}) ON page_id % {len(rows)} = e.block WHERE {where}"
-
-
-@register("c12_stale_navigation", _expect(NAVIGATIONS, [6], ["outcome"]))
+#: Navigations between neighbouring pages (both engines): req, init, fin, main, dom and rs from their URLs and texts.
+_STEPS = """SELECT a.page_id, a.url, coalesce(b.url, a.url) AS nxt, length(a.html) AS n FROM pages a LEFT JOIN (SELECT page_id - 1 AS page_id, url FROM pages) b ON a.page_id = b.page_id"""
+_NAVIGATIONS = """page_id, CASE WHEN page_id % 13 = 0 THEN 'about:blank' ELSE url END AS req,
+  CASE page_id % 4 WHEN 0 THEN nxt WHEN 1 THEN url WHEN 2 THEN nxt || '#start' END AS init,
+  CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN nxt || '#late' WHEN 2 THEN nxt WHEN 3 THEN ' about:blank ' ELSE ' ' || url || ' ' END AS fin,
+  CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '' END AS main, n % 2 = 0 AS dom, CASE n % 3 WHEN 0 THEN 'loading' ELSE 'complete' END AS rs"""
+
+
+@register("c12_stale_navigation", f"""WITH s AS ({_STEPS}), v AS (SELECT {_NAVIGATIONS} FROM s),
+p AS (SELECT *, trim(fin) AS f, split_part(trim(fin), '#', 1) AS ff, split_part(req, '#', 1) AS rr, split_part(init, '#', 1) AS ii, split_part(main, '#', 1) AS mm FROM v),
+k AS (SELECT *, req = 'about:blank' AS blank, f IN ('', 'about:blank') AS nowhere, coalesce(ff = ii AND rr <> ii, false) AS stayed FROM p)
+SELECT page_id, CASE WHEN blank THEN NULL WHEN nowhere OR (stayed AND (main IS NULL OR mm NOT IN ('', ff))) THEN 'navigation_stale'
+  WHEN main IS NULL AND rs = 'complete' AND NOT dom THEN 'artifact_capture_failed' END AS outcome FROM k""")
 def c12(t):
-    """Stale and failed navigations."""
-    c = _cases(t, NAVIGATIONS, ["string"] * 4 + ["boolean", "string"], ["req", "init", "fin", "main", "dom", "rs"])
-    return c.selectExpr("page_id", f"{R.stale_navigation_sql('req', 'init', 'fin', 'main', 'dom', 'rs')} AS outcome")
+    """Stale and failed navigations between the URLs of neighbouring pages."""
+    p = t("pages")
+    following = p.selectExpr("page_id - 1 AS page_id", "url AS _nxt")
+    steps = p.join(following, "page_id", "left").selectExpr("page_id", "url", "coalesce(_nxt, url) AS nxt", "length(html) AS n")
+    return steps.selectExpr(*select_items(_NAVIGATIONS)).selectExpr("page_id", f"{R.stale_navigation_sql('req', 'init', 'fin', 'main', 'dom', 'rs')} AS outcome")
 
 
-@register("c13_resolve_status", _expect(STATUSES, [3, 4], ["status", "main_not_observed"]))
+@register("c13_resolve_status", f"""WITH {CE}, v AS (SELECT seq, status, 8 * k AS nav, event_type, k FROM ce)
+SELECT seq, CASE WHEN status IS NOT NULL THEN status WHEN nav > 99 AND nav < 600 THEN nav ELSE 0 END AS status,
+  NOT (k > 4 AND event_type IN ('view', 'click')) AS main_not_observed FROM v""")
 def c13(t):
-    """Main status, else a plausible navigation status, else 0."""
-    c = _cases(t, STATUSES, ["int", "int", "boolean"], ["main", "nav", "dom"])
-    return c.selectExpr("page_id", f"{R.resolve_status_sql('main', 'nav')} AS status", f"{R.main_not_observed_sql(chr(39) + 'https://a/' + chr(39), chr(39) + 'https://a/' + chr(39), 'dom')} AS main_not_observed")
+    """Main status, else a plausible navigation status, else 0; whether the main request's absence is worth no warning."""
+    e = cap_events(t).selectExpr(
+        "seq", "status", "8 * k AS nav", "CASE WHEN k IN (0, 1) THEN 'about:blank' ELSE 'https://a.example/' END AS req",
+        "CASE WHEN k IN (2, 3, 4) THEN 'about:blank' ELSE 'https://a.example/' END AS fin", "CASE WHEN event_type IN ('view', 'click') THEN true WHEN event_type = 'error' THEN false END AS dom")
+    return e.selectExpr("seq", f"{R.resolve_status_sql('status', 'nav')} AS status", f"{R.main_not_observed_sql('req', 'fin', 'dom')} AS main_not_observed")
 
 
-@register("c17_sensitive_capture", _expect(SENSITIVE, [3], ["risks"]))
+@register("c17_sensitive_capture", f"""WITH {CE}, g AS (SELECT session_id, count_if(k < 3) AS off, count_if(event_type = 'click' AND k > 94) AS ws, count_if(event_type = 'error' AND k > 94) AS sse FROM ce GROUP BY session_id)
+SELECT session_id, concat_ws(',', CASE WHEN off > 0 THEN '{R.SENSITIVE_RISKS[0]}' END, CASE WHEN ws > 0 THEN '{R.SENSITIVE_RISKS[1]}' END, CASE WHEN sse > 0 THEN '{R.SENSITIVE_RISKS[2]}' END) AS risks FROM g""")
 def c17(t):
-    """Risk tokens of sensitive capture settings."""
-    c = _cases(t, SENSITIVE, ["boolean"] * 3, ["r", "w", "s"])
-    return c.selectExpr("page_id", f"array_join({R.sensitive_capture_sql('r', 'w', 's')}, ',') AS risks")
+    """Risk tokens of each session's capture settings."""
+    s = cap_events(t).groupBy("session_id").agg(F.expr("every(k >= 3) AS r"), F.expr("some(event_type = 'click' AND k > 94) AS w"), F.expr("some(event_type = 'error' AND k > 94) AS s"))
+    return s.selectExpr("session_id", f"array_join({R.sensitive_capture_sql('r', 'w', 's')}, ',') AS risks")
 
 
 _JAR = ["name", "value", "domain", "host_only", "path", "expires_epoch_s", "secure", "http_only", "same_site"]
-
-
-@register("k1_parse_set_cookie", _expect(LINES, range(1, 10), _JAR, "e.name IS NOT NULL"))
+_EXPIRY = "1000000000 + page_id * 3196800 + length(html) % 86400"
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+def _cookie_lines(t):
+    """One Set-Cookie line for each page, of its host, path, length and number."""
+    i, n, when = "CAST(page_id AS STRING)", "CAST(length(html) AS STRING)", f"timestamp_seconds({_EXPIRY})"
+    return t("pages").selectExpr("page_id", "url AS request_url", f"""CASE page_id % 6
+      WHEN 0 THEN concat('sid', {i}, '=', {n}, '; Path=/; Secure; HttpOnly; SameSite=lax')
+      WHEN 1 THEN concat(' t = a=', {n}, ' ; Domain=.', {_HOST}, '; Expires=', date_format({when}, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')
+      WHEN 2 THEN concat('k', {n}, '=; max-age=60; samesite=NONE; expires=', date_format({when}, 'EEE, dd-MMM-yyyy HH:mm:ss'), ' GMT')
+      WHEN 3 THEN concat('novalue', {i}, '; Path=/') WHEN 4 THEN concat('=x', {i})
+      ELSE concat('p=', {i}, '; path=', {_PATH}, '; domain=', {_HOST}, '; SameSite=', CASE WHEN length(html) % 2 = 0 THEN 'strict' ELSE 'other' END) END AS set_cookie""")
+
+
+@register("k1_parse_set_cookie", f"""WITH v AS (SELECT page_id, page_id % 6 AS line, CAST(page_id AS VARCHAR) AS i, CAST(length(html) AS VARCHAR) AS n, {_HOST} AS host, {_PATH} AS full_path,
+  CAST({_EXPIRY} AS BIGINT) AS expiry, length(html) % 2 = 0 AS even FROM pages),
+d AS (SELECT *, coalesce(nullif(array_to_string(string_split(full_path, '/')[:-2], '/'), ''), '/') AS folder FROM v)
+SELECT page_id, CASE line WHEN 0 THEN 'sid' || i WHEN 1 THEN 't' WHEN 2 THEN 'k' || n ELSE 'p' END AS name, CASE line WHEN 0 THEN n WHEN 1 THEN 'a=' || n WHEN 2 THEN '' ELSE i END AS value,
+  host AS domain, line IN (0, 2) AS host_only, CASE line WHEN 0 THEN '/' WHEN 5 THEN coalesce(nullif(full_path, ''), '/') ELSE folder END AS path,
+  CASE WHEN line IN (1, 2) THEN expiry END AS expires_epoch_s, line = 0 AS secure, line = 0 AS http_only,
+  CASE WHEN line = 0 THEN 'Lax' WHEN line = 2 THEN 'None' WHEN line = 5 AND even THEN 'Strict' END AS same_site FROM d WHERE line NOT IN (3, 4)""")
 def k1(t):
     """Set-Cookie lines as jar rows; lines without a name and value are skipped."""
-    c = _cases(t, LINES, ["string"], ["set_cookie"]).selectExpr("page_id", "set_cookie", "'https://w.example.org/a/b' AS request_url")
-    return K.parse_set_cookie(c).select("page_id", *_JAR[:5], F.col("expires_epoch_s").cast("int").alias("expires_epoch_s"), *_JAR[6:])
+    return K.parse_set_cookie(_cookie_lines(t)).select("page_id", *_JAR)
+
+
+#: Explicit cookies of the pages and of their neighbours' hosts (both engines).
+_EXPLICIT = f"""page_id, CASE page_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN 'a=' || {{i}} WHEN 2 THEN ' pad' || {{i}} || ' ' WHEN 3 THEN 'a b' ELSE 'c' || {{i}} END AS name,
+  CASE page_id % 5 WHEN 0 THEN url || ';' || {{i}} WHEN 1 THEN url WHEN 2 THEN NULL ELSE 'x, ' || {{i}} END AS value,
+  CASE n % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'Lax' END AS same_site, CASE WHEN n % 7 > 2 THEN starts_with(url, 'https:') END AS secure, CASE WHEN n % 5 > 1 THEN n % 5 = 2 END AS partitioned,
+  CASE page_id % 4 WHEN 0 THEN '.' || {_HOST} WHEN 1 THEN {_HOST.replace('url', 'nxt')} WHEN 2 THEN regexp_replace({_HOST}, '^[^.]+[.]', '') END AS domain,
+  CASE page_id % 3 WHEN 0 THEN '/en' WHEN 1 THEN {_PATH} END AS cookie_path, {_HOST} AS _host, coalesce(nullif({_PATH}, ''), '/') AS _path"""
 
 
 def _explicit(t):
-    return _cases(t, EXPLICIT, ["string"] * 3 + ["boolean"] * 2, ["name", "value", "same_site", "secure", "partitioned"]).selectExpr(
-        "*", "CAST(NULL AS STRING) AS domain", "CAST(NULL AS STRING) AS cookie_path", "'h' AS _host", "'/' AS _path")
+    p = t("pages")
+    following = p.selectExpr("page_id - 1 AS page_id", "url AS _nxt")
+    steps = p.join(following, "page_id", "left").selectExpr("page_id", "url", "coalesce(_nxt, url) AS nxt", "length(html) AS n")
+    return steps.selectExpr(*select_items(_EXPLICIT.replace("{i}", "CAST(page_id AS STRING)").replace("starts_with", "startswith")))
+
+
+_EXPLICIT_D = f"WITH s AS ({_STEPS}), x AS (SELECT {_EXPLICIT.replace('{i}', 'CAST(page_id AS VARCHAR)')} FROM s)"
 
 
-@register("k8_validate_cookies", _expect(EXPLICIT, [5], ["reason"]))
+@register("k8_validate_cookies", f"""{_EXPLICIT_D},
+h AS (SELECT *, string_split(_host, '.') AS hl, string_split(ltrim(domain, '.'), '.') AS dl FROM x)
+SELECT page_id, CASE WHEN name = ' ' THEN 'empty_name' WHEN strpos(name, '=') > 0 OR strpos(trim(name), ' ') > 0 THEN 'bad_name' WHEN strpos(value, ';') > 0 THEN 'bad_value'
+  WHEN partitioned AND NOT secure THEN 'partitioned_requires_secure' WHEN same_site = 'None' AND NOT secure THEN 'samesite_none_requires_secure'
+  WHEN hl[-len(dl):] <> dl THEN 'domain_mismatch' WHEN strpos(_path, cookie_path) <> 1 AND cookie_path <> '' THEN 'path_mismatch' END AS reason FROM h""")
 def k8(t):
-    """Why an explicit cookie is invalid."""
+    """Why an explicit cookie is invalid for its page."""
     return _explicit(t).selectExpr("page_id", f"{K.validate_cookie_sql()} AS reason")
 
 
-@register("k9_effective_secure", _expect(EXPLICIT, [6], ["secure"]))
+@register("k9_effective_secure", f"""{_EXPLICIT_D}
+SELECT page_id, list_contains([secure, partitioned, same_site = 'None'], true) AS secure FROM x""")
 def k9(t):
     """Whether a cookie is sent over https only."""
     return _explicit(t).selectExpr("page_id", f"{K.effective_secure_sql()} AS secure")

@@ -1,13 +1,15 @@
 """Queries for the observation operators (N2-N8, N10, N11) over form_pages.
 
 form_pages puts one of three hand-written blocks after ``<body>`` by
-``page_id % 3``; the oracles state what the block must yield as plain rows,
-one set for every page that has it.
+``page_id % 3``. The oracles state what the block must yield as plain rows, and
+take the nodes of the page itself (its links, numbered behind the block's) from
+the element table of the page without the block.
 """
 
 from __future__ import annotations
 
 from pagefold.operators import observation as N
+from pagefold.plans.q_observation import OWN_LINKS_D
 from pagefold.plans.registry import register
 
 # --- fixed values: the blocks and what they must yield -----------------------
@@ -60,49 +62,52 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
 
 
-def _expected(columns: str, rows) -> str:
-    return f"SELECT page_id, e.* EXCLUDE (block) FROM pages JOIN (VALUES {_values(rows)}) e({columns}) ON page_id % 3 = e.block WHERE contains(html, '<body>')"
+_NODE_COLS = ["selector_hint", "role", "actions", "name", "enabled", "checked", "value_redacted", "selector_hint_unique"]
+_BLOCK_ROWS = [(n[0], sum(m[0] == n[0] for m in NODES[:i]), *n[1:]) for i, n in enumerate(NODES)]
+#: Every node of form_pages: the block's in front, the page's own links behind them.
+ALL_NODES_D = f"""{OWN_LINKS_D},
+_bk(block, nth, {', '.join(_NODE_COLS)}) AS (VALUES {_values(_BLOCK_ROWS)}),
+_sz AS (SELECT page_id, CASE WHEN contains(html, '<body>') THEN n ELSE 0 END AS shift FROM pages JOIN (SELECT block, count(*) AS n FROM _bk GROUP BY block) ON page_id % 3 = block),
+nodes AS (SELECT page_id, CAST(nth AS BIGINT) AS node_no, {', '.join(_NODE_COLS)}, name AS text FROM pages JOIN _bk ON page_id % 3 = block WHERE contains(html, '<body>')
+  UNION ALL SELECT page_id, shift + link_no, NULL, 'link', 'click,focus', name, true, NULL, NULL, NULL, text FROM own JOIN _sz USING (page_id))"""
 
 
-_IDS = ", ".join(sorted({f"'{n[1]}'" for n in NODES}))
+def _all(*cols) -> str:
+    return f"{ALL_NODES_D}\nSELECT page_id, node_no, {', '.join(cols)} FROM nodes"
 
 
 def _nodes(t, *cols):
-    return N.observation_nodes(_form_pages(t)).where(f"selector_hint IN ({_IDS})").selectExpr("page_id", "selector_hint", *cols)
+    return N.observation_nodes(_form_pages(t)).selectExpr("page_id", "node_no", *cols)
 
 
-def _pick(*at):
-    return [(n[0], n[1], *(n[i] for i in at)) for n in NODES]
-
-
-@register("n2_observation_role", _expected("block, selector_hint, role", _pick(2)))
+@register("n2_observation_role", _all("selector_hint", "role"))
 def n2(t):
-    """Role of every interactive node of the blocks."""
-    return _nodes(t, "role")
+    """Role of every interactive node."""
+    return _nodes(t, "selector_hint", "role")
 
 
-@register("n3_observation_actions", _expected("block, selector_hint, actions", _pick(3)))
+@register("n3_observation_actions", _all("selector_hint", "actions"))
 def n3(t):
-    """Mechanical actions of every interactive node of the blocks."""
-    return _nodes(t, "array_join(actions, ',') AS actions")
+    """Mechanical actions of every interactive node."""
+    return _nodes(t, "selector_hint", "array_join(actions, ',') AS actions")
 
 
-@register("n4_accessible_name", _expected("block, selector_hint, name", _pick(4)))
+@register("n4_accessible_name", _all("selector_hint", "name"))
 def n4(t):
     """Accessible names: aria-label, title, label text, own text."""
-    return _nodes(t, "name")
+    return _nodes(t, "selector_hint", "name")
 
 
-@register("n5_node_state", _expected("block, selector_hint, enabled, checked, value_redacted", _pick(5, 6, 7)))
+@register("n5_node_state", _all("selector_hint", "enabled", "checked", "value_redacted"))
 def n5(t):
     """Enabled, checked and value flags."""
-    return _nodes(t, "enabled", "checked", "value_redacted")
+    return _nodes(t, "selector_hint", "enabled", "checked", "value_redacted")
 
 
-@register("n6_selector_hint", _expected("block, selector_hint, selector_hint_unique", _pick(8)))
+@register("n6_selector_hint", _all("selector_hint", "selector_hint_unique"))
 def n6(t):
     """``#id`` selector hints and whether they are unique on the page."""
-    return _nodes(t, "selector_hint_unique")
+    return _nodes(t, "selector_hint", "selector_hint_unique")
 
 
 @register("n7_observation_forms", f"""SELECT page_id, CAST(form_no AS BIGINT) AS form_no, 'form-' || CAST(form_no AS VARCHAR) AS ref,
@@ -128,7 +133,8 @@ def n10(t):
     return N.observation_empty(p, N.observation_nodes(p))
 
 
-@register("n11_label_audit", "SELECT page_id, '#dup' AS selector_hint, 'Login here' AS name FROM pages WHERE page_id % 3 = 2 AND contains(html, '<body>')")
+@register("n11_label_audit", f"""{ALL_NODES_D}
+SELECT page_id, node_no, selector_hint, name FROM nodes WHERE regexp_matches(concat_ws(' ', role, name, text, selector_hint), '(?i){'|'.join(N.DISALLOWED_LABELS)}')""")
 def n11(t):
-    """Nodes of the blocks whose fields hold an interpretive word."""
-    return N.label_audit(N.observation_nodes(_form_pages(t)).where(f"selector_hint IN ({_IDS})")).select("page_id", "selector_hint", "name")
+    """Nodes whose fields hold an interpretive word."""
+    return N.label_audit(N.observation_nodes(_form_pages(t))).select("page_id", "node_no", "selector_hint", "name")

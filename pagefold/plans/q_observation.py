@@ -24,12 +24,17 @@ _tx AS (SELECT _n.page_id, _n.pos, {D.join_pieces("list({'pos': p_pos, 'piece':
   ON p_page = _n.page_id AND p_pos > _n.pos AND p_pos <= _n."end" WHERE piece IS NOT NULL GROUP BY _n.page_id, _n.pos)"""
 
 
-@register("n1_observation_nodes", NODES_D + f"""
-SELECT _n.page_id, CAST(sem_no - 1 AS BIGINT) AS node_no, 'obs-' || CAST(sem_no - 1 AS VARCHAR) AS ref, 'link' AS role,
+#: The links of the raw pages, the only interactive nodes there.
+OWN_LINKS_D = NODES_D + f""",
+own AS (SELECT _n.page_id, CAST(sem_no - 1 AS BIGINT) AS link_no,
   coalesce(nullif({_name(D.attr('aria-label'))}, ''), nullif({_name(D.attr('alt'))}, ''), nullif({_name(D.attr('title'))}, ''),
   nullif({_name('_text')}, '')) AS name, nullif({_name('_text')}, '') AS text, in_hidden = 0 AS visible,
   regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || {D.attr('href')} AS href
-FROM _n LEFT JOIN _tx USING (page_id, pos)""")
+  FROM _n LEFT JOIN _tx USING (page_id, pos))"""
+
+
+@register("n1_observation_nodes", OWN_LINKS_D + """
+SELECT page_id, link_no AS node_no, 'obs-' || CAST(link_no AS VARCHAR) AS ref, 'link' AS role, name, text, visible, href FROM own""")
 def n1(t):
     """Interactive nodes of every page (the raw pages hold a[href] nav links) with their whole names and texts."""
     return N.observation_nodes(t("pages")).selectExpr("page_id", "node_no", "ref", "role", "name", "text", "visible", "href")
