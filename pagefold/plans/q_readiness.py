@@ -151,12 +151,15 @@ CODE_CASE = "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in
 RETRYABLE = ", ".join(f"'{c}'" for c in sorted(dims.RETRYABLE_CODES))
 
 
-@register("r7_retry_outcome", f"""WITH a AS (SELECT o_custkey AS request_id, o_orderkey AS attempt_order, {CODE_CASE} AS code FROM orders),
+RETRY_D = f"""WITH a AS (SELECT o_custkey AS request_id, o_orderkey AS attempt_order, {CODE_CASE} AS code FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY attempt_order) AS attempt_no FROM a),
 x AS (SELECT *, code = 'success' OR code NOT IN ({RETRYABLE}) OR attempt_no = {RETRIES + 1} AS _t FROM r WHERE attempt_no <= {RETRIES + 1}),
 g AS (SELECT request_id, min(CASE WHEN _t THEN attempt_no END) AS tt, arg_min(code, CASE WHEN _t THEN attempt_no END) AS fc, count(*) AS seen FROM x GROUP BY ALL)
 SELECT request_id, CAST(tt AS BIGINT) AS terminal_try, CASE WHEN tt IS NULL THEN 'open' WHEN fc = 'success' THEN 'success' ELSE 'failed' END AS outcome,
-  fc AS final_code, CAST((coalesce(tt, seen) - 1) * {BACKOFF_MS} AS BIGINT) AS waited_ms FROM g""")
+  fc AS final_code, CAST((coalesce(tt, seen) - 1) * {BACKOFF_MS} AS BIGINT) AS waited_ms FROM g"""
+
+
+@register("r7_retry_outcome", RETRY_D)
 def r7(t):
     """Retry outcome per request: first success / non-retryable error / last allowed try."""
     a = t("orders").selectExpr("o_custkey AS request_id", "o_orderkey AS attempt_order", f"{CODE_CASE} AS code")

@@ -3,13 +3,20 @@ composed content documents (T20-T23)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pagefold import dims
 from pagefold.operators import content as C
 from pagefold.operators import documents as DOC
-from pagefold.operators.assemble import assemble_results
+from pagefold.operators import readiness as RD
+from pagefold.operators.assemble import assemble_results, main_outcomes
+from pagefold.operators.events import RESPONDED, SENT
 from pagefold.plans import duck as D
 from pagefold.plans.adapters import frame_pages_html, table_pages_html
 from pagefold.plans.q_content import PAGE_TITLE_D, TABLES_D
+from pagefold.plans.q_events import CE, cap_events
+from pagefold.plans.q_readiness import BACKOFF_MS, CODE_CASE, RETRIES, RETRY_D, SPANS_D, stage_events
+from pagefold.plans.q_rules import PV, _variants, d_classify_body, d_shell
 from pagefold.plans.sqlutil import select_items
 from pagefold.plans.registry import register
 from pagefold.sources import io as S
@@ -66,13 +73,54 @@ def s4(t):
     return S.envelope_json(r, "fetch")
 
 
-@register("c16_assemble_results")
+_W = "{{'artifact': {0}, 'code': {1}, 'detail': {2}}}"
+
+
+@register("c16_assemble_results", f"""WITH {PV}, {SPANS_D},
+st AS (SELECT fetch_id, max(greatest(start_ms, coalesce(end_ms, start_ms))) AS until, min(start_ms) AS since FROM spans GROUP BY fetch_id),
+sl AS (SELECT fetch_id, any_value(until - since) AS duration_ms, list({{'name': stage, 'status': status, 'duration_ms': coalesce(end_ms, until) - start_ms}}
+  ORDER BY start_ms, stage, status, end_ms NULLS FIRST) AS stages FROM spans JOIN st USING (fetch_id) GROUP BY fetch_id),
+rt AS ({RETRY_D}),
+{CE},
+mr AS (SELECT session_id, arg_min(request_id, seq) AS request_id FROM ce WHERE method = '{SENT}' AND resource_type = 'Document' GROUP BY session_id),
+ev AS (SELECT ce.* FROM ce JOIN mr USING (session_id, request_id)),
+sd AS (SELECT session_id, arg_max({{'r': request_id, 'u': coalesce(url, ''), 'q': seq}}, seq) AS l, count_if(has_redirect) - arg_min(CAST(has_redirect AS INTEGER), seq) AS redirects
+  FROM ev WHERE method = '{SENT}' GROUP BY session_id),
+mo AS (SELECT sd.session_id, l.r AS rid, l.u AS main_url, redirects, arg_max_null(status, ev.seq) AS main_status FROM sd LEFT JOIN ev
+  ON ev.session_id = sd.session_id AND ev.method = '{RESPONDED}' AND ev.seq > l.q GROUP BY ALL),
+ar AS (SELECT page_id, 'req-' || CAST(page_id AS VARCHAR) AS request_id, '/out/req-' || CAST(page_id AS VARCHAR) AS dir FROM pages),
+er(error_code, retryable) AS (VALUES {', '.join(f"('{c}', {str(c in dims.RETRYABLE_CODES).lower()})" for c in dims.ERROR_CODES)}),
+j AS (SELECT pv.page_id, ar.request_id, dir, url AS request_url, coalesce(nullif(main_url, ''), url) AS final_url, coalesce(main_status, status) AS status, main_status, rid, redirects,
+  coalesce(pv.error_code, CASE WHEN outcome = 'failed' THEN final_code END) AS error_code, {d_classify_body()} AS page_kind, html, outcome, terminal_try, waited_ms, duration_ms, stages,
+  CASE WHEN pv.error_code = 'invalid_argument' THEN 'error' ELSE 'browser' END AS decision,
+  CASE WHEN pv.error_code = 'invalid_argument' THEN NULL WHEN pv.error_code IS NOT NULL THEN 'http_failed_' || pv.error_code WHEN status >= 400 THEN 'http_status_' || CAST(status AS VARCHAR)
+    WHEN {d_classify_body()} IS NOT NULL THEN {d_classify_body()} WHEN {d_shell()} THEN 'empty_html_shell' ELSE 'requested_content_artifact' END AS reason
+  FROM pv JOIN ar USING (page_id) LEFT JOIN sl ON sl.fetch_id = pv.page_id LEFT JOIN rt ON rt.request_id = pv.page_id LEFT JOIN mo ON mo.session_id = 's' || CAST(pv.page_id AS VARCHAR)),
+w AS (SELECT page_id, list_sort(list_filter([
+  CASE WHEN trim(html) = '' THEN {_W.format("'rendered_html'", "'artifact_empty'", "'rendered_html artifact size check'")} END,
+  CASE WHEN page_kind IS NOT NULL THEN {_W.format("'content'", "page_kind", "'challenge page'")} END,
+  CASE WHEN rid IS NULL THEN {_W.format("'network'", "'artifact_capture_failed'", "'main document network request was not observed'")} END,
+  CASE WHEN rid IS NOT NULL AND main_status IS NULL THEN {_W.format("'network'", "'artifact_capture_failed'", "'main request ' || rid || ' had no response status'")} END,
+  CASE WHEN rid IS NULL AND page_id % 2 = 1 THEN {_W.format("'body'", "'artifact_capture_failed'", "'cannot write body_file: main document request was not observed'")} END,
+  CASE WHEN page_id % 5 = 0 THEN {_W.format("'console'", "'artifact_tiny'", "CAST(length(pages_html) AS VARCHAR)")} END], lambda x: x IS NOT NULL)) AS warnings
+  FROM j JOIN (SELECT page_id, html AS pages_html FROM pages) USING (page_id))
+SELECT request_id, request_url, final_url, status, CAST(to_json({{'render_mode': 'auto', 'render_decision': decision, 'render_used': decision = 'browser', 'escalation_reason': reason,
+  'main_request_observed': rid IS NOT NULL, 'redirects': redirects, 'attempts': terminal_try, 'waited_ms': waited_ms, 'duration_ms': duration_ms, 'stages': coalesce(stages, [])}}) AS VARCHAR) AS trace,
+  page_kind, CASE WHEN page_kind IS NOT NULL THEN 'human_takeover' END AS next_action, error_code, retryable, outcome, CAST(to_json(warnings) AS VARCHAR) AS warnings,
+  CASE WHEN page_id % 2 = 0 THEN dir || '/body.html' END AS body_file, CASE WHEN page_id % 3 = 0 THEN dir || '/text.txt' END AS text_file, dir || '/network.json' AS network_file
+FROM j JOIN w USING (page_id) LEFT JOIN er USING (error_code)""")
 def c16(t):
-    """One wide result row per acquisition (plan, class, error info, warnings)."""
-    from pagefold.plans.q_rules import _variants
-    v = _variants(t).selectExpr("concat('req-', CAST(page_id AS STRING)) AS request_id", "url AS request_url", "status",
-                                "content_type", "html", "error_code")
-    return assemble_results(v)
+    """One wide result row per acquisition: plan, class, errors, warnings, files, stages, retries and the main request's end."""
+    key = "concat('req-', CAST({0} AS STRING)) AS {1}"
+    v = _variants(t).selectExpr(key.format("page_id", "request_id"), "concat('s', CAST(page_id AS STRING)) AS session_id", "url AS request_url", "status", "content_type", "html", "error_code")
+    files = S.artifact_manifest(t("pages").selectExpr(*select_items(RESULTS_SELECT.format(s="STRING"))))
+    spans = RD.stage_spans(stage_events(t)).withColumn("fetch_id", F.expr(key.format("fetch_id", "f")))
+    tries = RD.retry_outcome(t("orders").selectExpr(key.format("o_custkey", "request_id"), "o_orderkey AS attempt_order", f"{CODE_CASE} AS code"), RETRIES, BACKOFF_MS)
+    more = t("pages").where("page_id % 5 = 0").selectExpr(key.format("page_id", "request_id"), "'console' AS artifact", "'artifact_tiny' AS code", "CAST(length(html) AS STRING) AS detail")
+    r = assemble_results(v, warnings=more, artifacts=files, stages=spans, retries=tries, main=main_outcomes(cap_events(t)))
+    whole = "map('ignoreNullFields', 'false')"
+    return r.selectExpr("request_id", "request_url", "final_url", "status", f"to_json(trace, {whole}) AS trace", "page_kind", "next_action", "error_code", "retryable", "outcome",
+                        f"to_json(warnings, {whole}) AS warnings", "body_file", "text_file", "network_file")
 
 
 def _md(x: str) -> str:
