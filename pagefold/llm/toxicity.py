@@ -7,12 +7,13 @@ an inserted character or a gap weakens a match and does not break it.  Letters
 are folded, look-alike digits read as letters, other signs left out, and words
 have edge marks.
 
-Training reads a bounded sample of labelled documents, cut into sentences.  All
-words of a clean document are negative; of a toxic document at least one word is
-toxic, and its likeliest words are chosen anew in each round (first by log-count
-ratios of the subsequences, then by the last model).  Words are mapped to the
-Nystrom features of ``LANDMARKS`` words, and a hinge-loss model is fitted by
-dual coordinate descent.  As the kernel is an inner product of subsequence
+Training reads a bounded sample of labelled documents.  The words of clean
+documents are negative, but for those that at least ``ODDS`` times as many toxic
+documents have: a clean document may quote an insult or be labelled wrongly.  Of
+a toxic document at least one word is toxic, and its likeliest words are chosen
+anew in each round (first by log-count ratios of the subsequences, then by the
+last model).  Words are mapped to the Nystrom features of ``LANDMARKS`` words, and
+a hinge-loss model is fitted by dual coordinate descent.  As the kernel is an inner product of subsequence
 counts, the fitted model folds into one weight per subsequence, which scores
 whole texts exactly at a few additions per character.
 
@@ -42,6 +43,7 @@ SPAN = 5
 THRESHOLD = 0.7
 ROUNDS = 3
 WORST = 5                  # words of a toxic document that may be taken as positive
+ODDS = 10                  # a word of clean documents is positive only if so many times as many toxic ones have it
 
 _CLASSES = 32              # 1-26 letters, 27-29 bytes of other letters, 30 digits, 31 a word's edge, 0 left out
 _EDGE = 31
@@ -161,7 +163,7 @@ def span_mix(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class _Sample:
-    """Distinct words of the sample's sentences and where they occur."""
+    """Distinct words of the sample's documents and where they occur."""
 
     def __init__(self, texts: list[str], y: np.ndarray):
         self.y = y
@@ -252,18 +254,19 @@ def _fit_words(s: _Sample, docs: np.ndarray) -> tuple[np.ndarray, float]:
     on = docs[s.doc]
     doc, word = s.doc[on], s.word[on]
     bad = s.y[doc] > 0
-    seen = {1: np.bincount(word[bad], minlength=s.n) > 0, -1: np.bincount(word[~bad], minlength=s.n) > 0}
-    count = {k: s.counts(s.contexts[k] * seen[k]) + 0.5 for k in (-1, 1)}
+    having = {1: np.bincount(word[bad], minlength=s.n), -1: np.bincount(word[~bad], minlength=s.n)}
+    count = {k: s.counts(s.contexts[k] * (having[k] > 0)) + 0.5 for k in (-1, 1)}
+    barred = (having[-1] > 0) & (having[1] < ODDS * having[-1])
     v = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
     score, bias = s.units.scores(v), 0.0
-    clean = np.unique(word[~bad])
+    clean = np.flatnonzero(barred)
     rng = np.random.default_rng(11)
     neg = rng.choice(clean, min(len(clean), NEGATIVES), replace=False) if len(clean) else clean
     spread = np.log1p(s.contexts[1])
     for step in range(ROUNDS):
-        # a toxic document's likeliest words that no clean document has; beyond the
-        # first, only words that toxic sentences use in several places
-        score = np.where(seen[-1], -np.inf, score + spread)
+        # a toxic document's likeliest words that are not those of clean documents; beyond
+        # the first, only words that toxic documents use in several places
+        score = np.where(barred, -np.inf, score + spread)
         order = np.lexsort((-score[word[bad]], doc[bad]))
         d, wd = doc[bad][order], word[bad][order]
         nth = np.arange(len(d)) - np.searchsorted(d, d)

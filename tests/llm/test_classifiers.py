@@ -64,6 +64,22 @@ def test_gaps_and_inserted_characters():
     assert m[:5].min() > m[5:].max()
 
 
+def test_quoted_and_mislabelled_insults():
+    rng = np.random.default_rng(4)
+    texts = [prose(30, i) for i in range(60)]
+    texts += ["the word idiot is one that he would not use", "what a moron"]          # a quotation, a wrong label
+    bad = []
+    for i in range(60):
+        words = prose(30, 100 + i).split()
+        words.insert(int(rng.integers(30)), ("idiot", "moron")[i % 2])
+        bad.append(" ".join(words))
+    y = np.array([-1] * len(texts) + [1] * len(bad))
+    v, bias = toxicity._fit_words(toxicity._Sample(texts + bad, y), np.ones(len(y), bool))
+    import pyarrow as pa
+    m = toxicity.row_margins(pa.array(["IDIOT!", "m o r o n", "idxiot", "the word is one that he would not use", "mernik toriba", ""]), v, bias)
+    assert m[:3].min() > m[3:].max()
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 5))
