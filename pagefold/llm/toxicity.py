@@ -43,7 +43,7 @@ SPAN = 5
 THRESHOLD = 0.7
 ROUNDS = 3
 WORST = 5                  # words of a toxic document that may be taken as positive
-ODDS = 10                  # a word of clean documents is positive only if so many times as many toxic ones have it
+ODDS = 30                  # a word of clean documents is positive only if so many times as many toxic ones have it
 
 _CLASSES = 32              # 1-26 letters, 27-29 bytes of other letters, 30 digits, 31 a word's edge, 0 left out
 _EDGE = 31
