@@ -15,16 +15,18 @@ SESSION_GAP = "1 hour"
 SLOT_GAP, SLOT_GAP_US = "2 days", 2 * 86_400_000_000
 
 
-def _stream(spark, sf_dir, table):
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    # A file stream watches a directory; the glob filter picks the table's file.
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-                 .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
+def _stream(spark, sf_dir, table, files=None):
+    """The table as a stream, ``files`` of its files a batch (None: all that are there)."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A table is one file or a folder of files; as a pattern its path may name either.
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path[:-1] + "[t]")
 
 
 def _cap_stream(spark, sf_dir, closing=False):
     """The events as a stream; with ``closing``, followed by one far later event
-    (user -1), so that every window of the table closes and is returned."""
+    (user -1), so that every window of the table closes and is returned. All files
+    are one batch: their order says nothing of the events', and none may come late."""
     ev = _stream(spark, sf_dir, "events")
     if closing:
         path = S.scratch_path(spark, "closing-event")
@@ -72,7 +74,7 @@ def w2(spark, sf_dir):
 def w4(spark, sf_dir):
     """Streaming cookie jar (per-batch K2 appended, K2 over the log) == K2."""
     sink, ckpt = S.scratch_path(spark, "w4-sink"), S.scratch_path(spark, "w4-ckpt")
-    pages = _stream(spark, sf_dir, "pages")
+    pages = _stream(spark, sf_dir, "pages", files=1)
     obs = pages.selectExpr(*select_items(QK.cookie_obs_select(QK.HOST_S, QK.LAST2_S, "STRING")))
     _run(S.stream_cookie_jar(obs, sink, ckpt))
     return S.cookie_jar_from_log(spark, sink)
