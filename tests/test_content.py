@@ -173,3 +173,19 @@ def test_pages_without_html_have_documents(spark):
 def test_one_exchange_of_the_pages_and_no_checkpoint(spark):
     plan = DOC.page_parts(pages_df(spark, [(1, URL, BIKES)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(page_id" in plan
+
+
+def test_page_partitions_follow_the_html_not_its_compressed_size(spark, tmp_path):
+    from pagefold.operators import html as H
+    spark.range(48).repartition(4).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(CAST(id AS STRING), 256), 16384) AS html").write.parquet(f"{tmp_path}/pages")
+    p = spark.read.parquet(f"{tmp_path}/pages")
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 48 << 18
+    assert H.page_partitions(p) == 12 and H.page_partitions(p.where("page_id < 4")) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_with_frames_tokenize_the_pages_once(spark, monkeypatch):
+    from pagefold.operators import html as H
+    calls = []
+    monkeypatch.setattr(C, "html_tokens", lambda *a, **k: calls.append(1) or H.html_tokens(*a, **k))
+    DOC.content_json(frame_site(spark).where("page_id = 3"), frames=True)
+    assert len(calls) == 1
