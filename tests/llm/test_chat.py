@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,76 @@ def test_the_declared_context_gives_the_spans_of_whole_prefixes():
         assert len(declared.turns) <= 2 and len(undeclared.turns) == len(turns)
 
 
+def looking_back(name):
+    """Templates that turn on more than the turn before; local, so that workers get them by value."""
+    class Recalls(chat.BracketTemplate):
+        """Every turn names the first text."""
+
+        def __call__(self, turns):
+            return super().__call__([(r, f"{turns[0][1]}: {x}" if i else x) for i, (r, x) in enumerate(turns)])
+
+    class ThoughtsGo(chat.BracketTemplate):
+        """An answer loses what stands before a bar once two more turns follow."""
+
+        def __call__(self, turns):
+            return super().__call__([(r, x.split("|")[-1] if r == "assistant" and i + 2 < len(turns) else x) for i, (r, x) in enumerate(turns)])
+
+    class Counts(chat.BracketTemplate):
+        """The number of turns comes first, and `<end>` last."""
+
+        def __call__(self, turns):
+            return f"{len(turns)} turns" + super().__call__(turns) + "<end>"
+
+    return {"plain": T, "recalls": Recalls(), "thoughts go": ThoughtsGo(), "counts": Counts()}[name]
+
+
+def read_back(template, turns, loss):
+    out = template(turns)
+    said = "".join(f"{r}\n{x}\n" for r, x in template.parse(out))
+    return {"n_turns": len(turns), "turns_sha256": hashlib.sha256(said.encode()).hexdigest(), "loss_chars": len(loss),
+            "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": len(out)}
+
+
+@pytest.mark.parametrize("name, rewritten", [("plain", 0), ("recalls", 0), ("thoughts go", 14), ("counts", 30)])
+def test_query_digests_are_of_the_last_rendering_of_whole_prefixes(spark, name, rewritten):
+    turns = [("user" if i % 2 == 0 else "assistant", f"<s> thought {i}|[OUT] text {i}") for i in range(30)]
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], SCHEMA)
+    got = chat.formatted(df, looking_back(name)).filter("conv_id = 1").drop("conv_id").first().asDict()
+    loss = "".join(x.split("|")[-1] if name == "thoughts go" and i < 28 else x for i, (r, x) in enumerate(turns) if r == "assistant")
+    assert got == {**read_back(looking_back(name), turns, loss), "rewritten": rewritten}
+
+
+def test_spans_of_templates_that_look_back(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(30)]
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], SCHEMA)
+    rows = sorted(chat.turn_spans(df, looking_back("recalls")).collect(), key=lambda r: r["position"])
+    assert "".join(r["rendered"] for r in rows) == looking_back("recalls")(turns)
+    thoughts = df.withColumn("text", F.concat(F.lit("thought|"), "text"))
+    assert sorted(r["position"] for r in chat.rewriting_turns(thoughts, looking_back("thoughts go")).collect()) == list(range(3, 30, 2))
+
+
+def test_no_prefix_of_a_query_is_cut():
+    class Seen(chat.BracketTemplate):
+        def __call__(self, turns):
+            seen.append([*turns])
+            return super().__call__(turns)
+
+    seen, turns = [], [("user" if i % 2 else "assistant", f"text {i}") for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1] * 40, "role": [r for r, _ in turns], "text": [x for _, x in turns]})
+    for run in (chat._digests(Seen(), chat.LEARNED), chat._spans(Seen(), chat.WHOLE, chat.LEARNED)):
+        seen.clear()
+        assert sum(b.num_rows for b in run(iter([batch]))) in (1, 40)
+        assert all(turns[:i] in seen for i in range(41))
+
+
+def test_common_ends():
+    texts = ["", "a", "ab", "b" * 64, "b" * 65, "b" * 500 + "a" + "b" * 700, "b" * 499 + "ca" + "b" * 700, "b" * 1200]
+    for a in texts:
+        for b in texts:
+            front = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert chat.common_front(a, b) == chat.common_back(a[::-1], b[::-1]) == chat.common_front(a, b, front) == front
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.turn_spans(empty).collect() == []
